@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.llm import bpe, langid
-from plotwright.llm.common import crc_mod, table
+from plotwright.llm import ann, bpe, langid, mixing, sharding, topk, warc
+from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    read = warc.resolve(warc.reassemble(cut(warc.scan(spark, path))))
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), "target_uri", "n_segments", "intact")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +25,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], [f"shard-{k:04d}" for k in range(1024)])
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -23,7 +50,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
+    "op6_ann": op6_ann,
+    "op7_mixing": op7_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
 }
 
