@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.llm import ann, bpe, langid, mixing, sharding, topk, warc
+from plotwright.llm import ann, bpe, langid, minhash, mixing, sharding, topk, warc
 from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
 
 
@@ -25,6 +25,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -52,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
+    "op5_minhash": op5_minhash,
     "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
