@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.llm import ann, bpe, langid, minhash, mixing, sadedup, sharding, topk, warc
+from plotwright.llm import ann, bpe, extract, langid, minhash, mixing, sadedup, sharding, topk, warc
 from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sadedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extract": op1_extract,
     "op2_suffix": op2_suffix,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,

@@ -217,12 +217,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"), *more)
 
 
-def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with kept (binary: the bytes left), n_bytes, n_removed and n_spans; texts without repeats never meet Python or a shuffle after step 1."""
+def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """``df`` with kept (the bytes left), n_bytes, n_removed and n_spans; texts without repeats never meet Python or a shuffle after step 1.
+
+    ``as_text``: kept is a string, without what is left of characters that were cut apart.
+    """
     docs = keyed(df, id_col, text_col)
     found = cut(spans(docs, params))
     whole = keyed(df, id_col, text_col, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    clean = pick(whole, found.select(*ROW), "left_anti").select("row.*", F.col("data").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    clean = pick(whole, found.select(*ROW), "left_anti").select("row.*", F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     least = params.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +237,13 @@ def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
                 for a, b in cover:
                     parts.append(data[at:a])
                     at = b
-                kept.append(b"".join([*parts, data[at:]]))
+                left = b"".join([*parts, data[at:]])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 sizes.append(len(data))
-                gone.append(len(data) - len(kept[-1]))
+                gone.append(len(data) - len(left))
                 counts.append(len(cover))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     touched = pick(whole, found.select(*ROW), "left_semi").join(found, ROW).select("row", "data", "spans")
-    schema = f"row {touched.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
+    schema = f"row {touched.schema['row'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
     return clean.unionByName(touched.mapInArrow(run, schema).select("row.*", "kept", "n_bytes", "n_removed", "n_spans"))
