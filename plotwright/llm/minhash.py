@@ -11,10 +11,11 @@ shingle sets is ``least`` or more. With 24 bands of 4 a pair at 0.8 escapes all
 probability 3e-6.
 
 Copies (equal sequences of words) are one node from the start. In a band's bucket all
-nodes meet the bucket's least one; only where nodes of different components are left
-does the bucket go on with further leaders, twice as many each round, until none is
-left that could be linked. So no group is expanded into all pairs, and no link between
-components is lost. Classes are the components.
+nodes meet the bucket's least one. Buckets that then still hold nodes of different
+components are compared whole, in blocks: a group has two blocks of nodes and their
+shingle sets, counts all their intersections by products of 0/1 matrices, and returns no
+more links than join its components. So no group is expanded into rows of pairs, memory is
+that of two blocks, and no link between components is lost. Classes are the components.
 
 Defined results: null and blank texts are classes of their own; texts without words but
 with other signs are compared as wholes. The class id is the least id of its rows. Rows
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import powers
@@ -42,6 +43,8 @@ from plotwright.llm.graph import components
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Ids of up to so many rows are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes of a block, and shingles of its nodes, at most (but one node at least).
+BLOCK, BLOCK_SHINGLES = 1_024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -130,7 +133,7 @@ def band_keys(kept: np.ndarray, params: Params) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, params: Params) -> DataFrame:
-    """(id, copy binary, bands array<long>): fingerprint of the words in order, and the band keys; both null for blank texts."""
+    """(id, copy binary, n, bands array<long>): fingerprint of the words in order, number of shingles, and the band keys; fingerprint and keys are null for blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,13 +141,15 @@ def sketch(docs: DataFrame, params: Params) -> DataFrame:
                 words = word_hashes(texts)
                 full = [k for k, w in enumerate(words) if len(w)]
                 keys: list = [None] * len(words)
+                sizes = [0] * len(words)
                 if full:
-                    for k, x in zip(full, band_keys(registers([shingles(words[k], params.words) for k in full], params.registers), params), strict=True):
-                        keys[k] = x
+                    sets = [shingles(words[k], params.words) for k in full]
+                    for k, x, own in zip(full, band_keys(registers(sets, params.registers), params), sets, strict=True):
+                        keys[k], sizes[k] = x, len(own[0])
                 copies = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "n", "bands"])
 
-    return docs.mapInArrow(run, "id long, copy binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, copy binary, n int, bands array<long>")
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -158,11 +163,6 @@ def verified(docs: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
     pairs = cut(pairs)
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in text_pieces(batch, "text", 1_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array([shingles(w, params.words)[0].tobytes() for w in word_hashes(texts)], pa.binary())], names=["id", "set"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -172,42 +172,109 @@ def verified(docs: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
                 keep.append(shared > 0 and shared >= params.least * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = among(docs, ids).mapInArrow(sets, "id long, set binary")
+    held = shingle_sets(docs, ids, params)
     right = held.toDF("b", "y")
     left = held.toDF("a", "x")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def joining(ids: np.ndarray, components_: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, least: float, columns: int = 2_048) -> list[tuple[int, int]]:
+    """Links between the nodes ``first`` and ``second`` (places), as many as join their components. All intersections are counted, exactly."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    shared = count[place] > 1
+    owner, column = owner[shared], column[place[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(first), len(second)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        low, high = np.searchsorted(column, (a, a + columns))
+        dense = np.zeros((len(sets), columns), np.float32)
+        dense[owner[low:high], column[low:high] - a] = 1
+        both += dense[first] @ dense[second].T
+    sizes = np.array([len(x) for x in sets], np.float64)
+    near = both >= least * (sizes[first][:, None] + sizes[second][None, :] - both) - 1e-6
+    near &= components_[first][:, None] != components_[second][None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = root(int(components_[first[i]])), root(int(components_[second[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(ids[first[i]]), int(ids[second[j]])))
+    return out
+
+
+def linked_within(docs: DataFrame, rest: DataFrame, params: Params) -> DataFrame:
+    """Links (a, b) that join the components met in each bucket of ``rest`` (bucket, id, c, blocks)."""
+    held = shingle_sets(docs, cut(rest.select("id").distinct()), params)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rest.withColumn("own", own).select("bucket", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.select("bucket", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(held, "id")
+    keys = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                ids, comps, own = (np.array([x[k] for x in held]) for k in (1, 2, 3))
+                if (comps != comps[0]).any():
+                    _, i, j = held[0][0]
+                    found.extend(joining(ids, comps, [x[4] for x in held], np.flatnonzero(own == i), np.flatnonzero(own == j), params.least))
+            held.clear()
+
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+            for name, id_, c, mine, x in zip(names, *[batch.column(k).to_pylist() for k in ("id", "c", "own")], batch.column("set"), strict=True):
+                if held and held[0][0] != name:
+                    close()
+                held.append((name, id_, c, mine, np.frombuffer(x.as_py(), np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
+    """(id, set binary) of the documents in ``ids``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in text_pieces(batch, "text", 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array([shingles(w, params.words)[0].tobytes() for w in word_hashes(texts)], pa.binary())], names=["id", "set"])
+
+    return among(docs, ids).mapInArrow(sets, "id long, set binary")
+
+
 def classes(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_copies) for every row: its class, and how many rows have the same words in the same order."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(sketch(docs, params))
-    nodes = signed.where("copy is not null").groupBy("copy").agg(F.min("id").alias("node"), F.count("*").alias("n"))
-    bands = signed.join(nodes.select("copy", F.col("node").alias("id")), ["copy", "id"], "left_semi").select("id", F.explode("bands").alias("bucket"))
+    nodes = signed.where("copy is not null").groupBy("copy").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
+    bands = signed.join(nodes.select("copy", F.col("node").alias("id")), ["copy", "id"], "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
     leaders = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader != most").drop("most")
     members = cut(bands.join(leaders, "bucket").where("id != leader"))
     links = cut(verified(docs, members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), params))
     roots = cut(components(links))
 
-    # Buckets whose other members are in several components go on: members of rank below..2 * below lead next.
-    below, tested = 1, None
-    while True:
-        placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("bucket")
-        ranked = placed.join(mixed, "bucket").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        rest = cut(ranked.where(F.col("r") >= below))
-        lead = rest.where(F.col("r") < 2 * below).select("bucket", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("r").alias("r_a"))
-        pairs = lead.join(rest, "bucket").where("r > r_a and c != c_a").select("a", F.col("id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.limit(1).count() and not rest.where(F.col("r") >= 2 * below).limit(1).count():
-            break
-        new = cut(verified(docs, pairs, params))
-        if new.limit(1).count():
-            links = cut(links.unionByName(new))
-            roots = cut(components(links))
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        below *= 2
+    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("n")).where("least != most")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    rest = cut(placed.drop("n").join(mixed.select("bucket", blocks.alias("blocks")), "bucket"))
+    if rest.limit(1).count():
+        links = cut(links.unionByName(linked_within(docs, rest, params)))
+        roots = cut(components(links))
     found = signed.select("id", "copy").join(nodes, "copy", "left").join(roots, "node", "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("root", "node", "id").alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"))
+    return found.select(F.col("id").alias(id_col), F.coalesce("root", "node", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
