@@ -1,12 +1,627 @@
-"""The registered queries of the engine and their SQL equivalents."""
+"""The registered queries, each through the engine's operators, and their equivalents for DuckDB."""
 
 from __future__ import annotations
 
+import datetime
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plotwright import fixtures
+from plotwright.functions import address as A
+from plotwright.functions import text as X
+from plotwright.functions import values as V
+from plotwright.operators import cache, dedup, fuzzy, geocode, impute, marts, profile, quality, quota, validate
+from plotwright.operators.clean import PARTIES, clean, collapse
+from plotwright.schemas import ADDRESSES as ADDRESS_SCHEMA
+from plotwright.schemas import CORRECTION_LOG, ISSUES, OWNER_COLUMNS
+from plotwright.sources import tables
+from plotwright.streaming import quota as stream_quota
 
-QUERIES: dict = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate").dropDuplicates(["o_custkey", "o_orderdate"])
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = fixtures.duckdb(sql)
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def v(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return fixtures.view(spark, d, name)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Impute, deduplicate, summarise."""
+    sales = impute.fill(v(spark, d, "sales"), ["parcel_id"], *PARTIES[0])
+    sales = dedup.keep_first(sales, ["parcel_id", "property_address", "sale_price", "sale_date", "legal_reference"], "unique_id")
+    return impute.summary(sales, PARTIES)
+
+
+L = lambda c: F.col(c).cast("long").alias(c)
+S = lambda c: F.col(c).cast("string").alias(c)
+
+
+# --- duplicates ---------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def dedup_business_key(spark, d):
+    return dedup.keep_first(t(spark, d, "orders"), ["o_custkey", "o_orderdate"], "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT count(*) AS dup_groups, cast(coalesce(sum(n - 1), 0) AS bigint) AS excess_rows FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
+def duplicate_groups(spark, d):
+    return dedup.excess(t(spark, d, "documents"), ["text"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return dedup.groups(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT unique_id FROM (SELECT unique_id, row_number() OVER (PARTITION BY parcel_id, property_address, sale_date ORDER BY unique_id) AS rn FROM {sales}) WHERE rn > 1")
+def duplicate_ids_null_keys(spark, d):
+    return dedup.later_ids(v(spark, d, "sales"), ["parcel_id", "property_address", "sale_date"], "unique_id")
+
+
+@query("WITH gone AS (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) WHERE rn > 1) SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone) GROUP BY l_orderkey")
+def delete_using(spark, d):
+    ids = dedup.later_ids(t(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey")
+    return dedup.delete(t(spark, d, "lineitem"), ids, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("WITH gone AS (SELECT unique_id FROM (SELECT unique_id, row_number() OVER (PARTITION BY parcel_id, land_use ORDER BY unique_id) AS rn FROM {sales}) WHERE rn > 1) SELECT 'sales' AS name, count(*) AS n FROM {sales} WHERE unique_id NOT IN (SELECT unique_id FROM gone) UNION ALL SELECT 'mappings', count(*) FROM {mappings} WHERE housing_id NOT IN (SELECT unique_id FROM gone) UNION ALL SELECT 'issues', count(*) FROM {sales} WHERE unique_id % 2 = 0 AND unique_id NOT IN (SELECT unique_id FROM gone)")
+def delete_dependents(spark, d):
+    sales = v(spark, d, "sales")
+    out = dedup.delete_with_dependents(sales, v(spark, d, "mappings"), sales.where("unique_id % 2 = 0").select("unique_id"), ["parcel_id", "land_use"])
+    one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return one("sales", out[0]).unionByName(one("mappings", out[1])).unionByName(one("issues", out[2]))
+
+
+# --- imputation ---------------------------------------------------------------------------------
+
+
+@query("WITH donor AS (SELECT parcel_id, arg_min(property_address, unique_id) AS a FROM {sales} WHERE property_address IS NOT NULL GROUP BY 1) SELECT unique_id, coalesce(property_address, a) AS property_address, property_address IS NULL AND a IS NOT NULL AS property_address_imputed FROM {sales} LEFT JOIN donor USING (parcel_id)")
+def impute_sibling(spark, d):
+    return impute.fill(v(spark, d, "sales"), ["parcel_id"], *PARTIES[0]).select("unique_id", "property_address", "property_address_imputed")
+
+
+@query("WITH donor AS (SELECT parcel_id, owner_name, arg_min(owner_address, unique_id) AS a FROM {sales} WHERE owner_address IS NOT NULL AND owner_name IS NOT NULL GROUP BY 1, 2) SELECT s.unique_id, coalesce(owner_address, a) AS owner_address, owner_address IS NULL AND a IS NOT NULL AS owner_address_imputed FROM {sales} s LEFT JOIN donor ON s.parcel_id = donor.parcel_id AND s.owner_name = donor.owner_name")
+def impute_two_key(spark, d):
+    return impute.fill(v(spark, d, "sales"), ["parcel_id", "owner_name"], *PARTIES[1]).select("unique_id", "owner_address", "owner_address_imputed")
+
+
+@query("WITH donor AS (SELECT parcel_id, arg_min(property_address, unique_id) AS a FROM {sales} WHERE property_address IS NOT NULL AND unique_id % 2 = 0 GROUP BY 1) SELECT count(*) AS filled FROM {sales} JOIN donor USING (parcel_id) WHERE property_address IS NULL AND unique_id % 4 = 3")
+def impute_general(spark, d):
+    sales = v(spark, d, "sales")
+    return impute.fill_from(sales, sales.where("unique_id % 2 = 0"), ["parcel_id"], "property_address", condition=F.col("unique_id") % 4 == 3)[1]
+
+
+@query("WITH donor AS (SELECT parcel_id, arg_min(property_address, unique_id) AS a FROM {sales} WHERE property_address IS NOT NULL GROUP BY 1) SELECT count_if(property_address IS NULL AND a IS NOT NULL) AS property_address_imputed, count_if(property_address IS NULL AND a IS NULL) AS property_address_missing, 0::bigint AS owner_address_imputed, count_if(owner_address IS NULL) AS owner_address_missing, count(*) AS rows FROM {sales} LEFT JOIN donor USING (parcel_id)")
+def provenance_flags(spark, d):
+    sales = v(spark, d, "sales")
+    filled = impute.fill(sales, ["parcel_id"], *PARTIES[0]).withColumn("property_address_imputed", F.lit(False))
+    return impute.summary(impute.mark_provenance(filled, sales, PARTIES), PARTIES)
+
+
+@query("SELECT count_if(f1) AS f1_n, round(100.0 * count_if(f1) / count(*), 6) AS f1_pct, count_if(f2) AS f2_n, round(100.0 * count_if(f2) / count(*), 6) AS f2_pct FROM (SELECT o_orderkey % 7 = 0 AS f1, o_orderstatus = 'F' AS f2 FROM orders)")
+def imputed_shares(spark, d):
+    return impute.shares(t(spark, d, "orders").select((F.col("o_orderkey") % 7 == 0).alias("f1"), (F.col("o_orderstatus") == "F").alias("f2")), ["f1", "f2"])
+
+
+# --- validation and typing ----------------------------------------------------------------------
+
+PRICE_TEXT = "CASE WHEN p_partkey % 40 = 0 THEN '-5' WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 43 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN '$' || '1,' || cast(p_partkey % 900 + 100 AS string) || '.50' ELSE cast(p_retailprice AS string) END"
+
+
+@query(f"SELECT count_if(NOT regexp_matches(replace(x, ',', ''), '^\\s*\\$?\\s*\\d+(\\.\\d+)?\\s*$')) AS bad_price, count_if(flag NOT IN ('Yes', 'Y', 'No', 'N')) AS bad_vacant FROM (SELECT {PRICE_TEXT} AS x, CASE p_size % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Y' WHEN 2 THEN 'No' WHEN 3 THEN 'N' WHEN 4 THEN 'maybe' END AS flag FROM part)")
+def validate_counts(spark, d):
+    rows = fixtures.read(spark, d, f"SELECT {PRICE_TEXT} AS x, CASE p_size % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Y' WHEN 2 THEN 'No' WHEN 3 THEN 'N' WHEN 4 THEN 'maybe' END AS flag FROM {{part}}")
+    return validate.bad_counts(rows, {"bad_price": V.bad_price(F.col("x")), "bad_vacant": ~F.col("flag").isin("Yes", "Y", "No", "N")})
+
+
+@query(f"SELECT p_partkey, cast(nullif(regexp_extract(replace(x, ',', ''), '\\d+(?:\\.\\d+)?'), '') AS double) AS price FROM (SELECT p_partkey, {PRICE_TEXT} AS x FROM part)")
+def parse_price_text(spark, d):
+    return fixtures.read(spark, d, f"SELECT p_partkey, {PRICE_TEXT} AS x FROM {{part}}").select("p_partkey", V.parse_price(F.col("x")).cast("double").alias("price"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count_if(b) AS yes, count_if(NOT b) AS no, count_if(b IS NULL) AS unknown FROM (SELECT *, CASE WHEN f IN ('Yes', 'Y') THEN true WHEN f IN ('No', 'N') THEN false END AS b FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'N' END AS f FROM lineitem)) GROUP BY 1, 2")
+def yes_no_boolean(spark, d):
+    flag = F.when(F.col("l_returnflag") == "A", "Yes").when(F.col("l_returnflag") == "N", "N")
+    b = F.col("b")
+    return t(spark, d, "lineitem").withColumn("b", X.yes_no(flag)).groupBy("l_orderkey", "l_linenumber").agg(F.count_if(b).alias("yes"), F.count_if(~b).alias("no"), F.count_if(b.isNull()).alias("unknown"))
+
+
+@query("SELECT p_partkey, regexp_replace(replace(p_name, ' ', '   '), ' {2,}', ' ', 'g') AS p_name, p_brand FROM part")
+def collapse_spaces(spark, d):
+    return collapse(t(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("   ")).alias("p_name"), "p_brand"))
+
+
+@query("SELECT o_orderkey, cast(cast(o_orderdate AS date) AS string) AS sale_date FROM orders")
+def text_to_date(spark, d):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(k == 1, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t(spark, d, "orders").select("o_orderkey", V.parse_date(text).cast("string").alias("sale_date"))
+
+
+@query("SELECT unique_id, 'USD' AS currency_code, upper(owner_name) AS renamed FROM {sales}")
+def rename_and_constant(spark, d):
+    from plotwright.operators.clean import rename
+
+    raw = v(spark, d, "sales").select(F.col("unique_id").alias("UniqueID"), F.upper("owner_name").alias("OwnerName"))
+    return rename(raw).select("unique_id", F.lit("USD").alias("currency_code"), F.col("owner_name").alias("renamed"))
+
+
+@query("SELECT o_orderkey, count(*) AS rows FROM (SELECT o_custkey % 50 AS o_orderkey FROM orders) GROUP BY 1 HAVING count(*) > 1 OR o_orderkey IS NULL")
+def key_faults(spark, d):
+    return validate.key_faults(t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("SELECT mapping_id FROM {mappings} m WHERE NOT EXISTS (SELECT 1 FROM {addresses} a WHERE a.address_id = m.address_id AND a.latitude IS NOT NULL)")
+def foreign_key_orphans(spark, d):
+    return validate.orphans(v(spark, d, "mappings"), v(spark, d, "addresses").where("latitude is not null"), {"address_id": "address_id"}).select("mapping_id")
+
+
+@query("SELECT ordinal, column_name FROM (VALUES (1, 'o_orderkey'), (2, 'o_custkey'), (3, 'o_orderstatus'), (4, 'o_totalprice'), (5, 'o_orderdate'), (6, 'o_orderpriority')) x(ordinal, column_name)")
+def catalog_columns(spark, d):
+    return tables.columns_of(t(spark, d, "orders")).select("ordinal", "column_name")
+
+
+# --- addresses ----------------------------------------------------------------------------------
+
+
+def standardized_sql(text: str) -> str:
+    out = f"upper({text})"
+    for short, long in A.STREET_TYPES.items():
+        out = f"regexp_replace(replace(replace({out}, ' {short},', ' {long},'), ' {short} ', ' {long} '), ' {short}$', ' {long}')"
+    for short, long in A.DIRECTIONS.items():
+        out = f"replace({out}, ' {short} ', ' {long} ')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT unique_id, {standardized_sql('owner_address')} AS standardized FROM {{sales}}")
+def standardize_abbrev(spark, d):
+    return v(spark, d, "sales").select("unique_id", A.standardize_abbreviations(F.col("owner_address")).alias("standardized"))
+
+
+PARSED = "SELECT unique_id, CASE WHEN regexp_matches({0}, '^\\s*(\\d+(?:-\\d+)?)\\s') THEN regexp_extract({0}, '^\\s*(\\d+(?:-\\d+)?)\\s', 1) END AS house_number, trim(split_part(regexp_replace({0}, '^\\s*\\d+(?:-\\d+)?\\s+', ''), ',', 1)) AS street_name, CASE WHEN contains({0}, ',') THEN trim(split_part({0}, ',', 2)) END AS city FROM {{sales}} WHERE {0} IS NOT NULL".replace("{0}", "owner_address").replace("{{", "{").replace("}}", "}")
+
+
+@query(PARSED)
+def parse_components(spark, d):
+    return v(spark, d, "sales").where("owner_address is not null").select("unique_id", A.components(F.col("owner_address")).alias("c")).select("unique_id", "c.house_number", "c.street_name", "c.city")
+
+
+@query(PARSED)
+def parse_components_lateral(spark, d):
+    A.register_sql(spark)
+    return spark.sql("SELECT unique_id, p.house_number, p.street_name, p.city FROM {s}, LATERAL parse_address_components(owner_address) p", s=v(spark, d, "sales").where("owner_address is not null"))
+
+
+@query("SELECT unique_id, trim(regexp_replace(property_address, '[0-9 ]+', '', 'g')) AS cleaned, cast(length(property_address) - length(regexp_replace(property_address, '[AE]', '', 'g')) AS bigint) AS counted, 'TN' AS state, cast(length(regexp_replace(property_address, '[^ ]+', '', 'g')) AS bigint) AS blanks FROM {sales}")
+def text_helpers(spark, d):
+    c = F.col("property_address")
+    return v(spark, d, "sales").select("unique_id", X.clean_all(c, "[0-9 ]+").alias("cleaned"), X.count_substring(c, "AE").cast("long").alias("counted"), X.normalize_state(c).alias("state"), X.spaces(c).cast("long").alias("blanks"))
+
+
+@query("SELECT p_partkey, '\"' || p_name || '\", \"' || p_brand || '\"' AS quoted FROM part")
+def quoted_names(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.quoted_columns(F.array("p_name", "p_brand")).alias("quoted"))
+
+
+@query("SELECT address_id, full_address FROM (SELECT address_id, CASE WHEN regexp_matches(a, '(?i)\\bTN\\b|\\bTennessee\\b') THEN a ELSE a || ', TN' END AS full_address FROM (SELECT address_id, CASE WHEN city IS NULL THEN address ELSE address || ', ' || city END AS a, latitude FROM (SELECT address_id, coalesce(address_standardized, address) AS address, city, latitude FROM {addresses})) WHERE latitude IS NULL)")
+def pending_addresses(spark, d):
+    return geocode.pending(v(spark, d, "addresses"))
+
+
+@query("SELECT unique_id, regexp_matches(owner_address, '(?i)\\bTN\\b|\\bTennessee\\b') AS names_state, CASE WHEN owner_address IS NOT NULL THEN owner_address || coalesce(', ' || nullif(owner_name, ''), '') END AS original FROM {sales}")
+def state_and_original(spark, d):
+    return v(spark, d, "sales").select("unique_id", X.mentions_tennessee(F.col("owner_address")).alias("names_state"), X.original_address(F.col("owner_address"), F.col("owner_name")).alias("original"))
+
+
+# --- likeness -----------------------------------------------------------------------------------
+
+LOST = "SELECT p_partkey AS unique_id, p_brand AS parcel_id, CASE WHEN p_partkey % 3 = 0 THEN cast(p_partkey % 20 AS string) || ' ' || replace(p_name, ' ', '') ELSE cast(p_partkey % 20 AS string) || ' ' || p_name END AS property_address FROM {part}"
+SQUEEZE = "regexp_replace({0}, '[0-9 ]+', '', 'g')"
+BARE = "trim(regexp_replace({0}, '[0-9]+', '', 'g'))"
+
+
+@query(
+    f"WITH x AS ({LOST}), y AS (SELECT *, length(property_address) - length(replace(property_address, ' ', '')) AS sp FROM x), "
+    "pairs AS (SELECT a.unique_id, b.unique_id AS donor_key, a.property_address AS old_text, b.property_address AS new_text, row_number() OVER (PARTITION BY a.unique_id ORDER BY b.sp DESC, b.unique_id) AS rn FROM y a JOIN y b ON a.parcel_id = b.parcel_id AND a.unique_id <> b.unique_id WHERE a.sp < b.sp "
+    f"AND levenshtein({BARE.format('a.property_address')}, {BARE.format('b.property_address')}) > 0 AND levenshtein({BARE.format('a.property_address')}, {BARE.format('b.property_address')}) / greatest(length(a.property_address), length(b.property_address)) < 0.5 "
+    f"AND levenshtein({SQUEEZE.format('a.property_address')}, {SQUEEZE.format('b.property_address')}) = 0) SELECT unique_id, donor_key, old_text, new_text FROM pairs WHERE rn = 1"
+)
+def fuzzy_pairs(spark, d):
+    return fuzzy.spaced_siblings(fixtures.read(spark, d, LOST), "parcel_id", "property_address", "unique_id")
+
+
+LETTERS = "SELECT c_custkey, cast(c_custkey AS string) || CASE c_custkey % 4 WHEN 0 THEN ' AB STREET' WHEN 1 THEN ' BCREEK RD' WHEN 2 THEN ' CBELL B ST' ELSE ' AX ' || c_mktsegment END AS a FROM {customer}"
+
+
+@query(f"SELECT c_custkey, regexp_replace(a, '(\\d+ [ABC])(\\w) ', '\\1 \\2 ', 'g') AS letters, regexp_replace(a, '(\\d+ [BC])([BC]\\w+)', '\\1 \\2', 'g') AS initials FROM ({LETTERS})")
+def split_letters(spark, d):
+    return fixtures.read(spark, d, LETTERS).select("c_custkey", fuzzy.split_letters(F.col("a")).alias("letters"), fuzzy.split_initials(F.col("a")).alias("initials"))
+
+
+CREEK = "SELECT unique_id, CASE WHEN unique_id % 6 = 0 THEN '1 FALL CREEK DR, X' ELSE property_address END AS p, owner_address AS o FROM {sales}"
+
+
+@query(f"SELECT unique_id, CASE WHEN p LIKE '%FALL CREEK DR%' AND o IS NOT NULL THEN regexp_replace(o, ',\\s*TN\\s*$', '') ELSE p END AS property_address FROM ({CREEK})")
+def repair_from_owner(spark, d):
+    return fixtures.read(spark, d, CREEK).select("unique_id", fuzzy.street_from_owner(F.col("p"), F.col("o")).alias("property_address"))
+
+
+TWO = "SELECT c_custkey AS unique_id, cast(c_custkey % 90 AS string) || ' ' || CASE c_custkey % 3 WHEN 0 THEN 'ROSE HILL' ELSE 'ROSEHILL' END || ' CT, ' || c_mktsegment AS property_address, cast(c_custkey % 90 AS string) || ' ' || CASE c_custkey % 5 WHEN 0 THEN 'ROSE HILL' WHEN 1 THEN 'OTHER' ELSE 'ROSEHILL' END || ' CT, ' || c_mktsegment || ', TN' AS owner_address FROM {customer}"
+GROUP = "trim(regexp_extract({0}, '(^[A-Z ]+[A-Z0-9 ]+| [A-Z0-9-]+[A-ZA-Z0-9 ]+|^[0-9]{{1,2}}[A-Z ]+),', 1))"
+
+
+@query(
+    f"WITH x AS ({TWO}), g AS (SELECT *, {GROUP.format('property_address')} AS ga, {GROUP.format('owner_address')} AS gb FROM x), y AS (SELECT *, length(ga) <> length(gb) AND levenshtein(ga, gb) / greatest(length(ga), length(gb)) < 0.5 AND levenshtein(ga, gb) > 0 AND replace(ga, ' ', '') = replace(gb, ' ', '') AS alike FROM g) "
+    "SELECT unique_id, CASE WHEN alike AND length(ga) < length(gb) THEN owner_address ELSE property_address END AS property_address, CASE WHEN alike AND length(ga) > length(gb) THEN property_address ELSE owner_address END AS owner_address FROM y".replace("{1,2}", "{{1,2}}")
+)
+def reconcile_addresses(spark, d):
+    return fuzzy.reconcile(fixtures.read(spark, d, TWO))
+
+
+KNOWN = "SELECT c_custkey AS address_id, c_mktsegment || ' ' || n_name AS street_name, CASE WHEN c_custkey % 2 = 0 THEN 'RD' END AS street_suffix FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"
+ASKED = "SELECT DISTINCT cast(s_suppkey % 30 AS string) || ' ' || CASE s_suppkey % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END || ' ' || n_name || ', X' AS address FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+
+
+@query(
+    f"WITH k AS ({KNOWN}), a AS ({ASKED}), p AS (SELECT address, trim(regexp_replace(split_part(address, ',', 1), '[0-9.]+', '', 'g')) AS part FROM a), q AS (SELECT *, trim(regexp_replace(concat_ws(' ', street_name, nullif(street_suffix, '')), '[0-9]+', '', 'g')) AS name FROM k), "
+    "s AS (SELECT p.address, q.address_id, 1 - levenshtein(lower(part), lower(name)) / greatest(length(part), length(name)) AS confidence FROM p JOIN q ON len(list_filter(string_split(lower(part), ' '), lambda w: w <> '' AND NOT contains(lower(street_name), w))) = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY confidence DESC, address_id) AS rn FROM s WHERE confidence >= 0.8) SELECT address, address_id AS matched_address_id, round(confidence, 9) AS confidence FROM r WHERE rn = 1"
+)
+def match_address(spark, d):
+    found = fuzzy.match(fixtures.read(spark, d, ASKED), fixtures.read(spark, d, KNOWN), 0.8)
+    return found.select("address", "matched_address_id", F.round("confidence", 9).alias("confidence"))
+
+
+# --- address dimension --------------------------------------------------------------------------
+
+CANDIDATES = "SELECT address, min(city) AS city FROM (SELECT nullif(upper(trim(split_part(property_address, ',', 1))), '') AS address, nullif(upper(trim(split_part(property_address, ',', 2))), '') AS city FROM {sales} UNION ALL SELECT nullif(upper(trim(split_part(owner_address, ',', 1))), ''), nullif(upper(trim(split_part(owner_address, ',', 2))), '') FROM {sales}) WHERE address IS NOT NULL GROUP BY address"
+
+
+def seeded(spark: SparkSession, d: str) -> DataFrame:
+    """A cache that knows some of the addresses already, with cities of its own."""
+    some = cache.candidates(v(spark, d, "sales")).where(F.col("address").rlike("^[1-3]"))
+    return tables.add_columns(cache.numbered(some.withColumn("city", F.lit("OLD")), ["address"], "address_id", 0), ADDRESS_SCHEMA).select(*[f.name for f in ADDRESS_SCHEMA])
+
+
+UPSERTED = f"WITH c AS ({CANDIDATES}), old AS (SELECT row_number() OVER (ORDER BY address) AS address_id, address, 'OLD' AS city FROM c WHERE regexp_matches(address, '^[1-3]')), fresh AS (SELECT row_number() OVER (ORDER BY address) + (SELECT max(address_id) FROM old) AS address_id, address, city FROM c WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.address = c.address)), every AS (SELECT *, NULL AS address_hash FROM old UNION ALL SELECT *, md5(address) FROM fresh)"
+
+
+@query(f"{UPSERTED} SELECT address_id, address, city, address_hash FROM every")
+def upsert_new_addresses(spark, d):
+    return cache.upsert(seeded(spark, d), v(spark, d, "sales")).select("address_id", "address", "city", "address_hash")
+
+
+@query(
+    f"{UPSERTED}, m AS (SELECT unique_id AS housing_id, address_id, 'property' AS address_type FROM {{sales}} JOIN every ON address = upper(trim(split_part(property_address, ',', 1))) UNION ALL SELECT unique_id, address_id, 'owner' FROM {{sales}} JOIN every ON address = upper(trim(split_part(owner_address, ',', 1)))) SELECT row_number() OVER (ORDER BY housing_id, address_type) AS mapping_id, * FROM m"
+)
+def mapping_rebuild(spark, d):
+    sales = v(spark, d, "sales")
+    return cache.mappings(sales, cache.upsert(seeded(spark, d), sales))
+
+
+@query("SELECT DISTINCT a.address_id FROM {addresses} a JOIN {mappings} m ON a.address_id = m.address_id WHERE m.address_type = 'owner' AND (latitude IS NULL OR longitude IS NULL)")
+def distinct_ids(spark, d):
+    return cache.mapped_ids(v(spark, d, "mappings"), v(spark, d, "addresses"), "owner", pending=True)
+
+
+@query("SELECT doc_id, md5(text) AS hash FROM documents")
+def md5_hash(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("hash"))
+
+
+# --- export and map -----------------------------------------------------------------------------
+
+JOINED = "SELECT s.unique_id, s.property_address, p.latitude AS property_latitude, p.geocode_source AS property_geocode_source, {0} AS owner_latitude, {1} AS owner_geocode_source FROM {sales} s LEFT JOIN {mappings} pm ON pm.housing_id = s.unique_id AND pm.address_type = 'property' LEFT JOIN {addresses} p ON p.address_id = pm.address_id LEFT JOIN {mappings} om ON om.housing_id = s.unique_id AND om.address_type = 'owner' LEFT JOIN {addresses} o ON o.address_id = om.address_id"
+PICKED = ["unique_id", "property_address", "property_latitude", "property_geocode_source", "owner_latitude", "owner_geocode_source"]
+
+
+def exported(spark: SparkSession, d: str) -> DataFrame:
+    return marts.export_rows(v(spark, d, "sales"), v(spark, d, "mappings"), v(spark, d, "addresses"), ["unique_id", "property_address", "sold_as_vacant", "acreage"])
+
+
+@query(JOINED.replace("{0}", "o.latitude").replace("{1}", "o.geocode_source"))
+def export_join(spark, d):
+    return exported(spark, d).select(*PICKED)
+
+
+@query(JOINED.replace("{0}", "CAST(NULL AS double)").replace("{1}", "CAST(NULL AS string)"))
+def export_public(spark, d):
+    return tables.redacted(exported(spark, d), OWNER_COLUMNS).select(*PICKED)
+
+
+@query("SELECT cast(unique_id AS string) AS unique_id, coalesce(property_address, '') AS property_address, CASE WHEN sold_as_vacant THEN 't' ELSE 'f' END AS sold_as_vacant, coalesce(cast(acreage AS string), '') AS acreage FROM {sales}")
+def csv_cells(spark, d):
+    return tables.rendered(v(spark, d, "sales").select("unique_id", "property_address", "sold_as_vacant", "acreage"))
+
+
+@query("SELECT unique_id, coalesce(property_address, '') AS property_address FROM {sales}")
+def csv_round_trip(spark, d):
+    from plotwright.storage import settle
+
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    settle(spark.range(1))
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(v(spark, d, "sales").select("unique_id", "property_address").orderBy("unique_id"), path)
+    from plotwright.schemas import fields
+
+    read = tables.read_csv(spark, path, fields("unique_id long, property_address string"))
+    return read.select("unique_id", F.coalesce("property_address", F.lit("")).alias("property_address"))
+
+
+@query("SELECT unique_id, address_id, sale_price, latitude FROM (SELECT s.unique_id, a.address_id, s.sale_price, a.latitude, row_number() OVER (PARTITION BY s.unique_id ORDER BY s.sale_price DESC, a.address_id) AS rn FROM {sales} s JOIN {mappings} m ON m.housing_id = s.unique_id JOIN {addresses} a ON a.address_id = m.address_id WHERE m.address_type = 'property' AND latitude IS NOT NULL AND longitude IS NOT NULL AND sale_price IS NOT NULL) WHERE rn = 1 ORDER BY unique_id LIMIT 60000")
+def map_rows(spark, d):
+    return marts.map_rows(v(spark, d, "sales"), v(spark, d, "mappings"), v(spark, d, "addresses")).select("unique_id", "address_id", "sale_price", "latitude")
+
+
+@query("SELECT round(avg(latitude), 6) AS center_lat, round(avg(longitude), 6) AS center_lng, min(sale_price) AS price_min, max(sale_price) AS price_max, round(avg(sale_price), 4) AS price_avg, count(*) AS n FROM {sales} s JOIN {mappings} m ON m.housing_id = s.unique_id AND m.address_type = 'property' JOIN {addresses} a ON a.address_id = m.address_id WHERE latitude IS NOT NULL AND sale_price IS NOT NULL")
+def map_summary(spark, d):
+    one = marts.map_summary(marts.map_rows(v(spark, d, "sales"), v(spark, d, "mappings"), v(spark, d, "addresses"), limit=2**31 - 1))
+    return one.select(F.round("center_lat", 6).alias("center_lat"), F.round("center_lng", 6).alias("center_lng"), "price_min", "price_max", F.round("price_avg", 4).alias("price_avg"), "n")
+
+
+@query("SELECT unique_id, coalesce(NULL, property_address) AS display_address, CASE WHEN sale_date IS NULL THEN 'Unknown' ELSE strftime(sale_date, '%b %d, %Y') END AS sold, coalesce(cast(cast(bedrooms AS int) AS string), 'N/A') AS bedrooms, CASE WHEN rooms > 0 THEN cast(rooms AS string) ELSE 'N/A' END AS bathrooms, coalesce(cast(cast(year_built AS int) AS string), 'N/A') AS year_built, coalesce(format('{:.2f}', acreage), 'N/A') AS acreage, coalesce('$' || format('{:,}', cast(land_value AS bigint)), 'N/A') AS total_value FROM (SELECT *, coalesce(full_bath, 0) + coalesce(half_bath, 0) * 0.5 AS rooms FROM {sales})")
+def map_popups(spark, d):
+    return marts.popups(v(spark, d, "sales").withColumns({"address_standardized": F.lit(None).cast("string"), "total_value": F.col("land_value")})).drop("price")
+
+
+NICE = "CASE WHEN {0} <= 0 THEN 0.0 ELSE round_even({0} / pow(10, floor(log10({0})) - 1), 0) * pow(10, floor(log10({0})) - 1) END"
+
+
+def buckets_sql(key: str, price: str, table: str) -> str:
+    q = [f"quantile_cont({price}, {p})" for p in (0.25, 0.5, 0.75)]
+    return f"WITH q AS (SELECT {q[0]} AS a, {q[1]} AS b, {q[2]} AS c FROM {table}), n AS (SELECT *, {NICE.format('a')} AS na, {NICE.format('b')} AS nb, {NICE.format('c')} AS nc FROM q), w AS (SELECT CASE WHEN na = nb OR nb = nc THEN [a, b, c] ELSE [na, nb, nc] END AS breaks FROM n) SELECT {key}, cast(len(list_filter(breaks, lambda x: x <= {price})) AS bigint) AS price_bucket FROM {table}, w"
+
+
+@query(buckets_sql("p_partkey", "p_retailprice", "part"))
+def price_buckets(spark, d):
+    return marts.bucketed(t(spark, d, "part"), "p_retailprice").select("p_partkey", L("price_bucket"))
+
+
+@query(buckets_sql("p_partkey", "near", "(SELECT p_partkey, 1000 + (p_retailprice - 900) / 10 AS near FROM part)"))
+def price_buckets_fallback(spark, d):
+    near = t(spark, d, "part").select("p_partkey", (1000 + (F.col("p_retailprice") - 900) / 10).alias("near"))
+    return marts.bucketed(near, "near").select("p_partkey", L("price_bucket"))
+
+
+@query("SELECT round(latitude, 1) AS cell_lat, round(longitude, 1) AS cell_lng, count(*) AS n, median(sale_price) AS median_price, cast(len(list_filter([100000, 200000, 300000], lambda x: x <= median(sale_price))) AS bigint) AS price_bucket FROM (SELECT floor(latitude * 2) / 2 AS latitude, floor(longitude * 2) / 2 AS longitude, sale_price FROM {sales} s JOIN {mappings} m ON m.housing_id = s.unique_id AND m.address_type = 'property' JOIN {addresses} a ON a.address_id = m.address_id WHERE latitude IS NOT NULL AND sale_price IS NOT NULL) GROUP BY 1, 2")
+def median_by_group(spark, d):
+    rows = marts.map_rows(v(spark, d, "sales"), v(spark, d, "mappings"), v(spark, d, "addresses"), limit=2**31 - 1)
+    half = rows.withColumns({c: F.floor(F.col(c) * 2) / 2 for c in ("latitude", "longitude")})
+    return marts.clusters(half, F.array(*[F.lit(x) for x in (100000.0, 200000.0, 300000.0)]), 1).withColumn("price_bucket", F.col("price_bucket").cast("long"))
+
+
+# --- states, counts, top rows -------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS total_addresses, count_if(latitude IS NOT NULL AND longitude IS NOT NULL) AS geocoded_count, count_if(latitude IS NULL OR longitude IS NULL) AS not_geocoded_count, count_if(geocode_source = 'OSM') AS osm_count, count_if(geocode_source = 'HERE') AS here_count, cast(cast(count_if(latitude IS NOT NULL AND longitude IS NOT NULL) * 100.0 / nullif(count(*), 0) AS decimal(5, 2)) AS double) AS geocoded_percentage FROM {addresses}")
+def status_summary(spark, d):
+    return marts.status(v(spark, d, "addresses")).withColumn("geocoded_percentage", F.col("geocoded_percentage").cast("double"))
+
+
+@query("SELECT total, geocoded, failed, corrected, pending, round(mean, 9) AS mean_confidence, format('{} ({:.1f}%)', geocoded, 100.0 * geocoded / total) AS geocoded_label FROM (SELECT count(*) AS total, count_if(geocode_status = 'GEOCODED') AS geocoded, count_if(geocode_status = 'FAILED') AS failed, count_if(geocode_status = 'MANUALLY_CORRECTED') AS corrected, count_if(geocode_status IS NULL) AS pending, avg(geocode_confidence) AS mean FROM {addresses})")
+def dashboard_stats(spark, d):
+    return marts.dashboard(v(spark, d, "addresses")).select("total", "geocoded", "failed", "corrected", "pending", F.round("mean_confidence", 9).alias("mean_confidence"), "geocoded_label")
+
+
+@query("SELECT geocode_source, geocode_status, count(*) AS n FROM {addresses} GROUP BY 1, 2")
+def group_counts(spark, d):
+    return marts.by_source(v(spark, d, "addresses"))
+
+
+@query("SELECT address_id FROM {addresses} ORDER BY geocoded_at DESC NULLS LAST, address_id LIMIT 100")
+def topk_recent(spark, d):
+    return geocode.listed(v(spark, d, "addresses"), limit=100).select("address_id")
+
+
+@query("SELECT address_id FROM {addresses} WHERE geocode_status = 'FAILED' ORDER BY geocoded_at DESC NULLS FIRST, address_id LIMIT 100")
+def topk_recent_nulls_first(spark, d):
+    return geocode.recent_results(v(spark, d, "addresses"), "FAILED").select("address_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE 34 + c_acctbal / 3000 BETWEEN 35.0 AND 36.7 AND -88 + c_custkey % 300 / 100 BETWEEN -87.6 AND -85.7")
+def bbox_filter(spark, d):
+    return t(spark, d, "customer").where(V.in_bounds(34 + F.col("c_acctbal") / 3000, -88 + (F.col("c_custkey") % 300) / 100)).select("c_custkey")
+
+
+@query("SELECT address_id, coalesce(geocode_status = 'FAILED', false) OR latitude IS NULL OR longitude IS NULL AS attention, 'SRID=4326;POINT(' || cast(longitude AS string) || ' ' || cast(latitude AS string) || ')' IS NOT NULL AS placed FROM {addresses}")
+def attention_and_points(spark, d):
+    lat, lng = F.col("latitude"), F.col("longitude")
+    return v(spark, d, "addresses").select("address_id", V.needs_attention(F.col("geocode_status"), lat, lng).alias("attention"), V.ewkt(V.point(lat, lng)).isNotNull().alias("placed"))
+
+
+@query("SELECT unique_id, property_address AS address1, 'placeholder_address' AS issue_type FROM {sales} WHERE regexp_matches(property_address, '^0( |$)') AND unique_id % 2 = 1")
+def placeholder_issues(spark, d):
+    sales = v(spark, d, "sales")
+    listed = sales.where("unique_id % 2 = 0").select("unique_id", F.lit(None).cast("string").alias("address1"), F.lit(None).cast("string").alias("address2"), F.lit(quality.ISSUE).alias("issue_type"))
+    return quality.placeholder_issues(sales, listed).select("unique_id", "address1", "issue_type")
+
+
+@query("SELECT (SELECT count(*) FROM {sales}) AS sales, (SELECT count(*) FROM (SELECT 1 FROM {sales} GROUP BY parcel_id, property_address HAVING count(*) > 1)) AS duplicate_groups, (SELECT count(*) FROM {sales} WHERE regexp_matches(property_address, '^0( |$)')) AS issues")
+def issue_overview(spark, d):
+    sales = v(spark, d, "sales")
+    return quality.overview(sales, quality.placeholder_issues(sales, spark.createDataFrame([], ISSUES)), ["parcel_id", "property_address"])
+
+
+@query("SELECT event_type AS issue_type, count(*) AS n FROM events GROUP BY 1")
+def issues_by_type(spark, d):
+    return quality.by_type(t(spark, d, "events").select(F.col("event_type").alias("issue_type")))
+
+
+@query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def set_difference(spark, d):
+    return t(spark, d, "orders").select("o_custkey").subtract(t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
+
+
+# --- profiles -----------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (SELECT 'property_address' AS column_name, count_if(property_address IS NULL) AS missing, round(100.0 * count_if(property_address IS NULL) / count(*), 6) AS missing_pct, count(DISTINCT property_address) AS unique_values, count_if(property_address = '') AS empty_strings, count_if(NOT regexp_matches(property_address, '\\d')) AS no_house_number FROM {sales} UNION ALL SELECT 'owner_name', count_if(owner_name IS NULL), round(100.0 * count_if(owner_name IS NULL) / count(*), 6), count(DISTINCT owner_name), count_if(owner_name = ''), NULL FROM {sales})")
+def profile_text(spark, d):
+    return profile.columns(v(spark, d, "sales").select("property_address", "owner_name")).select("column_name", "missing", F.round("missing_pct", 6).alias("missing_pct"), "unique_values", "empty_strings", "no_house_number")
+
+
+@query("SELECT 'l_quantity' AS column_name, count_if(l_quantity IS NULL) AS missing, count(DISTINCT l_quantity) AS unique_values, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 4) AS mean, count_if(l_quantity = 0) AS zeros, count_if(l_quantity < 0) AS negatives FROM lineitem UNION ALL SELECT 'l_discount', count_if(l_discount IS NULL), count(DISTINCT l_discount), min(l_discount), max(l_discount), round(avg(l_discount), 4), count_if(l_discount = 0), count_if(l_discount < 0) FROM lineitem")
+def profile_numeric(spark, d):
+    return profile.columns(t(spark, d, "lineitem").select("l_quantity", "l_discount")).select("column_name", "missing", "unique_values", "min", "max", F.round("mean", 4).alias("mean"), "zeros", "negatives")
+
+
+@query("SELECT round((count_if(property_address IS NULL) + count_if(owner_name IS NULL) + count_if(acreage IS NULL)) * 100.0 / count(*) / 3, 6) AS mean_missing_pct FROM {sales}")
+def completeness(spark, d):
+    return profile.completeness(v(spark, d, "sales").select("property_address", "owner_name", "acreage")).select(F.round("mean_missing_pct", 6).alias("mean_missing_pct"))
+
+
+@query("SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, round(quantile_cont(o_totalprice, 0.95), 4) AS q95, max(o_totalprice) AS max, count_if(o_totalprice IS NULL) AS missing FROM orders")
+def numeric_summary(spark, d):
+    out = profile.numeric_summary(t(spark, d, "orders"), ["o_totalprice"])
+    return out.select("column_name", "count", *[F.round(c, 4).alias(c) if c not in ("min", "max") else F.col(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "q95", "max")], "missing")
+
+
+@query("WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, value FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
+def iqr_outliers(spark, d):
+    return profile.outliers(t(spark, d, "events"), "value").select("event_id", "value")
+
+
+@query("SELECT coalesce(bedrooms_text, '(missing)') AS value, count(*) AS n FROM (SELECT CASE WHEN unique_id % 8 = 0 THEN NULL ELSE cast(unique_id % 37 AS string) END AS bedrooms_text FROM {sales}) GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def value_counts_top20(spark, d):
+    return profile.value_counts(v(spark, d, "sales").select(F.when(F.col("unique_id") % 8 != 0, F.col("unique_id") % 37).alias("x")), "x")
+
+
+@query("SELECT cast(floor(length(property_address) / 5) + 1 AS bigint) AS bin, count(*) AS n FROM {sales} WHERE property_address IS NOT NULL GROUP BY 1")
+def length_histogram(spark, d):
+    return profile.histogram(v(spark, d, "sales"), F.length("property_address"), 0, 100, 20)
+
+
+@query("SELECT a, b, round(corr, 9) AS corr FROM (SELECT 'acreage' AS a, 'land_value' AS b, corr(x, y) AS corr FROM (SELECT cast(acreage IS NULL AS int) AS x, cast(land_value IS NULL AS int) AS y FROM {sales}) UNION ALL SELECT 'acreage', 'bedrooms', corr(x, y) FROM (SELECT cast(acreage IS NULL AS int) AS x, cast(bedrooms IS NULL AS int) AS y FROM {sales}) UNION ALL SELECT 'land_value', 'bedrooms', corr(x, y) FROM (SELECT cast(land_value IS NULL AS int) AS x, cast(bedrooms IS NULL AS int) AS y FROM {sales}))")
+def missing_corr(spark, d):
+    return profile.missing_correlation(v(spark, d, "sales").select("acreage", "land_value", "bedrooms", "land_use")).where("a != b").select("a", "b", F.round("corr", 9).alias("corr"))
+
+
+@query("SELECT 'acreage,land_value' AS columns, count_if(acreage IS NULL AND land_value IS NULL) AS rows_missing_all, round_even(100.0 * count_if(acreage IS NULL AND land_value IS NULL) / count(*), 1) AS pct FROM {sales} UNION ALL SELECT 'bedrooms,full_bath', count_if(bedrooms IS NULL AND full_bath IS NULL), round_even(100.0 * count_if(bedrooms IS NULL AND full_bath IS NULL) / count(*), 1) FROM {sales}")
+def missing_blocks(spark, d):
+    out = profile.missing_blocks(v(spark, d, "sales").select("acreage", "land_value", "bedrooms", "full_bath", "half_bath", "land_use"))
+    return out.select(F.array_join("columns", ",").alias("columns"), "rows_missing_all", "pct")
+
+
+@query("SELECT round(100.0 * count_if(regexp_matches(property_address, '\\d')) / count(property_address), 6) AS with_digit_pct, round(100.0 * count_if(contains(property_address, ',')) / count(property_address), 6) AS with_city_pct, count_if(regexp_matches(property_address, '^0( |$)')) AS placeholders, round(100.0 * count_if(property_address IS NULL) / count(*), 6) AS missing_pct FROM {sales}")
+def address_quality(spark, d):
+    out = profile.address_quality(v(spark, d, "sales"), "property_address")
+    return out.select(F.round("with_digit_pct", 6).alias("with_digit_pct"), F.round("with_city_pct", 6).alias("with_city_pct"), "placeholders", F.round("missing_pct", 6).alias("missing_pct"))
+
+
+@query("SELECT unique_id FROM {sales} WHERE property_address IS NOT NULL AND trim(property_address) <> '' AND length(property_address) < 22 ORDER BY unique_id LIMIT 10")
+def short_address_sample(spark, d):
+    return profile.short_addresses(v(spark, d, "sales"), "property_address", 22)["short"].select("unique_id")
+
+
+# --- geocoding, corrections, quota --------------------------------------------------------------
+
+NOW = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+
+
+def full_cache(spark: SparkSession, d: str) -> DataFrame:
+    return tables.add_columns(v(spark, d, "addresses").withColumn("geocoded_at", F.col("geocoded_at").cast("timestamp_ntz")), ADDRESS_SCHEMA).select(*[f.name for f in ADDRESS_SCHEMA])
+
+
+@query("SELECT address_id, CASE WHEN address_id % 10 <> 0 THEN latitude WHEN address_id % 20 = 0 THEN 36.1 END AS latitude, CASE WHEN address_id % 10 <> 0 THEN geocode_status WHEN address_id % 20 = 0 THEN 'GEOCODED' ELSE 'FAILED' END AS geocode_status, cast(CASE WHEN address_id % 10 = 0 THEN coalesce(cast(geocoded_at AS timestamp), TIMESTAMP '2024-06-01 12:00:00') ELSE geocoded_at END AS string)[:10] AS geocoded_on FROM {addresses}")
+def store_results(spark, d):
+    known = full_cache(spark, d)
+    ok = F.col("address_id") % 20 == 0
+    results = known.where("address_id % 10 = 0").select("address_id", ok.alias("success"), F.when(ok, 36.1).alias("latitude"), F.when(ok, -86.7).alias("longitude"), F.col("address").alias("corrected_address"), F.lit(0.5).alias("confidence"), F.lit("OSM").alias("source"))
+    return geocode.store(known, results, NOW).select("address_id", "latitude", "geocode_status", F.date_format("geocoded_at", "yyyy-MM-dd").alias("geocoded_on"))
+
+
+@query("SELECT address_id, 'corrected_address' AS field_changed, corrected_address AS original_value FROM {addresses} WHERE address_id % 3 = 0 AND corrected_address IS DISTINCT FROM CASE WHEN address_id % 6 = 0 THEN corrected_address ELSE 'NEW' END UNION ALL SELECT address_id, 'coordinates', '(' || coalesce(cast(latitude AS string), 'None') || ', ' || coalesce(cast(longitude AS string), 'None') || ')' FROM {addresses} WHERE address_id % 3 = 0 AND address_id % 4 = 0 AND (latitude IS DISTINCT FROM 36.0 OR longitude IS DISTINCT FROM -86.0)")
+def correction_log(spark, d):
+    known = full_cache(spark, d).withColumns({c: F.round(c, 2) for c in ("latitude", "longitude")})
+    fixes = known.where("address_id % 3 = 0").select("address_id", F.when(F.col("address_id") % 6 == 0, F.col("corrected_address")).otherwise("NEW").alias("corrected_address"), F.when(F.col("address_id") % 4 == 0, 36.0).alias("latitude"), F.when(F.col("address_id") % 4 == 0, -86.0).alias("longitude"), F.lit("me").alias("changed_by"), F.lit("why").alias("reason"))
+    return geocode.correct(known, fixes, spark.createDataFrame([], CORRECTION_LOG), NOW)[1].select("address_id", "field_changed", "original_value")
+
+
+ORACLES["correction_log"] = ORACLES["correction_log"].replace("cast(latitude AS string)", "cast(round(latitude, 2) AS string)").replace("cast(longitude AS string)", "cast(round(longitude, 2) AS string)")
+
+WINDOWS = "WITH RECURSIVE w(event_type, started) AS (SELECT event_type, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.event_type, (SELECT min(ts) FROM events e WHERE e.event_type = w.event_type AND e.ts >= w.started + INTERVAL 24 HOURS) FROM w WHERE w.started IS NOT NULL) SELECT w.event_type, cast(epoch_us(w.started) AS bigint) AS started_us, count(*) AS request_count FROM w JOIN events e ON e.event_type = w.event_type AND e.ts >= w.started AND e.ts < w.started + INTERVAL 24 HOURS WHERE w.started IS NOT NULL GROUP BY 1, 2"
+
+
+@query(WINDOWS)
+def quota_windows(spark, d):
+    out = quota.windows(t(spark, d, "events"), "event_type", "ts")
+    return out.select("event_type", F.unix_micros(F.col("window_started_at").cast("timestamp")).alias("started_us"), "request_count")
+
+
+@query(WINDOWS)
+def quota_windows_stream(spark, d):
+    """The same windows from a stream read to its end; the last update of each counts."""
+    from plotwright.storage import settle
+
+    events = t(spark, d, "events")
+    name = f"quota_{uuid.uuid4().hex}"
+    settle(spark.range(1))
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    source = f"{base}/{name}-in"
+    events.select("event_type", "ts").orderBy("ts").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("event_type string, ts timestamp_ntz").parquet(source)
+    run = stream_quota.stream_windows(stream, "event_type", "ts").writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("append").parquet(f"{base}/{name}-out")).option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).start()
+    run.awaitTermination(600)
+    out = spark.read.parquet(f"{base}/{name}-out")
+    return out.groupBy(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us")).agg(F.max("request_count").alias("request_count"))
+
+
+@query("SELECT event_type AS api_name, cast(cast(ts AS date) AS string) AS request_date, count(*) AS request_count FROM events GROUP BY 1, 2")
+def daily_usage(spark, d):
+    return quota.daily(t(spark, d, "events"), "event_type", "ts").withColumn("request_date", F.col("request_date").cast("string"))
+
+
+@query("SELECT event_type AS api_name, cast(cast(ts AS date) AS string) AS request_date, 2 * count(*) AS request_count FROM events GROUP BY 1, 2")
+def usage_upsert(spark, d):
+    day = quota.daily(t(spark, d, "events"), "event_type", "ts").withColumn("window_started_at", F.lit(None).cast("timestamp_ntz"))
+    return quota.add_usage(day, day).select("api_name", S("request_date"), "request_count")
+
+
+@query("SELECT api_name, cast(request_date AS string) AS request_date, request_count FROM (SELECT event_type AS api_name, cast(ts AS date) AS request_date, count(*) AS request_count FROM events GROUP BY 1, 2) WHERE request_date < DATE '2024-01-20' ORDER BY request_date DESC, api_name LIMIT 30")
+def recent_usage(spark, d):
+    return quota.recent_days(quota.daily(t(spark, d, "events"), "event_type", "ts"), datetime.date(2024, 1, 20)).withColumn("request_date", F.col("request_date").cast("string"))
+
+
+@query("SELECT event_id, value IS NULL OR ts >= TIMESTAMP '2024-01-02 00:00:00' OR value < 20 AS allowed FROM events")
+def quota_allowed(spark, d):
+    started = F.when(F.col("value").isNotNull(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return t(spark, d, "events").select("event_id", quota.allowed(F.col("value"), started, F.col("ts"), 20).alias("allowed"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, d):
+    return stream_quota.tumbling(t(spark, d, "events"), "event_type", "ts").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+
+
+@query("SELECT user_id, avg(k) AS mean_k FROM (SELECT user_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events) GROUP BY 1")
+def json_fields(spark, d):
+    return t(spark, d, "events").groupBy("user_id").agg(F.avg(F.from_json("props", "k bigint")["k"]).alias("mean_k"))
+
+
+# --- whole sequence -----------------------------------------------------------------------------
+
+
+@query()
+def cleaning_pipeline(spark, d):
+    """Raw text rows through the whole cleaning sequence (no SQL: held against cases in the tests)."""
+    return clean(fixtures.read(spark, d, fixtures.RAW))
