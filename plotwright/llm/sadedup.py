@@ -9,8 +9,10 @@ windows are dealt by that key, and only windows with equal keys need meet:
 2. keys met once cannot repeat anything and are dropped; equal strings are counted, so a
    passage that a third of all texts share is one string from here on;
 3. the different strings of a key are sorted by suffixes (two-stage) and neighbours'
-   common prefixes show the windows that repeat. Keys whose strings would need more than
-   ``most_cost`` (bytes of suffixes) are dealt anew, window by window, by digest;
+   common prefixes show the windows that repeat. The different strings of keys that would
+   need more than ``most_cost`` (bytes of suffixes) go through these steps as texts of
+   their own, with a longer gram, so that fewer windows share a key; with the longest, a
+   key is a window, and equal strings are counted as ever;
 4. the repeated windows go back to all places of their strings, and bytes are removed.
 
 Texts are read, not shuffled, in step 1; later only texts with candidates move.
@@ -21,9 +23,8 @@ different places. Lengths are bytes of UTF-8.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,16 @@ MOST_WINDOWS = 1_024
 @dataclass(frozen=True)
 class Params:
     least: int = 400
-    gram: int = 128
-    most_cost: int = 200_000_000
-    batch_cost: int = 120_000_000
+    grams: tuple[int, ...] = (128, 320, 392, 400)
+    most_cost: int = 120_000_000
+    batch_cost: int = 60_000_000
+
+    @property
+    def gram(self) -> int:
+        return min(self.grams[0], self.least)
+
+    def finer(self) -> Params:
+        return replace(self, grams=self.grams[1:] or (self.least,))
 
 
 def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -162,21 +170,6 @@ def spans_by_sorting(strings: DataFrame, parts: int, params: Params) -> DataFram
     return strings.select("key", "digest", "string").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, low long, high long")
 
 
-def spans_by_window(strings: DataFrame, params: Params) -> DataFrame:
-    """The same for keys with very many different strings: each window is dealt by its own digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, d, s in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("string"), strict=True):
-                s = s.as_py()
-                n = len(s) - params.least + 1
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([hashlib.blake2b(s[j : j + params.least], digest_size=16).digest() for j in range(n)], pa.binary())], names=["key", "digest", "at", "window"])
-
-    windows = cut(strings.select("key", "digest", "string").mapInArrow(run, "key long, digest long, at long, window binary"))
-    many = windows.groupBy("window").count().where("count > 1").select("window")
-    return windows.join(many, "window", "left_semi").select("key", "digest", F.col("at").alias("low"), F.col("at").alias("high"))
-
-
 def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
     """Maximal runs (begin, end) of bytes covered by windows that start at low..high."""
     out: list[list[int]] = []
@@ -197,14 +190,16 @@ def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     distinct = places.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "place")).alias("one"), F.max("n").alias("n"), F.max("twice").alias("twice"))
     width = F.col("n").cast("long") + (params.least - 1)
     of_key = distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum(F.col("n") * width).alias("cost"))
-    known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.col("cost") > params.most_cost).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
+    known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.lit(params.gram < params.least) & (F.col("cost") > params.most_cost)).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
     wanted = known.where("sort")
     strings = strings_of(docs, wanted.select("key", "digest", "hot", "id", "th", "place", "n"), params)
     size, hot = wanted.agg(F.sum("width"), F.max("hot")).first()
     parts = max(spark.sparkContext.defaultParallelism, int((size or 0) // 8_000_000) + 1)
     found = spans_by_sorting(strings.where("not hot"), parts, params)
-    if hot:
-        found = found.unionByName(spans_by_window(strings.where("hot"), params))
+    if hot and params.gram < params.least:
+        texts = cut(strings.where("hot").select(F.col("key").alias("id"), F.col("digest").alias("th"), F.col("string").alias("data")))
+        again = spans(texts, params.finer()).select(F.col("id").alias("key"), F.col("th").alias("digest"), F.inline("spans"))
+        found = found.unionByName(again)
     copied = known.where("c > 1").select("key", "digest", F.lit(0).cast("long").alias("low"), (F.col("n") - 1).cast("long").alias("high"))
     lone = found.join(known.where("c > 1").select("key", "digest"), ["key", "digest"], "left_anti")
     at = lone.unionByName(copied).groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("found"))
