@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plotwright.llm.common import codepoints, splitmix, text_pieces
+from plotwright.llm.common import codepoints, lean, splitmix, text_pieces
 
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -420,6 +420,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, n_bytes): each whole text encoded, and its ids decoded again, in one pass without a shuffle."""
+    lean(df.sparkSession)
     picked = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

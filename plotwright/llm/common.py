@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -13,8 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that Python gets at once; Spark's default is sixteen times as much, for each of an executor's tasks.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``: texts come by the megabyte, and executors' memory is shared with the JVM. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(name, "0")) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; read by Spark, so any store it knows will do."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that a lost executor costs no earlier stage; Spark's cleaner removes it."""
     checkpoint_dir(df.sparkSession)
+    lean(df.sparkSession)
     return df.checkpoint()
 
 

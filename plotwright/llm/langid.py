@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import codepoints, splitmix, text_pieces
+from plotwright.llm.common import codepoints, lean, splitmix, text_pieces
 
 UNDETERMINED = "und"
 
@@ -73,7 +73,7 @@ def letter_table() -> np.ndarray:
 
 @functools.cache
 def letter_mask() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def grams(text: str, params: Params) -> tuple[np.ndarray, np.ndarray] | None:
@@ -150,6 +150,7 @@ def train(rows: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.ndarray,
 
 def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Trains on ``labelled``. Rows whose text or language is null, or whose text has no letter, teach nothing."""
+    lean(labelled.sparkSession)
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(params.seed)).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +204,7 @@ def predict_text(model: Model | None, text: str | None) -> tuple[str, float]:
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None), then lang_pred and score, for every row of ``df``."""
+    lean(df.sparkSession)
     kept = df.select(*(keep or [df[c] for c in df.columns]))
     names = kept.columns
     picked = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep or [df[c] for c in df.columns])], df[text_col].alias("text_in"))

@@ -61,7 +61,7 @@ class Params:
 
 @functools.cache
 def word_table() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(sys.maxunicode + 1)])
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
