@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import tempfile
 from collections.abc import Iterator
 
@@ -21,8 +20,7 @@ BATCH_BYTES = 4 << 20
 def lean(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to ``BATCH_BYTES``: texts come by the megabyte, and executors' memory is shared with the JVM. A smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(name, "0")) or 0)
-    if not 0 < now <= BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
