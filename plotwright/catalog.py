@@ -535,7 +535,8 @@ def short_address_sample(spark, d):
 
 # --- geocoding, corrections, quota --------------------------------------------------------------
 
-NOW = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+def now():
+    return F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
 
 
 def full_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -547,14 +548,14 @@ def store_results(spark, d):
     known = full_cache(spark, d)
     ok = F.col("address_id") % 20 == 0
     results = known.where("address_id % 10 = 0").select("address_id", ok.alias("success"), F.when(ok, 36.1).alias("latitude"), F.when(ok, -86.7).alias("longitude"), F.col("address").alias("corrected_address"), F.lit(0.5).alias("confidence"), F.lit("OSM").alias("source"))
-    return geocode.store(known, results, NOW).select("address_id", "latitude", "geocode_status", F.date_format("geocoded_at", "yyyy-MM-dd").alias("geocoded_on"))
+    return geocode.store(known, results, now()).select("address_id", "latitude", "geocode_status", F.date_format("geocoded_at", "yyyy-MM-dd").alias("geocoded_on"))
 
 
 @query("SELECT address_id, 'corrected_address' AS field_changed, corrected_address AS original_value FROM {addresses} WHERE address_id % 3 = 0 AND corrected_address IS DISTINCT FROM CASE WHEN address_id % 6 = 0 THEN corrected_address ELSE 'NEW' END UNION ALL SELECT address_id, 'coordinates', '(' || coalesce(cast(latitude AS string), 'None') || ', ' || coalesce(cast(longitude AS string), 'None') || ')' FROM {addresses} WHERE address_id % 3 = 0 AND address_id % 4 = 0 AND (latitude IS DISTINCT FROM 36.0 OR longitude IS DISTINCT FROM -86.0)")
 def correction_log(spark, d):
     known = full_cache(spark, d).withColumns({c: F.round(c, 2) for c in ("latitude", "longitude")})
     fixes = known.where("address_id % 3 = 0").select("address_id", F.when(F.col("address_id") % 6 == 0, F.col("corrected_address")).otherwise("NEW").alias("corrected_address"), F.when(F.col("address_id") % 4 == 0, 36.0).alias("latitude"), F.when(F.col("address_id") % 4 == 0, -86.0).alias("longitude"), F.lit("me").alias("changed_by"), F.lit("why").alias("reason"))
-    return geocode.correct(known, fixes, spark.createDataFrame([], CORRECTION_LOG), NOW)[1].select("address_id", "field_changed", "original_value")
+    return geocode.correct(known, fixes, spark.createDataFrame([], CORRECTION_LOG), now())[1].select("address_id", "field_changed", "original_value")
 
 
 ORACLES["correction_log"] = ORACLES["correction_log"].replace("cast(latitude AS string)", "cast(round(latitude, 2) AS string)").replace("cast(longitude AS string)", "cast(round(longitude, 2) AS string)")
