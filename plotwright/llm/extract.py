@@ -50,8 +50,8 @@ TAG_AT = {t: k for k, some in enumerate(TAGS) for t in some}
 HINT_AT = {w: k for k, words in enumerate(HINTS.values()) for w in words}
 LENGTHS = [1, 15, 40, 80, 160, 400]
 N_TAGS, N_HINTS = len(TAGS), len(HINTS)
-#: bias, tag, hints, own length, share of links by bucket, copyright sign, tag and links together
-FEATURES = 1 + N_TAGS + N_HINTS + len(LENGTHS) + 1 + 4 + 1
+#: bias, tag, hints, own length, share of links by bucket, an article or main that no name says otherwise of, copyright sign
+FEATURES = 1 + N_TAGS + N_HINTS + len(LENGTHS) + 1 + 4 + 1 + 1
 KINDS = 3
 
 
@@ -79,6 +79,8 @@ def describe(tree: Tree) -> tuple[list[list[int]], list[int]]:
         share = linked[k] / below[k] if below[k] else 0.0
         if below[k]:
             some.append(1 + N_TAGS + N_HINTS + len(LENGTHS) + 1 + (0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3))
+        if tag in ("article", "main") and not hints - {HINT_AT["content"]}:
+            some.append(FEATURES - 2)
         if k in rights:
             some.append(FEATURES - 1)
         out.append(some)
@@ -145,7 +147,7 @@ def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
 
 
 @functools.cache
-def trained(pages: int = 400, seed: int = 11, rounds: int = 120, rate: float = 0.08, decay: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def trained(pages: int = 500, seed: int = 11, rounds: int = 200, rate: float = 0.1, decay: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """(unary weights, pair potentials) of greatest likelihood for the labelled pages, by gradient ascent with moments."""
     trees = [parse(p) for p in labelled_pages(pages, seed)]
     f = forest(trees)

@@ -98,7 +98,9 @@ class Page:
 
     def article(self) -> str:
         inner = f'<h1 data-y="1">{self.words(2, 10)}</h1>' if self.r.random() < 0.8 else ""
-        for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 12])):
+        if self.r.random() < 0.12:
+            inner += self.r.choice([f'<p data-y="1">{self.words(1, 4)}</p>', self.words(1, 5)])
+        for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 12]) if not inner or self.r.random() < 0.9 else 0):
             inner += self.block()
             if self.r.random() < 0.06:
                 inner += self.aside()
@@ -134,6 +136,8 @@ class Page:
         inner = "".join(parts)
         if self.r.random() < 0.2:
             inner = f'<div class="{self.r.choice(["wrapper", "container", "page", "layout"])}" data-y="1">{inner}</div>'
+        if self.r.random() < 0.15:
+            return inner
         return f'<!DOCTYPE html><html data-y="1"><head data-y="0"><title>{self.words(1, 5)}</title></head><body data-y="1">{inner}</body></html>'
 
 
