@@ -52,11 +52,11 @@ LENGTHS = [1, 15, 40, 80, 160, 400]
 N_TAGS, N_HINTS = len(TAGS), len(HINTS)
 #: bias, tag, hints, own length, share of links by bucket, an article or main that no name says otherwise of, copyright sign
 FEATURES = 1 + N_TAGS + N_HINTS + len(LENGTHS) + 1 + 4 + 1 + 1
-KINDS = 3
+KINDS = 4
 
 
 def describe(tree: Tree) -> tuple[list[list[int]], list[int]]:
-    """Of each node the features that hold, and its kind: neutral, element that names a part of a page, or so named."""
+    """Of each node the features that hold, and its kind: neutral, element that names a part of a page, so named, or a division of the page itself."""
     n = len(tree.tags)
     below, linked = tree.chars.copy(), tree.linked.copy()
     for k in range(n - 1, 0, -1):
@@ -75,7 +75,10 @@ def describe(tree: Tree) -> tuple[list[list[int]], list[int]]:
                 hints.add(HINT_AT["hidden"])
             some += [1 + N_TAGS + h for h in hints]
         own = tree.chars[k]
-        some.append(1 + N_TAGS + N_HINTS + sum(own >= x for x in LENGTHS))
+        if not own and not hints and tag in ("div", "section", "center"):
+            some = []  # a bare wrapper says nothing of its own: its parent and children do
+        else:
+            some.append(1 + N_TAGS + N_HINTS + sum(own >= x for x in LENGTHS))
         share = linked[k] / below[k] if below[k] else 0.0
         if below[k]:
             some.append(1 + N_TAGS + N_HINTS + len(LENGTHS) + 1 + (0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3))
@@ -84,7 +87,7 @@ def describe(tree: Tree) -> tuple[list[list[int]], list[int]]:
         if k in rights:
             some.append(FEATURES - 1)
         out.append(some)
-        kinds.append(2 if hints else 1 if tag in ("nav", "menu", "header", "footer", "aside", "form", "button", "dialog", "head", "article", "main", "select") else 0)
+        kinds.append(2 if hints else 3 if tree.parents[k] >= 0 and tree.tags[tree.parents[k]] in ("#root", "html", "body") and tag in ("div", "section", "center", "ul") else 1 if tag in ("nav", "menu", "header", "footer", "aside", "form", "button", "dialog", "head", "article", "main", "select") else 0)
     return out, kinds
 
 

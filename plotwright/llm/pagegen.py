@@ -56,6 +56,11 @@ class Page:
         own = {"nav": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form"}.get(name) == kind
         return self.tag(name, inner, 0, None if own and self.r.random() < 0.5 else kind)
 
+    def wrapped(self, inner: str, y: int) -> str:
+        for _ in range(self.r.choice([0, 0, 0, 0, 1, 1, 2, 4])):
+            inner = f'<div data-y="{y}">{inner}</div>'
+        return inner
+
     def links(self) -> str:
         items = [f'<a href="/{self.word()}">{self.words(1, 4)}</a>' for _ in range(self.r.randint(2, 9))]
         return self.tag("ul", "".join(f'<li data-y="0">{x}</li>' for x in items), 0) if self.r.random() < 0.6 else self.r.choice([" | ", " "]).join(items)
@@ -79,22 +84,22 @@ class Page:
     def block(self) -> str:
         p = lambda low=1, high=7: f'<p data-y="1">{self.prose(low, high)}' + ("</p>" if self.r.random() < 0.9 else "")
         pick = self.r.random()
-        if pick < 0.62:
+        if pick < 0.58:
             return p()
-        if pick < 0.72:
+        if pick < 0.68:
             return f'<p data-y="1">{self.words(1, 3)}.</p>'
-        if pick < 0.8:
+        if pick < 0.76:
             return f'<h{(n := self.r.randint(2, 4))} data-y="1">{self.words(1, 8)}</h{n}>'
-        if pick < 0.87:
+        if pick < 0.83:
             return self.tag(self.r.choice(["ul", "ol"]), "".join(f'<li data-y="1">{self.prose(1, 2)}</li>' for _ in range(self.r.randint(2, 6))), 1)
-        if pick < 0.91:
+        if pick < 0.87:
             return f'<blockquote data-y="1">{p(1, 3)}</blockquote>'
-        if pick < 0.94:
+        if pick < 0.9:
             return f'<figure data-y="1"><img><figcaption data-y="1">{self.sentence()}</figcaption></figure>'
-        if pick < 0.97:
+        if pick < 0.93:
             row = lambda: "<tr data-y='1'>" + "".join(f"<td data-y='1'>{self.words(1, 4)}</td>" for _ in range(3)) + "</tr>"
             return f'<table data-y="1"><tbody data-y="1">{row()}{row()}</tbody></table>'
-        return f'<div data-y="1">{p()}{p()}</div>'
+        return f'<div data-y="1">{p()}{p()}</div>' if self.r.random() < 0.3 else f'<div data-y="1">{self.prose()}</div>'
 
     def article(self) -> str:
         inner = f'<h1 data-y="1">{self.words(2, 10)}</h1>' if self.r.random() < 0.8 else ""
@@ -104,6 +109,7 @@ class Page:
             inner += self.block()
             if self.r.random() < 0.06:
                 inner += self.aside()
+        inner = self.wrapped(inner, 1)
         if self.r.random() < 0.12:
             inner += self.comments()
         shape = self.r.random()
@@ -127,6 +133,7 @@ class Page:
             parts.append(self.part("nav", ["nav", "nav", "div", "ul"], self.links()))
         if self.r.random() < 0.4:
             parts.append(self.aside())
+        parts = [self.wrapped(p, 0) for p in parts]
         parts.append(self.article())
         for chance, make in ((0.35, self.aside), (0.2, self.comments), (0.25, lambda: self.part("side", ["aside", "aside", "div"], self.links() if self.r.random() < 0.6 else f'<p data-y="0">{self.prose(1, 2)}</p>'))):
             if self.r.random() < chance:
