@@ -45,7 +45,8 @@ MOST_WINDOWS = 1_024
 @dataclass(frozen=True)
 class Params:
     least: int = 400
-    grams: tuple[int, ...] = (128, 320, 392, 400)
+    #: Each level halves the windows that can share a key (least - gram + 1), so a hot key is cut into few pieces at a time.
+    grams: tuple[int, ...] = (128, 264, 333, 367, 384, 393, 397, 399, 400)
     most_cost: int = 120_000_000
     batch_cost: int = 60_000_000
 
