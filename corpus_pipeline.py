@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwright.llm import bpe, langid, minhash, mixing, sadedup
-from plotwright.llm.common import checkpoint_dir, crc_mod, table
+from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose most probable language has less than this is rejected, as is one without letters.
@@ -33,10 +33,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near-duplicates."""
-    gone = minhash.classes(docs).where("doc_id != class_id").select("doc_id").distinct()
-    few = gone.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each class of near-duplicates: that of least id, nulls last.
+
+    Rows are told apart by a hash of id and text, so texts that share an id, or have none, are
+    rows of their own. Of rows that repeat both, one is left before classes are formed.
+    """
+    columns = [F.col(c) for c in COLUMNS]
+    keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), *columns)
+    rows = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
+    repeated = rows.where("rows > 1").select("key")
+    if repeated.limit(1).count():
+        first = picked(keyed, repeated, "left_semi").groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+        keyed = picked(keyed, repeated, "left_anti").unionByName(cut(first).select("key", *[F.col(f"row.{c}").alias(c) for c in COLUMNS]))
+    found = cut(minhash.classes(keyed, id_col="key").select("key", "class_id").join(rows.select("key", "doc_id"), "key"))
+    kept = found.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    gone = cut(found.select("key").join(kept, "key", "left_anti"))
+    return picked(keyed, gone, "left_anti").select(*COLUMNS)
+
+
+def picked(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join by key; texts move only where the keys are too many to broadcast."""
+    few = keys.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, "key", how)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,19 @@ def test_pipeline_stages_one_by_one(spark, vocabulary):
     for r in last.collect()[:50]:
         assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id]))
     assert last.count() == mixed.count()
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(90)) for _ in range(7)]
+    near = lines[0].rsplit(" ", 1)[0] + " other"
+    given = [(1, lines[0]), (1, lines[0]), (2, near), (2, lines[1]), (None, lines[2]), (None, lines[2]), (None, lines[3]), (None, lines[0]), (3, lines[4]), (None, lines[4].upper()), (4, lines[5]), (4, lines[6]), (5, None), (6, None)]
+    df = spark.createDataFrame([(k, t, "en", f"s{n % 2}", None) for n, (k, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, lines[0]), (2, lines[1]), (3, lines[4]), (4, lines[5]), (4, lines[6]), (5, None), (6, None), (None, lines[2]), (None, lines[3])]
+    unique = P.near_dedup(spark, df, SMALL)
+    got = [(r.doc_id, r.text) for r in unique.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and unique.columns == P.COLUMNS
+    after = [(r.doc_id, r.text or "") for r in P.suffix_dedup(spark, unique, SMALL).collect()]
+    assert sorted(after, key=str) == sorted([(k, t or "") for k, t in want], key=str)
