@@ -18,6 +18,8 @@ from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose most probable language has less than this is rejected, as is one without letters.
 LEAST_SCORE = 0.3
+#: Passages of so many words (over 50) are not to repeat, whatever their length in bytes.
+PASSAGE_WORDS = 51
 
 
 def shaped(df: DataFrame) -> DataFrame:
@@ -58,8 +60,8 @@ def picked(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes that start more than once; characters cut apart go too, and texts of which nothing but white space is left."""
-    found = sadedup.removed(docs.select(*COLUMNS), as_text=True).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    """Removes strings of 400 bytes, and passages of over 50 words, that start more than once; characters cut apart go too, and texts of which nothing but white space is left."""
+    found = sadedup.removed(docs.select(*COLUMNS), as_text=True, least_words=PASSAGE_WORDS).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
     return shaped(found.withColumn("text", F.col("kept")))
 
 

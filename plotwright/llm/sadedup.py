@@ -17,6 +17,11 @@ windows are dealt by that key, and only windows with equal keys need meet:
 
 Texts are read, not shuffled, in step 1; later only texts with candidates move.
 
+Passages counted in words (``least_words``) go the same way: each word becomes ``UNIT``
+bytes, hashes of the word and of what stands between it and the next, and the strings of
+so many words are those of ``UNIT`` times as many such bytes that start at a word. A word
+is a run without white space; at the ends of a passage ASCII signs around it do not count.
+
 Defined results: null texts are empty; matches never cross texts; rows repeated whole are
 different places. Lengths are bytes of UTF-8.
 """
@@ -38,6 +43,10 @@ from plotwright.llm.suffix import repeated
 ROW = ["id", "th"]
 #: Keys of up to so many texts are broadcast (16 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes that stand for a word and the gap after it, and how many of them are the word's.
+UNIT, OF_WORD = 8, 5
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Windows of one run at most; longer ones (periodic text) are several strings.
 MOST_WINDOWS = 1_024
 
@@ -57,6 +66,66 @@ class Params:
     def finer(self) -> Params:
         return replace(self, grams=self.grams[1:] or (self.least,))
 
+    @staticmethod
+    def of_words(n: int) -> Params:
+        """For strings of ``n`` words in ``UNIT`` bytes each, without the last gap; levels as above."""
+        least = n * UNIT - (UNIT - OF_WORD)
+        grams = [max(1, least * 8 // 25)]
+        while grams[-1] < least:
+            grams.append(least + 1 - max(1, (least - grams[-1] + 1) // 2))
+        return Params(least=least, grams=tuple(grams))
+
+
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the words, without signs around them; words of signs alone are whole."""
+    n = len(raw)
+    inner = ~SPACE[raw]
+    step = np.diff(np.concatenate([[0], inner.astype(np.int8), [0]]))
+    begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    bare = inner & ~SIGN[raw]
+    after = np.minimum.accumulate(np.where(bare, np.arange(n), n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(bare, np.arange(n), -1))
+    some = after[begins] < ends
+    return np.where(some, after[begins], begins), np.where(some, before[ends - 1] + 1, ends)
+
+
+def words_of(data: bytes, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(begins, ends, units as bytes) of the words of a text, by parts; a part ends with a word whole, which starts the next part for the gap after it."""
+    at, size = 0, part
+    while at < len(data):
+        stop = at + size
+        while stop < len(data) and not SPACE[data[stop]]:
+            stop += 1
+        raw = np.frombuffer(data, np.uint8, min(stop, len(data)) - at, at)
+        begins, ends = word_edges(raw)
+        last = stop >= len(data)
+        if len(begins) < 2 and not last:
+            size *= 2
+            continue
+        if len(begins):
+            up, down = powers(1 << max(15, len(raw).bit_length()))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
+            some = lambda a, b: splitmix((sums[b] - sums[a]) * down[np.minimum(a, len(raw) - 1)])
+            units = np.zeros((len(begins), UNIT), np.uint8)
+            units[:, :OF_WORD] = some(begins, ends).view(np.uint8).reshape(-1, 8)[:, :OF_WORD]
+            units[:-1, OF_WORD:] = some(ends[:-1], begins[1:]).view(np.uint8).reshape(-1, 8)[:, : UNIT - OF_WORD]
+            n = len(begins) if last else len(begins) - 1
+            yield begins[:n] + at, ends[:n] + at, units[:n]
+        if last:
+            return
+        at, size = at + int(begins[-1]), part
+
+
+def as_units(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, th, data) with each text's words as units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [b"".join(u.tobytes() for _, _, u in words_of(x.as_py())) for x in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(data, pa.binary())], names=["id", "th", "data"])
+
+    return docs.select(*ROW, "data").mapInArrow(run, "id long, th long, data binary")
+
 
 def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     """The least of each ``w`` neighbours, by prefixes and suffixes of blocks."""
@@ -171,10 +240,10 @@ def spans_by_sorting(strings: DataFrame, parts: int, params: Params) -> DataFram
     return strings.select("key", "digest", "string").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, low long, high long")
 
 
-def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
-    """Maximal runs (begin, end) of bytes covered by windows that start at low..high."""
+def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of bytes covered by ``pairs``."""
     out: list[list[int]] = []
-    for a, b in sorted((x["low"], x["high"] + least) for x in spans):
+    for a, b in sorted(pairs):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -182,6 +251,14 @@ def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def passages(data: bytes, spans: list[dict], n: int) -> list[tuple[int, int]]:
+    """(begin, end) in bytes of the strings of ``n`` words that start at units in low..high."""
+    words = [x[:2] for x in words_of(data)]
+    begins, ends = (np.concatenate([x[j] for x in words]) for j in (0, 1))
+    first = [(-(-x["low"] // UNIT), x["high"] // UNIT) for x in spans]
+    return [(int(begins[a]), int(ends[min(b + n, len(ends)) - 1])) for a, b in merged([x for x in first if x[0] <= x[1]])]
+
+
 def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows."""
     spark = docs.sparkSession
@@ -213,13 +290,20 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"), *more)
 
 
-def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, least_words: int | None = None) -> DataFrame:
     """``df`` with kept (the bytes left), n_bytes, n_removed and n_spans; texts without repeats never meet Python or a shuffle after step 1.
 
-    ``as_text``: kept is a string, without what is left of characters that were cut apart.
+    ``least_words``: strings of so many words that start more than once go too, however short. ``as_text``: kept is a string, without what is left of characters that were cut apart.
     """
     docs = keyed(df, id_col, text_col)
     found = cut(spans(docs, params))
+    if least_words is not None:
+        of_words = cut(spans(as_units(docs), Params.of_words(least_words)))
+        none = F.array().cast(found.schema["spans"].dataType)
+        both = found.select(*ROW, "spans", none.alias("passages")).unionByName(of_words.select(*ROW, none.alias("spans"), F.col("spans").alias("passages")))
+        found = cut(both.groupBy(*ROW).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")]))
+    else:
+        found = found.withColumn("passages", F.array().cast(found.schema["spans"].dataType))
     whole = keyed(df, id_col, text_col, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     clean = pick(whole, found.select(*ROW), "left_anti").select("row.*", F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     least = params.least
@@ -227,9 +311,10 @@ def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, gone, counts = [], [], [], []
-            for data, some in zip(batch.column("data"), batch.column("spans"), strict=True):
+            for data, some, of_words in zip(batch.column("data"), batch.column("spans"), batch.column("passages"), strict=True):
                 data, parts, at = data.as_py(), [], 0
-                cover = merged(some.as_py(), least)
+                cover = [(x["low"], x["high"] + least) for x in some.as_py()]
+                cover = merged(cover + passages(data, of_words.as_py(), least_words) if len(of_words) else cover)
                 for a, b in cover:
                     parts.append(data[at:a])
                     at = b
@@ -240,6 +325,6 @@ def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
                 counts.append(len(cover))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    touched = pick(whole, found.select(*ROW), "left_semi").join(found, ROW).select("row", "data", "spans")
+    touched = pick(whole, found.select(*ROW), "left_semi").join(found, ROW).select("row", "data", "spans", "passages")
     schema = f"row {touched.schema['row'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
     return clean.unionByName(touched.mapInArrow(run, schema).select("row.*", "kept", "n_bytes", "n_removed", "n_spans"))

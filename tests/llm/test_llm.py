@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -118,6 +119,57 @@ def test_suffix_dedup_matches_brute_force(spark, most_cost):
     assert {k: (*v[:3], bytes(v[3])) for k, v in got.items()} == dict(enumerate(brute_removed(texts, 40)))
 
 
+def brute_passages(texts, least, n):
+    """Bytes left without strings of ``least`` bytes and, of texts without signs, of ``n`` words."""
+    cover, seen = [], {}
+    for k, t in enumerate(texts):
+        x = t.encode()
+        cover.append(np.zeros(len(x), bool))
+        for a in range(len(x) - least + 1):
+            seen.setdefault(x[a : a + least], []).append((k, a))
+        at = [m.span() for m in re.finditer(rb"\S+", x)]
+        for i in range(len(at) - n + 1):
+            seen.setdefault((x[at[i][0] : at[i + n - 1][1]],), []).append((k, at[i][0]))
+    for what, places in seen.items():
+        if len(places) > 1:
+            for k, a in places:
+                cover[k][a : a + len(what[0] if isinstance(what, tuple) else what)] = True
+    return [bytes(np.frombuffer(t.encode(), np.uint8)[~c]) for t, c in zip(texts, cover, strict=True)]
+
+
+@pytest.mark.parametrize("most_cost", [200_000_000, 300])
+def test_suffix_dedup_by_words_matches_brute_force(spark, monkeypatch, most_cost):
+    monkeypatch.setattr(sadedup.Params, "of_words", staticmethod(lambda n, f=sadedup.Params.of_words: sadedup.replace(f(n), most_cost=most_cost, batch_cost=3000)))
+    rng = random.Random(most_cost)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
+    shared = [" ".join(word() for _ in range(rng.randint(4, 12))) for _ in range(6)]
+    texts = ["".join(rng.choice([word(), word(), rng.choice(shared)]) + rng.choice("    \n") for _ in range(rng.randint(0, 14))) for _ in range(60)] + ["a " * 30, "", " \n"]
+    got = by(sadedup.removed(docs(spark, *texts), sadedup.Params(least=70, grams=(20, 45, 70)), least_words=7), "doc_id", "kept")
+    assert {k: bytes(v[0]) for k, v in got.items()} == dict(enumerate(brute_passages(texts, 70, 7)))
+
+
+def test_words_are_the_same_by_parts():
+    rng = random.Random(6)
+    data = "".join(rng.choice(["a", "é", " ", "\n", ", ", ' "x', "...", "wort"]) for _ in range(900)).encode()
+    whole = list(sadedup.words_of(data))
+    for part in (1, 7, 100):
+        pieces = list(sadedup.words_of(data, part))
+        assert all(np.array_equal(np.concatenate([p[j] for p in pieces]), whole[0][j]) for j in range(3)) and len(pieces) > 1
+
+
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    some = lambda n: [("abcdefghij"[rng.randrange(10)] + str(rng.randrange(1000))) for _ in range(n)]
+    long, short = " ".join(some(51)), " ".join(some(50))
+    assert len(long) < 300
+    ends = [[" ".join(some(80)) for _ in range(2)] for _ in range(4)]
+    texts = [f"{ends[0][0]} {long} {ends[0][1]}", f"{ends[1][0]} ({long}.) {ends[1][1]}", f"{ends[2][0]} {short} {ends[2][1]}", f"{ends[3][0]} {short} {ends[3][1]}"]
+    got = by(P.suffix_dedup(spark, docs(spark, *texts), SMALL), "doc_id", "text")
+    assert got == {0: (f"{ends[0][0]}  {ends[0][1]}",), 1: (f"{ends[1][0]} (.) {ends[1][1]}",), 2: (texts[2],), 3: (texts[3],)}
+
+
 def test_suffix_dedup_edges(spark):
     assert sadedup.removed(docs(spark, "a").limit(0)).count() == 0
     same = "word " * 100
