@@ -12,7 +12,8 @@ the leaves' sizes (``most_leaves`` at most), never rows.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part. Ties go to the smaller id. A query visits more leaves where
 those calibrated hold fewer rows than asked for, so ``k`` neighbours are returned
-whenever there are so many candidates.
+whenever there are so many candidates. Rows that repeat an id are candidates each, but
+none for a query of the same id; of several rows of a query's id the least vector asks.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         sizes[leaf] = count
 
     # Calibration: how many leaves hold the true neighbours of some queries.
-    trial = drawn(every.where("q_").select("id", "vector"), calibrate, n_asked)
+    asked = cut(rows.groupBy("id").agg(F.min(F.when(F.col("q_"), F.col("vector"))).alias("vector"), F.count("*").alias("own")).where("vector is not null"))
+    trial = drawn(asked.select("id", "vector"), calibrate, n_asked)
     t_ids, t = trial["id"].to_numpy(), matrix(trial["vector"])
     asked_ = spark.sparkContext.broadcast((t_ids, t))
 
@@ -176,17 +178,17 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
             if not b.num_rows:
                 continue
             chosen = []
-            for u in unit_rows(matrix(b.column("vector"))):
+            for u, own in zip(unit_rows(matrix(b.column("vector"))), b.column("own").to_pylist(), strict=True):
                 some, held = [], 0
                 for leaf in shared.value.order(u):
-                    if len(some) >= visits and held > k:
+                    if len(some) >= visits and held >= k + own:
                         break
                     some.append(leaf)
                     held += int(sizes[leaf])
                 chosen.append(some)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(chosen, pa.list_(pa.int32()))], names=["id", "vector", "leaves"])
 
-    walks = rows.where("q_").select("id", "vector").mapInArrow(walk, "id long, vector array<double>, leaves array<int>")
+    walks = asked.mapInArrow(walk, "id long, vector array<double>, leaves array<int>")
     parts, asked_parts = spark.sparkContext.broadcast(-(-sizes // ROWS)), -(-n_asked // ASKED)
     table = spark.createDataFrame([(int(j), int(x)) for j, x in enumerate(parts.value)], "leaf int, blocks int")
     left = walks.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked_parts)).cast("int")).select("id", "vector", "part", F.explode("leaves").alias("leaf"))

@@ -13,7 +13,8 @@ All scores are integers below 2**53 in magnitude, so products in float64 are exa
 
 Defined results: vectors that are null, empty, or hold null or non-finite components
 take no part; a zero vector takes part. Ties go to the smaller id. Rows that repeat an
-id are candidates each, but none for a query of the same id.
+id are candidates each, but none for a query of the same id; of several rows of a query's
+id the least vector asks.
 """
 
 from __future__ import annotations
@@ -73,8 +74,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray,
     for a in range(0, len(flat), 128):
         part = flat[a : a + 128]
         scores = q[part] @ rows[: need[part[-1]]].T
+        scores[q_ids[part][:, None] == ids[None, : scores.shape[1]]] = -np.inf
         if scores.shape[1] > 2 * k:
-            least = -np.partition(-scores, k, axis=1)[:, k]  # one more than k: the query's own row may be among them
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
             least = np.maximum(least, theta[part])
         else:
             least = theta[part]
@@ -92,7 +94,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray,
 def top_k(df: DataFrame, is_query: Column, k: int, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", buckets: int = 32, rows_per_block: int = ROWS, queries_per_block: int = ASKED) -> DataFrame:
     """(query_id, rank, vec_id, score long) for the rows where ``is_query`` holds, against all rows."""
     whole = picked(df.withColumn("q_", is_query), id_col, vector_col, True, "q_")
-    asked, whole = whole.where("q_").drop("q_"), whole.drop("q_")
+    asked, whole = whole.where("q_").groupBy("id").agg(F.min("vector").alias("vector")), whole.drop("q_")
     ints = F.transform("vector", lambda x: F.floor(x * scale).cast("double"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     rows = whole.withColumn("vector", ints).withColumn("length", length)

@@ -355,6 +355,21 @@ def test_topk_is_exact(spark, scale):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+def test_repeated_rows_of_a_query_lose_no_candidate(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 8))
+    x[0] *= 4
+    rows = [(k, x[k].tolist()) for k in range(120)] + [(0, x[0].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = topk.brute_force(np.arange(120), x, [0, 60], 7, 64)
+    got = topk.top_k(df, F.col("vec_id") % 60 == 0, 7, 64, buckets=2).where("query_id = 0").collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(w for w in want if w[0] == 0)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = ann.neighbours(df, F.col("vec_id") == 0, 5, rows_per_leaf=1000).collect()
+    assert [r.vec_id for r in sorted(near, key=lambda r: r["rank"])] == [int(j) for j in np.argsort(-(u @ u[0])) if j][:5]
+    assert ann.neighbours(df.where("vec_id = 0 or vec_id > 100"), F.col("vec_id") == 0, 5, rows_per_leaf=4).count() == 5
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(1)
     u = rng.normal(size=(500, 6))
