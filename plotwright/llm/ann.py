@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import cut
+from plotwright.llm.common import cut, sparing
 from plotwright.llm.vectors import ASKED, ROWS, best, exact_dots, matrix, picked, top
 
 FOUND = "query_id long, vec_id long, score double"
@@ -151,7 +151,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                 leaf = shared.value.assign(unit_rows(matrix(b.column("vector"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["id", "vector", "q_", "leaf"])
 
-    rows = cut(every.mapInArrow(index, "id long, vector array<double>, q_ boolean, leaf int"))
+    rows = cut(every.mapInArrow(sparing(index), "id long, vector array<double>, q_ boolean, leaf int"))
     sizes = np.zeros(tree.leaves, np.int64)
     for leaf, count in rows.groupBy("leaf").count().collect():
         sizes[leaf] = count
@@ -167,7 +167,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
             if b.num_rows:
                 yield found_batch(nearest(*asked_.value, b.column("id").to_numpy(), matrix(b.column("vector")), k))
 
-    true = top(rows.select("id", "vector").mapInArrow(compare, FOUND), k, "double")
+    true = top(rows.select("id", "vector").mapInArrow(sparing(compare), FOUND), k, "double")
     truth = true.join(rows.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
     position = {int(i): {leaf: r for r, leaf in enumerate(tree.order(u), 1)} for i, u in zip(t_ids, unit_rows(t), strict=True)}
     ranks = np.sort([position[q][leaf] for q, leaf in truth])
@@ -188,7 +188,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                 chosen.append(some)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(chosen, pa.list_(pa.int32()))], names=["id", "vector", "leaves"])
 
-    walks = asked.mapInArrow(walk, "id long, vector array<double>, leaves array<int>")
+    walks = asked.mapInArrow(sparing(walk), "id long, vector array<double>, leaves array<int>")
     parts, asked_parts = spark.sparkContext.broadcast(-(-sizes // ROWS)), -(-n_asked // ASKED)
     table = spark.createDataFrame([(int(j), int(x)) for j, x in enumerate(parts.value)], "leaf int, blocks int")
     left = walks.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked_parts)).cast("int")).select("id", "vector", "part", F.explode("leaves").alias("leaf"))

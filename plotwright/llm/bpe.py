@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plotwright.llm.common import codepoints, lean, splitmix, text_pieces
+from plotwright.llm.common import codepoints, lean, sparing, splitmix, text_pieces
 
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -39,8 +39,10 @@ LETTER, NUMBER, OTHER, JOIN, LAST, SPACE, SHORT, LONG = range(8)
 # States: what the code point before belongs to. CUT: a token just ended. ONE, TWO: so many letters of a contraction are due.
 CUT, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINED, IN_SPACES, ONE, TWO = range(8)
 
-#: Distinct slices that a worker remembers; beyond it the cache starts anew. It bounds memory, not results.
-CACHE = 400_000
+#: Bytes that the slices remembered in a task may take, in each of two generations; beyond it the older one goes. It bounds memory, not results.
+CACHE_BYTES = 6 << 20
+#: What a remembered slice takes besides its own bytes and those of its ids.
+ENTRY_BYTES = 180
 #: Slices over so many bytes are merged but not remembered.
 CACHED_BYTES = 64
 
@@ -204,9 +206,7 @@ def laid(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-@functools.lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
+def powers_anew(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
@@ -216,6 +216,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: The longest table of powers that a worker keeps.
+KEPT_POWERS = 1 << 19
+kept_powers = functools.cache(powers_anew)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of an odd number modulo 2**64, and of its inverse. One table of fixed size is kept; longer ones are made anew."""
+    if n > KEPT_POWERS:
+        return powers_anew(n)
+    up, down = kept_powers(KEPT_POWERS)
+    return up[:n], down[:n]
+
+
 BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -251,8 +264,12 @@ class Codec:
         pairs = {self.ranks[b[:k]] * self.top + self.ranks[b[k:]]: i for b, i in tokens for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks}
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id that two adjacent ids join to, or ``top``."""
@@ -335,7 +352,7 @@ class Codec:
         if len(marks) < 2:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         raw = np.frombuffer(data, np.uint8)
-        up, down = powers(1 << max(20, len(raw).bit_length()))
+        up, down = powers(len(raw))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
         keys = splitmix((sums[marks[1:]] - sums[marks[:-1]]) * down[marks[:-1]])
         _, at, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -352,9 +369,12 @@ class Codec:
         missing = [k for k, x in enumerate(found) if x is None]
         for k, ids in zip(missing, self.merge_all([pieces[k] for k in missing]), strict=True):
             found[k] = ids
-        recent.update((p, x) for p, x in zip(pieces, found, strict=True) if len(p) <= CACHED_BYTES)
-        if len(recent) > CACHE:
-            self.older, self.recent = recent, {}
+        for p, x in zip(pieces, found, strict=True):
+            if len(p) <= CACHED_BYTES and p not in recent:
+                recent[p] = x
+                self.held += len(p) + len(x) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.older, self.recent, self.held = recent, {}, 0
         return found
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -400,8 +420,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     [batch.column("id").slice(begin, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([tool.offsets(x).tolist() for x in ids], pa.list_(pa.int64()))],
                     names=["id", "ids", "offsets"],
                 )
+        tool.forget()
 
-    return picked.mapInArrow(run, "id long, ids array<int>, offsets array<long>").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(sparing(run), "id long, ids array<int>, offsets array<long>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -415,7 +436,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([tool.decode(x or []) for x in part.column("ids").to_pylist()], pa.binary())], names=["id", "data"])
 
-    return picked.mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(sparing(run), "id long, data binary").withColumnRenamed("id", id_col)
 
 
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,11 +447,12 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            for begin, texts in text_pieces(batch, "text", 1_000_000):
+            for begin, texts in text_pieces(batch, "text", 500_000):
                 counts, hashes, decoded, sizes = tool.digests(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(begin, len(texts)), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), pa.array(sizes, pa.int64())],
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
+        tool.forget()
 
-    return picked.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(sparing(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long").withColumnRenamed("id", id_col)

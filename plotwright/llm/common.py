@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,37 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Arrays of so many bytes are mapped one by one, so that they go back to the machine when freed.
+MAPPED_BYTES = 4 << 20
+
+
+@functools.cache
+def allocator() -> ctypes.CDLL | None:
+    """The C library, told once in a worker to hold little free memory; None where it has no such calls."""
+    lib = ctypes.CDLL(None)
+    if not (hasattr(lib, "mallopt") and hasattr(lib, "malloc_trim")):
+        return None
+    lib.mallopt(-3, MAPPED_BYTES)
+    lib.mallopt(-1, 4 * MAPPED_BYTES)
+    return lib
+
+
+def sparing(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. Workers outlive their tasks, so what a task has freed is given back at its end: idle workers of earlier stages hold no more than their modules."""
+
+    @functools.wraps(run)
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = allocator()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if lib is not None:
+                lib.malloc_trim(0)
+
+    return spared
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; read by Spark, so any store it knows will do."""
     lean(spark)
@@ -48,6 +81,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those called ``names`` in any case: what an operator adds stands in place of what is called so."""
+    taken = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
 def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotwright.llm.common import sparing, text_pieces
 from plotwright.llm.dom import Tree, name_words, parse
 from plotwright.llm.pagegen import labelled_pages
 
@@ -194,11 +195,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from plotwright.llm.common import text_pieces
-
         for batch in batches:
             for begin, pages in text_pieces(batch, "html", chars):
                 texts = main_texts(pages, *shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(pages)), batch.column("url").slice(begin, len(pages)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return picked.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return picked.mapInArrow(sparing(run), "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

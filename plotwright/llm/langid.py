@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import codepoints, lean, splitmix, text_pieces
+from plotwright.llm.common import codepoints, lean, sparing, splitmix, text_pieces
 
 UNDETERMINED = "und"
 
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + [*by], pa.string()), pa.array([*at.tolist(), *[-1] * len(by)], pa.int64()), pa.array([*found[at].tolist(), *by.values()], pa.int64())], names=["lang", "at", "n"])
 
-    total = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    total = rows.mapInArrow(sparing(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     frequency, by = np.zeros(params.features), {}
     for lang, at, n in total:
         if lang is None:
@@ -189,7 +189,7 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
                     names=["key", "lang", "at", "counts"],
                 )
 
-    sample = rows.where(position < share).mapInArrow(gather, "key long, lang string, at binary, counts binary").collect()
+    sample = rows.where(position < share).mapInArrow(sparing(gather), "key long, lang string, at binary, counts binary").collect()
     return train([(k, lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for k, lang, at, c in sample], idf, params)
 
 
@@ -218,5 +218,5 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: li
             found = [predict_text(shared.value, t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*inner.names, "lang_pred", "score"])
 
-    out = picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    out = picked.mapInArrow(sparing(run), f"{schema}, lang_pred string, score double")
     return out.toDF(*names, "lang_pred", "score")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import powers
-from plotwright.llm.common import codepoints, cut, splitmix, text_pieces
+from plotwright.llm.common import codepoints, cut, sparing, splitmix, text_pieces
 from plotwright.llm.graph import components
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,7 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     after[:-1] = starts | ~word
     first = np.flatnonzero(starts)
     last = np.flatnonzero(word & after[1:]) + 1
-    up, down = powers(1 << max(20, len(points).bit_length()))
+    up, down = powers(len(points))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(points.astype(np.uint64)) * up[: len(points)])])
     hashes = splitmix((sums[last] - sums[first]) * down[first])
     split = np.searchsorted(first, np.concatenate([ends - sizes, ends[-1:]]))
@@ -137,7 +137,7 @@ def sketch(docs: DataFrame, params: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in text_pieces(batch, "text", 1_000_000):
+            for begin, texts in text_pieces(batch, "text", 400_000):
                 words = word_hashes(texts)
                 full = [k for k, w in enumerate(words) if len(w)]
                 keys: list = [None] * len(words)
@@ -149,7 +149,7 @@ def sketch(docs: DataFrame, params: Params) -> DataFrame:
                 copies = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "n", "bands"])
 
-    return docs.mapInArrow(run, "id long, copy binary, n int, bands array<long>")
+    return docs.mapInArrow(sparing(run), "id long, copy binary, n int, bands array<long>")
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def verified(docs: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
     held = shingle_sets(docs, ids, params)
     right = held.toDF("b", "y")
     left = held.toDF("a", "x")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(sparing(compare), "a long, b long").distinct()
 
 
 def joining(ids: np.ndarray, components_: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, least: float, columns: int = 2_048) -> list[tuple[int, int]]:
@@ -244,7 +244,7 @@ def linked_within(docs: DataFrame, rest: DataFrame, params: Params) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(sparing(run), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
@@ -252,10 +252,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in text_pieces(batch, "text", 1_000_000):
+            for begin, texts in text_pieces(batch, "text", 400_000):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array([shingles(w, params.words)[0].tobytes() for w in word_hashes(texts)], pa.binary())], names=["id", "set"])
 
-    return among(docs, ids).mapInArrow(sets, "id long, set binary")
+    return among(docs, ids).mapInArrow(sparing(sets), "id long, set binary")
 
 
 def classes(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.llm.common import sparing
+
 GAP = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "kind string, record_id string, target_uri string, refers_to string, declared string, segment int, origin string, total long, n_segments int, block binary, payload binary, payload_bytes long, payload_digest string, intact boolean"
@@ -108,7 +110,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
                 out += records(name(id_), url or "", payload, base64.b32encode(sha).decode(), None if last is None else name(last), date, segment_bytes, chunk_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+    joined.mapInArrow(sparing(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
 def fields_of(header: bytes) -> dict[str, str]:
@@ -204,7 +206,7 @@ def scan(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 rows, size = [], 0
         yield batch_of(rows)
 
-    return raw.mapInArrow(run, RECORD)
+    return raw.mapInArrow(sparing(run), RECORD)
 
 
 def reassemble(scanned: DataFrame, payloads: bool = False) -> DataFrame:
@@ -227,7 +229,7 @@ def reassemble(scanned: DataFrame, payloads: bool = False) -> DataFrame:
                 shared = {"kind": first[0]["kind"], "record_id": one["origin"], "target_uri": first[0]["target_uri"], "refers_to": None, "declared": first[0]["declared"], "segment": None, "origin": one["origin"], "total": total}
                 yield batch_of([row(shared, first[0]["kind"], block, len(by), payloads)] * len(first))
 
-    return scanned.where("segment is null").unionByName(parts.mapInArrow(run, RECORD)).drop("segment", "block", "total", "origin", "declared")
+    return scanned.where("segment is null").unionByName(parts.mapInArrow(sparing(run), RECORD)).drop("segment", "block", "total", "origin", "declared")
 
 
 def resolve(read: DataFrame) -> DataFrame:
