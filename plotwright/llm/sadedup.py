@@ -9,11 +9,14 @@ windows are dealt by that key, and only windows with equal keys need meet:
 2. keys met once cannot repeat anything and are dropped; equal strings are counted, so a
    passage that a third of all texts share is one string from here on;
 3. the different strings of a key are sorted by suffixes (two-stage) and neighbours'
-   common prefixes show the windows that repeat. The different strings of keys that would
-   need more than ``most_cost`` (bytes of suffixes) go through these steps as texts of
-   their own, with a longer gram, so that fewer windows share a key; with the longest, a
-   key is a window, and equal strings are counted as ever;
-4. the repeated windows go back to all places of their strings, and bytes are removed.
+   common prefixes show the windows that repeat. The different strings of keys that have
+   more than ``most_bytes`` together go through these steps as texts of their own, with a
+   longer gram, so that fewer windows share a key; with the longest, a key is a window,
+   and equal strings are counted as ever. So equality is decided by suffix sorting for all
+   strings that differ, but by two 64-bit hashes (key and digest, of whole strings) for
+   strings that are equal throughout, and for single windows of the longest gram;
+4. the repeated windows, joined to maximal runs, go back to all places of their strings,
+   and bytes are removed.
 
 Texts are read, not shuffled, in step 1; later only texts with candidates move.
 
@@ -23,24 +26,27 @@ so many words are those of ``UNIT`` times as many such bytes that start at a wor
 is a run without white space; at the ends of a passage ASCII signs around it do not count.
 
 Defined results: null texts are empty; matches never cross texts; rows repeated whole are
-different places. Lengths are bytes of UTF-8.
+different places. Lengths are bytes of UTF-8. Other columns pass through; those called as
+the new ones (kept, n_bytes, n_removed, n_spans) give way to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotwright.llm.bpe import BYTE_VALUES, powers
-from plotwright.llm.common import cut, splitmix
+from plotwright.llm.common import cut, others, sparing, splitmix
 from plotwright.llm.suffix import repeated
 
 ROW = ["id", "th"]
+NEW = ["kept", "n_bytes", "n_removed", "n_spans"]
 #: Keys of up to so many texts are broadcast (16 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes that stand for a word and the gap after it, and how many of them are the word's.
@@ -56,8 +62,9 @@ class Params:
     least: int = 400
     #: Each level halves the windows that can share a key (least - gram + 1), so a hot key is cut into few pieces at a time.
     grams: tuple[int, ...] = (128, 264, 333, 367, 384, 393, 397, 399, 400)
-    most_cost: int = 120_000_000
-    batch_cost: int = 60_000_000
+    #: Bytes of a key's different strings that are sorted at once, and of several keys' together (a key is never parted).
+    most_bytes: int = 4_000_000
+    batch_bytes: int = 1_000_000
 
     @property
     def gram(self) -> int:
@@ -103,7 +110,7 @@ def words_of(data: bytes, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.
             size *= 2
             continue
         if len(begins):
-            up, down = powers(1 << max(15, len(raw).bit_length()))
+            up, down = powers(len(raw))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
             some = lambda a, b: splitmix((sums[b] - sums[a]) * down[np.minimum(a, len(raw) - 1)])
             units = np.zeros((len(begins), UNIT), np.uint8)
@@ -116,15 +123,9 @@ def words_of(data: bytes, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.
         at, size = at + int(begins[-1]), part
 
 
-def as_units(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, th, data) with each text's words as units."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [b"".join(u.tobytes() for _, _, u in words_of(x.as_py())) for x in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(data, pa.binary())], names=["id", "th", "data"])
-
-    return docs.select(*ROW, "data").mapInArrow(run, "id long, th long, data binary")
+def units_of(data: bytes) -> bytes:
+    """The units of all words of a text."""
+    return b"".join(u.tobytes() for _, _, u in words_of(data))
 
 
 def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -144,7 +145,7 @@ def runs_of(data: bytes, params: Params, part: int = 1 << 20) -> Iterator[tuple[
     w = params.least - params.gram + 1
     for begin in range(0, max(0, len(data) - params.least + 1), part):
         raw = np.frombuffer(data, np.uint8, min(part + params.least - 1, len(data) - begin), begin)
-        up, down = powers(1 << max(15, len(raw).bit_length()))
+        up, down = powers(len(raw))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
         n = len(raw) - params.gram + 1
         h = splitmix((sums[params.gram :] - sums[:-params.gram]) * down[:n])
@@ -163,8 +164,8 @@ def runs_of(data: bytes, params: Params, part: int = 1 << 20) -> Iterator[tuple[
             yield k, d, begin + a, b - a, split or int(np.count_nonzero(h[a : b + w - 1] == k)) > 1
 
 
-def runs(docs: DataFrame, params: Params) -> DataFrame:
-    """(key, digest, id, th, place, n, twice) for the texts of ``docs`` (id, th, data)."""
+def runs(docs: DataFrame, params: Params, read: Callable[[bytes], bytes] | None) -> DataFrame:
+    """(key, digest, id, th, place, n, twice) for the texts of ``docs`` (id, th, data), or for what ``read`` makes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,15 +178,16 @@ def runs(docs: DataFrame, params: Params) -> DataFrame:
                 return pa.RecordBatch.from_arrays(arrays, names=["key", "digest", "id", "th", "place", "n", "twice"])
 
             for id_, th, data in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("data"), strict=True):
-                for k, d, place, n, twice in runs_of(data.as_py(), params):
+                data = data.as_py()
+                for k, d, place, n, twice in runs_of(read(data) if read else data, params):
                     for x, v in zip(held, (k, d, id_, th, place, n, twice), strict=True):
                         x.append(v)
                     if len(held[0]) >= 20_000:
                         yield flush()
             yield flush()
 
-    long_enough = docs.where(F.length("data") >= params.least)
-    return long_enough.mapInArrow(run, "key long, digest long, id long, th long, place long, n int, twice boolean")
+    long_enough = docs if read else docs.where(F.length("data") >= params.least)
+    return long_enough.mapInArrow(sparing(run), "key long, digest long, id long, th long, place long, n int, twice boolean")
 
 
 def pick(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -194,7 +196,7 @@ def pick(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(rows) if few else rows, ROW, how)
 
 
-def strings_of(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
+def strings_of(docs: DataFrame, wanted: DataFrame, params: Params, read: Callable[[bytes], bytes] | None) -> DataFrame:
     """(key, digest, hot, string) for ``wanted`` (key, digest, hot, id, th, place, n)."""
     lists = cut(wanted.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "hot", "place", "n")).alias("runs")))
 
@@ -202,6 +204,7 @@ def strings_of(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
         for batch in batches:
             for data, some in zip(batch.column("data"), batch.column("runs"), strict=True):
                 data, some = data.as_py(), some.as_py()
+                data = read(data) if read else data
                 for a in range(0, len(some), 4096):
                     part = some[a : a + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -209,7 +212,7 @@ def strings_of(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
                         names=["key", "digest", "hot", "string"],
                     )
 
-    return pick(docs, lists.select(*ROW), "left_semi").dropDuplicates(ROW).join(lists, ROW).select("data", "runs").mapInArrow(run, "key long, digest long, hot boolean, string binary")
+    return pick(docs, lists.select(*ROW), "left_semi").dropDuplicates(ROW).join(lists, ROW).select("data", "runs").mapInArrow(sparing(run), "key long, digest long, hot boolean, string binary")
 
 
 def spans_by_sorting(strings: DataFrame, parts: int, params: Params) -> DataFrame:
@@ -219,7 +222,7 @@ def spans_by_sorting(strings: DataFrame, parts: int, params: Params) -> DataFram
         keys: list[int] = []
         digests: list[int] = []
         texts: list[bytes] = []
-        cost = 0
+        held = 0
 
         def flush() -> pa.RecordBatch:
             found = [(k, d, a, b) for k, d, x in zip(keys, digests, repeated(texts, params.least) if texts else [], strict=True) for a, b in x]
@@ -228,16 +231,16 @@ def spans_by_sorting(strings: DataFrame, parts: int, params: Params) -> DataFram
 
         for batch in batches:
             for k, d, s in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), batch.column("string"), strict=True):
-                if cost > params.batch_cost and k != keys[-1]:
+                if held > params.batch_bytes and k != keys[-1]:
                     yield flush()
-                    cost = 0
+                    held = 0
                 keys.append(k)
                 digests.append(d)
                 texts.append(s.as_py())
-                cost += (len(texts[-1]) - params.least + 1) * len(texts[-1])
+                held += len(texts[-1])
         yield flush()
 
-    return strings.select("key", "digest", "string").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, low long, high long")
+    return strings.select("key", "digest", "string").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sparing(run), "key long, digest long, low long, high long")
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,6 +254,17 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def joined(found: DataFrame) -> DataFrame:
+    """``found`` (id, th, spans) with neighbouring and overlapping spans joined, so that a string has as few as it can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans_ = [[{"low": a, "high": b - 1} for a, b in merged([(x["low"], x["high"] + 1) for x in some])] for some in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(spans_, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], names=["id", "th", "spans"])
+
+    return found.mapInArrow(sparing(run), "id long, th long, spans array<struct<low: long, high: long>>")
+
+
 def passages(data: bytes, spans: list[dict], n: int) -> list[tuple[int, int]]:
     """(begin, end) in bytes of the strings of ``n`` words that start at units in low..high."""
     words = [x[:2] for x in words_of(data)]
@@ -259,30 +273,31 @@ def passages(data: bytes, spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(int(begins[a]), int(ends[min(b + n, len(ends)) - 1])) for a, b in merged([x for x in first if x[0] <= x[1]])]
 
 
-def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows."""
+def spans(docs: DataFrame, params: Params = Params(), read: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows; of what ``read`` makes of the texts, if given."""
     spark = docs.sparkSession
-    every = runs(docs, params)
+    every = runs(docs, params, read)
     met = every.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key")
     places = cut(every.join(met, "key"))
     distinct = places.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "place")).alias("one"), F.max("n").alias("n"), F.max("twice").alias("twice"))
     width = F.col("n").cast("long") + (params.least - 1)
-    of_key = distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum(F.col("n") * width).alias("cost"))
-    known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.lit(params.gram < params.least) & (F.col("cost") > params.most_cost)).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
+    of_key = distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum(width).alias("bytes"))
+    known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.lit(params.gram < params.least) & (F.col("bytes") > params.most_bytes)).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
     wanted = known.where("sort")
-    strings = strings_of(docs, wanted.select("key", "digest", "hot", "id", "th", "place", "n"), params)
     size, hot = wanted.agg(F.sum("width"), F.max("hot")).first()
+    strings = strings_of(docs, wanted.select("key", "digest", "hot", "id", "th", "place", "n"), params, read)
+    strings = cut(strings) if hot else strings
     parts = max(spark.sparkContext.defaultParallelism, int((size or 0) // 8_000_000) + 1)
     found = spans_by_sorting(strings.where("not hot"), parts, params)
-    if hot and params.gram < params.least:
-        texts = cut(strings.where("hot").select(F.col("key").alias("id"), F.col("digest").alias("th"), F.col("string").alias("data")))
+    if hot:
+        texts = strings.where("hot").select(F.col("key").alias("id"), F.col("digest").alias("th"), F.col("string").alias("data"))
         again = spans(texts, params.finer()).select(F.col("id").alias("key"), F.col("th").alias("digest"), F.inline("spans"))
         found = found.unionByName(again)
     copied = known.where("c > 1").select("key", "digest", F.lit(0).cast("long").alias("low"), (F.col("n") - 1).cast("long").alias("high"))
     lone = found.join(known.where("c > 1").select("key", "digest"), ["key", "digest"], "left_anti")
     at = lone.unionByName(copied).groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     back = places.select("key", "digest", *ROW, "place").join(at, ["key", "digest"]).select(*ROW, F.transform("found", lambda x: F.struct((x.low + F.col("place")).alias("low"), (x.high + F.col("place")).alias("high"))).alias("found"))
-    return back.groupBy(*ROW).agg(F.flatten(F.collect_list("found")).alias("spans"))
+    return joined(back.groupBy(*ROW).agg(F.flatten(F.collect_list("found")).alias("spans")))
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -298,14 +313,15 @@ def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     docs = keyed(df, id_col, text_col)
     found = cut(spans(docs, params))
     if least_words is not None:
-        of_words = cut(spans(as_units(docs), Params.of_words(least_words)))
+        of_words = cut(spans(docs, Params.of_words(least_words), units_of))
         none = F.array().cast(found.schema["spans"].dataType)
         both = found.select(*ROW, "spans", none.alias("passages")).unionByName(of_words.select(*ROW, none.alias("spans"), F.col("spans").alias("passages")))
         found = cut(both.groupBy(*ROW).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")]))
     else:
         found = found.withColumn("passages", F.array().cast(found.schema["spans"].dataType))
-    whole = keyed(df, id_col, text_col, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    clean = pick(whole, found.select(*ROW), "left_anti").select("row.*", F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    whole = keyed(df, id_col, text_col, F.struct(F.lit(0).alias("_"), *others(df, *NEW)).alias("row"))
+    own = [F.col(f"row.`{c}`") for c in whole.schema["row"].dataType.names[1:]]
+    clean = pick(whole, found.select(*ROW), "left_anti").select(*own, F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     least = params.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,5 +342,5 @@ def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     touched = pick(whole, found.select(*ROW), "left_semi").join(found, ROW).select("row", "data", "spans", "passages")
-    schema = f"row {touched.schema['row'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
-    return clean.unionByName(touched.mapInArrow(run, schema).select("row.*", "kept", "n_bytes", "n_removed", "n_spans"))
+    schema = T.StructType([touched.schema["row"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in NEW[1:]]])
+    return clean.unionByName(touched.mapInArrow(sparing(run), schema).select(*own, *NEW))

@@ -107,27 +107,30 @@ def test_suffix_order_is_a_suffix_array():
         assert order.tolist() == sorted(order.tolist(), key=key)
 
 
-@pytest.mark.parametrize("most_cost", [200_000_000, 300])
-def test_suffix_dedup_matches_brute_force(spark, most_cost):
-    rng = random.Random(most_cost)
+@pytest.mark.parametrize("most_bytes", [200_000_000, 300])
+def test_suffix_dedup_matches_brute_force(spark, most_bytes):
+    rng = random.Random(most_bytes)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
     shared = [" ".join(word() for _ in range(20)) for _ in range(3)]
     texts = [" ".join(rng.choice([word(), word(), rng.choice(shared)]) for _ in range(rng.randint(0, 12))) for _ in range(50)]
     texts += [None, "", "a" * 300, "ab" * 150, texts[3], texts[3], "x" + texts[5]]
-    params = sadedup.Params(least=40, grams=(12, 24, 36, 40), most_cost=most_cost, batch_cost=3000)
+    params = sadedup.Params(least=40, grams=(12, 24, 36, 40), most_bytes=most_bytes, batch_bytes=900)
     got = by(sadedup.removed(docs(spark, *texts), params), "doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     assert {k: (*v[:3], bytes(v[3])) for k, v in got.items()} == dict(enumerate(brute_removed(texts, 40)))
 
 
+SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def brute_passages(texts, least, n):
-    """Bytes left without strings of ``least`` bytes and, of texts without signs, of ``n`` words."""
+    """Bytes left without strings of ``least`` bytes and of ``n`` words, those at the ends without ASCII signs around them."""
     cover, seen = [], {}
     for k, t in enumerate(texts):
         x = t.encode()
         cover.append(np.zeros(len(x), bool))
         for a in range(len(x) - least + 1):
             seen.setdefault(x[a : a + least], []).append((k, a))
-        at = [m.span() for m in re.finditer(rb"\S+", x)]
+        at = [(m.start() + m[0].index(m[0].strip(SIGNS)), m.start() + m[0].index(m[0].strip(SIGNS)) + len(m[0].strip(SIGNS))) if m[0].strip(SIGNS) else m.span() for m in re.finditer(rb"\S+", x)]
         for i in range(len(at) - n + 1):
             seen.setdefault((x[at[i][0] : at[i + n - 1][1]],), []).append((k, at[i][0]))
     for what, places in seen.items():
@@ -137,10 +140,10 @@ def brute_passages(texts, least, n):
     return [bytes(np.frombuffer(t.encode(), np.uint8)[~c]) for t, c in zip(texts, cover, strict=True)]
 
 
-@pytest.mark.parametrize("most_cost", [200_000_000, 300])
-def test_suffix_dedup_by_words_matches_brute_force(spark, monkeypatch, most_cost):
-    monkeypatch.setattr(sadedup.Params, "of_words", staticmethod(lambda n, f=sadedup.Params.of_words: sadedup.replace(f(n), most_cost=most_cost, batch_cost=3000)))
-    rng = random.Random(most_cost)
+@pytest.mark.parametrize("most_bytes", [200_000_000, 300])
+def test_suffix_dedup_by_words_matches_brute_force(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(sadedup.Params, "of_words", staticmethod(lambda n, f=sadedup.Params.of_words: sadedup.replace(f(n), most_bytes=most_bytes, batch_bytes=900)))
+    rng = random.Random(most_bytes)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
     shared = [" ".join(word() for _ in range(rng.randint(4, 12))) for _ in range(6)]
     texts = ["".join(rng.choice([word(), word(), rng.choice(shared)]) + rng.choice("    \n") for _ in range(rng.randint(0, 14))) for _ in range(60)] + ["a " * 30, "", " \n"]
@@ -463,7 +466,7 @@ def test_pipeline_stages_one_by_one(spark, vocabulary):
     assert sorted(r.doc_id for r in unique.collect()) == sorted({ids[c] for c in classes.values()})
     whole = {r.doc_id: r.text for r in unique.collect()}
     order = sorted(whole)
-    want = {k: w[3].decode("utf-8", "ignore") for k, w in zip(order, brute_removed([whole[k] for k in order], 400), strict=True)}
+    want = {k: w.decode("utf-8", "ignore") for k, w in zip(order, brute_passages([whole[k] for k in order], 400, P.PASSAGE_WORDS), strict=True)}
     cut = steps[2](spark, unique, SMALL)
     assert {r.doc_id: r.text for r in cut.collect()} == {k: t for k, t in want.items() if t.strip() or t == whole[k]}
     mixed = steps[3](spark, cut, SMALL)
