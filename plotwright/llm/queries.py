@@ -24,8 +24,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
     read = warc.resolve(warc.reassemble(cut(warc.scan(spark, path))))
-    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
-    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), "target_uri", "n_segments", "intact")
+    return read.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"), "target_uri", "n_segments", "intact")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

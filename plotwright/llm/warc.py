@@ -12,20 +12,26 @@ groups those by the identifier of their origin, orders them by segment number, v
 the numbers and the total length, and then decodes chunked framing. Only segments are
 shuffled; a group is one record.
 
+A record's identifier holds the row's id and its payload's digest, so rows that share an
+id are told apart. A revisit states its payload's digest, and in the header of its HTTP
+block the length, so that it can be read alone; ``resolve`` looks for its response.
+
 Defined results: null payloads are empty ones. Of rows with equal payloads the one with
 the largest id is a response and the others revisit it; rows repeated whole, id included,
 are all what the first is. Null ids count as smaller than all others. Damaged records
 (missing segments, wrong total, broken framing, wrong digest) are kept with intact = false.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwright.llm.common import sparing
@@ -73,7 +79,7 @@ def records(record_id: str, url: str, payload: bytes, digest: str, refers_to: st
     """The records of one page, without the blank lines that end each."""
     fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + GAP
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + GAP
         yield head("revisit", record_id, len(block), [*fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers_to}>")], date) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + GAP + chunked(payload, chunk_bytes)
@@ -93,6 +99,15 @@ def records(record_id: str, url: str, payload: bytes, digest: str, refers_to: st
         yield head("continuation", f"{record_id}:{number}", len(part), more, date) + part
 
 
+def identifier(id_: int | None, digest: str) -> str:
+    """Of a page's record; ``page_of`` is the way back."""
+    return f"urn:page:{'' if id_ is None else id_}:{digest}"
+
+
+def page_of(record_id: Column) -> Column:
+    return F.nullif(F.split_part(record_id, F.lit(":"), F.lit(3)), F.lit("")).cast("long")
+
+
 def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 32_768, chunk_bytes: int = 8_192, date: str = "2020-01-01T00:00:00Z", max_records: int = 100_000) -> None:
     """Archives of ``df`` below ``path``: a response, or a revisit of an equal payload, per row."""
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
@@ -106,8 +121,8 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
                 if sum(map(len, out)) > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out = []
-                name = lambda x: f"urn:page:{'' if x is None else x}"
-                out += records(name(id_), url or "", payload, base64.b32encode(sha).decode(), None if last is None else name(last), date, segment_bytes, chunk_bytes)
+                digest = base64.b32encode(sha).decode()
+                out += records(identifier(id_, digest), url or "", payload, digest, None if last is None else identifier(last, digest), date, segment_bytes, chunk_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     joined.mapInArrow(sparing(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
@@ -173,10 +188,18 @@ def opened(block: bytes | None, declared: str | None, kind: str) -> tuple[bytes
     return body, kind == "revisit" or declared is None or declared.removeprefix("sha1:") == base32_sha1(body)
 
 
+def http_length(block: bytes | None) -> int | None:
+    """What the header of an HTTP block says of its body's length."""
+    found = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", (block or b"").split(GAP, 1)[0])
+    return int(found[1]) if found else None
+
+
 def row(fields: dict, kind: str, block: bytes | None, n_segments: int, keep: bool) -> dict:
     payload, intact = opened(block, fields["declared"], kind)
     revisit = kind == "revisit"
-    return fields | {"n_segments": n_segments, "block": None, "payload": payload if keep and not revisit else None, "payload_bytes": None if revisit or payload is None else len(payload), "payload_digest": None if revisit or payload is None else base32_sha1(payload), "intact": intact}
+    if revisit:
+        return fields | {"n_segments": n_segments, "block": None, "payload": None, "payload_bytes": http_length(block), "payload_digest": fields["declared"].removeprefix("sha1:") if fields["declared"] else None, "intact": intact}
+    return fields | {"n_segments": n_segments, "block": None, "payload": payload if keep else None, "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else base32_sha1(payload), "intact": intact}
 
 
 def batch_of(rows: list[dict]) -> pa.RecordBatch:
@@ -210,30 +233,39 @@ def scan(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 
 def reassemble(scanned: DataFrame, payloads: bool = False) -> DataFrame:
-    """``scanned`` with the segments of each record put together."""
-    parts = scanned.where("segment is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "kind", "target_uri", "declared", "total", "block"))).alias("parts"))
+    """``scanned`` with the segments of each record put together. Equal segments of rows repeated whole are counted before they meet, so a group is one record however often it was written."""
+    once = scanned.where("segment is not null").groupBy("origin", "target_uri", "segment").agg(F.count("*").alias("copies"), F.max(F.struct("kind", "declared", "total", "block")).alias("one"))
+    parts = once.groupBy("origin", "target_uri").agg(F.sort_array(F.collect_list(F.struct("segment", "copies", "one"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1).to_pylist()[0]
-                by: dict[int, list[dict]] = {}
-                for x in one["parts"]:
-                    by.setdefault(x["segment"], []).append(x)
-                first = by.get(1, [{"kind": "response", "target_uri": None, "declared": None}])
-                total = next((x["total"] for x in one["parts"] if x["total"] is not None), None)
-                whole = sorted(by) == [*range(1, len(by) + 1)] and all(len(v) == len(first) and v[0]["block"] is not None for v in by.values())
-                block = b"".join(by[n][0]["block"] for n in sorted(by)) if whole else None
+                by = {x["segment"]: x["one"] for x in one["parts"]}
+                copies = max(x["copies"] for x in one["parts"])
+                first = by.get(1, {"kind": "response", "declared": None})
+                total = next((x["total"] for x in by.values() if x["total"] is not None), None)
+                whole = sorted(by) == [*range(1, len(by) + 1)] and all(x["copies"] == copies and x["one"]["block"] is not None for x in one["parts"])
+                block = b"".join(by[n]["block"] for n in sorted(by)) if whole else None
                 if block is not None and len(block) != total:
                     block = None
-                shared = {"kind": first[0]["kind"], "record_id": one["origin"], "target_uri": first[0]["target_uri"], "refers_to": None, "declared": first[0]["declared"], "segment": None, "origin": one["origin"], "total": total}
-                yield batch_of([row(shared, first[0]["kind"], block, len(by), payloads)] * len(first))
-
-    return scanned.where("segment is null").unionByName(parts.mapInArrow(sparing(run), RECORD)).drop("segment", "block", "total", "origin", "declared")
-
-
-def resolve(read: DataFrame) -> DataFrame:
-    """Revisits with the length and digest of the response that they refer to; one that refers to none is not intact."""
-    origin = read.where("kind = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("o_bytes"), F.max("payload_digest").alias("o_digest")).withColumnRenamed("record_id", "o_id")
-    joined = read.join(origin, (F.col("kind") == "revisit") & (F.col("refers_to") == F.col("o_id")), "left")
-    return joined.withColumns({"payload_bytes": F.coalesce("payload_bytes", "o_bytes"), "payload_digest": F.coalesce("payload_digest", "o_digest"), "intact": F.col("intact") & ((F.col("kind") != "revisit") | F.col("o_id").isNotNull())}).drop("o_id", "o_bytes", "o_digest")
+                shared = {"kind": first["kind"], "record_id": one["origin"], "target_uri": one["target_uri"], "refers_to": None, "declared": first["declared"], "segment": None, "origin": one["origin"], "total": total}
+                yield batch_of([row(shared, first["kind"], block, len(by), payloads)]).append_column("copies", pa.array([copies], pa.int64()))
+
+    read = parts.mapInArrow(sparing(run), f"{RECORD}, copies long").withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
+    return scanned.where("segment is null").unionByName(read).drop("segment", "block", "total", "origin", "declared")
+
+
+def resolve(read: DataFrame, salts: int = 16) -> DataFrame:
+    """``read`` with every revisit's response looked up: its length and digest stand where the revisit states none, and a revisit that refers to none, or states others, is not intact.
+
+    Only revisits, and the responses that some revisit refers to, move; revisits of one response are dealt by ``salts``, so that no task gets all of a frequent one.
+    """
+    revisits = read.where("kind = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record_id", "target_uri"), F.lit(salts)).cast("int"))
+    wanted = revisits.select(F.col("refers_to").alias("o_id")).distinct()
+    origin = read.where("kind = 'response'").select(F.col("record_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).join(wanted, "o_id", "left_semi")
+    origin = origin.groupBy("o_id").agg(F.max(F.struct("o_bytes", "o_digest")).alias("o")).select("o_id", "o.o_bytes", "o.o_digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("o_salt"))
+    joined = revisits.join(origin, (F.col("refers_to") == F.col("o_id")) & (F.col("salt") == F.col("o_salt")), "left")
+    same = F.col("o_id").isNotNull() & F.coalesce(F.col("payload_bytes") == F.col("o_bytes"), F.lit(True)) & F.coalesce(F.col("payload_digest") == F.col("o_digest"), F.lit(True))
+    found = joined.withColumns({"payload_bytes": F.coalesce("payload_bytes", "o_bytes"), "payload_digest": F.coalesce("payload_digest", "o_digest"), "intact": F.col("intact") & same})
+    return read.where("kind <> 'revisit'").unionByName(found.select(*read.columns))
