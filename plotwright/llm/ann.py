@@ -6,14 +6,17 @@ through a priority queue of nodes by the cosine to their centroids, and so order
 leaves. How many leaves to visit is calibrated: for ``calibrate`` queries the true
 neighbours among all rows are found by brute force, and visits widen until they hold
 ``recall`` of them. Queries and rows of a leaf meet in blocks of bounded size, so a leaf
-with a third of all rows is many groups. The driver and the broadcast hold the tree and
-the leaves' sizes (``most_leaves`` at most), never rows.
+with a third of all rows is many groups, and a row is sent once for each ``ASKED`` of the
+queries that visit its leaf, not for others. The driver and the broadcast hold the tree and
+the leaves' sizes (``most_leaves`` at most; beyond ``most_leaves`` x ``rows_per_leaf`` rows
+the leaves grow with the table), never rows.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite
+Defined results: vectors meet those of their own length; each length is searched apart, by
+a tree of its own or, if rare, by comparing all. Vectors that are null, empty, zero, or hold null or non-finite
 components take no part. Ties go to the smaller id. A query visits more leaves where
 those calibrated hold fewer rows than asked for, so ``k`` neighbours are returned
 whenever there are so many candidates. Rows that repeat an id are candidates each, but
-none for a query of the same id; of several rows of a query's id the least vector asks.
+none for a query of the same id; of several rows of a query's id the least vector of each length asks.
 """
 
 from __future__ import annotations
@@ -28,9 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.common import cut, sparing
-from plotwright.llm.vectors import ASKED, ROWS, best, exact_dots, matrix, picked, top
-
-FOUND = "query_id long, vec_id long, score double"
+from plotwright.llm.vectors import ASKED, FOUND, NONE, ROWS, best, by_length, exact_dots, found_batch, matrix, picked, top
 
 
 @dataclass(frozen=True)
@@ -129,17 +130,19 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray,
     return tuple(np.concatenate([p[j] for p in parts]) for j in range(3))
 
 
-def found_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-
 def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, rows_per_leaf: int = 400, most_leaves: int = 4_096, calibrate: int = 256, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` holds, against all rows but the query's own."""
-    spark = df.sparkSession
-    every = picked(df.withColumn("q_", F.coalesce(is_query, F.lit(False))), id_col, vector_col, False, "q_")
+    every = picked(df, id_col, vector_col, False, is_query)
+    search = lambda some: visited(some, k, recall, sample, rows_per_leaf, most_leaves, calibrate, seed)
+    return top(by_length(every, search, lambda *both: nearest(*both, k)), k, "double")
+
+
+def visited(every: DataFrame, k: int, recall: float, sample: int, rows_per_leaf: int, most_leaves: int, calibrate: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest of each query in each leaf that it visits, of vectors of one length."""
+    spark = every.sparkSession
     n, n_asked = (x or 0 for x in every.agg(F.count("*"), F.count_if("q_")).first())
     if not n_asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], FOUND)
     place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
     drawn = lambda some, most, have: some.where(place < int((1 << 30) * min(1.0, most / have)) + 1).limit(2 * most).toArrow()
     tree = grow(unit_rows(matrix(drawn(every.select("id", "vector"), sample, n)["vector"])), int(np.clip(n // rows_per_leaf, 1, most_leaves)), seed=seed)
@@ -188,16 +191,18 @@ def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                 chosen.append(some)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(chosen, pa.list_(pa.int32()))], names=["id", "vector", "leaves"])
 
-    walks = asked.mapInArrow(sparing(walk), "id long, vector array<double>, leaves array<int>")
-    parts, asked_parts = spark.sparkContext.broadcast(-(-sizes // ROWS)), -(-n_asked // ASKED)
-    table = spark.createDataFrame([(int(j), int(x)) for j, x in enumerate(parts.value)], "leaf int, blocks int")
-    left = walks.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked_parts)).cast("int")).select("id", "vector", "part", F.explode("leaves").alias("leaf"))
-    left = left.join(F.broadcast(table), "leaf").where("blocks > 0").select("id", "vector", "part", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).toDF("q_id", "q_vector", "q_part", "q_leaf", "q_block")
-    right = rows.join(F.broadcast(table), "leaf").select("id", "vector", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))).alias("part"))
+    walks = cut(asked.mapInArrow(sparing(walk), "id long, vector array<double>, leaves array<int>"))
+    visitors = {r["leaf"]: r["count"] for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    met = [(int(j), int(-(-sizes[j] // ROWS)), -(-visitors[j] // ASKED)) for j in sorted(visitors) if sizes[j]]
+    table = F.broadcast(spark.createDataFrame(met, "leaf int, blocks int, parts int"))
+    dealt = lambda n, *more: F.pmod(F.xxhash64("id", *more), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = walks.select("id", "vector", F.explode("leaves").alias("leaf")).join(table, "leaf")
+    left = left.select("id", "vector", "leaf", dealt("parts", F.lit(1)).alias("part"), each("blocks").alias("block")).toDF("q_id", "q_vector", "q_leaf", "q_part", "q_block")
+    right = rows.join(table, "leaf").select("id", "vector", "leaf", dealt("blocks").alias("block"), each("parts").alias("part"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        if not l.num_rows or not r.num_rows:
-            return pa.Table.from_batches([found_batch((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))])
-        return pa.Table.from_batches([found_batch(nearest(l["q_id"].to_numpy(), matrix(l["q_vector"]), r["id"].to_numpy(), matrix(r["vector"]), k))])
+        some = l.num_rows and r.num_rows
+        return pa.Table.from_batches([found_batch(nearest(l["q_id"].to_numpy(), matrix(l["q_vector"]), r["id"].to_numpy(), matrix(r["vector"]), k) if some else NONE)])
 
-    return top(left.groupBy("q_leaf", "q_block", "q_part").cogroup(right.groupBy("leaf", "block", "part")).applyInArrow(run, FOUND), k, "double")
+    return left.groupBy("q_leaf", "q_block", "q_part").cogroup(right.groupBy("leaf", "block", "part")).applyInArrow(run, FOUND)

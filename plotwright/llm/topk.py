@@ -7,14 +7,15 @@ whose k-th best product is its threshold. It then goes only to buckets where its
 length times the bucket's greatest reaches the threshold. There the local cosine
 threshold (threshold over both lengths) chooses the pruning: by length alone where it is
 low, else by coordinates: on the query's largest coordinates a candidate must lie within
-the interval that the cosine allows. What is left is verified by its exact product.
+the interval that the cosine allows. What is left is verified by its exact product. A row
+is sent once for each ``ASKED`` of the queries that go to its bucket, not for others.
 
 All scores are integers below 2**53 in magnitude, so products in float64 are exact.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components
+Defined results: vectors meet those of their own length only. Vectors that are null, empty, or hold null or non-finite components
 take no part; a zero vector takes part. Ties go to the smaller id. Rows that repeat an
 id are candidates each, but none for a query of the same id; of several rows of a query's
-id the least vector asks.
+id the least vector of each length asks.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.common import cut
-from plotwright.llm.vectors import ASKED, ROWS, best, matrix, picked, top
+from plotwright.llm.vectors import ASKED, FOUND, NONE, ROWS, best, by_length, found_batch, matrix, picked, top
 
-FOUND = "query_id long, vec_id long, score double"
 SLACK = 1e-9
 #: From this local cosine threshold on, pruning is by coordinates.
 STEEP = 0.6
@@ -93,49 +93,58 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray,
 
 def top_k(df: DataFrame, is_query: Column, k: int, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", buckets: int = 32, rows_per_block: int = ROWS, queries_per_block: int = ASKED) -> DataFrame:
     """(query_id, rank, vec_id, score long) for the rows where ``is_query`` holds, against all rows."""
-    whole = picked(df.withColumn("q_", is_query), id_col, vector_col, True, "q_")
-    asked, whole = whole.where("q_").groupBy("id").agg(F.min("vector").alias("vector")), whole.drop("q_")
+    every = picked(df, id_col, vector_col, True, is_query)
+    least = lambda q: np.full(len(q), -np.inf)
+    ints = lambda x: np.floor(x * scale)
+    compare = lambda q_ids, q, ids, rows: search(q_ids, ints(q), least(q), ids, ints(rows), k)
+    return top(by_length(every, lambda some: bucketed(some, k, scale, buckets, rows_per_block, queries_per_block), compare), k, "long")
+
+
+def bucketed(whole: DataFrame, k: int, scale: int, buckets: int, rows_per_block: int, queries_per_block: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each query in each block that it meets, of vectors of one length."""
+    asked = whole.where("q_").groupBy("id").agg(F.min("vector").alias("vector"))
     ints = F.transform("vector", lambda x: F.floor(x * scale).cast("double"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    rows = whole.withColumn("vector", ints).withColumn("length", length)
-    asked = asked.withColumn("vector", ints).withColumn("length", length)
+    rows = whole.select("id", ints.alias("vector")).withColumn("length", length)
+    asked = cut(asked.withColumn("vector", ints).withColumn("length", length))
     edges = sorted({*(rows.approxQuantile("length", [j / buckets for j in range(1, buckets)], 0.001) or [])}, reverse=True)
     bucket = sum((F.when(F.col("length") < e, 1).otherwise(0) for e in edges), F.lit(0))
     rows = rows.withColumn("bucket", bucket)
     stats = sorted((r["bucket"], r["n"], r["most"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("length").alias("most")).collect())
+    if not stats:
+        return whole.sparkSession.createDataFrame([], FOUND)
     n_asked = asked.count()
-    blocks = {b: -(-n // rows_per_block) for b, n, _ in stats}
-    asked_blocks = max(1, -(-n_asked // queries_per_block))
-    of_bucket = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(n)) for b, n in blocks.items()], F.lit(1))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), of_bucket).cast("int"))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked_blocks)).cast("int"))
 
-    def meet(queries: DataFrame, wanted: Column, candidates: DataFrame) -> DataFrame:
-        """Each block of queries with each block of rows in ``wanted`` (an array of bucket and block)."""
-        left = queries.select("id", "vector", "theta", "part", F.explode(wanted).alias("to")).select("id", "vector", "theta", "part", "to.bucket", "to.block").toDF("q_id", "q_vector", "theta", "q_part", "q_bucket", "q_block")
-        right = candidates.select("id", "vector", "bucket", "block", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("part"))
+    def meet(queries: DataFrame, some: list[tuple[int, int, float, int]], wanted: Column) -> DataFrame:
+        """Each block of queries with each block of rows of the buckets ``wanted`` (an array). some: (bucket, rows, longest, queries that want it)."""
+        plan = [(b, -(-n // rows_per_block), -(-asking // queries_per_block)) for b, n, _, asking in some if asking]
+        table = F.broadcast(whole.sparkSession.createDataFrame(plan, "bucket int, blocks int, parts int"))
+        dealt = lambda n, *more: F.pmod(F.xxhash64("id", *more), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = queries.select("id", "vector", "theta", F.explode(wanted).alias("bucket")).join(table, "bucket")
+        left = left.select("id", "vector", "theta", "bucket", dealt("parts", F.lit(1)).alias("part"), each("blocks").alias("block")).toDF("q_id", "q_vector", "theta", "q_bucket", "q_part", "q_block")
+        right = rows.join(table, "bucket").select("id", "vector", "bucket", dealt("blocks").alias("block"), each("parts").alias("part"))
 
         def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-            if not l.num_rows or not r.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            found = search(l["q_id"].to_numpy(), matrix(l["q_vector"]), l["theta"].to_numpy(), r["id"].to_numpy(), matrix(r["vector"]), k)
-            return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+            both = l.num_rows and r.num_rows
+            return pa.Table.from_batches([found_batch(search(l["q_id"].to_numpy(), matrix(l["q_vector"]), l["theta"].to_numpy(), r["id"].to_numpy(), matrix(r["vector"]), k) if both else NONE)])
 
         return left.groupBy("q_bucket", "q_block", "q_part").cogroup(right.groupBy("bucket", "block", "part")).applyInArrow(run, FOUND)
 
-    def places(some: list[tuple[int, int, float]]) -> Column:
-        blocks_of = lambda b: F.transform(F.sequence(F.lit(0), F.lit(blocks[b] - 1)), lambda j: F.struct(F.lit(b).alias("bucket"), j.alias("block")))
-        return F.flatten(F.array(*[blocks_of(b) for b, _, _ in some]))
-
-    if not stats:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    head = [s for s in stats if s[0] == stats[0][0]]
-    first = cut(meet(asked.withColumn("theta", F.lit(float("-inf"))), places(head), rows.where(F.col("bucket") == stats[0][0])))
+    head, tail = stats[0], stats[1:]
+    first = cut(meet(asked.withColumn("theta", F.lit(float("-inf"))), [(*head, n_asked)], F.array(F.lit(head[0]))))
     reached = top(first, k, "double").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("theta"))
     known = asked.join(reached.withColumnRenamed("query_id", "id"), "id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
-    rest = F.flatten(F.array(*[F.when(F.col("length") * most * (1 + SLACK) + SLACK >= F.col("theta"), places([(b, n, most)])).otherwise(F.array().cast("array<struct<bucket:int,block:int>>")) for b, n, most in stats[1:]])) if len(stats) > 1 else None
-    found = first if rest is None else first.unionByName(meet(known, rest, rows.where(F.col("bucket") != stats[0][0])))
-    return top(found, k, "long")
+    goes = {b: F.col("length") * most * (1 + SLACK) + SLACK >= F.col("theta") for b, _, most in tail}
+    if not tail or not n_asked:
+        return first
+    known = cut(known)
+    asking = known.agg(*[F.count_if(goes[b]) for b, _, _ in tail]).first()
+    some = [(*x, n) for x, n in zip(tail, asking, strict=True)]
+    if not any(asking):
+        return first
+    wanted = F.array_compact(F.array(*[F.when(goes[b], F.lit(b)) for b, _, _ in tail]))
+    return first.unionByName(meet(known, some, wanted))
 
 
 def brute_force(ids: np.ndarray, vectors: np.ndarray, q_ids: Iterator[int], k: int, scale: int = 64) -> list[tuple[int, int, int, int]]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FOUND = "query_id long, vec_id long, score double"
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 #: Rows of a block of candidates, and of a block of queries: what one group holds at once.
 ROWS, ASKED = 4_096, 1_024
 
@@ -18,11 +22,40 @@ def usable(vector: Column, zero: bool) -> Column:
     return fine if zero else fine & F.exists(vector, lambda x: x != 0)
 
 
-def picked(df: DataFrame, id_col: str, vector_col: str, zero: bool, *more: str) -> DataFrame:
-    """(id, vector, more) of the rows that take part. Of vectors of several lengths those of the most frequent one do (the shorter of two)."""
-    fine = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), *more).where(F.col("id").isNotNull() & usable(F.col("vector"), zero))
-    lengths = fine.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
-    return fine.where(F.size("vector") == (lengths[0]["n"] if lengths else 0))
+def picked(df: DataFrame, id_col: str, vector_col: str, zero: bool, is_query: Column) -> DataFrame:
+    """(id, vector, q_) of the rows that take part; q_: whether they ask."""
+    fine = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q_"))
+    return fine.where(F.col("id").isNotNull() & usable(F.col("vector"), zero))
+
+
+def by_length(every: DataFrame, search: Callable[[DataFrame], DataFrame], compare: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """(query_id, vec_id, score): vectors meet those of their own length only, as products across lengths are undefined.
+
+    ``search`` finds the partial results of one length. The most frequent length goes there, and each other one of more than ``ROWS`` rows; the rows of a rarer one fit a group and are compared whole by ``compare``, all such lengths in one pass. The driver holds a count for each length.
+    """
+    counts = sorted(((r["count"], r["n"]) for r in every.groupBy(F.size("vector").alias("n")).count().collect()), key=lambda x: (-x[0], x[1]))
+    large = [n for k, (count, n) in enumerate(counts) if k == 0 or count > ROWS]
+    length = F.size("vector")
+    found = search(every if len(counts) < 2 else every.where(length == large[0]))
+    for n in large[1:]:
+        found = found.unionByName(search(every.where(length == n)))
+    if len(counts) == len(large):
+        return found
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, vectors, asks = rows["id"].to_numpy(), matrix(rows["vector"]), rows["q_"].to_numpy()
+        least: dict[int, int] = {}
+        for k in np.flatnonzero(asks).tolist():
+            if ids[k] not in least or tuple(vectors[k]) < tuple(vectors[least[ids[k]]]):
+                least[ids[k]] = k
+        at = np.array([*least.values()], np.int64)
+        return pa.Table.from_batches([found_batch(compare(ids[at], vectors[at], ids, vectors) if len(at) else NONE)])
+
+    return found.unionByName(every.where(~length.isin(large)).withColumn("n", length).groupBy("n").applyInArrow(run, FOUND))
+
+
+def found_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

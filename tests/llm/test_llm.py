@@ -194,12 +194,49 @@ def test_warc_round_trip(spark, tmp_path):
     found = {r.record_id: r for r in got}
     assert len(got) == len(given) and all(r.intact for r in got)
     for k, _, html in given:
-        r, data = found[f"urn:page:{'' if k is None else k}"], (html or "").encode()
+        data = (html or "").encode()
+        r = found[warc.identifier(k, warc.base32_sha1(data))]
         assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
         assert r.kind == ("revisit" if k in (1, 3, 7) else "response")
         if r.kind == "response":
             assert bytes(r.payload) == data
-    assert found["urn:page:1"].refers_to == "urn:page:5" and found["urn:page:7"].refers_to == "urn:page:8" and found["urn:page:9"].n_segments > 10
+    of = {r.record_id.split(":")[2]: r for r in got}
+    assert of["1"].refers_to == of["5"].record_id and of["7"].refers_to == of["8"].record_id and of["9"].n_segments > 10
+
+
+def brute_warc(rows):
+    """(page_id, bytes, digest, type, refers_to) of (page_id, html) rows."""
+    data = [(k, (h or "").encode()) for k, h in rows]
+    last = {}
+    for k, x in data:
+        last[x] = max(last.get(x, -1), -1 if k is None else k)
+    found = [(k, len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), last[x] if last[x] >= 0 else None) for k, x in data]
+    return sorted([(k, n, d, "response" if top == k else "revisit", None if top == k else top) for k, n, d, top in found], key=str)
+
+
+def test_op3_query_matches_brute_force(spark, tmp_path):
+    big, other = "ä<p>\r\n\r\n" * 20_000, "b" * 100_000
+    rows = [(1, big), (1, other), (3, "x" * 10), (3, "y" * 5), (2, "x" * 10), (1, "x" * 10), (9, big), (None, None), (None, "lone"), (4, ""), (5, other), (5, other), (6, "z"), (6, "z"), (7, "z")]
+    df = spark.createDataFrame([(k, f"http://{n % 3}/", h, "e") for n, (k, h) in enumerate(rows)], "page_id long, url string, html string, kind string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op3_warc(spark, str(tmp_path)).collect()
+    assert all(r.intact for r in got)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute_warc(rows)
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op3_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_op3_query_on_whole_pages(spark):
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    got = queries.op3_warc(spark, SMALL).collect()
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute_warc(rows)
+
+
+def test_warc_resolve_checks_what_revisits_state(spark):
+    fields = "kind string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, intact boolean"
+    read = spark.createDataFrame([("response", "a", "u", None, 3, "D", True), ("revisit", "b", "u", "a", None, None, True), ("revisit", "c", "u", "a", 4, "D", True), ("revisit", "d", "u", "gone", 3, "D", True)], fields)
+    got = by(warc.resolve(read), "record_id", "payload_bytes", "payload_digest", "intact")
+    assert got == {"a": (3, "D", True), "b": (3, "D", True), "c": (4, "D", False), "d": (3, "D", False)}
 
 
 def test_warc_damage():
@@ -373,6 +410,42 @@ def test_repeated_rows_of_a_query_lose_no_candidate(spark):
     assert ann.neighbours(df.where("vec_id = 0 or vec_id > 100"), F.col("vec_id") == 0, 5, rows_per_leaf=4).count() == 5
 
 
+def brute_cosines(rows, k, every):
+    """(query, rank, id) of each query's nearest among the (id, vector) rows of its length; ids are unique."""
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            others = [(-float(x @ y / np.sqrt((x @ x) * (y @ y))), j) for j, y in rows if j != q and len(y) == len(x)]
+            out += [(q, r, j) for r, (_, j) in enumerate(sorted((round(c, 12), j) for c, j in others)[:k], 1)]
+    return out
+
+
+def test_vectors_of_every_length_take_part(spark, monkeypatch):
+    import plotwright.llm.vectors as V
+
+    monkeypatch.setattr(V, "ROWS", 60)
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=n)) for k, n in enumerate([8] * 100 + [4] * 90 + [3] * 50 + [2] * 2)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in rows], "vec_id long, embedding array<double>")
+    near = ann.neighbours(df, F.col("vec_id") % 10 == 0, 4, rows_per_leaf=1000).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == sorted(brute_cosines(rows, 4, 10))
+    want = []
+    for n in (8, 4, 3, 2):
+        same = [(k, x) for k, x in rows if len(x) == n]
+        want += topk.brute_force(np.array([k for k, _ in same]), np.array([x for _, x in same]), [k for k, _ in same if k % 10 == 0], 5)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, 5, rows_per_block=30, queries_per_block=3)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
+
+
+def test_op6_and_op9_queries_against_brute_force(spark):
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    near = queries.op6_ann(spark, SMALL).collect()
+    want = brute_cosines(rows, 5, 50)
+    assert len(near) == len(want) and len({(r.query_id, r.vec_id) for r in near} & {(q, j) for q, _, j in want}) >= 0.9 * len(want)
+    best = topk.brute_force(np.array([k for k, _ in rows]), np.array([x for _, x in rows]), [k for k, _ in rows if k % 20 == 0], 20)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op9_topk(spark, SMALL).collect()) == sorted(best)
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(1)
     u = rng.normal(size=(500, 6))
