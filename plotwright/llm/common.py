@@ -6,6 +6,7 @@ import ctypes
 import functools
 import hashlib
 import math
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -64,11 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set and the master is this machine. Elsewhere executors could not read it, so that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plotwright-"))
         found = context.getCheckpointDir().get()
     return found
@@ -81,6 +84,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that is no longer read, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def others(df: DataFrame, *names: str) -> list[Column]:
     """The columns of ``df`` but those called ``names`` in any case: what an operator adds stands in place of what is called so."""
     taken = {n.lower() for n in names}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwright.llm import ann, bpe, extract, langid, minhash, mixing, sadedup, sharding, topk, warc
-from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
+from plotwright.llm.common import checkpoint_dir, crc_mod, cut, drop_folder, table
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,9 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
-    read = warc.resolve(warc.reassemble(cut(warc.scan(spark, path))))
+    scanned = cut(warc.scan(spark, path))
+    drop_folder(spark, path)
+    read = warc.resolve(warc.reassemble(scanned))
     return read.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"), "target_uri", "n_segments", "intact")
 
 
