@@ -4,13 +4,17 @@ Three passes, none of which shuffles a text:
 
 1. document frequencies of hashed n-grams, and rows of each language, over every labelled row;
 2. the n-gram counts of a bounded sample of labelled rows, on which the driver trains by
-   follow-the-regularised-leader (elastic net) and then calibrates one temperature;
-3. the prediction of every whole text, with the weights broadcast (``features`` x languages,
-   a size fixed by the parameters).
+   follow-the-regularised-leader (elastic net, the bias as a feature that always holds).
+   Of the penalties ``l1`` the largest is taken whose loss on rows held back is within one
+   standard error of the least; other rows held back then give the temperature;
+3. the prediction of every whole text, with the weights broadcast. Features and languages
+   make ``cells`` at most: with many languages n-grams share fewer features, no language
+   is left out.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text if no labelled row has a letter. Equal scores go to the language first by code point.
 Repeated rows are predicted alike; languages, sources and ids of a row are never inputs.
+Other columns pass through; those called lang_pred or score give way to the new ones.
 """
 
 from __future__ import annotations
@@ -19,21 +23,22 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plotwright.llm.common import codepoints, lean, sparing, splitmix, text_pieces
+from plotwright.llm.common import codepoints, lean, others, sparing, text_pieces
 
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_per_language`` bounds the rows that the driver trains on; all else covers all rows."""
+    """``sample_per_language`` bounds the rows that the driver trains on; all else covers all rows. ``features`` and ``cells`` are powers of two."""
 
     features: int = 1 << 15
     longest: int = 3
@@ -41,8 +46,9 @@ class Params:
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
-    l2: float = 1e-4
+    l1: tuple[float, ...] = (0.1, 0.3, 1.0, 3.0)
+    l2: float = 1e-2
+    cells: int = 1 << 22
     calibration_share: int = 5
     seed: int = 17
 
@@ -111,41 +117,68 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.ndarray, params: Params) -> Model | None:
-    """``rows``: (id's hash, language, n-grams, counts). Follow the regularised leader, coordinate by coordinate; then the temperature on rows held back."""
+    """``rows``: (id's hash, language, n-grams, counts). Follow the regularised leader, coordinate by coordinate, for all penalties side by side."""
     languages = tuple(sorted({r[1] for r in rows}, key=lambda x: [ord(c) for c in x]))
     if not languages:
         return None
     index = {x: k for k, x in enumerate(languages)}
     rows = sorted(rows, key=lambda r: (r[0], r[1], len(r[2])))
     data = [(r[2], weighed(r[2], r[3], idf), index[r[1]]) for r in rows]
-    held = [d for k, d in enumerate(data) if k % params.calibration_share == 0]
-    used = [d for k, d in enumerate(data) if k % params.calibration_share] or held
-    z, n = np.zeros((params.features, len(languages))), np.zeros((params.features, len(languages)))
-    bias = np.zeros(len(languages))
+    part = lambda j: [d for k, d in enumerate(data) if k % params.calibration_share == j]
+    chooses, calibrates = part(0), part(1)
+    used = [d for k, d in enumerate(data) if k % params.calibration_share > 1] or data
+    l1 = np.array(params.l1)[:, None]
+    z, n = (np.zeros((params.features + 1, len(params.l1), len(languages))) for _ in range(2))
 
     def weights_at(at: np.ndarray) -> np.ndarray:
         zs = z[at]
-        return -(zs - np.sign(zs) * params.l1) / ((params.beta + np.sqrt(n[at])) / params.alpha + params.l2) * (np.abs(zs) > params.l1)
+        return -(zs - np.sign(zs) * l1) / ((params.beta + np.sqrt(n[at])) / params.alpha + params.l2) * (np.abs(zs) > l1)
 
     for epoch in range(params.epochs):
         for k in np.random.default_rng([params.seed, epoch]).permutation(len(used)):
             at, x, y = used[k]
+            at, x = np.append(at, params.features), np.append(x, 1.0)
             w = weights_at(at)
-            slope = softmax(x @ w + bias)
-            slope[y] -= 1
-            g = x[:, None] * slope
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / params.alpha * w
-            n[at] += g * g
-            bias -= 0.05 * slope
-    weights = weights_at(np.arange(params.features))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in held])
-    truth = np.array([y for _, _, y in held])
-
-    def loss(t: float) -> float:
-        return float(-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean())
-
-    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 121))
-    return Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias, float(min(grid, key=loss)), params)
+            slope = softmax(np.tensordot(x, w, 1))
+            slope[:, y] -= 1
+            g = x[:, None, None] * slope
+            squares = n[at]
+            more = squares + g * g
+            z[at] += g - (np.sqrt(more) - np.sqrt(squares)) / params.alpha * w
+            n[at] = more
+    weights = weights_at(np.arange(params.features + 1))
+    logits = lambda some: np.array([np.tensordot(x, weights[at], 1) + weights[-1] for at, x, _ in some])
+    truth = lambda some: np.array([y for _, _, y in some], np.int64)
+    best = 0
+    if chooses:
+        p = softmax(logits(chooses))
+        losses = -np.log(np.maximum(p[np.arange(len(p)), :, truth(chooses)], 1e-12))
+        means, error = losses.mean(0), losses.std(0) / np.sqrt(len(losses))
+        least = int(np.argmin(means))
+        best = max((j for j in range(len(means)) if means[j] <= means[least] + error[least]), key=lambda j: params.l1[j])
+    temperature = calibrated(logits(calibrates)[:, best], truth(calibrates)) if calibrates else 1.0
+    return Model(languages, idf.astype(np.float32), weights[:-1, best].astype(np.float32), weights[-1, best], temperature, params)
+
+
+def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of greatest likelihood when, of n rows, each counts as wrong by 1 / (n + 2), spread over the other languages: so rows that are told apart without fault do not drive it to zero."""
+    n, size = logits.shape
+    if size < 2:
+        return 1.0
+    target = np.full((n, size), 1 / (n + 2) / (size - 1))
+    target[np.arange(n), truth] = (n + 1) / (n + 2)
+
+    def slope(cold: float) -> float:
+        """Of the loss by one over the temperature; it grows with it."""
+        return float(((softmax(logits * cold) - target) * logits).sum())
+
+    low, high = 1e-6, 1.0
+    while slope(high) < 0 and high < 1e9:
+        low, high = high, high * 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    return 2 / (low + high)
 
 
 def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -174,9 +207,11 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
             by[lang] = n
     if not by:
         return None
+    if len(by) * params.features > params.cells and params.features > 1:
+        return fit(labelled, replace(params, features=max(1, 1 << (params.cells // len(by)).bit_length() - 1)), id_col, text_col, lang_col)
     idf = np.log((1 + sum(by.values())) / (1 + frequency)) + 1
 
-    share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, params.sample_per_language / n)) for x, n in by.items()], F.lit(0.0))
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, params.sample_per_language / n)) for x, n in by.items()], "lang string, share double")
     position = (F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 11)).cast("double") / float(1 << 53)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +224,7 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
                     names=["key", "lang", "at", "counts"],
                 )
 
-    sample = rows.where(position < share).mapInArrow(sparing(gather), "key long, lang string, at binary, counts binary").collect()
+    sample = rows.join(F.broadcast(shares), "lang").where(position < F.col("share")).select("key", "lang", "text").mapInArrow(sparing(gather), "key long, lang string, at binary, counts binary").collect()
     return train([(k, lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for k, lang, at, c in sample], idf, params)
 
 
@@ -205,12 +240,11 @@ def predict_text(model: Model | None, text: str | None) -> tuple[str, float]:
 def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None), then lang_pred and score, for every row of ``df``."""
     lean(df.sparkSession)
-    kept = df.select(*(keep or [df[c] for c in df.columns]))
-    names = kept.columns
-    picked = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep or [df[c] for c in df.columns])], df[text_col].alias("text_in"))
+    keep = keep if keep is not None else others(df, "lang_pred", "score")
+    names = df.select(*keep).columns
+    picked = df.select(*[c.alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text_in"))
     shared = df.sparkSession.sparkContext.broadcast(model)
     inner = picked.drop("text_in").schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,5 +252,5 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: li
             found = [predict_text(shared.value, t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*inner.names, "lang_pred", "score"])
 
-    out = picked.mapInArrow(sparing(run), f"{schema}, lang_pred string, score double")
+    out = picked.mapInArrow(sparing(run), T.StructType([*inner.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return out.toDF(*names, "lang_pred", "score")
