@@ -8,12 +8,16 @@ of each class those below a threshold are taken. The thresholds come from a hist
 (source, size class, hash bin) of bounded size; what a class of long documents misses of
 its goal is carried to the next shorter class, so a source ends near its target.
 
-Texts are never shuffled. The driver holds one row per source (``most_sources`` at
-most, above it ValueError), a task one source's histogram (64 classes x ``BINS``).
+Texts are never shuffled. Sources are rows of a frame, in any number: a round of the
+water-filling is one sum over it, and all that the driver keeps of a round is the ratio of
+weight to size above which sources are clamped. A task holds one source's histogram (64
+classes x ``BINS``). Ranks for the cycle of weights are taken in one sorted pass over the
+sources' names, which spills.
 
 Defined results: null text has size 0; null is a source of its own, after all others;
 sources of size 0 have target 0; rows repeated in the input share their draw; an empty
-table gives an empty result; other columns pass through untouched.
+table gives an empty result; other columns pass through untouched, those called as the new
+ones (``prefix`` and size, source_size, target or copies) give way to them.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import cut
+from plotwright.llm.common import cut, others
 
 BINS = 256
-#: A broadcast of thresholds has this many sources at most (64 rows each); beyond it the join shuffles.
+#: What is broadcast has this many sources at most (64 rows of thresholds each); beyond it the joins shuffle.
 BROADCAST_SOURCES = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,50 +40,54 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], most_epochs: float) -> list[float]:
-    """Targets that share the sum of ``sizes`` by weight, none above ``most_epochs`` times its size."""
-    out = [0.0] * len(sizes)
-    open_ = [k for k, n in enumerate(sizes) if n > 0 and weights[k] > 0]
-    rest = float(sum(sizes))
-    while open_:
-        total = sum(weights[k] for k in open_)
-        above = [k for k in open_ if rest * weights[k] / total > most_epochs * sizes[k]]
-        if not above:
-            for k in open_:
-                out[k] = rest * weights[k] / total
+def weighted(sources: DataFrame, weights: dict[str | None, float] | None, cycle: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """``sources`` (source, total) with weight: as given (0 if not named), or in turn by code point, null last."""
+    if weights is not None:
+        given = sources.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
+        return sources.join(given, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "total", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (rank % len(cycle) + 1).cast("int")))
+
+
+def filled(sources: DataFrame, most_epochs: float) -> DataFrame:
+    """``sources`` (source, total, weight) with target: the sum of totals shared by weight, none above ``most_epochs`` times its total, the excess shared again.
+
+    A source is above its cap if weight / total is above the level most_epochs x open weight / rest of the size; clamping lowers the level, until it stays.
+    """
+    ratio = F.try_divide("weight", "total")
+    has = (F.col("total") > 0) & (F.col("weight") > 0)
+    every = sources.agg(F.sum("total")).first()[0] or 0
+    level, rest, open_ = float("inf"), float(every), 0.0
+    while True:
+        clamped = F.when(has & (ratio > level), F.col("total"))
+        gone, open_ = sources.agg(F.sum(clamped), F.sum(F.when(has & (ratio <= level), F.col("weight")))).first()
+        rest, open_ = every - most_epochs * (gone or 0), open_ or 0.0
+        if not open_ or rest <= 0:
             break
-        for k in above:
-            out[k] = float(most_epochs * sizes[k])
-        rest -= sum(out[k] for k in above)
-        open_ = [k for k in open_ if k not in {*above}]
-    return out
-
-
-def cycle_weights(names: Sequence[str | None], cycle: Sequence[float] = (1.0, 2.0, 3.0)) -> dict[str | None, float]:
-    """Weights in turn to sources by code point, null last."""
-    ordered = sorted((n for n in names if n is not None)) + [None] * (None in names)
-    return {n: cycle[k % len(cycle)] for k, n in enumerate(ordered)}
+        lower = most_epochs * open_ / rest
+        if lower >= level or not sources.where(has & (ratio <= level) & (ratio > lower)).limit(1).count():
+            break
+        level = lower
+    share = F.when(has & (ratio > level), most_epochs * F.col("total")).when(has, F.lit(max(0.0, rest)) * F.col("weight") / F.lit(open_ or 1.0))
+    return sources.withColumn("target", F.coalesce(share, F.lit(0.0)).cast("double"))
 
 
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_sources: int = 1_000_000, prefix: str = "mix_") -> DataFrame:
+def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
     """``df`` with size, source_size, target and copies (whole repetitions to take), each name after ``prefix``. Without ``weights``, 1, 2, 3 in turn."""
-    size, source = words(F.col(text_col)), F.col(source_col).cast("string")
-    kind = F.floor(F.log2(size + 1)).cast("int")
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), size, F.lit(seed)), F.lit(BINS)).cast("int")
-    p = prefix
-    bins = cut(df.select(source.alias("source"), kind.alias("kind"), place.alias("place"), size.alias("size")).groupBy("source", "kind", "place").agg(F.sum("size").alias("size")))
-    totals = {r[0]: int(r[1]) for r in bins.groupBy("source").agg(F.sum("size")).limit(most_sources + 1).collect()}
-    if len(totals) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    weigh = weights or cycle_weights([*totals])
-    names = [*totals]
-    targets = dict(zip(names, water_fill([totals[n] for n in names], [weigh.get(n, 0.0) for n in names], most_epochs), strict=True))
-    plan = {n: (totals[n], targets[n], int(targets[n] / totals[n] + 1e-12) if totals[n] else 0) for n in names}
+    size, source = words(F.col(f"`{text_col}`")), F.col(f"`{source_col}`").cast("string")
+    kind = F.floor(F.log2(F.col("size") + 1)).cast("int")
+    place = F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(BINS)).cast("int")
+    row = F.struct(F.lit(0).alias("_"), *others(df, *[prefix + c for c in ("size", "source_size", "target", "copies")]))
+    sized = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), source.alias("source"), size.alias("size"), row.alias("row"))
+    sized = sized.select("source", "size", kind.alias("kind"), place.alias("place"), "row")
+    bins = cut(sized.groupBy("source", "kind", "place").agg(F.sum("size").alias("size")))
+    sources = cut(filled(cut(weighted(bins.groupBy("source").agg(F.sum("size").alias("total")), weights)), most_epochs))
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    at_hand = lambda some: F.broadcast(some) if few else some
+    plan = sources.select(F.col("source").alias("m_source"), "total", "target", F.when(F.col("total") > 0, F.floor(F.try_divide("target", "total") + 1e-12)).otherwise(0).cast("int").alias("whole"))
 
     def thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["source"].iloc[0]
-        name = None if pd.isna(name) else name
-        total, target, whole = plan[name]
+        name, total, target, whole = (pdf[c].iloc[0] for c in ("m_source", "total", "target", "whole"))
         part = max(0.0, target / total - whole) if total else 0.0
         missed, out = 0.0, []
         for k in sorted(pdf["kind"].unique(), reverse=True):
@@ -88,16 +96,14 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epoc
             reached = [0, *own.cumsum()]
             below = min(range(BINS + 1), key=lambda b: (abs(reached[b] - goal), b))
             missed = goal - reached[below]
-            out.append((name, int(k), below, whole, total, target))
+            out.append((None if pd.isna(name) else name, int(k), below, int(whole), int(total), float(target)))
         return pd.DataFrame(out, columns=["m_source", "m_kind", "m_below", "m_whole", "m_total", "m_target"]).astype({"m_source": object})
 
-    table = bins.groupBy("source").applyInPandas(thresholds, "m_source string, m_kind int, m_below int, m_whole int, m_total long, m_target double")
-    if len(totals) <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    sized = df.withColumns({f"{p}size": size, f"{p}kind": kind, f"{p}place": place})
-    joined = sized.join(table, source.eqNullSafe(F.col("m_source")) & (F.col(f"{p}kind") == F.col("m_kind")), "left")
-    copies = F.coalesce(F.col("m_whole") + (F.col(f"{p}place") < F.col("m_below")).cast("int"), F.lit(0))
-    return joined.withColumns({f"{p}source_size": F.col("m_total"), f"{p}target": F.col("m_target"), f"{p}copies": F.when(F.col(f"{p}size") > 0, copies).otherwise(F.least(copies, F.lit(1)))}).drop("m_source", "m_kind", "m_below", "m_whole", "m_total", "m_target", f"{p}kind", f"{p}place")
+    table = bins.join(at_hand(plan), F.col("source").eqNullSafe(F.col("m_source"))).groupBy("m_source").applyInPandas(thresholds, "m_source string, m_kind int, m_below int, m_whole int, m_total long, m_target double")
+    joined = sized.join(at_hand(cut(table)), F.col("source").eqNullSafe(F.col("m_source")) & (F.col("kind") == F.col("m_kind")), "left")
+    copies = F.coalesce(F.col("m_whole") + (F.col("place") < F.col("m_below")).cast("int"), F.lit(0))
+    new = {"size": F.col("size"), "source_size": F.col("m_total"), "target": F.col("m_target"), "copies": F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1)))}
+    return joined.select(*[F.col(f"row.`{c}`") for c in sized.schema["row"].dataType.names[1:]], *[x.alias(prefix + c) for c, x in new.items()])
 
 
 def repeat(df: DataFrame, copies: str) -> DataFrame:
