@@ -11,7 +11,8 @@ key with more than ``hot_rows`` rows are spread by a hash of the other given col
 rows of a key stay together.
 
 Defined results: a null key is a key like any other; an empty table gives an empty
-result; repeated rows go to the same shard.
+result; repeated rows go to the same shard. Other columns pass through; those called
+shard_slot or shard give way to the new ones (but may be keys).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotwright.llm.common import others
+
 
 def number(name: str, salt: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{salt}:{name}".encode(), digest_size=8).digest(), "big")
@@ -53,14 +56,16 @@ def fill(shards: Sequence[str], slots: int) -> list[int]:
 
 def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slots: int = 65_537, spread: Sequence[str] = (), hot_rows: int = 1_000_000) -> DataFrame:
     """``df`` with shard_slot and shard."""
-    key = F.xxhash64(*[F.col(k).cast("string") for k in keys])
+    hashed = lambda names, *first: F.xxhash64(*first, *[F.col(f"`{c}`").cast("string") for c in names])
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill(shards, slots))], "shard_slot int, shard string")
-    keyed = df.withColumn("shard_key", key)
+    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill(shards, slots))], "slot int, shard string")
+    keyed = df.select(hashed(keys).alias("key"), *([hashed(spread, hashed(keys)).alias("other")] if spread else []), F.struct(F.lit(0).alias("_"), *others(df, "shard_slot", "shard")).alias("row"))
     if spread:
-        hot = keyed.groupBy("shard_key").count().where(F.col("count") > hot_rows).select("shard_key", F.lit(True).alias("shard_hot"))
-        keyed = keyed.join(hot, "shard_key", "left").withColumn("shard_key", F.when(F.col("shard_hot"), F.xxhash64("shard_key", *[F.col(c).cast("string") for c in spread])).otherwise(F.col("shard_key"))).drop("shard_hot")
-    return keyed.withColumn("shard_slot", F.pmod("shard_key", F.lit(slots)).cast("int")).drop("shard_key").join(F.broadcast(table), "shard_slot").select(*df.columns, "shard_slot", "shard")
+        hot = keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.lit(True).alias("hot"))
+        keyed = keyed.join(hot, "key", "left").select(F.when(F.col("hot"), F.col("other")).otherwise(F.col("key")).alias("key"), "row")
+    placed = keyed.select(F.pmod("key", F.lit(slots)).cast("int").alias("slot"), "row").join(F.broadcast(table), "slot")
+    own = [F.col(f"row.`{c}`") for c in keyed.schema["row"].dataType.names[1:]]
+    return placed.select(*own, F.col("slot").alias("shard_slot"), "shard")
 
 
 def write(df: DataFrame, path: str, keys: Sequence[str], shards: Sequence[str], **options) -> None:
