@@ -20,23 +20,16 @@ def stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): every node of ``links`` (columns a, b) and the least node of its component, roots included."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): every node of ``links`` (columns a, b) and the least node of its component, roots included. Rounds go on until the edges stay what they were."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    before = mark(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
+    count = edges.count()
+    while count:
+        after = cut(stars(stars(edges, False), True))
+        n = after.count()
+        same = n == count and not after.join(edges, ["a", "b"], "left_anti").limit(1).count()
+        edges, count = after, n
+        if same:
             break
-        edges = cut(stars(stars(edges, False), True))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

@@ -7,8 +7,10 @@ a register keeps the earliest, and a process ends once its next arrival is later
 registers hold. Two texts agree in a register with probability equal to the probability
 Jaccard similarity of their weighted shingles. The registers are banded; texts that share
 a band are candidates, and a candidate is a link if the exact Jaccard similarity of the
-shingle sets is ``least`` or more. With 24 bands of 4 a pair at 0.8 escapes all bands with
-probability 3e-6.
+shingle sets is ``least`` or more. Where a text repeats shingles, weights part the two
+measures; such a text is banded a second time with all weights 1 (in a text without repeats
+both are one). So every pair of set similarity 0.8 has 24 bands of 4 that agree with that
+probability, and escapes them all with probability 3e-6.
 
 Copies (equal sequences of words) are one node from the start. In a band's bucket all
 nodes meet the bucket's least one. Buckets that then still hold nodes of different
@@ -102,7 +104,7 @@ def shingles(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
-    """The ProbMinHash registers (one row of ``m`` per set, none of them empty): hash of the shingle that came first."""
+    """The ProbMinHash registers (one row of ``m`` per set of shingles and counts, none of them empty): hash of the shingle that came first."""
     owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
     h = np.concatenate([s[0] for s in sets])
     rate = 1 + np.log(np.concatenate([s[1] for s in sets]).astype(np.float64))
@@ -133,7 +135,7 @@ def band_keys(kept: np.ndarray, params: Params) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, params: Params) -> DataFrame:
-    """(id, copy binary, n, bands array<long>): fingerprint of the words in order, number of shingles, and the band keys; fingerprint and keys are null for blank texts."""
+    """(id, copy binary, n, bands array<long>): fingerprint of the words in order, number of shingles, and the different band keys; fingerprint and keys are null for blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +148,11 @@ def sketch(docs: DataFrame, params: Params) -> DataFrame:
                     sets = [shingles(words[k], params.words) for k in full]
                     for k, x, own in zip(full, band_keys(registers(sets, params.registers), params), sets, strict=True):
                         keys[k], sizes[k] = x, len(own[0])
+                    repeats = [j for j, (_, counts) in enumerate(sets) if counts.max() > 1]
+                    if repeats:
+                        bare = [(sets[j][0], np.ones(len(sets[j][0]), np.int64)) for j in repeats]
+                        for j, x in zip(repeats, band_keys(registers(bare, params.registers), params), strict=True):
+                            keys[full[j]] = np.union1d(keys[full[j]], x)
                 copies = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "n", "bands"])
 
