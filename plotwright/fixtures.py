@@ -45,9 +45,10 @@ MAPPINGS = """
 SELECT o_orderkey * 2 AS mapping_id, o_orderkey AS housing_id, o_custkey AS address_id, 'property' AS address_type FROM {orders} WHERE o_orderkey % 3 <> 0
 UNION ALL SELECT o_orderkey * 2 + 1 AS mapping_id, o_orderkey AS housing_id, (o_custkey * 7 + 3) % 1200 AS address_id, 'owner' AS address_type FROM {orders} WHERE o_orderkey % 4 <> 0
 """
-#: Raw text rows, good enough to pass the checks.
+#: Raw text rows, good enough to pass the checks; some addresses need each of the repairs.
 RAW = """
-SELECT cast(unique_id AS string) AS `UniqueID`, parcel_id AS `ParcelID`, land_use AS `LandUse`, replace(property_address, ' ', '  ') AS `PropertyAddress`, cast(sale_date AS string) AS `SaleDate`,
+SELECT cast(unique_id AS string) AS `UniqueID`, parcel_id AS `ParcelID`, land_use AS `LandUse`,
+  replace(CASE WHEN unique_id % 53 = 1 THEN '1 FALL CREEK DR, X' WHEN unique_id % 61 = 2 THEN '12 AB STREET, X' WHEN unique_id % 67 = 3 THEN '7 BCREEK RD, X' WHEN unique_id % 2 = 0 THEN property_address ELSE replace(replace(property_address, 'MACHINERY', 'MACHI NERY'), 'HOUSEHOLD', 'HOUSE HOLD') END, ' ', '  ') AS `PropertyAddress`, cast(sale_date AS string) AS `SaleDate`,
   '$' || cast(cast(coalesce(sale_price, 1000) AS bigint) AS string) AS `SalePrice`, legal_reference AS `LegalReference`, CASE unique_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Y' WHEN 2 THEN 'No' ELSE 'N' END AS `SoldAsVacant`,
   owner_name AS `OwnerName`, owner_address AS `OwnerAddress`, cast(acreage AS string) AS `Acreage`, 'URBAN' AS `TaxDistrict`, cast(land_value AS string) AS `LandValue`, '1' AS `BuildingValue`, '2' AS `TotalValue`,
   cast(year_built AS string) AS `YearBuilt`, cast(bedrooms AS string) AS `Bedrooms`, cast(full_bath AS string) AS `FullBath`, cast(half_bath AS string) AS `HalfBath` FROM {sales}

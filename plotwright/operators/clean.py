@@ -10,9 +10,10 @@ from plotwright.functions.text import collapse_spaces, snake_case, yes_no
 from plotwright.functions.values import bad_price, parse_date, parse_price
 from plotwright.operators.dedup import keep_first
 from plotwright.operators.fuzzy import correct_spacing, reconcile, split_initials, split_letters, street_from_owner
-from plotwright.operators.impute import fill
+from plotwright.operators.impute import fill_all
 from plotwright.operators.validate import require, require_key
 from plotwright.schemas import NUMERIC_COLUMNS, SALE_KEY
+from plotwright.storage import settle
 
 PARTIES = [("property_address", "property_address_imputed"), ("owner_address", "owner_address_imputed")]
 
@@ -53,18 +54,17 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def repaired(df: DataFrame) -> DataFrame:
-    """Fills, spelling, and the agreement of both addresses."""
-    out = fill(df, ["parcel_id"], *PARTIES[0])
-    out = fill(out, ["parcel_id", "owner_name"], *PARTIES[1])
-    out = correct_spacing(out)
+    """Fills, spelling, and the agreement of both addresses. The filled rows are kept, as the spelling reads them several times."""
+    filled = settle(fill_all(df, [(["parcel_id"], *PARTIES[0]), (["parcel_id", "owner_name"], *PARTIES[1])]))
+    out = correct_spacing(filled)
     address = split_letters(F.col("property_address"))
     address = street_from_owner(address, F.col("owner_address"))
     return reconcile(out.withColumn("property_address", split_initials(address)))
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """The whole sequence; raises ValidationError before any later step if rows are bad."""
-    require_key(raw, [raw.columns[0]])
-    named = collapse(rename(raw))
+    """The whole sequence; raises ValidationError before any later step if rows are bad. The raw rows are evaluated once."""
+    named = settle(collapse(rename(raw)))
+    require_key(named, [named.columns[0]])
     require(named, checks())
     return keep_first(repaired(typed(named)), SALE_KEY, "unique_id")

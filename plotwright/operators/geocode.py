@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import datetime
+import functools
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import full_address
 from plotwright.functions.values import needs_geocoding, point
-from plotwright.schemas import ADDRESSES, CORRECTION_LOG, GEOCODE_RESULT
+from plotwright.operators import quota
+from plotwright.operators.cache import numbered
+from plotwright.operators.quota import CUTOFF
+from plotwright.operators.validate import require_unique
+from plotwright.schemas import CORRECTION_LOG, GEOCODE_RESULT, USAGE
 from plotwright.sources.providers import Provider, Result
 from plotwright.storage import settle
 
-#: Of a quota of 1000 calls a window, so many are used.
-QUOTA, CUTOFF = 1000, 950
+USED_UP = "quota used up"
 
 
 def pending(cache: DataFrame, ids: DataFrame | None = None, force: bool = False, limit: int | None = None) -> DataFrame:
@@ -38,7 +44,7 @@ def chain(primary: Provider, fallback: Provider | None, used: int = 0, cutoff: i
         if first.success or fallback is None:
             return first
         if count >= cutoff:
-            return Result(False, source=fallback.name, message="quota used up")
+            return Result(False, source=fallback.name, message=USED_UP)
         count += 1
         return fallback.geocode(address)
 
@@ -60,7 +66,8 @@ def resolve(asked: DataFrame, make: Callable[[], Callable[[str], Result]], paral
 
 
 def store(cache: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """The cache with ``results``: place and address are the answer's (null on failure), geocoded_at is set once."""
+    """The cache with ``results``: place and address are the answer's (null on failure), geocoded_at is set once. Results that repeat an id are refused."""
+    require_unique(results, "address_id")
     r = results.select(F.col("address_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in ("success", "latitude", "longitude", "corrected_address", "confidence", "source")])
     hit = F.col("r_id").isNotNull()
     new = {
@@ -77,52 +84,70 @@ def store(cache: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     return cache.join(r, cache["address_id"] == r["r_id"], "left").withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in new.items()}).select(*cache.columns)
 
 
-def bulk(cache: DataFrame, ids: DataFrame, make: Callable[[], Callable[[str], Result]], now: Column, batch_size: int = 100, force: bool = False) -> tuple[DataFrame, dict]:
-    """Pending addresses among ``ids`` in batches of ids, each kept before the next; stops when a batch meets the end of the quota."""
+def bulk(
+    cache: DataFrame, ids: DataFrame, make: Callable[[int], Callable[[str], Result]], now: Column, usage: DataFrame | None = None, batch_size: int = 100, force: bool = False, api: str = "HERE", cutoff: int = CUTOFF, clock: Callable[[], datetime.datetime] = datetime.datetime.now
+) -> tuple[DataFrame, DataFrame, dict]:
+    """(cache, usage, report) after the pending addresses among ``ids``, in batches of ids, each kept before the next.
+
+    ``make`` gets the calls to ``api`` that the open window has seen, by ``usage``, the persistent counter. A batch's calls are counted from its answers and added before the next batch starts; the run stops after the batch that reaches ``cutoff``. What could not be asked for is left as it was.
+    """
     asked = settle(pending(cache, ids, force))
+    usage = asked.sparkSession.createDataFrame([], USAGE) if usage is None else usage
     done = {"asked": 0, "geocoded": 0, "failed": 0, "stopped": False}
-    last = None
+    last, began = None, time.monotonic()
     while not done["stopped"]:
         part = settle(asked.where(F.lit(True) if last is None else F.col("address_id") > last).orderBy("address_id").limit(batch_size))
         n, last_ = part.agg(F.count("*"), F.max("address_id")).first()
         if not n:
             break
-        last = last_
-        found = settle(resolve(part, make))
-        good, over = found.agg(F.count_if("success"), F.count_if(F.col("message") == "quota used up")).first()
-        cache = settle(store(cache, found.where(~F.coalesce(F.col("message") == "quota used up", F.lit(False))), now))
-        done["asked"] += n
+        last, at = last_, clock()
+        used = quota.window_used(usage, api, at)[0]
+        found = settle(resolve(part, functools.partial(make, used)))
+        over = F.coalesce(F.col("message") == USED_UP, F.lit(False))
+        good, late, calls = found.agg(F.count_if("success"), F.count_if(over), F.count_if((F.col("source") == api) & ~over)).first()
+        cache = settle(store(cache, found.where(~over), now))
+        usage = settle(quota.add_calls(usage, api, calls, at))
+        done["asked"] += n - late
         done["geocoded"] += good
-        done["failed"] += n - good - over
-        done["stopped"] = over > 0
-    return cache, done | {"success_rate": done["geocoded"] / done["asked"] if done["asked"] else 0.0}
+        done["failed"] += n - good - late
+        done["stopped"] = late > 0 or quota.window_used(usage, api, at)[0] >= cutoff
+    seconds = time.monotonic() - began
+    share = lambda x: x / done["asked"] if done["asked"] else 0.0
+    return cache, usage, done | {"success_rate": share(done["geocoded"]), "seconds": seconds, "seconds_per_address": share(seconds)}
 
 
-def correct(cache: DataFrame, corrections: DataFrame, log: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def correct(cache: DataFrame, corrections: DataFrame, log: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(cache, log) after corrections by hand (address_id, corrected_address, latitude, longitude, changed_by, reason).
 
     One log row if the corrected text differs; another if a coordinate does and both new ones are given.
-    Ids that the cache lacks are not corrected.
+    Ids that the cache lacks are not corrected. Several corrections of an id are applied in the ``order`` of
+    that column, each logged against the one before it; without ``order`` they are refused.
     """
-    n = corrections.select(*[F.col(c).alias(f"n_{c}") for c in ("address_id", "corrected_address", "latitude", "longitude", "changed_by", "reason")])
+    if order is None:
+        require_unique(corrections, "address_id")
+    wanted = ["address_id", "corrected_address", "latitude", "longitude", "changed_by", "reason"]
+    n = corrections.where("address_id is not null").select(*[F.col(c).alias(f"n_{c}") for c in wanted], (F.col(order) if order else F.lit(0)).alias("n_order"))
+    w = Window.partitionBy("n_address_id").orderBy("n_order", *[f"n_{c}" for c in wanted[1:]])
+    n = n.withColumns({"n_step": F.row_number().over(w), "n_final": F.lead("n_address_id").over(w).isNull()} | {f"b_{c}": F.lag(f"n_{c}").over(w) for c in wanted[1:4]})
     hit = F.col("n_address_id").isNotNull()
-    joined = cache.join(n, cache["address_id"] == n["n_address_id"], "left")
-    new = {c: F.col(f"n_{c}") for c in ("corrected_address", "latitude", "longitude")} | {"geocode_status": F.lit("MANUALLY_CORRECTED"), "last_updated": now, "geom": F.coalesce(point(F.col("n_latitude"), F.col("n_longitude")), F.col("geom"))}
+    joined = cache.join(n.where("n_final"), cache["address_id"] == n["n_address_id"], "left")
+    new = {c: F.col(f"n_{c}") for c in wanted[1:4]} | {"geocode_status": F.lit("MANUALLY_CORRECTED"), "last_updated": now, "geom": F.coalesce(point(F.col("n_latitude"), F.col("n_longitude")), F.col("geom"))}
     out = joined.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in new.items()}).select(*cache.columns)
+
+    steps = n.join(cache.select("address_id", *wanted[1:4]), F.col("n_address_id") == F.col("address_id"))
+    old = {c: F.when(F.col("n_step") == 1, F.col(c)).otherwise(F.col(f"b_{c}")) for c in wanted[1:4]}
     both = F.col("n_latitude").isNotNull() & F.col("n_longitude").isNotNull()
-    moved = both & ~(F.col("latitude").eqNullSafe(F.col("n_latitude")) & F.col("longitude").eqNullSafe(F.col("n_longitude")))
+    moved = both & ~(old["latitude"].eqNullSafe(F.col("n_latitude")) & old["longitude"].eqNullSafe(F.col("n_longitude")))
     pair = lambda a, b: F.format_string("(%s, %s)", F.coalesce(a.cast("string"), F.lit("None")), F.coalesce(b.cast("string"), F.lit("None")))
     entries = F.array_compact(
         F.array(
-            F.when(~F.col("corrected_address").eqNullSafe(F.col("n_corrected_address")), F.struct(F.lit(1).alias("k"), F.col("corrected_address").alias("original_value"), F.col("n_corrected_address").alias("new_value"), F.lit("corrected_address").alias("field_changed"))),
-            F.when(moved, F.struct(F.lit(2).alias("k"), pair(F.col("latitude"), F.col("longitude")).alias("original_value"), pair(F.col("n_latitude"), F.col("n_longitude")).alias("new_value"), F.lit("coordinates").alias("field_changed"))),
+            F.when(~old["corrected_address"].eqNullSafe(F.col("n_corrected_address")), F.struct(F.lit(1).alias("k"), old["corrected_address"].alias("original_value"), F.col("n_corrected_address").alias("new_value"), F.lit("corrected_address").alias("field_changed"))),
+            F.when(moved, F.struct(F.lit(2).alias("k"), pair(old["latitude"], old["longitude"]).alias("original_value"), pair(F.col("n_latitude"), F.col("n_longitude")).alias("new_value"), F.lit("coordinates").alias("field_changed"))),
         )
     )
-    from plotwright.operators.cache import numbered
-
-    rows = joined.where(hit).select("address_id", F.explode(entries).alias("e"), "n_changed_by", "n_reason").select("address_id", "e.*", F.col("n_changed_by").alias("changed_by"), now.alias("changed_at"), F.col("n_reason").alias("reason"))
+    rows = steps.select("address_id", "n_step", F.explode(entries).alias("e"), "n_changed_by", "n_reason").select("address_id", "n_step", "e.*", F.col("n_changed_by").alias("changed_by"), now.alias("changed_at"), F.col("n_reason").alias("reason"))
     last = log.agg(F.max("id")).first()[0] or 0
-    added = numbered(rows, ["address_id", "k"], "id", last)
+    added = numbered(rows, ["address_id", "n_step", "k"], "id", last)
     return out, log.unionByName(added.select(*[F.col(f.name).cast(f.dataType) for f in CORRECTION_LOG]))
 
 
@@ -140,11 +165,3 @@ def listed(cache: DataFrame, status: str | None = None, limit: int = 1000) -> Da
 
 def recent_corrections(log: DataFrame, cache: DataFrame, limit: int = 100) -> DataFrame:
     return log.join(cache.select("address_id", "address", "city"), "address_id").orderBy(F.col("changed_at").desc_nulls_first(), F.col("id").desc()).limit(limit)
-
-
-def empty_cache(spark) -> DataFrame:
-    return spark.createDataFrame([], ADDRESSES)
-
-
-def statuses(known: Sequence[str]) -> Column:
-    return F.col("geocode_status").isin(*known) | F.col("geocode_status").isNull()

@@ -19,13 +19,20 @@ def fill(df: DataFrame, keys: Sequence[str], target: str, flag: str, order: str
 
     Null keys equal nothing. ``flag`` turns true only where a value was filled.
     """
-    present = F.col(target).isNotNull()
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    donors = df.where(present).groupBy(*keys).agg(F.min_by(target, order).alias("donor_"))
-    joined = df.join(donors, [*keys], "left")
-    filled = F.col(target).isNull() & F.col("donor_").isNotNull()
-    return joined.withColumns({target: F.coalesce(target, "donor_"), flag: F.coalesce(F.col(flag), F.lit(False)) | filled}).select(*df.columns)
+    return fill_all(df, [(keys, target, flag)], order)
+
+
+def fill_all(df: DataFrame, fills: Sequence[tuple[Sequence[str], str, str]], order: str = "unique_id") -> DataFrame:
+    """Several fills (keys, target, flag) of different columns, none of which is a key of another: all donors come from ``df`` itself."""
+    out = df
+    for k, (keys, target, flag) in enumerate(fills):
+        present = F.col(target).isNotNull()
+        for c in keys:
+            present = present & F.col(c).isNotNull()
+        donors = df.where(present).groupBy(*keys).agg(F.min_by(target, order).alias(f"donor_{k}_"))
+        filled = F.col(target).isNull() & F.col(f"donor_{k}_").isNotNull()
+        out = out.join(donors, [*keys], "left").withColumns({target: F.coalesce(target, f"donor_{k}_"), flag: F.coalesce(F.col(flag), F.lit(False)) | filled})
+    return out.select(*df.columns)
 
 
 def fill_from(df: DataFrame, source: DataFrame, on: Sequence[str], target: str, flag: str = "address_was_imputed", condition: Column | None = None, order: str = "unique_id") -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.text import bathrooms, confidence_label, or_na, percent_label
 from plotwright.functions.values import bucket, nice_round
+from plotwright.operators.profile import quantiles
 from plotwright.schemas import EXPORT_COLUMNS, POINT_COLUMNS
 
 MAP_ROWS = 60_000
@@ -50,8 +51,8 @@ def map_rows(sales: DataFrame, mappings: DataFrame, cache: DataFrame, limit: int
 
 def price_breaks(df: DataFrame, price: str = "sale_price") -> DataFrame:
     """One row, one array: quartiles rounded to two digits, or exact where rounding would merge them; in order."""
-    q = F.percentile(F.col(price).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    exact = df.agg(q.alias("q"))
+    q = F.array(*[F.lit(x).cast("double") for x in quantiles(df, price, (0.25, 0.5, 0.75))])
+    exact = df.sparkSession.range(1).select(q.alias("q"))
     rounded = F.transform("q", nice_round)
     return exact.select(F.sort_array(F.when(F.size(F.array_distinct(rounded)) < 3, F.col("q")).otherwise(rounded)).alias("breaks"))
 

@@ -1,14 +1,16 @@
-"""Profiles and quality measures. Each is one pass of aggregates; only rows of the size of the schema reach the driver."""
+"""Profiles and quality measures, by aggregates; only rows of the size of the schema, and of the number of partitions, reach the driver."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotwright.functions.values import parse_date
+from plotwright.storage import settle
 
 STATS = ["missing", "missing_pct", "unique_values", "unique_pct", "min", "max", "mean", "zeros", "negatives", "empty_strings", "date_format_issues", "no_house_number"]
 
@@ -18,24 +20,23 @@ def numeric(field: T.StructField) -> bool:
 
 
 def columns(df: DataFrame) -> DataFrame:
-    """One row per column: missing and distinct values; of numbers also range, mean, zeros and negatives; of text also empty strings, dates that cannot be read (columns named date) and addresses without a digit (columns named address)."""
+    """One row per column (in one pass, but for the distinct values, which are a pass over each column alone): missing and distinct values; of numbers also range, mean, zeros and negatives; of text also empty strings, dates that cannot be read (columns named date) and addresses without a digit (columns named address)."""
     n, none = F.count("*"), F.lit(None).cast("double")
-    stats = []
+    stats, uniques = [], []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if not isinstance(f.dataType, T.AtomicType):
             c = c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(c)
         text, number = isinstance(f.dataType, T.StringType), numeric(f)
         x = c.cast("double") if number else None
-        missing, unique = F.count_if(c.isNull()), F.count_distinct(c)
+        missing = F.count_if(c.isNull())
+        uniques.append(df.select(c.alias("v")).where("v is not null").distinct().agg(F.lit(f.name).alias("u_name"), F.count("*").alias("unique_values")))
         stats.append(
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 missing.alias("missing"),
                 (100.0 * missing / F.nullif(n, F.lit(0))).alias("missing_pct"),
-                unique.alias("unique_values"),
-                (100.0 * unique / F.nullif(n, F.lit(0))).alias("unique_pct"),
                 (F.min(x) if number else none).alias("min"),
                 (F.max(x) if number else none).alias("max"),
                 (F.avg(x) if number else none).alias("mean"),
@@ -46,7 +47,9 @@ def columns(df: DataFrame) -> DataFrame:
                 (F.count_if(~c.rlike(r"\d")) if text and "address" in f.name.lower() else F.lit(None).cast("long")).alias("no_house_number"),
             )
         )
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    unique = functools.reduce(DataFrame.unionByName, uniques)
+    measured = df.agg(F.array(*stats).alias("s"), n.alias("n")).select(F.inline("s"), "n").join(F.broadcast(unique), F.col("column_name") == F.col("u_name"))
+    return measured.withColumn("unique_pct", 100.0 * F.col("unique_values") / F.nullif("n", F.lit(0))).select("column_name", "data_type", *STATS)
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -99,23 +102,47 @@ def missing_blocks(df: DataFrame, least: float = 0.95) -> DataFrame:
     return df.agg(F.array(*rows).alias("b")).select(F.inline("b"))
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a numeric column, between ranks in proportion; all None if it has no value.
+
+    Different values and their counts are dealt by ranges; the driver gets each range's sum, and then the values at the ranks asked for. No task holds more than a range.
+    """
+    values = df.select(F.col(f"`{column}`").cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    dealt = settle(values.repartitionByRange("x").withColumn("p", F.spark_partition_id()))
+    sums = sorted((r["p"], r["n"]) for r in dealt.groupBy("p").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return [None] * len(shares)
+    places = [s * (total - 1) for s in shares]
+    ranks = sorted({int(r) + k for r in places for k in (0, 1) if int(r) + k < total})
+    before, wanted = 0, []
+    for p, n in sums:
+        wanted += [(p, r, r - before) for r in ranks if before <= r < before + n]
+        before += n
+    parts = dealt.where(F.col("p").isin([*{p for p, _, _ in wanted}]))
+    below = F.sum("n").over(Window.partitionBy("p").orderBy("x"))
+    asked = df.sparkSession.createDataFrame(wanted, "q int, rank long, place long")
+    found = parts.withColumn("below", below).join(F.broadcast(asked), (F.col("p") == F.col("q")) & (F.col("place") < F.col("below")) & (F.col("place") >= F.col("below") - F.col("n")))
+    at = {r["rank"]: r["x"] for r in found.select("rank", "x").collect()}
+    return [at[int(r)] + (r - int(r)) * (at[int(r) + 1] - at[int(r)]) if r > int(r) else at[int(r)] for r in places]
+
+
 def numeric_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, mean, sample deviation, least, exact quartiles and 95th percentile, greatest, missing."""
     picked = names or [f.name for f in df.schema if numeric(f)]
     rows = []
     for c in picked:
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)]))
+        q = [F.lit(v).cast("double") for v in quantiles(df, c, (0.25, 0.5, 0.75, 0.95))]
         rows.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), q[3].alias("q95"), F.max(x).alias("max"), F.count_if(x.isNull()).alias("missing")))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
-    """Rows strictly beyond the quartiles by ``factor`` times their distance; the quartiles are one row."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1_"), F.col("q")[1].alias("q3_"))
-    joined = df.crossJoin(F.broadcast(q))
-    margin = factor * (F.col("q3_") - F.col("q1_"))
-    return joined.where((F.col(column) < F.col("q1_") - margin) | (F.col(column) > F.col("q3_") + margin)).drop("q1_", "q3_")
+    """Rows strictly beyond the quartiles by ``factor`` times their distance."""
+    low, high = (F.lit(x).cast("double") for x in quantiles(df, column, (0.25, 0.75)))
+    margin = factor * (high - low)
+    return df.where((F.col(column) < low - margin) | (F.col(column) > high + margin))
 
 
 def value_counts(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

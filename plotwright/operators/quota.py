@@ -3,30 +3,49 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from plotwright.operators.geocode import CUTOFF, QUOTA
+from pyspark.sql import types as T
 
 HOURS = 24
+#: Of a quota of 1000 calls a window, so many are used.
+QUOTA, CUTOFF = 1000, 950
 
 
 def windows(calls: DataFrame, key: str, ts: str, hours: int = HOURS) -> DataFrame:
-    """(key, window_started_at, request_count). The fold goes through a key's calls in order, so its time is that of the key's sorted calls; the state is the list of windows."""
-    unit = F.expr(f"INTERVAL {hours} HOURS")
-    kind = calls.schema[ts].dataType.simpleString()
-    start = F.array().cast(f"array<struct<s:{kind},n:bigint>>")
-
-    def add(seen: Column, now: Column) -> Column:
-        last = F.element_at(seen, -1)
-        opened = F.concat(seen, F.array(F.struct(now.alias("s"), F.lit(1).cast("bigint").alias("n"))))
-        counted = F.concat(F.slice(seen, 1, F.size(seen) - 1), F.array(F.struct(last["s"].alias("s"), (last["n"] + 1).alias("n"))))
-        return F.when(F.size(seen) == 0, opened).when(now >= last["s"] + unit, opened).otherwise(counted)
-
-    folded = calls.where(F.col(ts).isNotNull()).groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(ts)), start, add).alias("w"))
-    return folded.select(key, F.explode("w").alias("w")).select(key, F.col("w.s").alias("window_started_at"), F.col("w.n").alias("request_count"))
+    """(key, window_started_at, request_count). A key's calls pass in order of time through one task, which holds the open window only."""
+    span = np.timedelta64(hours, "h")
+    schema = T.StructType([calls.schema[key], T.StructField("window_started_at", calls.schema[ts].dataType), T.StructField("request_count", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = started = kinds = None
+        count = 0
+        for batch in batches:
+            out: list[tuple] = []
+            kinds = batch.schema
+            names, times = batch.column("key").to_pylist(), batch.column("ts").cast(pa.timestamp("us")).to_numpy(zero_copy_only=False)
+            edges = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+            for at, stop in zip(edges, edges[1:], strict=False):
+                while at < stop:
+                    if started is None or names[at] != name or times[at] >= started + span:
+                        if started is not None:
+                            out.append((name, started, count))
+                        name, started, count = names[at], times[at], 0
+                    end = at + int(np.searchsorted(times[at:stop], started + span))
+                    count, at = count + end - at, end
+            yield rows(out, kinds)
+        if started is not None:
+            yield rows([(name, started, count)], kinds)
+
+    def rows(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kinds.field("key").type), pa.array(np.array([x[1] for x in out], "datetime64[us]")).cast(kinds.field("ts").type), pa.array([x[2] for x in out], pa.int64())], names=schema.names)
+
+    sorted_ = calls.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts")).repartition("key").sortWithinPartitions("key", "ts")
+    return sorted_.mapInArrow(run, schema)
 
 
 def daily(calls: DataFrame, api: str, ts: str) -> DataFrame:
@@ -40,6 +59,30 @@ def add_usage(usage: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("api_name", "request_date").agg(F.sum("request_count").alias("request_count"), F.min("window_started_at").alias("window_started_at"))
 
 
+def window_used(usage: DataFrame, api: str, now: datetime.datetime, hours: int = HOURS) -> tuple[int, datetime.datetime | None]:
+    """(calls of the open window, its start); (0, None) if none is open."""
+    last = usage.where((F.col("api_name") == api) & F.col("window_started_at").isNotNull()).agg(F.max_by(F.struct("request_count", "window_started_at"), "window_started_at").alias("w")).first()["w"]
+    if last is None or now >= last["window_started_at"] + datetime.timedelta(hours=hours):
+        return 0, None
+    return last["request_count"], last["window_started_at"]
+
+
+def add_calls(usage: DataFrame, api: str, calls: int, now: datetime.datetime, hours: int = HOURS) -> DataFrame:
+    """``usage`` after ``calls`` more at ``now``: counted to the row whose window is open, whatever its date; else a window opens in the row of the day, whose count goes on and whose anchor, if it has one, stays."""
+    if not calls:
+        return usage
+    _, started = window_used(usage, api, now, hours)
+    own = F.col("api_name") == api
+    hit = own & (F.col("window_started_at") == F.lit(started)) if started is not None else own & (F.col("request_date") == F.lit(now.date()))
+    at = F.lit(now).cast("timestamp_ntz")
+    if usage.where(hit).limit(1).count():
+        new = {"request_count": F.col("request_count") + calls, "last_updated": at, "window_started_at": F.coalesce("window_started_at", at)}
+        return usage.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in new.items() if c in usage.columns})
+    last = usage.agg(F.max("id")).first()[0] or 0 if "id" in usage.columns else 0
+    row = usage.sparkSession.range(1).select(F.lit(last + 1).alias("id"), F.lit(api).alias("api_name"), F.lit(now.date()).alias("request_date"), F.lit(calls).alias("request_count"), at.alias("last_updated"), at.alias("window_started_at"))
+    return usage.unionByName(row.select(*[F.col(f.name).cast(f.dataType) for f in usage.schema]))
+
+
 def allowed(request_count: Column, started: Column, now: Column, cutoff: int = CUTOFF, hours: int = HOURS) -> Column:
     """Whether another call may be made: no window is open, or the open one is not used up."""
     return started.isNull() | (now >= started + F.expr(f"INTERVAL {hours} HOURS")) | (request_count < cutoff)
@@ -52,10 +95,8 @@ def stats(usage: DataFrame, now: datetime.datetime, quota: int = QUOTA, api: str
     past: dict[str, list[dict]] = {}
     for r in recent_days(usage, today, history).collect():
         past.setdefault(r["api_name"], []).append({"date": r["request_date"], "count": r["request_count"]})
-    last = usage.where((F.col("api_name") == api) & F.col("window_started_at").isNotNull()).agg(F.max_by(F.struct("request_count", "window_started_at"), "window_started_at").alias("w")).first()["w"]
-    used, resets = 0, None
-    if last is not None and now < last["window_started_at"] + datetime.timedelta(hours=hours):
-        used, resets = last["request_count"], (last["window_started_at"] + datetime.timedelta(hours=hours)).isoformat(sep=" ", timespec="minutes")
+    used, started = window_used(usage, api, now, hours)
+    resets = (started + datetime.timedelta(hours=hours)).isoformat(sep=" ", timespec="minutes") if started else None
     return {"today_usage": of_today, "historical_usage": past, "here_daily_limit": quota, "here_window_used": used, "here_daily_remaining": quota - used, "here_resets_at": resets}
 
 

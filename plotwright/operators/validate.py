@@ -40,6 +40,12 @@ def require_key(df: DataFrame, keys: Sequence[str]) -> None:
         raise ValidationError({f"key ({', '.join(keys)})": n})
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """No value of ``key`` twice; nulls are not looked at."""
+    if n := df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").count():
+        raise ValidationError({f"repeated {key}": n})
+
+
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Rows of ``child`` whose reference (child column to parent column) has no target; nulls refer to nothing."""
     targets = parent.select(*[F.col(p).alias(f"p_{k}") for k, p in enumerate(on.values())]).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from plotwright import schemas, storage
 from plotwright.functions.values import in_bounds
-from plotwright.operators import cache, dedup, impute, marts, quality
+from plotwright.operators import cache, dedup, geocode, impute, marts, quality
 from plotwright.operators.clean import PARTIES, clean
 from plotwright.operators.validate import require_key, require_reference
 from plotwright.sources import tables
+from plotwright.sources.providers import Result
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,16 @@ def impute_from_snapshot(spark: SparkSession, snapshot_csv: str, folder: str) ->
     return impute.summary(out, PARTIES)
 
 
+def geocode_pending(spark: SparkSession, folder: str, make: Callable[[int], Callable[[str], Result]], address_type: str | None = None, **options) -> dict:
+    """Asks for the mapped addresses that lack a place; publishes the cache and the usage counter, which the next run goes on from. Returns the report."""
+    store = Store(spark, folder)
+    known, usage = store.read("addresses"), store.read("usage", schemas.USAGE)
+    ids = cache.mapped_ids(store.read("mappings"), known, address_type, pending=True)
+    known, usage, report = geocode.bulk(known, ids, make, F.current_timestamp().cast("timestamp_ntz"), usage, **options)
+    storage.publish_all({"addresses": storage.settle(known), "usage": storage.settle(usage)}, folder)
+    return report
+
+
 def maintain(spark: SparkSession, folder: str) -> DataFrame:
     """Removes later duplicates and what hangs on them, lists new placeholder issues; returns the overview row."""
     store = Store(spark, folder)

@@ -27,9 +27,9 @@ def strip_bom(source: str, target: str) -> bool:
         return start == BOM
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW) -> DataFrame:
-    """Headed UTF-8 CSV by an explicit schema; quotes double inside quotes, fields may span lines, '' is null."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, enforceSchema=False, encoding="UTF-8")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW, multi_line: bool = True) -> DataFrame:
+    """Headed UTF-8 CSV by an explicit schema; quotes double inside quotes, '' is null. Fields may span lines, so a file is read by one task; without ``multi_line`` they may not, and large files are split."""
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line, enforceSchema=False, encoding="UTF-8")
 
 
 def load_csv(spark: SparkSession, path: str, target: str, schema: T.StructType = schemas.RAW) -> int:
@@ -41,7 +41,7 @@ def load_csv(spark: SparkSession, path: str, target: str, schema: T.StructType =
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The source snapshot: an integer key and text columns, headers as in the raw file."""
     raw = read_csv(spark, path)
-    return raw.select(F.col(raw.columns[0]).cast("long").alias("unique_id"), *[F.col(r).alias(c) for r, c in list(zip(schemas.RAW_COLUMNS, schemas.CLEAN_COLUMNS, strict=True))[1:]])
+    return raw.select(*[F.col(r).cast(f.dataType).alias(f.name) for r, f in zip(schemas.RAW_COLUMNS, schemas.SNAPSHOT, strict=True)])
 
 
 def read_jdbc(spark: SparkSession, config: DatabaseConfig, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 32) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir`` (a temporary one where none is set)."""
+    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir``. Where none is set, a temporary one serves a local master; elsewhere that raises, as executors could not read it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plotwright-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plotwright-"))
     return df.checkpoint()
 
 
@@ -48,20 +52,36 @@ def publish(df: DataFrame, path: str, **options: str) -> None:
 
 
 def publish_all(tables: dict[str, DataFrame], folder: str) -> None:
-    """Several tables, all written before the first is renamed."""
+    """Several tables, all written before the first is renamed. If a rename fails, the tables swapped before it are put back; what was published goes only after the last swap."""
     if not tables:
         return
     spark = next(iter(tables.values())).sparkSession
     fs, make = file_system(spark, folder)
-    stage = f"{folder}/.staged-{uuid.uuid4().hex}"
+    stage, olds = f"{folder}/.staged-{uuid.uuid4().hex}", f"{folder}/.old-{uuid.uuid4().hex}"
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(make(a), make(b)):
+            raise OSError(f"could not rename {a} to {b}")
+
+    done: list[tuple[str, str]] = []
     try:
         for name, df in tables.items():
             df.write.parquet(f"{stage}/{name}")
+        fs.mkdirs(make(olds))
         for name in tables:
-            at = f"{folder}/{name}"
-            if fs.exists(make(at)):
-                fs.rename(make(at), make(f"{stage}/{name}.old"))
-            fs.rename(make(f"{stage}/{name}"), make(at))
+            steps = [(f"{stage}/{name}", f"{folder}/{name}")]
+            if fs.exists(make(f"{folder}/{name}")):
+                steps.insert(0, (f"{folder}/{name}", f"{olds}/{name}"))
+            for a, b in steps:
+                move(a, b)
+                done.append((a, b))
+    except BaseException:
+        for a, b in reversed(done):
+            move(b, a)
+        fs.delete(make(olds), True)
+        raise
+    else:
+        fs.delete(make(olds), True)
     finally:
         fs.delete(make(stage), True)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plotwright.operators.quota import HOURS
@@ -45,3 +46,8 @@ def tumbling(calls: DataFrame, key: str, ts: str, width: str = "1 hour", late: s
     """Counts by key and tumbling window; an extension."""
     at = calls.withColumn("at_", F.col(ts).cast("timestamp")).withWatermark("at_", late)
     return at.groupBy(F.window("at_", width).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+
+
+def polled(rows: DataFrame, refresh: Callable[[DataFrame, int], None], state: str, every: str = "30 seconds") -> StreamingQuery:
+    """Calls ``refresh`` with what has changed, each ``every``; ``state`` is a folder of the query's own."""
+    return rows.writeStream.outputMode("update").foreachBatch(refresh).option("checkpointLocation", state).trigger(processingTime=every).start()

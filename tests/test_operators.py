@@ -94,15 +94,74 @@ def address_rows(spark, *given):
 def test_geocode_chain_and_store(spark):
     known = address_rows(spark, (1, "1 A ST", "NASH", None, None, None), (2, "2 B", None, None, None, None), (3, "3 C", None, 36.0, -86.0, "c"))
     assert rows(geocode.pending(known)) == [(1, "1 A ST, NASH, TN"), (2, "2 B, TN")]
-    make = lambda: geocode.chain(Offline({"1 A ST, NASH, TN": (36.1, -86.8)}), Offline({"2 B, TN": (99.0, 0.0)}, name="HERE"))
-    done, report = geocode.bulk(known, known.select("address_id"), make, now(), batch_size=1)
+    make = lambda used: geocode.chain(Offline({"1 A ST, NASH, TN": (36.1, -86.8)}), Offline({"2 B, TN": (99.0, 0.0)}, name="HERE"), used)
+    done, usage, report = geocode.bulk(known, known.select("address_id"), make, now(), batch_size=1)
     got = {r.address_id: r for r in done.collect()}
     assert got[1].geocode_status == "GEOCODED" and got[1].geom.lon == -86.8
     assert got[2].geocode_status == "FAILED" and got[2].geocode_source == "HERE" and got[2].geocoded_at is not None
     assert got[3].latitude == 36.0 and got[3].geocode_status is None
-    assert report == {"asked": 2, "geocoded": 1, "failed": 1, "stopped": False, "success_rate": 0.5}
-    _, report = geocode.bulk(known, known.select("address_id"), lambda: geocode.chain(Offline({}), Offline({}, name="HERE"), used=950), now())
-    assert report["stopped"]
+    assert {k: report[k] for k in ("asked", "geocoded", "failed", "stopped", "success_rate")} == {"asked": 2, "geocoded": 1, "failed": 1, "stopped": False, "success_rate": 0.5}
+    assert report["seconds_per_address"] == report["seconds"] / 2 and usage.first().request_count == 1
+    with pytest.raises(validate.ValidationError, match="repeated address_id"):
+        geocode.store(known, spark.createDataFrame([(1, True, 36.0, -86.0, "a", 0.5, "OSM")] * 2, "address_id long, success boolean, latitude double, longitude double, corrected_address string, confidence double, source string"), now())
+
+
+def test_quota_binds_across_batches_and_runs(spark):
+    known = address_rows(spark, *[(k, f"{k} A ST", None, None, None, None) for k in range(1, 13)])
+    places = {f"{k} A ST, TN": (36.0, -86.5) for k in range(1, 13)}
+    clock = [datetime.datetime(2024, 1, 1, 20)]
+    make = lambda used: geocode.chain(Offline({}), Offline(places, name="HERE"), used, 5)
+    run = lambda rows, usage: geocode.bulk(rows, rows.select("address_id"), make, now(), usage, batch_size=3, cutoff=5, clock=lambda: clock[0])
+    known, usage, report = run(known, None)
+    assert report["stopped"] and report["asked"] == report["geocoded"] == 5 and known.where("latitude is not null").count() == 5
+    assert quota.window_used(usage, "HERE", clock[0]) == (5, clock[0])
+    clock[0] += datetime.timedelta(hours=20)  # the next day, within the window
+    known, usage, report = run(known, usage)
+    assert report["stopped"] and report["asked"] == 0 and known.where("latitude is not null").count() == 5
+    clock[0] += datetime.timedelta(hours=4)  # its end
+    known, usage, report = run(known, usage)
+    assert report["geocoded"] == 5 and known.where("latitude is not null").count() == 10
+    assert rows(usage.select("request_date", "request_count", "window_started_at")) == [(datetime.date(2024, 1, 1), 5, datetime.datetime(2024, 1, 1, 20)), (datetime.date(2024, 1, 2), 5, datetime.datetime(2024, 1, 2, 20))]
+
+
+def test_published_quota_goes_on(spark, tmp_path):
+    folder = str(tmp_path)
+    known = address_rows(spark, *[(k, f"{k} A ST", None, None, None, None) for k in range(1, 7)])
+    maps = spark.createDataFrame([(k, k, k, "property") for k in range(1, 6)], schemas.MAPPINGS)
+    storage.publish_all({"addresses": known, "mappings": maps}, folder)
+    make = lambda used: geocode.chain(Offline({}), Offline({f"{k} A ST, TN": (36.0, -86.5) for k in range(1, 7)}, name="HERE"), used, 4)
+    reports = [prepare.geocode_pending(spark, folder, make, batch_size=2, cutoff=4) for _ in range(2)]
+    assert [r["geocoded"] for r in reports] == [4, 0] and all(r["stopped"] for r in reports)
+    assert spark.read.parquet(f"{folder}/addresses").where("latitude is not null").count() == 4
+
+
+@pytest.mark.parametrize("fails_at", range(1, 5))
+def test_publish_all_puts_back_what_it_swapped(spark, tmp_path, monkeypatch, fails_at):
+    folder, real = str(tmp_path), storage.file_system
+    storage.publish_all({"a": spark.range(1), "b": spark.range(2)}, folder)
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs, self.n = fs, 0
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            self.n += 1
+            return False if self.n == fails_at else self.fs.rename(a, b)
+
+    def broken(spark, path):
+        fs, make = real(spark, path)
+        return Failing(fs), make
+
+    monkeypatch.setattr(storage, "file_system", broken)
+    with pytest.raises(OSError):
+        storage.publish_all({"a": spark.range(10), "b": spark.range(20)}, folder)
+    assert [spark.read.parquet(f"{folder}/{n}").count() for n in "ab"] == [1, 2] and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    monkeypatch.undo()
+    storage.publish_all({"a": spark.range(10), "b": spark.range(20)}, folder)
+    assert [spark.read.parquet(f"{folder}/{n}").count() for n in "ab"] == [10, 20] and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
 
 
 def test_providers():
@@ -123,6 +182,12 @@ def test_corrections(spark):
     assert rows(log2.select("id", "address_id", "field_changed", "original_value", "new_value")) == [(1, 1, "corrected_address", "old", "new"), (2, 1, "coordinates", "(36.0, -86.0)", "(36.5, -86.0)")]
     assert {r.address_id: r.geocode_status for r in both.collect()} == {1: "MANUALLY_CORRECTED", 2: None}
     assert geocode.correct(both, fix((2, "t", None, None, "me", "r")), log2, now())[1].count() == 3
+    twice = [(1, "b", 36.2, -86.0, "me", "r"), (1, "a", 36.1, -86.0, "me", "r"), (None, "z", None, None, "me", "r")]
+    with pytest.raises(validate.ValidationError, match="repeated address_id"):
+        geocode.correct(known, fix(*twice), log, now())
+    both, log2 = geocode.correct(known, fix(*twice), log, now(), order="latitude")
+    assert both.count() == 2 and {r.address_id: (r.corrected_address, r.latitude) for r in both.collect()}[1] == ("b", 36.2)
+    assert rows(log2.select("id", "original_value", "new_value")) == [(1, "old", "a"), (2, "(36.0, -86.0)", "(36.1, -86.0)"), (3, "a", "b"), (4, "(36.1, -86.0)", "(36.2, -86.0)")]
 
 
 def test_quota(spark):
@@ -135,6 +200,91 @@ def test_quota(spark):
     assert quota.stats(usage, at(25))["here_resets_at"] is None
 
 
+def test_quota_windows_of_many_keys_and_batches(spark):
+    import random
+
+    rng = random.Random(1)
+    at = datetime.datetime(2024, 1, 1)
+    calls = [(f"k{rng.randrange(5)}", at + datetime.timedelta(minutes=rng.randrange(9000))) for _ in range(3000)] + [(None, at)]
+    want = []
+    for key in {k for k, _ in calls}:
+        started, n = None, 0
+        for t in sorted(t for k, t in calls if k == key):
+            if started is None or t >= started + datetime.timedelta(hours=24):
+                want += [(key, started, n)] if started else []
+                started, n = t, 0
+            n += 1
+        want.append((key, started, n))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        assert rows(quota.windows(spark.createDataFrame(calls, "api string, ts timestamp_ntz"), "api", "ts")) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for values in ([5.0], [1.0, 2.0], rng.integers(0, 50, 400).astype(float).tolist(), rng.normal(size=501).tolist()):
+        df = spark.createDataFrame([(x,) for x in values] + [(None,)], "x double").repartition(3)
+        got = profile.quantiles(df, "x", (0.0, 0.25, 0.5, 0.95, 1.0))
+        assert got == pytest.approx(np.quantile(values, (0.0, 0.25, 0.5, 0.95, 1.0)).tolist())
+    assert profile.quantiles(spark.createDataFrame([(None,)], "x double"), "x", (0.5,)) == [None]
+    empty = spark.createDataFrame([], "x double")
+    assert profile.outliers(empty, "x").count() == 0 and profile.numeric_summary(empty).first().q50 is None and marts.price_breaks(empty, "x").count() == 1
+
+
+def test_polled_stream(spark, tmp_path):
+    from plotwright.streaming.quota import polled, stream_windows
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    put = lambda *hours: spark.createDataFrame([("HERE", at(h)) for h in hours], "api string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen: dict = {}
+    put(0, 1)
+    stream = stream_windows(spark.readStream.schema("api string, ts timestamp_ntz").parquet(f"{tmp_path}/in"), "api", "ts")
+    query = polled(stream, lambda df, k: seen.update({str(r.window_started_at): r.request_count for r in df.collect()}), f"{tmp_path}/state", "1 second")
+    try:
+        query.processAllAvailable()
+        assert seen == {"2024-01-01 00:00:00": 2}
+        put(20, 30, 31)  # one more of the open window, then the next
+        query.processAllAvailable()
+        assert seen == {"2024-01-01 00:00:00": 3, "2024-01-02 06:00:00": 2}
+        put(29)  # late: counts to the open window
+        query.processAllAvailable()
+        assert seen == {"2024-01-01 00:00:00": 3, "2024-01-02 06:00:00": 3}
+    finally:
+        query.stop()
+
+
+def test_impute_from_snapshot(spark, tmp_path):
+    given = raw(spark, {}, {"UniqueID": "2", "PropertyAddress": None, "SalePrice": "5"}, {"UniqueID": "3", "ParcelID": "P9", "PropertyAddress": None})
+    tables.write_csv(given, f"{tmp_path}/snapshot")
+    clean(given).write.parquet(f"{tmp_path}/sales")
+    found = prepare.impute_from_snapshot(spark, f"{tmp_path}/snapshot", str(tmp_path)).first()
+    assert found.property_address_imputed == 1 and found.property_address_missing == 1
+    assert tables.read_snapshot(spark, f"{tmp_path}/snapshot").schema == schemas.SNAPSHOT
+    assert tables.read_csv(spark, f"{tmp_path}/snapshot", multi_line=False).count() == 3
+
+
+def test_references_are_checked_and_tables_kept(spark, tmp_path):
+    tables.write_csv(raw(spark, {}, {"UniqueID": "2", "ParcelID": "P2"}), f"{tmp_path}/raw.csv")
+    prepare.prepare(spark, f"{tmp_path}/raw.csv", f"{tmp_path}/store", keep_tables=True)
+    assert storage.exists(spark, f"{tmp_path}/store/raw")
+    maps = spark.read.parquet(f"{tmp_path}/store/mappings")
+    with pytest.raises(validate.ValidationError, match="reference"):
+        validate.require_reference(maps, maps.select("housing_id").limit(0), {"housing_id": "housing_id"})
+
+
+def test_catalogue(spark):
+    assert tables.ensure_database(spark, "plots_test") and not tables.ensure_database(spark, "plots_test")
+    assert tables.missing_tables(spark, ["plots_test.nothing"]) == ["plots_test.nothing"]
+    spark.sql("DROP DATABASE plots_test")
+    found = tables.columns_of(spark.range(1)).first()
+    assert tuple(found) == (1, "id", "bigint", False)
+
+
 def test_quality(spark):
     sales = spark.createDataFrame([(1, "0 10TH AVE N"), (2, "0"), (3, "10 X ST"), (4, None)], "unique_id long, property_address string")
     none = spark.createDataFrame([], schemas.ISSUES)
