@@ -18,21 +18,23 @@ windows are dealt by that key, and only windows with equal keys need meet:
 4. the repeated windows, joined to maximal runs, go back to all places of their strings,
    and bytes are removed.
 
-Texts are read, not shuffled, in step 1; later only texts with candidates move.
+Texts are read, not shuffled, in step 1, and its runs are written once (a tenth to a half of
+the texts' size); later only texts with candidates move.
 
 Passages counted in words (``least_words``) go the same way: each word becomes ``UNIT``
 bytes, hashes of the word and of what stands between it and the next, and the strings of
-so many words are those of ``UNIT`` times as many such bytes that start at a word. A word
-is a run without white space; at the ends of a passage ASCII signs around it do not count.
+so many words are those of ``UNIT`` times as many such bytes that start at a word; in step 1
+grams and windows are counted in words. A word is a run without white space; at the ends of
+a passage ASCII signs around it do not count.
 
 Defined results: null texts are empty; matches never cross texts; rows repeated whole are
 different places. Lengths are bytes of UTF-8. Other columns pass through; those called as
-the new ones (kept, n_bytes, n_removed, n_spans) give way to them.
+the new ones (kept, n_bytes, n_removed, n_spans, n_passages) give way to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -46,7 +48,7 @@ from plotwright.llm.common import cut, others, sparing, splitmix
 from plotwright.llm.suffix import repeated
 
 ROW = ["id", "th"]
-NEW = ["kept", "n_bytes", "n_removed", "n_spans"]
+NEW = ["kept", "n_bytes", "n_removed", "n_spans", "n_passages"]
 #: Keys of up to so many texts are broadcast (16 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes that stand for a word and the gap after it, and how many of them are the word's.
@@ -60,6 +62,8 @@ MOST_WINDOWS = 1_024
 @dataclass(frozen=True)
 class Params:
     least: int = 400
+    #: Strings are of so many words, and come as units; 0: they are bytes.
+    words: int = 0
     #: Each level halves the windows that can share a key (least - gram + 1), so a hot key is cut into few pieces at a time.
     grams: tuple[int, ...] = (128, 264, 333, 367, 384, 393, 397, 399, 400)
     #: Bytes of a key's different strings that are sorted at once, and of several keys' together (a key is never parted).
@@ -71,29 +75,39 @@ class Params:
         return min(self.grams[0], self.least)
 
     def finer(self) -> Params:
-        return replace(self, grams=self.grams[1:] or (self.least,))
+        return replace(self, words=0, grams=self.grams[1:] or (self.least,))
 
     @staticmethod
     def of_words(n: int) -> Params:
-        """For strings of ``n`` words in ``UNIT`` bytes each, without the last gap; levels as above."""
+        """For strings of ``n`` words in ``UNIT`` bytes each, without the last gap; levels as above, the first of whole words."""
         least = n * UNIT - (UNIT - OF_WORD)
         grams = [max(1, least * 8 // 25)]
         while grams[-1] < least:
             grams.append(least + 1 - max(1, (least - grams[-1] + 1) // 2))
-        return Params(least=least, grams=tuple(grams))
+        return Params(least=least, words=n, grams=tuple(grams))
 
 
 def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begins, ends) of the words, without signs around them; words of signs alone are whole."""
-    n = len(raw)
     inner = ~SPACE[raw]
     step = np.diff(np.concatenate([[0], inner.astype(np.int8), [0]]))
     begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    bare = inner & ~SIGN[raw]
-    after = np.minimum.accumulate(np.where(bare, np.arange(n), n)[::-1])[::-1]
-    before = np.maximum.accumulate(np.where(bare, np.arange(n), -1))
-    some = after[begins] < ends
-    return np.where(some, after[begins], begins), np.where(some, before[ends - 1] + 1, ends)
+    bare = np.flatnonzero(~SIGN[raw])
+    first, last = np.searchsorted(bare, begins), np.searchsorted(bare, ends) - 1
+    some = first <= last
+    padded = np.append(bare, 0)
+    return np.where(some, padded[first], begins), np.where(some, padded[last] + 1, ends)
+
+
+def units_between(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The units of words of a text, as a row of bytes each; the last has no gap after it."""
+    up, down = powers(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up)])
+    some = lambda a, b: splitmix((sums[b] - sums[a]) * down[np.minimum(a, len(raw) - 1)]).view(np.uint8).reshape(-1, 8)
+    units = np.zeros((len(begins), UNIT), np.uint8)
+    units[:, :OF_WORD] = some(begins, ends)[:, :OF_WORD]
+    units[:-1, OF_WORD:] = some(ends[:-1], begins[1:])[:, : UNIT - OF_WORD]
+    return units
 
 
 def words_of(data: bytes, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,12 +124,7 @@ def words_of(data: bytes, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.
             size *= 2
             continue
         if len(begins):
-            up, down = powers(len(raw))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
-            some = lambda a, b: splitmix((sums[b] - sums[a]) * down[np.minimum(a, len(raw) - 1)])
-            units = np.zeros((len(begins), UNIT), np.uint8)
-            units[:, :OF_WORD] = some(begins, ends).view(np.uint8).reshape(-1, 8)[:, :OF_WORD]
-            units[:-1, OF_WORD:] = some(ends[:-1], begins[1:]).view(np.uint8).reshape(-1, 8)[:, : UNIT - OF_WORD]
+            units = units_between(raw, begins, ends)
             n = len(begins) if last else len(begins) - 1
             yield begins[:n] + at, ends[:n] + at, units[:n]
         if last:
@@ -140,53 +149,121 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def runs_of(data: bytes, params: Params, part: int = 1 << 20) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(key, digest, place, windows, whether the key is met twice within) of each run of a text."""
-    w = params.least - params.gram + 1
-    for begin in range(0, max(0, len(data) - params.least + 1), part):
-        raw = np.frombuffer(data, np.uint8, min(part + params.least - 1, len(data) - begin), begin)
+#: Bytes of short texts that are laid end to end and cut into runs at once; and windows of a long one.
+GROUP, PART = 1 << 18, 1 << 20
+
+
+def groups_of(texts: list[bytes], shared: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(numbers, places, pieces): texts laid together up to ``GROUP`` bytes; longer ones than ``PART`` in pieces that share ``shared`` bytes with the next."""
+    numbers: list[int] = []
+    places: list[int] = []
+    pieces: list[bytes] = []
+    held = 0
+    for k, x in enumerate(texts):
+        for at in range(0, max(1, len(x) - shared), PART):
+            piece = x[at : at + PART + shared] if at or len(x) > PART + shared else x
+            if held and held + len(piece) > GROUP:
+                yield numbers, places, pieces
+                numbers, places, pieces, held = [], [], [], 0
+            numbers.append(k)
+            places.append(at)
+            pieces.append(piece)
+            held += len(piece) + 1
+    if pieces:
+        yield numbers, places, pieces
+
+
+def cut_runs(h: np.ndarray, w: int, begins: np.ndarray, stops: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, end, which text, whether the key is met twice within) of the runs of texts with the windows ``begins`` up to ``stops``; a window's key is the least of its ``w`` gram hashes."""
+    key = sliding_least(h, w)
+    change = np.zeros(len(key) + 1, bool)
+    change[1:-1] = key[1:] != key[:-1]
+    change[begins] = change[stops] = change[-1] = True
+    at = np.flatnonzero(change)
+    a, b = at[:-1], at[1:]
+    text = np.searchsorted(begins, a, side="right") - 1
+    own = (text >= 0) & (a < stops[text])
+    a, b, text = a[own], b[own], text[own]
+    pieces = -(-(b - a) // most)
+    split = np.repeat(pieces > 1, pieces)
+    if split.any():
+        nth = np.arange(len(split)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        a, b, text = np.repeat(a, pieces) + nth * most, np.repeat(b, pieces), np.repeat(text, pieces)
+        b = np.minimum(b, a + most)
+    keys = key[a]
+    met = [int(np.count_nonzero(h[i:j] == k)) > 1 for i, j, k in zip(a.tolist(), (b + (w - 1)).tolist(), keys, strict=True)]
+    return keys, a, b, text, split | np.array(met, bool)
+
+
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of(texts: list[bytes], params: Params) -> Iterator[Runs]:
+    """(number of the text, key, digest, place, windows, whether the key is met twice within) of each run of some texts."""
+    for numbers, places, pieces in groups_of(texts, params.least - 1):
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        enough = sizes >= params.least
+        if not enough.any():
+            continue
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
         up, down = powers(len(raw))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)])])
-        n = len(raw) - params.gram + 1
-        h = splitmix((sums[params.gram :] - sums[:-params.gram]) * down[:n])
-        key = sliding_least(h, w)
-        edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts = np.concatenate([[0], edges])
-        ends = np.concatenate([edges, [len(key)]])
-        if (ends - starts).max() > MOST_WINDOWS:
-            pieces = [(a, min(b, a + MOST_WINDOWS)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) for a in range(s, e, MOST_WINDOWS) for b in [e]]
-            starts, ends = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-            split = True
-        else:
-            split = False
-        digest = splitmix(((sums[ends + params.least - 1] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
-        for k, d, a, b in zip(key[starts].tolist(), digest.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            yield k, d, begin + a, b - a, split or int(np.count_nonzero(h[a : b + w - 1] == k)) > 1
-
-
-def runs(docs: DataFrame, params: Params, read: Callable[[bytes], bytes] | None) -> DataFrame:
-    """(key, digest, id, th, place, n, twice) for the texts of ``docs`` (id, th, data), or for what ``read`` makes of them."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up)])
+        h = splitmix((sums[params.gram :] - sums[: -params.gram]) * down[: len(raw) - params.gram + 1])
+        begins = starts[enough]
+        key, a, b, text, twice = cut_runs(h, params.least - params.gram + 1, begins, begins + sizes[enough] - params.least + 1, MOST_WINDOWS)
+        digest = splitmix(((sums[b + params.least - 1] - sums[a]) * down[a]) ^ (b - a).astype(np.uint64))
+        yield np.array(numbers)[enough][text], key, digest, a - begins[text] + np.array(places)[enough][text], b - a, twice
+
+
+def runs_of_words(texts: list[bytes], params: Params) -> Iterator[Runs]:
+    """The same of windows of words that start at words: places and windows are counted in bytes of the units of the texts."""
+    short = [(k, x) for k, x in enumerate(texts) if len(x) <= PART]
+    for numbers, _, pieces in groups_of([x for _, x in short], 0):
+        raw = np.frombuffer(b" ".join(pieces), np.uint8)
+        starts = np.cumsum([0, *[len(x) + 1 for x in pieces[:-1]]])
+        first, end = word_edges(raw)
+        if len(first):
+            owner = np.searchsorted(starts, first, side="right") - 1
+            units = units_between(raw, first, end)
+            units[:-1][owner[1:] != owner[:-1], OF_WORD:] = 0
+            yield from runs_of_units(units, [short[k][0] for k in numbers], np.searchsorted(owner, np.arange(len(pieces) + 1)), params)
+    for k, x in enumerate(texts):
+        if len(x) > PART:
+            units = np.frombuffer(units_of(x), np.uint8).reshape(-1, UNIT)
+            yield from runs_of_units(units, [k], np.array([0, len(units)]), params)
+
+
+def runs_of_units(units: np.ndarray, numbers: list[int], edges: np.ndarray, params: Params) -> Iterator[Runs]:
+    """Runs of texts whose units stand between ``edges``."""
+    enough = np.diff(edges) >= params.words
+    if not enough.any():
+        return
+    unit = units.view("<u8").ravel()
+    gram, up_down = max(1, params.gram // UNIT), powers(len(unit))
+    up, down = up_down
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(unit) * up)])
+    last = (unit & np.uint64((1 << 8 * OF_WORD) - 1)) * np.uint64(0xD6E8FEB86659FD93)  # of a word without the gap after it
+    n = len(unit) - gram + 1
+    h = splitmix(((sums[gram - 1 : gram - 1 + n] - sums[:n]) * down[:n]) ^ last[gram - 1 :])
+    begins, stops = edges[:-1][enough], edges[1:][enough] - params.words + 1
+    key, a, b, text, twice = cut_runs(h, params.words - gram + 1, begins, stops, MOST_WINDOWS // UNIT)
+    end = b + params.words - 2  # the last word of each run
+    digest = splitmix(((sums[end] - sums[a]) * down[a]) ^ last[end] ^ (b - a).astype(np.uint64))
+    yield np.array(numbers)[enough][text], key, digest, (a - begins[text]) * UNIT, (b - a - 1) * UNIT + 1, twice
+
+
+def runs(docs: DataFrame, params: Params) -> DataFrame:
+    """(key, digest, id, th, place, n, twice) for the texts of ``docs`` (id, th, data), or for the units of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list] = [[] for _ in range(7)]
-
-            def flush() -> pa.RecordBatch:
-                arrays = [pa.array(np.array(held[0], np.uint64).view(np.int64)), pa.array(np.array(held[1], np.uint64).view(np.int64)), *[pa.array(x, pa.int64()) for x in held[2:5]], pa.array(held[5], pa.int32()), pa.array(held[6], pa.bool_())]
-                for x in held:
-                    x.clear()
-                return pa.RecordBatch.from_arrays(arrays, names=["key", "digest", "id", "th", "place", "n", "twice"])
-
-            for id_, th, data in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("data"), strict=True):
-                data = data.as_py()
-                for k, d, place, n, twice in runs_of(read(data) if read else data, params):
-                    for x, v in zip(held, (k, d, id_, th, place, n, twice), strict=True):
-                        x.append(v)
-                    if len(held[0]) >= 20_000:
-                        yield flush()
-            yield flush()
-
-    long_enough = docs if read else docs.where(F.length("data") >= params.least)
+            for number, key, digest, place, n, twice in (runs_of_words if params.words else runs_of)(batch.column("data").to_pylist(), params):
+                at = pa.array(number)
+                arrays = [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), batch.column("id").take(at), batch.column("th").take(at), pa.array(place.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(twice)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "digest", "id", "th", "place", "n", "twice"])
+
+    long_enough = docs if params.words else docs.where(F.length("data") >= params.least)
     return long_enough.mapInArrow(sparing(run), "key long, digest long, id long, th long, place long, n int, twice boolean")
 
 
@@ -196,7 +273,7 @@ def pick(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(rows) if few else rows, ROW, how)
 
 
-def strings_of(docs: DataFrame, wanted: DataFrame, params: Params, read: Callable[[bytes], bytes] | None) -> DataFrame:
+def strings_of(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
     """(key, digest, hot, string) for ``wanted`` (key, digest, hot, id, th, place, n)."""
     lists = cut(wanted.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "hot", "place", "n")).alias("runs")))
 
@@ -204,7 +281,7 @@ def strings_of(docs: DataFrame, wanted: DataFrame, params: Params, read: Callabl
         for batch in batches:
             for data, some in zip(batch.column("data"), batch.column("runs"), strict=True):
                 data, some = data.as_py(), some.as_py()
-                data = read(data) if read else data
+                data = units_of(data) if params.words else data
                 for a in range(0, len(some), 4096):
                     part = some[a : a + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -273,10 +350,10 @@ def passages(data: bytes, spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(int(begins[a]), int(ends[min(b + n, len(ends)) - 1])) for a, b in merged([x for x in first if x[0] <= x[1]])]
 
 
-def spans(docs: DataFrame, params: Params = Params(), read: Callable[[bytes], bytes] | None = None) -> DataFrame:
-    """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows; of what ``read`` makes of the texts, if given."""
+def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows; in bytes of their words' units, if ``params`` counts in words."""
     spark = docs.sparkSession
-    every = runs(docs, params, read)
+    every = cut(runs(docs, params))
     met = every.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key")
     places = cut(every.join(met, "key"))
     distinct = places.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "place")).alias("one"), F.max("n").alias("n"), F.max("twice").alias("twice"))
@@ -285,7 +362,7 @@ def spans(docs: DataFrame, params: Params = Params(), read: Callable[[bytes], by
     known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.lit(params.gram < params.least) & (F.col("bytes") > params.most_bytes)).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
     wanted = known.where("sort")
     size, hot = wanted.agg(F.sum("width"), F.max("hot")).first()
-    strings = strings_of(docs, wanted.select("key", "digest", "hot", "id", "th", "place", "n"), params, read)
+    strings = strings_of(docs, wanted.select("key", "digest", "hot", "id", "th", "place", "n"), params)
     strings = cut(strings) if hot else strings
     parts = max(spark.sparkContext.defaultParallelism, int((size or 0) // 8_000_000) + 1)
     found = spans_by_sorting(strings.where("not hot"), parts, params)
@@ -305,41 +382,38 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"), *more)
 
 
-def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, least_words: int | None = None) -> DataFrame:
-    """``df`` with kept (the bytes left), n_bytes, n_removed and n_spans; texts without repeats never meet Python or a shuffle after step 1.
+def removed(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, least_words: int | None = None, remove_words: bool = True) -> DataFrame:
+    """``df`` with kept (the bytes left), n_bytes, n_removed, n_spans and n_passages; texts without repeats never meet Python or a shuffle after step 1.
 
-    ``least_words``: strings of so many words that start more than once go too, however short. ``as_text``: kept is a string, without what is left of characters that were cut apart.
+    ``least_words``: passages of so many words that start more than once are counted (maximal ones, else 0), however short, and go too if ``remove_words``. ``as_text``: kept is a string, without what is left of characters that were cut apart.
     """
     docs = keyed(df, id_col, text_col)
     found = cut(spans(docs, params))
+    none = F.array().cast(found.schema["spans"].dataType)
+    both = found.select(*ROW, "spans", none.alias("passages"))
     if least_words is not None:
-        of_words = cut(spans(docs, Params.of_words(least_words), units_of))
-        none = F.array().cast(found.schema["spans"].dataType)
-        both = found.select(*ROW, "spans", none.alias("passages")).unionByName(of_words.select(*ROW, none.alias("spans"), F.col("spans").alias("passages")))
-        found = cut(both.groupBy(*ROW).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")]))
-    else:
-        found = found.withColumn("passages", F.array().cast(found.schema["spans"].dataType))
+        of_words = cut(spans(docs, Params.of_words(least_words)))
+        both = cut(both.unionByName(of_words.select(*ROW, none.alias("spans"), F.col("spans").alias("passages"))).groupBy(*ROW).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")]))
+    found, least = both, params.least
     whole = keyed(df, id_col, text_col, F.struct(F.lit(0).alias("_"), *others(df, *NEW)).alias("row"))
     own = [F.col(f"row.`{c}`") for c in whole.schema["row"].dataType.names[1:]]
-    clean = pick(whole, found.select(*ROW), "left_anti").select(*own, F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    least = params.least
+    zero = F.lit(0).cast("long")
+    clean = pick(whole, found.select(*ROW), "left_anti").select(*own, F.col("data").cast("string" if as_text else "binary").alias("kept"), F.length("data").cast("long").alias("n_bytes"), *[zero.alias(c) for c in NEW[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, gone, counts = [], [], [], []
+            kept, numbers = [], []
             for data, some, of_words in zip(batch.column("data"), batch.column("spans"), batch.column("passages"), strict=True):
                 data, parts, at = data.as_py(), [], 0
-                cover = [(x["low"], x["high"] + least) for x in some.as_py()]
-                cover = merged(cover + passages(data, of_words.as_py(), least_words) if len(of_words) else cover)
+                held = passages(data, of_words.as_py(), least_words) if len(of_words) else []
+                cover = merged([(x["low"], x["high"] + least) for x in some.as_py()] + (held if remove_words else []))
                 for a, b in cover:
                     parts.append(data[at:a])
                     at = b
                 left = b"".join([*parts, data[at:]])
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
-                sizes.append(len(data))
-                gone.append(len(data) - len(left))
-                counts.append(len(cover))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+                numbers.append((len(data), len(data) - len(left), len(cover), len(held)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array([x[j] for x in numbers], pa.int64()) for j in range(4)]], names=["row", *NEW])
 
     touched = pick(whole, found.select(*ROW), "left_semi").join(found, ROW).select("row", "data", "spans", "passages")
     schema = T.StructType([touched.schema["row"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in NEW[1:]]])

@@ -239,6 +239,26 @@ def test_words_are_the_same_by_parts():
         assert all(np.array_equal(np.concatenate([p[j] for p in pieces]), whole[0][j]) for j in range(3)) and len(pieces) > 1
 
 
+def test_runs_are_the_same_however_texts_are_laid(monkeypatch):
+    rng = random.Random(16)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(n)).encode() for n in (0, 1, 3, 40, 7, 300, 6, 900, 8, 2)] + [b"ab " * 400, b"", b"..."]
+    params = {sadedup.runs_of: sadedup.Params(least=30, grams=(10, 20, 30)), sadedup.runs_of_words: sadedup.Params.of_words(6)}
+    for cut, p in params.items():
+        found = []
+        for group, part in ((1 << 18, 1 << 20), (100, 1 << 20), (1 << 18, 64), (50, 97)):
+            monkeypatch.setattr(sadedup, "GROUP", group)
+            monkeypatch.setattr(sadedup, "PART", part)
+            windows = {}
+            for number, key, _, place, n, _ in cut(texts, p):
+                for k, h, at, size in zip(number.tolist(), key.tolist(), place.tolist(), n.tolist(), strict=True):
+                    for i in range(0, size, sadedup.UNIT if p.words else 1):
+                        assert windows.setdefault((k, at + i), h) == h
+            found.append(windows)
+        assert found[0] and all(x == found[0] for x in found)
+        sizes = [len(sadedup.units_of(x)) + 3 if p.words else len(x) for x in texts]
+        assert len(found[0]) == sum(max(0, (n - p.least) // sadedup.UNIT + 1 if p.words and n >= p.least else n - p.least + 1 if not p.words else 0) for n in sizes)
+
+
 def test_pipeline_removes_passages_of_over_50_words(spark):
     import corpus_pipeline as P
 
@@ -263,8 +283,12 @@ def test_suffix_dedup_edges(spark):
 
 def test_registered_suffix_query_matches_brute_force(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    got = by(queries.op2_suffix(spark, SMALL), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = queries.op2_suffix(spark, SMALL).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert got == {r.doc_id: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, brute_removed([r.text for r in rows], 400), strict=True)}
+    texts = [r.text or "" for r in rows]
+    long = [x != t.encode() for x, t in zip(brute_passages(texts, 10**9, 51), texts, strict=True)]
+    assert {r.doc_id for r in found if r.n_passages} == {r.doc_id for r, holds in zip(rows, long, strict=True) if holds}
 
 
 # --- 3 ------------------------------------------------------------------------------------------
@@ -626,7 +650,7 @@ def test_columns_called_as_the_new_ones_give_way(spark):
     df = df.selectExpr("doc_id", "text", "'q' as lang_pred", "'z' as SCORE", "'k' as kept", "7 as n_bytes", "8 as row", "9 as `x.y`")
     assert langid.predict(df, None).columns == ["doc_id", "text", "kept", "n_bytes", "row", "x.y", "lang_pred", "score"]
     gone = sadedup.removed(df)
-    assert gone.columns == ["doc_id", "text", "lang_pred", "SCORE", "row", "x.y", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert gone.columns == ["doc_id", "text", "lang_pred", "SCORE", "row", "x.y", "kept", "n_bytes", "n_removed", "n_spans", "n_passages"]
     assert by(gone, "doc_id", "n_bytes", "n_removed", "row") == {1: (720, 720, 8), 2: (720, 720, 8), 3: (0, 0, 8)}
 
 
