@@ -13,11 +13,15 @@ both are one). So every pair of set similarity 0.8 has 24 bands of 4 that agree
 probability, and escapes them all with probability 3e-6.
 
 Copies (equal sequences of words) are one node from the start. In a band's bucket all
-nodes meet the bucket's least one. Buckets that then still hold nodes of different
-components are compared whole, in blocks: a group has two blocks of nodes and their
-shingle sets, counts all their intersections by products of 0/1 matrices, and returns no
-more links than join its components. So no group is expanded into rows of pairs, memory is
-that of two blocks, and no link between components is lost. Classes are the components.
+nodes meet the bucket's least one. In buckets that then still hold nodes of different
+components, those outside the largest component are compared with each other and with it,
+in blocks (within the largest one nothing is left to join): a group has two blocks of nodes
+and their shingle sets, counts all their intersections by products of 0/1 matrices, and
+returns no more links than join its components. So no group is expanded into rows of pairs,
+memory is that of two blocks, and no link between components is lost. A set is sent once for
+each block of nodes outside the largest component, so that a large group of near copies
+costs its rows times the blocks of its stragglers; only a bucket full of texts that are not
+alike costs the square of its blocks. Classes are the components.
 
 Defined results: null and blank texts are classes of their own; texts without words but
 with other signs are compared as wholes. The class id is the least id of its rows. Rows
@@ -220,12 +224,14 @@ def joining(ids: np.ndarray, components_: np.ndarray, sets: list[np.ndarray], fi
 
 
 def linked_within(docs: DataFrame, rest: DataFrame, params: Params) -> DataFrame:
-    """Links (a, b) that join the components met in each bucket of ``rest`` (bucket, id, c, blocks)."""
+    """Links (a, b) that join the components met in each bucket of ``rest`` (bucket, id, c, main, m_blocks, o_blocks): main tells the nodes of the largest component, dealt into m_blocks, from the others, dealt into o_blocks."""
     held = shingle_sets(docs, cut(rest.select("id").distinct()), params)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rest.withColumn("own", own).select("bucket", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = dealt.select("bucket", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(held, "id")
-    keys = ["bucket", "i", "j"]
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("m_blocks")).otherwise(F.col("o_blocks"))).cast("int")
+    each = lambda n, pair: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(*[v.cast("int").alias(k) for k, v in zip("fij", pair(x), strict=True)]))
+    mine = F.col("own")
+    to = F.when(F.col("main"), each("o_blocks", lambda x: (F.lit(1), x, mine))).otherwise(F.concat(each("o_blocks", lambda x: (F.lit(0), F.least(mine, x), F.greatest(mine, x))), each("m_blocks", lambda x: (F.lit(1), mine, x))))
+    rows = rest.withColumn("own", own).select("bucket", "id", "c", "main", "own", F.explode(to).alias("to")).select("bucket", "to.*", "id", "c", "main", "own").join(held, "id")
+    keys = ["bucket", "f", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -233,18 +239,19 @@ def linked_within(docs: DataFrame, rest: DataFrame, params: Params) -> DataFrame
 
         def close() -> None:
             if len(held) > 1:
-                ids, comps, own = (np.array([x[k] for x in held]) for k in (1, 2, 3))
+                ids, comps, main, own = (np.array([x[k] for x in held]) for k in (1, 2, 3, 4))
                 if (comps != comps[0]).any():
-                    _, i, j = held[0][0]
-                    found.extend(joining(ids, comps, [x[4] for x in held], np.flatnonzero(own == i), np.flatnonzero(own == j), params.least))
+                    _, facing, i, j = held[0][0]
+                    first, second = (~main, main) if facing else (own == i, own == j)
+                    found.extend(joining(ids, comps, [x[5] for x in held], np.flatnonzero(first), np.flatnonzero(second), params.least))
             held.clear()
 
         for batch in batches:
             names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
-            for name, id_, c, mine, x in zip(names, *[batch.column(k).to_pylist() for k in ("id", "c", "own")], batch.column("set"), strict=True):
+            for name, id_, c, main, mine, x in zip(names, *[batch.column(k).to_pylist() for k in ("id", "c", "main", "own")], batch.column("set"), strict=True):
                 if held and held[0][0] != name:
                     close()
-                held.append((name, id_, c, mine, np.frombuffer(x.as_py(), np.uint64)))
+                held.append((name, id_, c, main, mine, np.frombuffer(x.as_py(), np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
             found.clear()
         close()
@@ -277,9 +284,11 @@ def classes(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     roots = cut(components(links))
 
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("n")).where("least != most")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-    rest = cut(placed.drop("n").join(mixed.select("bucket", blocks.alias("blocks")), "bucket"))
+    sums = placed.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    mixed = sums.groupBy("bucket").agg(F.max(F.struct("rows", "c", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n")).where("rows > top.rows")
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("bucket", F.col("top.c").alias("top_c"), blocks(F.col("top.rows"), F.col("top.n")).alias("m_blocks"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("o_blocks"))
+    rest = cut(placed.join(mixed, "bucket").select("bucket", "id", "c", (F.col("c") == F.col("top_c")).alias("main"), "m_blocks", "o_blocks"))
     if rest.limit(1).count():
         links = cut(links.unionByName(linked_within(docs, rest, params)))
         roots = cut(components(links))

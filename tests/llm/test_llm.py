@@ -425,7 +425,9 @@ def brute_classes(texts, least=0.8):
     return {k: find(k) for k in range(len(texts))}
 
 
-def test_minhash_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [1_024, 2])
+def test_minhash_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     base = [[word() for _ in range(60)] for _ in range(4)]
