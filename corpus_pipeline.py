@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwright.llm import bpe, langid, minhash, mixing, sadedup
-from plotwright.llm.common import checkpoint_dir, crc_mod, cut, table
+from plotwright.llm.common import checkpoint_dir, crc_mod, cut, drop_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose most probable language has less than this is rejected, as is one without letters.
@@ -95,4 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            drop_folder(spark, f"{base}/{k - 1}")
     return docs
