@@ -40,9 +40,22 @@ PAGES = {
 }
 
 
-@pytest.mark.parametrize("name", PAGES)
+#: Labelled by hand; of names, languages and layouts that the training pages do not have.
+OTHER_PAGES = {
+    "de": ('<html lang="de"><body><div id="kopfzeile"><a href="/">Stadtblatt</a> <a href="/abo">Abo</a></div><div id="navigation-oben"><ul><li><a href="/p">Politik</a></li><li><a href="/s">Sport</a></li></ul></div><div class="inhalt"><h1>Neue Brücke eröffnet</h1><p>Am Samstag wurde die neue Brücke über den Fluss nach drei Jahren Bauzeit für den Verkehr freigegeben.</p><p>Viele Bürger kamen, um sie zu Fuß zu überqueren.</p></div><footer><p>© 2020 Stadtblatt <a href="/impressum">Impressum</a></p></footer></body></html>', "Neue Brücke eröffnet Am Samstag wurde die neue Brücke über den Fluss nach drei Jahren Bauzeit für den Verkehr freigegeben. Viele Bürger kamen, um sie zu Fuß zu überqueren."),
+    "fr": ('<body><header><a href="/">Le Journal</a></header><article class="papier"><h1>Le pont est ouvert</h1><div class="corps"><p>Le nouveau pont a été ouvert samedi matin après trois ans de travaux sur la rivière.</p><blockquote><p>« Enfin », a dit un habitant du quartier voisin.</p></blockquote></div></article><aside><h3>À lire aussi</h3><ul><li><a href="/a">Un autre article</a></li><li><a href="/b">Encore un autre</a></li></ul></aside></body>', "Le pont est ouvert Le nouveau pont a été ouvert samedi matin après trois ans de travaux sur la rivière. « Enfin », a dit un habitant du quartier voisin."),
+    "links": ('<body><div class="zz1"><a href=/1>One</a> | <a href=/2>Two</a> | <a href=/3>Three</a></div><div class="zz2"><h1>A walk in the hills</h1><p>We set out early in the morning and came to the top of the first hill before noon, tired and glad.</p><p>The way back was longer, as the bridge had been closed.</p></div><div class="zz3"><a href=/4>Four</a> <a href=/5>Five</a> <a href=/6>Six</a></div></body>', "A walk in the hills We set out early in the morning and came to the top of the first hill before noon, tired and glad. The way back was longer, as the bridge had been closed."),
+    "main": ('<body><nav><a href=/>Home</a></nav><main><section><h2>Part one</h2><p>It begins with a long sentence about a small town by the sea and its people.</p></section><section><h2>Part two</h2><p>It ends with another one about the same town, many years later.</p></section></main><section id="discussion-thread"><p>I liked it very much, thank you!</p><p>So did I.</p></section></body>', "Part one It begins with a long sentence about a small town by the sea and its people. Part two It ends with another one about the same town, many years later."),
+    "dialog": ('<body><div role="dialog"><p>This site stores small files on your device to work better for you.</p><button>Fine</button></div><article><p>The first words of the text stand here, and they are not few.</p><p>The last words stand here.</p></article><div class="ad-slot-7"><p>Buy two of our fine chairs and pay for one of them only.</p></div></body>', "The first words of the text stand here, and they are not few. The last words stand here."),
+    "table": ('<body><div class="menu-top"><a href=x>A</a></div><article><h1>Prices</h1><p>The prices of the last year in a table, as they were on the market.</p><table><tr><th>Fruit</th><th>Price</th></tr><tr><td>Apple</td><td>2</td></tr></table></article><div id="footer">Contact us</div></body>', "Prices The prices of the last year in a table, as they were on the market. Fruit Price Apple 2"),
+    "comments in article": ('<body><article><h1>T</h1><p>A first paragraph of the article that is long enough to be read as such.</p><div class="responses"><h4>2 responses</h4><p>I do not agree at all with what is said here, sorry.</p></div></article></body>', "T A first paragraph of the article that is long enough to be read as such."),
+}
+
+
+@pytest.mark.parametrize("name", [*PAGES, *OTHER_PAGES])
 def test_extract_pages(name):
-    assert text_of(PAGES[name][0]) == PAGES[name][1]
+    page, want = (PAGES | OTHER_PAGES)[name]
+    assert text_of(page) == want
 
 
 def test_extract_odd_markup():
@@ -406,6 +419,20 @@ def test_bpe_frames(spark, vocabulary):
     assert by(encoded, "doc_id", "ids")[0] == (ids,) and bytes(by(bpe.decode(encoded, path), "doc_id", "data")[0][0]) == b"hello world"
 
 
+def test_bpe_of_an_empty_table_and_a_small_cache(spark, vocabulary, monkeypatch):
+    path, library = vocabulary
+    assert bpe.digest(docs(spark, "a").limit(0), path).count() == 0 and bpe.encode(docs(spark, "a").limit(0), path).count() == 0
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2_000)
+    rng = random.Random(17)
+    tool = bpe.Codec(path)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abc déßx'12 ,\n") for _ in range(rng.randint(0, 200))) for _ in range(8)]
+        assert tool.encode(texts) == [library.encode_ordinary(t) for t in texts]
+        assert len(tool.recent) + len(tool.older) < 500
+    tool.forget()
+    assert not tool.recent and not tool.older
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 
