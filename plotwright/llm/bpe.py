@@ -40,7 +40,7 @@ LETTER, NUMBER, OTHER, JOIN, LAST, SPACE, SHORT, LONG = range(8)
 CUT, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINED, IN_SPACES, ONE, TWO = range(8)
 
 #: Bytes that the slices remembered in a task may take, in each of two generations; beyond it the older one goes. It bounds memory, not results.
-CACHE_BYTES = 6 << 20
+CACHE_BYTES = 20 << 20
 #: What a remembered slice takes besides its own bytes and those of its ids.
 ENTRY_BYTES = 180
 #: Slices over so many bytes are merged but not remembered.
