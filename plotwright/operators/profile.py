@@ -62,17 +62,20 @@ def missing_counts(df: DataFrame) -> dict[str, int]:
 
 
 def missing_correlation(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, corr) for each pair of columns that are missing in some rows; from counts alone, null where a column never varies."""
+    """(a, b, corr) for each pair of columns that are missing in some rows; from counts alone, null where a column never varies.
+
+    Rows are first counted by which columns they lack, so pairs are formed of a few patterns, not of rows.
+    """
     names = [*(names or df.columns)]
-    gone = {c: F.col(f"`{c}`").isNull().cast("long") for c in names}
-    n = F.count("*")
-    pairs = []
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            sa, sb, sab = (F.sum(x).cast("double") for x in (gone[a], gone[b], gone[a] * gone[b]))
-            spread = F.sqrt((n * sa - sa * sa) * (n * sb - sb * sb))
-            pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ((n * sab - sa * sb) / F.nullif(spread, F.lit(0.0))).alias("corr"), sa.alias("n_a"), sb.alias("n_b")))
-    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p")).where("n_a > 0 and n_b > 0").select("a", "b", "corr")
+    gone = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in names]))
+    patterns = settle(df.select(gone.alias("gone")).groupBy("gone").agg(F.count("*").cast("double").alias("n")))
+    met = patterns.select("n", "gone", F.explode("gone").alias("a")).select("n", "a", F.explode("gone").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("s_ab"))
+    alone = lambda x: met.where("a = b").select(F.col("a").alias(x), F.col("s_ab").alias(f"s_{x}"))
+    pairs = df.sparkSession.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i:]], "a string, b string")
+    joined = pairs.join(alone("a"), "a").join(alone("b"), "b").join(met, ["a", "b"], "left").crossJoin(F.broadcast(patterns.agg(F.sum("n").alias("n"))))
+    n, sa, sb = F.col("n"), F.col("s_a"), F.col("s_b")
+    spread = F.sqrt((n * sa - sa * sa) * (n * sb - sb * sb))
+    return joined.select("a", "b", ((n * F.coalesce("s_ab", F.lit(0.0)) - sa * sb) / F.nullif(spread, F.lit(0.0))).alias("corr"))
 
 
 def missing_blocks(df: DataFrame, least: float = 0.95) -> DataFrame:
