@@ -154,8 +154,9 @@ def collapse_spaces(spark, d):
 
 @query("SELECT o_orderkey, cast(cast(o_orderdate AS date) AS string) AS sale_date FROM orders")
 def text_to_date(spark, d):
-    k = F.col("o_orderkey") % 3
-    text = F.when(k == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(k == 1, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    """Each spelling in turn, the last one a date and time."""
+    spellings = [*V.DATE_FORMATS, "yyyy-MM-dd HH:mm:ss"]
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(spellings) == k, F.date_format("o_orderdate", f)) for k, f in enumerate(spellings)])
     return t(spark, d, "orders").select("o_orderkey", V.parse_date(text).cast("string").alias("sale_date"))
 
 
@@ -177,9 +178,9 @@ def foreign_key_orphans(spark, d):
     return validate.orphans(v(spark, d, "mappings"), v(spark, d, "addresses").where("latitude is not null"), {"address_id": "address_id"}).select("mapping_id")
 
 
-@query("SELECT ordinal, column_name FROM (VALUES (1, 'o_orderkey'), (2, 'o_custkey'), (3, 'o_orderstatus'), (4, 'o_totalprice'), (5, 'o_orderdate'), (6, 'o_orderpriority')) x(ordinal, column_name)")
+@query("SELECT row_number() OVER () AS ordinal, column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS data_type, \"null\" = 'YES' AS is_nullable FROM (DESCRIBE orders)")
 def catalog_columns(spark, d):
-    return tables.columns_of(t(spark, d, "orders")).select("ordinal", "column_name")
+    return tables.columns_of(t(spark, d, "orders")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 # --- addresses ----------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,6 +32,24 @@ class Store:
         return self.spark.read.parquet(path)
 
 
+class Cached:
+    """Published tables for reports: read once, kept by the executors, and read again after ``seconds`` (a table may have been published anew)."""
+
+    def __init__(self, store: Store, seconds: float = 600, clock: Callable[[], float] = time.monotonic):
+        self.store, self.seconds, self.clock = store, seconds, clock
+        self.held: dict[str, tuple[float, DataFrame]] = {}
+
+    def read(self, name: str) -> DataFrame:
+        since, df = self.held.get(name, (None, None))
+        if df is not None and self.clock() - since < self.seconds:
+            return df
+        if df is not None:
+            df.unpersist()
+        self.store.spark.catalog.refreshByPath(f"{self.store.folder}/{name}")
+        self.held[name] = (self.clock(), self.store.read(name).cache())
+        return self.held[name][1]
+
+
 def prepare(spark: SparkSession, raw_csv: str, folder: str, keep_tables: bool = False) -> dict[str, int]:
     """Loads, cleans and publishes sales, addresses and mappings; nothing is published if a check fails."""
     store = Store(spark, folder)

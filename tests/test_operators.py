@@ -277,6 +277,19 @@ def test_references_are_checked_and_tables_kept(spark, tmp_path):
         validate.require_reference(maps, maps.select("housing_id").limit(0), {"housing_id": "housing_id"})
 
 
+def test_cached_reads_are_renewed(spark, tmp_path):
+    clock = [0.0]
+    cached = prepare.Cached(prepare.Store(spark, str(tmp_path)), 600, lambda: clock[0])
+    storage.publish(spark.range(3), f"{tmp_path}/sales")
+    first = cached.read("sales")
+    assert first.count() == 3 and first.is_cached
+    storage.publish(spark.range(5), f"{tmp_path}/sales")
+    clock[0] = 599
+    assert cached.read("sales") is first and cached.read("sales").count() == 3
+    clock[0] = 600
+    assert cached.read("sales").count() == 5 and not first.is_cached
+
+
 def test_catalogue(spark):
     assert tables.ensure_database(spark, "plots_test") and not tables.ensure_database(spark, "plots_test")
     assert tables.missing_tables(spark, ["plots_test.nothing"]) == ["plots_test.nothing"]
