@@ -354,11 +354,13 @@ def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(id, th, spans array<struct<low, high>>) of the texts of ``docs`` (id, th, data) that hold repeated windows; in bytes of their words' units, if ``params`` counts in words."""
     spark = docs.sparkSession
     every = cut(runs(docs, params))
-    met = every.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key")
+    # Sums by key are written before rows are joined with them: so Spark can split a frequent key's rows, as both sides are plain shuffles.
+    met = cut(every.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key"))
     places = cut(every.join(met, "key"))
     distinct = places.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "place")).alias("one"), F.max("n").alias("n"), F.max("twice").alias("twice"))
+    distinct = cut(distinct)
     width = F.col("n").cast("long") + (params.least - 1)
-    of_key = distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum(width).alias("bytes"))
+    of_key = cut(distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum(width).alias("bytes")))
     known = cut(distinct.join(of_key, "key").select("key", "digest", "c", "n", "one.id", "one.th", "one.place", (F.lit(params.gram < params.least) & (F.col("bytes") > params.most_bytes)).alias("hot"), ((F.col("nd") > 1) | (F.col("twice") & (F.col("c") == 1))).alias("sort"), width.alias("width")))
     wanted = known.where("sort")
     size, hot = wanted.agg(F.sum("width"), F.max("hot")).first()
@@ -372,7 +374,7 @@ def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
         found = found.unionByName(again)
     copied = known.where("c > 1").select("key", "digest", F.lit(0).cast("long").alias("low"), (F.col("n") - 1).cast("long").alias("high"))
     lone = found.join(known.where("c > 1").select("key", "digest"), ["key", "digest"], "left_anti")
-    at = lone.unionByName(copied).groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    at = cut(lone.unionByName(copied).groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("found")))
     back = places.select("key", "digest", *ROW, "place").join(at, ["key", "digest"]).select(*ROW, F.transform("found", lambda x: F.struct((x.low + F.col("place")).alias("low"), (x.high + F.col("place")).alias("high"))).alias("found"))
     return joined(back.groupBy(*ROW).agg(F.flatten(F.collect_list("found")).alias("spans")))
 
