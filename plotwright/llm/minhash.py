@@ -276,9 +276,10 @@ def classes(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     """(id, class_id, n_copies) for every row: its class, and how many rows have the same words in the same order."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(sketch(docs, params))
-    nodes = signed.where("copy is not null").groupBy("copy").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
+    # Sums by a key are written before rows are joined with them: so Spark can split a frequent key's rows, as both sides are plain shuffles.
+    nodes = cut(signed.where("copy is not null").groupBy("copy").agg(F.min("id").alias("node"), F.count("*").alias("n_copies")))
     bands = signed.join(nodes.select("copy", F.col("node").alias("id")), ["copy", "id"], "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
-    leaders = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader != most").drop("most")
+    leaders = cut(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader != most").drop("most"))
     members = cut(bands.join(leaders, "bucket").where("id != leader"))
     links = cut(verified(docs, members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), params))
     roots = cut(components(links))
@@ -287,7 +288,7 @@ def classes(df: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     sums = placed.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     mixed = sums.groupBy("bucket").agg(F.max(F.struct("rows", "c", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n")).where("rows > top.rows")
     blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    mixed = mixed.select("bucket", F.col("top.c").alias("top_c"), blocks(F.col("top.rows"), F.col("top.n")).alias("m_blocks"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("o_blocks"))
+    mixed = cut(mixed).select("bucket", F.col("top.c").alias("top_c"), blocks(F.col("top.rows"), F.col("top.n")).alias("m_blocks"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("o_blocks"))
     rest = cut(placed.join(mixed, "bucket").select("bucket", "id", "c", (F.col("c") == F.col("top_c")).alias("main"), "m_blocks", "o_blocks"))
     if rest.limit(1).count():
         links = cut(links.unionByName(linked_within(docs, rest, params)))
