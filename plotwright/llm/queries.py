@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plotwright.llm import ann, bpe, extract, langid, minhash, mixing, sadedup, sharding, topk, warc
 from plotwright.llm.common import checkpoint_dir, crc_mod, cut, drop_folder, table
+from plotwright.llm.oracles import ORACLES as ORACLES
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,3 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
 }
-
-#: DuckDB cannot express these; tests/llm holds each against brute force.
-ORACLES: dict[str, str] = {}

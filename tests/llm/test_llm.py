@@ -1,11 +1,13 @@
 import base64
 import hashlib
 import html.parser
+import os
 import random
 import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -823,3 +825,46 @@ def test_pipeline_tells_rows_apart_by_id_and_text(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and unique.columns == P.COLUMNS
     after = [(r.doc_id, r.text or "") for r in P.suffix_dedup(spark, unique, SMALL).collect()]
     assert sorted(after, key=str) == sorted([(k, t or "") for k, t in want], key=str)
+
+
+# --- SQL ----------------------------------------------------------------------------------------
+
+
+def rows_by_sql(sql, folder, columns):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            con.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{t}.parquet') else ''}')")
+    found = con.sql(sql)
+    assert sorted(found.columns) == sorted(columns)
+    return sorted(found.select(*[f'"{c}"' for c in columns]).fetchall(), key=str)
+
+
+def same_by_sql(spark, name, folder):
+    df = queries.QUERIES[name](spark, folder)
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == rows_by_sql(queries.ORACLES[name], folder, df.columns)
+    return got
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, name):
+    assert same_by_sql(spark, name, SMALL)
+
+
+def test_sql_of_hard_rows(spark, tmp_path):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(60)]
+    texts = [" ".join(words), " ".join(words[:58]), " ".join(words) + "!", " ".join(words[::-1]), "one two", "One, two!", None, "", " \t ", "!!!", " !!! ", "ÄÖ é 日本"]
+    spark.createDataFrame([*enumerate(texts), (3, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[:2] for r in same_by_sql(spark, "op5_minhash", str(tmp_path))}
+    assert {(1, 0), (2, 0), (5, 3), (4, 3), (10, 9)} <= got
+
+    big = "ä<p>\r\n\r\n" * 20_000
+    pages = [(1, big), (2, big), (1, "x"), (3, "x"), (4, ""), (5, None), (None, "lone"), (6, "b" * 8_192)] + [(n, "c" * n) for n in range(32_560, 32_690, 4)]
+    spark.createDataFrame([(k, f"http://{n}/", h) for n, (k, h) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    same_by_sql(spark, "op3_warc", str(tmp_path))
+
+    vectors = [(20 * k, [rng.uniform(-1, 1) for _ in range(4 - k % 2)]) for k in range(30)] + [(901, None), (902, [0.0, float("nan"), 1.0, 1.0]), (920, []), (None, [1.0] * 4), (903, [0.0] * 4), (904, [float("inf")] * 4)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(same_by_sql(spark, "op9_topk", str(tmp_path))) == 15 * 14 + 15 * 15
