@@ -343,11 +343,11 @@ def joined(found: DataFrame) -> DataFrame:
 
 
 def passages(data: bytes, spans: list[dict], n: int) -> list[tuple[int, int]]:
-    """(begin, end) in bytes of the strings of ``n`` words that start at units in low..high."""
+    """(begin, end) in bytes of the strings of ``n`` words that start at units in low..high; those that start at neighbouring words are one."""
     words = [x[:2] for x in words_of(data)]
     begins, ends = (np.concatenate([x[j] for x in words]) for j in (0, 1))
-    first = [(-(-x["low"] // UNIT), x["high"] // UNIT) for x in spans]
-    return [(int(begins[a]), int(ends[min(b + n, len(ends)) - 1])) for a, b in merged([x for x in first if x[0] <= x[1]])]
+    first = [(-(-x["low"] // UNIT), x["high"] // UNIT + 1) for x in spans]
+    return [(int(begins[a]), int(ends[min(b - 1 + n, len(ends)) - 1])) for a, b in merged([x for x in first if x[0] < x[1]])]
 
 
 def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -287,6 +287,15 @@ def test_pipeline_removes_passages_of_over_50_words(spark):
     assert got == {0: (f"{ends[0][0]}  {ends[0][1]}",), 1: (f"{ends[1][0]} (.) {ends[1][1]}",), 2: (texts[2],), 3: (texts[3],)}
 
 
+def test_passages_that_start_at_neighbouring_words_are_one(spark):
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [some(300) for _ in range(3)]
+    texts = [" ".join(some(70) + shared[k % 3] + some(60) + shared[(k + 1) % 3][: 51 if k < 3 else 50] + some(5)) for k in range(9)] + [" ".join(some(500))]
+    got = by(sadedup.removed(docs(spark, *texts), least_words=51, remove_words=False), "doc_id", "n_passages")
+    assert [got[k][0] for k in range(10)] == [2] * 3 + [1] * 6 + [0]
+
+
 def test_suffix_dedup_edges(spark):
     assert sadedup.removed(docs(spark, "a").limit(0)).count() == 0
     same = "word " * 100
