@@ -869,6 +869,12 @@ def test_sql_of_hard_rows(spark, tmp_path):
     got = {r[:2] for r in same_by_sql(spark, "op5_minhash", str(tmp_path))}
     assert {(1, 0), (2, 0), (5, 3), (4, 3), (10, 9)} <= got
 
+    long, signs = " ".join(words[:51]), "\x00 ... -- (x) \n" * 40
+    texts = [None, "", "ab" * 300, "ab" * 199, "é" * 450, "x" + "é" * 250, long, f"  ({long}.)", f"{long[:-1]}", signs, "y " + signs, " ".join(words) * 3, " ".join(words) * 2]
+    spark.createDataFrame([*enumerate(texts), (3, "lone"), (None, "z" * 401), (7, long)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: r[1:] for r in same_by_sql(spark, "op2_suffix", str(tmp_path)) if r[0] not in (3, 7)}
+    assert got[2][1:3] == (600, 1) and got[6][1] == 0 and got[6][4] == 1 and got[8][4] == 0 and got[None][1] == 401
+
     big = "ä<p>\r\n\r\n" * 20_000
     pages = [(1, big), (2, big), (1, "x"), (3, "x"), (4, ""), (5, None), (None, "lone"), (6, "b" * 8_192)] + [(n, "c" * n) for n in range(32_560, 32_690, 4)]
     spark.createDataFrame([(k, f"http://{n}/", h) for n, (k, h) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
