@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.llm import ann, bpe, extract, langid, minhash, mixing, sadedup, sharding, topk, warc
+from plotwright.llm import ann, bpe, extract, langid, merkle, minhash, mixing, negatives, sadedup, sharding, topk, toxicity, warc
 from plotwright.llm.common import checkpoint_dir, crc_mod, cut, drop_folder, table
 from plotwright.llm.oracles import ORACLES as ORACLES
 
+#: The fields of a document that a Merkle leaf hashes, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
@@ -66,6 +70,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=[docs["doc_id"], held_out.alias("held_out")])
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified against a copy in which the texts of some documents are in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    seen = [F.when(crc_mod(F.col("doc_id"), 5) == 0, lowered).otherwise(F.col("text")) if c == "text" else F.col(c) for c in LEAF]
+    return merkle.manifest(docs, LEAF, "doc_id", "source", seen)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), labels)
+    found = toxicity.predict(docs, model, keep=[docs["doc_id"], held_out.alias("held_out")])
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_suffix": op2_suffix,
@@ -77,4 +102,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
+    "op11_merkle": op11_merkle,
+    "op12_toxicity": op12_toxicity,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -59,11 +59,11 @@ def found_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of a list column as a float64 matrix. All must have one length."""
+    """Rows of a list column as a float64 matrix. All must have one length; without rows that is 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1 if len(column) else 0)
 
 
 def exact_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
