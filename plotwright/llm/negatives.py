@@ -164,13 +164,12 @@ def met(queries: DataFrame, rows: DataFrame, cells: dict[int, tuple[int, np.ndar
     if not plan:
         return spark.createDataFrame([], MET)
     table = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, parts int"))
-    dealt = lambda n, *more: F.pmod(F.xxhash64("id", *more), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = routed.select("id", "vector", "label", "low", "high", F.explode("cells").alias("cell")).join(table, "cell")
-    left = left.select("id", "vector", "label", "low", "high", "cell", dealt("parts", F.lit(1)).alias("part"), each("blocks").alias("block"))
+    left = left.select("id", "vector", "label", "low", "high", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), each("blocks").alias("block"))
     left = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
-    # Rows of one id are dealt by their vectors too, so that an id with many rows is many groups.
-    right = rows.join(table, "cell").select("id", "vector", "label", "cell", dealt("blocks", "vector", "label").alias("block"), each("parts").alias("part"))
+    # Rows are dealt by their place in the kept table: those that repeat an id or a vector spread as all others do.
+    right = rows.withColumn("seq", F.monotonically_increasing_id()).join(table, "cell").select("id", "vector", "label", "cell", F.pmod("seq", F.col("blocks")).cast("int").alias("block"), each("parts").alias("part"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
         q_ids = l["q_id"].to_numpy()

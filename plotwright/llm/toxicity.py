@@ -18,8 +18,8 @@ fitted on ``curve_rows`` of them; the model holds ``most_words`` words, those of
 
 Defined results: null and empty texts have no evidence and get the score of none. An id whose
 labels differ is toxic if any says so; null labels and ids teach nothing; rows that repeat an id
-learn and are scored each by its own text. Without labels of both kinds every text scores the
-share of toxic ones (0 without any). Words are runs of letters and digits of the lower-cased text. Other columns
+learn and are scored each by its own text. Without labels of both kinds every text scores as
+the one kind does (0 without any). Words are runs of letters and digits of the lower-cased text. Other columns
 pass through, but those called score, predicted or passages give way to the new ones.
 """
 
@@ -49,7 +49,7 @@ class Params:
     prior: float = 0.1
     doubt: float = 1.5
     drift: float = 0.3
-    expected: float = 0.01
+    expected: float = 0.05
     stems: tuple[int, ...] = (4, 5, 6, 7)
     apart: int = 4
     most_labels: int = 1_000_000
@@ -180,15 +180,19 @@ def judged(model: Model, scores: Scores, text: str | None) -> tuple[float, list[
 
 
 def extreme_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """(lambda, K) of greatest likelihood for best scores of texts of ``n`` words: at its place the mean excess of the scores is 1 / lambda."""
+    """(lambda, K) of greatest likelihood for best scores of texts of ``n`` words; a score of 0 says only that no segment was above it."""
     have = n > 0
     best, n = best[have], n[have].astype(np.float64)
-    if not len(best) or best.max() <= 0:
-        return 1.0, 1.0
+    above, words, many = best[best > 0], n[best > 0], int((best > 0).sum())
+    none = float(n[best <= 0].sum())
+    if not many:
+        return 1.0, 1 / max(1.0, none)  # less than one segment in all these words
+
+    def k(rate: float) -> float:
+        return many / float((words * np.exp(-rate * above)).sum() + none)
 
     def slope(rate: float) -> float:
-        w = n * np.exp(-rate * (best - best.min()))
-        return 1 / rate - best.mean() + float((w * best).sum() / w.sum())
+        return many / rate - float(above.sum()) + k(rate) * float((words * above * np.exp(-rate * above)).sum())
 
     low, high = 1e-3, 1.0
     while slope(high) > 0 and high < 1e3:
@@ -196,15 +200,14 @@ def extreme_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if slope(middle) > 0 else (low, middle)
-    rate = (low + high) / 2
-    return rate, float(len(best) / (n * np.exp(-rate * best)).sum())
+    return (low + high) / 2, k((low + high) / 2)
 
 
 def curve(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Intercept and slope (not negative) of a logistic curve, by Newton steps; targets are drawn in by one row of each kind, so that kinds that are told apart without fault leave both finite."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
-        return (math.log((n1 + 1e-9) / (n0 + 1e-9)) if n1 + n0 else -500.0), 0.0
+        return (20.0 if n1 else -500.0), 0.0
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     design = np.stack([np.ones(len(x)), x], 1)
     line = np.array([math.log(n1 / n0), 0.0])
@@ -243,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     sizes = {(r["toxic_"], r["part"] == 0): r["n"] for r in rows.groupBy("toxic_", (F.col("part") == 0).alias("part")).agg(F.count("*").alias("n")).select("toxic_", F.when(F.col("part"), 0).otherwise(1).alias("part"), "n").collect()}
     toxic, clean = (sum(n for (t, _), n in sizes.items() if t is kind) for kind in (True, False))
     if not toxic or not clean:
-        return Model({}, 1.0, 1.0, curve(np.zeros(toxic + clean if toxic + clean < 2 else 2), np.full(toxic + clean if toxic + clean < 2 else 2, toxic > 0)), params)
+        return Model({}, 1.0, 1.0, (20.0 if toxic else -500.0, 0.0), params)
     split = all(sizes.get((t, p)) for t in (True, False) for p in (True, False))  # else both parts are all rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
