@@ -357,6 +357,15 @@ class Codec:
         keys = splitmix((sums[marks[1:]] - sums[marks[:-1]]) * down[marks[:-1]])
         _, at, back = np.unique(keys, return_index=True, return_inverse=True)
         pieces = [data[a:b] for a, b in zip(marks[at].tolist(), marks[at + 1].tolist(), strict=True)]
+        # A key only proposes: slices whose bytes are not those of the key's first slice stand for themselves.
+        lengths = np.diff(marks)
+        alike = lengths[at][back] == lengths
+        wrong = np.flatnonzero(ragged(raw, np.where(alike, marks[at][back], marks[:-1]), lengths) != raw)
+        apart = np.union1d(np.flatnonzero(~alike), np.searchsorted(marks, wrong, side="right") - 1)
+        own: dict[bytes, int] = {}
+        for k in apart.tolist():
+            back[k] = len(pieces) + own.setdefault(data[marks[k] : marks[k + 1]], len(own))
+        pieces += own
         flat, starts, sizes = laid(self.cached(pieces))
         ids = ragged(flat.view("<i4"), (starts // 4)[back], (sizes // 4)[back])
         ends = np.concatenate([[0], np.cumsum((sizes // 4)[back])])
