@@ -42,7 +42,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.bpe import powers
 from plotwright.llm.common import codepoints, cut, sparing, splitmix, text_pieces
 from plotwright.llm.graph import components
 
@@ -70,11 +69,27 @@ def word_table() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
+class WordHashes(dict):
+    """64-bit hashes of words by their bytes, those met lately remembered."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return self[word]
+
+
+known_words = WordHashes()
+
+
+def word_hashes(texts: list[str], part: int = 1 << 20) -> list[np.ndarray]:
     """The 64-bit hashes of each text's words, in order. A text with signs but no word is one word."""
     low = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    points = codepoints("".join(low))
+    whole = "".join(low)
+    points = codepoints(whole)
     ends = np.cumsum(sizes)
     word = word_table()[points]
     starts = word.copy()
@@ -85,14 +100,14 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     after[:-1] = starts | ~word
     first = np.flatnonzero(starts)
     last = np.flatnonzero(word & after[1:]) + 1
-    up, down = powers(len(points))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(points.astype(np.uint64)) * up[: len(points)])])
-    hashes = splitmix((sums[last] - sums[first]) * down[first])
+    hashes = np.empty(len(first), np.uint64)
+    for k in range(0, len(first), part):
+        hashes[k : k + part] = [known_words[whole[a:b]] for a, b in zip(first[k : k + part].tolist(), last[k : k + part].tolist(), strict=True)]
     split = np.searchsorted(first, np.concatenate([ends - sizes, ends[-1:]]))
     out = [hashes[a:b] for a, b in zip(split, split[1:], strict=False)]
     for k, (x, t) in enumerate(zip(out, low, strict=True)):
         if not len(x) and (bare := t.strip()):
-            out[k] = np.frombuffer(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+            out[k] = np.array([known_words[bare]], np.uint64)
     return out
 
 
