@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.llm.common import cut, sparing
@@ -114,8 +114,8 @@ def grow(units: np.ndarray, leaves: int, branch: int = 8, seed: int = 5, rounds:
     return Tree(np.array(centroids), tuple(children), leaf)
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, cosine) of each query's ``k`` nearest rows but its own. Products choose, exact cosines decide."""
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, cosine, position) of each query's ``k`` nearest rows but its own. Products choose, exact cosines decide."""
     q_lengths, lengths = np.sqrt(exact_dots(q, q)), np.sqrt(exact_dots(rows, rows))
     parts = []
     for a in range(0, len(q), 128):
@@ -126,8 +126,8 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray,
         i = i + a
         score = exact_dots(q[i], rows[at]) / (q_lengths[i] * lengths[at])
         chosen = best(i, ids[at], score, k)
-        parts.append((q_ids[i[chosen]], ids[at[chosen]], score[chosen]))
-    return tuple(np.concatenate([p[j] for p in parts]) for j in range(3))
+        parts.append((q_ids[i[chosen]], ids[at[chosen]], score[chosen], at[chosen]))
+    return tuple(np.concatenate([p[j] for p in parts]) for j in range(4))
 
 
 def neighbours(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, rows_per_leaf: int = 400, most_leaves: int = 4_096, calibrate: int = 256, seed: int = 5) -> DataFrame:
@@ -143,8 +143,13 @@ def visited(every: DataFrame, k: int, recall: float, sample: int, rows_per_leaf:
     n, n_asked = (x or 0 for x in every.agg(F.count("*"), F.count_if("q_")).first())
     if not n_asked:
         return spark.createDataFrame([], FOUND)
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
-    drawn = lambda some, most, have: some.where(place < int((1 << 30) * min(1.0, most / have)) + 1).limit(2 * most).toArrow()
+    # Drawn by id and vector, so that rows which share an id are drawn apart; a draw that meets none takes the first.
+    place = F.pmod(F.xxhash64("id", "vector", F.lit(seed)), F.lit(1 << 30))
+
+    def drawn(some: DataFrame, most: int, have: int) -> pa.Table:
+        found = some.where(place < int((1 << 30) * min(1.0, most / have)) + 1).limit(2 * most).toArrow()
+        return found if found.num_rows else some.orderBy(place, "id", "vector").limit(1).toArrow()
+
     tree = grow(unit_rows(matrix(drawn(every.select("id", "vector"), sample, n)["vector"])), int(np.clip(n // rows_per_leaf, 1, most_leaves)), seed=seed)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -161,17 +166,19 @@ def visited(every: DataFrame, k: int, recall: float, sample: int, rows_per_leaf:
 
     # Calibration: how many leaves hold the true neighbours of some queries.
     asked = cut(rows.groupBy("id").agg(F.min(F.when(F.col("q_"), F.col("vector"))).alias("vector"), F.count("*").alias("own")).where("vector is not null"))
-    trial = drawn(asked.select("id", "vector"), calibrate, n_asked)
+    trial = drawn(asked.select("id", "vector"), calibrate, asked.count())
     t_ids, t = trial["id"].to_numpy(), matrix(trial["vector"])
     asked_ = spark.sparkContext.broadcast((t_ids, t))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield found_batch(nearest(*asked_.value, b.column("id").to_numpy(), matrix(b.column("vector")), k))
+                found = nearest(*asked_.value, b.column("id").to_numpy(), matrix(b.column("vector")), k)
+                yield pa.RecordBatch.from_arrays([*found_batch(found).columns, b.column("leaf").take(pa.array(found[3]))], names=["query_id", "vec_id", "score", "leaf"])
 
-    true = top(rows.select("id", "vector").mapInArrow(sparing(compare), FOUND), k, "double")
-    truth = true.join(rows.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
+    met = rows.select("id", "vector", "leaf").mapInArrow(sparing(compare), f"{FOUND}, leaf int")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "leaf")
+    truth = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "leaf").collect()
     position = {int(i): {leaf: r for r, leaf in enumerate(tree.order(u), 1)} for i, u in zip(t_ids, unit_rows(t), strict=True)}
     ranks = np.sort([position[q][leaf] for q, leaf in truth])
     visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) if len(ranks) else tree.leaves
@@ -193,13 +200,14 @@ def visited(every: DataFrame, k: int, recall: float, sample: int, rows_per_leaf:
 
     walks = cut(asked.mapInArrow(sparing(walk), "id long, vector array<double>, leaves array<int>"))
     visitors = {r["leaf"]: r["count"] for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    met = [(int(j), int(-(-sizes[j] // ROWS)), -(-visitors[j] // ASKED)) for j in sorted(visitors) if sizes[j]]
-    table = F.broadcast(spark.createDataFrame(met, "leaf int, blocks int, parts int"))
+    plan = [(int(j), int(-(-sizes[j] // ROWS)), -(-visitors[j] // ASKED)) for j in sorted(visitors) if sizes[j]]
+    table = F.broadcast(spark.createDataFrame(plan, "leaf int, blocks int, parts int"))
     dealt = lambda n, *more: F.pmod(F.xxhash64("id", *more), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = walks.select("id", "vector", F.explode("leaves").alias("leaf")).join(table, "leaf")
     left = left.select("id", "vector", "leaf", dealt("parts", F.lit(1)).alias("part"), each("blocks").alias("block")).toDF("q_id", "q_vector", "q_leaf", "q_part", "q_block")
-    right = rows.join(table, "leaf").select("id", "vector", "leaf", dealt("blocks").alias("block"), each("parts").alias("part"))
+    # Rows are dealt by their place in the kept table: those that repeat an id or a vector spread as all others do.
+    right = rows.withColumn("seq", F.monotonically_increasing_id()).join(table, "leaf").select("id", "vector", "leaf", F.pmod("seq", F.col("blocks")).cast("int").alias("block"), each("parts").alias("part"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
         some = l.num_rows and r.num_rows
