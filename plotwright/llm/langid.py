@@ -2,8 +2,9 @@
 
 Three passes, none of which shuffles a text:
 
-1. document frequencies of hashed n-grams, and rows of each language, over every labelled row;
-2. the n-gram counts of a bounded sample of labelled rows, on which the driver trains by
+1. document frequencies of hashed n-grams, and rows of each language, over every labelled row, and
+   the ``sample_per_language`` least hashes of different (id, text) of each language;
+2. the n-gram counts of the rows with these hashes, one of each, on which the driver trains by
    follow-the-regularised-leader (elastic net, the bias as a feature that always holds).
    Of the penalties ``l1`` the largest is taken whose loss on rows held back is within one
    standard error of the least; other rows held back then give the temperature;
@@ -27,18 +28,18 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotwright.llm.common import codepoints, lean, others, sparing, text_pieces
+from plotwright.llm.common import codepoints, cut, lean, others, sparing, text_pieces
 
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_per_language`` bounds the rows that the driver trains on; all else covers all rows. ``features`` and ``cells`` are powers of two."""
+    """``sample_per_language`` bounds the different rows of a language that the driver trains on; all else covers all rows. ``features`` and ``cells`` are powers of two."""
 
     features: int = 1 << 15
     longest: int = 3
@@ -184,21 +185,28 @@ def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
 def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Trains on ``labelled``. Rows whose text or language is null, or whose text has no letter, teach nothing."""
     lean(labelled.sparkSession)
-    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(params.seed)).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null")
+    # By id and text: rows that share an id, or have none, are drawn apart; rows that repeat both are drawn once.
+    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(params.seed)).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, by = np.zeros(params.features, np.int64), {}
+        found, by, least = np.zeros(params.features, np.int64), {}, {}
         for batch in batches:
-            names = batch.column("lang").to_pylist()
+            names, keys = batch.column("lang").to_pylist(), batch.column("key").to_numpy()
+            new: dict[str, list[int]] = {}
             for begin, texts in text_pieces(batch, "text"):
-                for name, text in zip(names[begin:], texts, strict=False):
+                for k, text in enumerate(texts, begin):
                     if (g := grams(text, params)) is not None:
                         found[g[0]] += 1
-                        by[name] = by.get(name, 0) + 1
+                        new.setdefault(names[k], []).append(k)
+            for name, at in new.items():
+                by[name] = by.get(name, 0) + len(at)
+                least[name] = np.union1d(least.get(name, keys[:0]), keys[at])[: params.sample_per_language]
         at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at) + [*by], pa.string()), pa.array([*at.tolist(), *[-1] * len(by)], pa.int64()), pa.array([*found[at].tolist(), *by.values()], pa.int64())], names=["lang", "at", "n"])
+        rows = [(None, None, int(j), int(found[j])) for j in at] + [(name, None, None, n) for name, n in by.items()] + [(name, int(key), None, 0) for name, some in least.items() for key in some]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["lang", "key", "at", "n"])
 
-    total = rows.mapInArrow(sparing(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    counted = cut(rows.mapInArrow(sparing(count), "lang string, key long, at long, n long"))
+    total = counted.where("key is null").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     frequency, by = np.zeros(params.features), {}
     for lang, at, n in total:
         if lang is None:
@@ -211,20 +219,26 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         return fit(labelled, replace(params, features=max(1, 1 << (params.cells // len(by)).bit_length() - 1)), id_col, text_col, lang_col)
     idf = np.log((1 + sum(by.values())) / (1 + frequency)) + 1
 
-    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, params.sample_per_language / n)) for x, n in by.items()], "lang string, share double")
-    position = (F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 11)).cast("double") / float(1 << 53)
+    ranked = counted.where("key is not null").select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    last = ranked.where(F.col("rank") <= params.sample_per_language).groupBy("lang").agg(F.max("key").alias("last"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of at most sample_per_language keys of each language
         for batch in batches:
             keys, names = batch.column("key").to_pylist(), batch.column("lang").to_pylist()
             for begin, texts in text_pieces(batch, "text"):
-                got = [(k, name, *g) for k, name, text in zip(keys[begin:], names[begin:], texts, strict=False) if (g := grams(text, params)) is not None]
+                got = []
+                for k, name, text in zip(keys[begin:], names[begin:], texts, strict=False):
+                    if (name, k) not in seen and (g := grams(text, params)) is not None:
+                        seen.add((name, k))
+                        got.append((k, name, *g))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[3].astype("<i4").tobytes() for g in got], pa.binary())],
                     names=["key", "lang", "at", "counts"],
                 )
 
-    sample = rows.join(F.broadcast(shares), "lang").where(position < F.col("share")).select("key", "lang", "text").mapInArrow(sparing(gather), "key long, lang string, at binary, counts binary").collect()
+    drawn = rows.join(F.broadcast(cut(last)), "lang").where(F.col("key") <= F.col("last")).select("key", "lang", "text")
+    sample = drawn.mapInArrow(sparing(gather), "key long, lang string, at binary, counts binary").dropDuplicates(["lang", "key"]).collect()
     return train([(k, lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for k, lang, at, c in sample], idf, params)
 
 
