@@ -117,12 +117,15 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
+            held = 0
             for id_, url, payload, sha, last in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if sum(map(len, out)) > 4_000_000:
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out = []
+                    out, held = [], 0
                 digest = base64.b32encode(sha).decode()
-                out += records(identifier(id_, digest), url or "", payload, digest, None if last is None else identifier(last, digest), date, segment_bytes, chunk_bytes)
+                made = records(identifier(id_, digest), url or "", payload, digest, None if last is None else identifier(last, digest), date, segment_bytes, chunk_bytes)
+                out += made
+                held += sum(map(len, made))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     joined.mapInArrow(sparing(run), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
