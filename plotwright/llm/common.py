@@ -78,7 +78,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs no earlier stage; Spark's cleaner removes it."""
+    """``df`` written to the shared folder, so that a lost executor costs no earlier stage. Spark's cleaner removes it once ``df`` is let go, in sessions with ``spark.cleaner.referenceTracking.cleanCheckpoints`` (as ``plotwright.session`` makes them)."""
     checkpoint_dir(df.sparkSession)
     lean(df.sparkSession)
     return df.checkpoint()

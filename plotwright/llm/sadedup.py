@@ -13,8 +13,8 @@ windows are dealt by that key, and only windows with equal keys need meet:
    more than ``most_bytes`` together go through these steps as texts of their own, with a
    longer gram, so that fewer windows share a key; with the longest, a key is a window,
    and equal strings are counted as ever. So equality is decided by suffix sorting for all
-   strings that differ, but by two 64-bit hashes (key and digest, of whole strings) for
-   strings that are equal throughout, and for single windows of the longest gram;
+   strings that differ, but by two 64-bit hashes (key and digest, of whole strings; the digest
+   modulo a prime, by two bases) for strings that are equal throughout, and for single windows of the longest gram;
 4. the repeated windows, joined to maximal runs, go back to all places of their strings,
    and bytes are removed.
 
@@ -34,6 +34,7 @@ the new ones (kept, n_bytes, n_removed, n_spans, n_passages) give way to them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotwright.llm.bpe import BYTE_VALUES, powers
+from plotwright.llm.bpe import BYTE_VALUES, KEPT_POWERS, powers
 from plotwright.llm.common import cut, others, sparing, splitmix
 from plotwright.llm.suffix import repeated
 
@@ -87,6 +88,50 @@ class Params:
         return Params(least=least, words=n, grams=tuple(grams))
 
 
+#: Sums of powers modulo 2**64 choose keys, where a collision costs work only. What tells strings equal is taken modulo a prime, by two bases.
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1_270_891_931, 1_947_207_353)
+
+
+def mod(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, for what is less than 2**62."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def prime_powers_anew(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:  # twice as many at a time
+        out[done : 2 * done] = mod(out[: min(done, n - done)] * np.uint64(step))
+        done, step = 2 * done, step * step % int(PRIME)
+    return out
+
+
+kept_prime_powers = functools.cache(lambda base: prime_powers_anew(base, KEPT_POWERS))
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    return kept_prime_powers(base)[:n] if n <= KEPT_POWERS else prime_powers_anew(base, n)
+
+
+class Digests:
+    """64-bit digests of substrings of ``values`` (each less than 2**31): two polynomials modulo a prime, of 31 bits each, and the length mixed in.
+
+    A substring's sum is brought to one place by the power of its distance from the end, so that equal ones have equal digests wherever they stand.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        x = values.astype(np.uint64) + np.uint64(1)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mod(x * prime_powers(b, self.n)))]) for b in BASES]
+
+    def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        low, high = (mod(mod(s[ends] - s[begins]) * prime_powers(b, self.n + 1)[self.n - begins]) for s, b in zip(self.sums, BASES, strict=True))
+        return splitmix((high << np.uint64(31) | low) ^ splitmix((ends - begins).astype(np.uint64)))
+
+
 def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begins, ends) of the words, without signs around them; words of signs alone are whole."""
     inner = ~SPACE[raw]
@@ -101,9 +146,8 @@ def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def units_between(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The units of words of a text, as a row of bytes each; the last has no gap after it."""
-    up, down = powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up)])
-    some = lambda a, b: splitmix((sums[b] - sums[a]) * down[np.minimum(a, len(raw) - 1)]).view(np.uint8).reshape(-1, 8)
+    digests = Digests(raw)
+    some = lambda a, b: digests.of(a, b).view(np.uint8).reshape(-1, 8)
     units = np.zeros((len(begins), UNIT), np.uint8)
     units[:, :OF_WORD] = some(begins, ends)[:, :OF_WORD]
     units[:-1, OF_WORD:] = some(ends[:-1], begins[1:])[:, : UNIT - OF_WORD]
@@ -212,7 +256,7 @@ def runs_of(texts: list[bytes], params: Params) -> Iterator[Runs]:
         h = splitmix((sums[params.gram :] - sums[: -params.gram]) * down[: len(raw) - params.gram + 1])
         begins = starts[enough]
         key, a, b, text, twice = cut_runs(h, params.least - params.gram + 1, begins, begins + sizes[enough] - params.least + 1, MOST_WINDOWS)
-        digest = splitmix(((sums[b + params.least - 1] - sums[a]) * down[a]) ^ (b - a).astype(np.uint64))
+        digest = Digests(raw).of(a, b + params.least - 1)
         yield np.array(numbers)[enough][text], key, digest, a - begins[text] + np.array(places)[enough][text], b - a, twice
 
 
@@ -249,7 +293,9 @@ def runs_of_units(units: np.ndarray, numbers: list[int], edges: np.ndarray, para
     begins, stops = edges[:-1][enough], edges[1:][enough] - params.words + 1
     key, a, b, text, twice = cut_runs(h, params.words - gram + 1, begins, stops, MOST_WINDOWS // UNIT)
     end = b + params.words - 2  # the last word of each run
-    digest = splitmix(((sums[end] - sums[a]) * down[a]) ^ last[end] ^ (b - a).astype(np.uint64))
+    # Words and gaps are hashes; of 64 bits, the digest takes all, half at a time.
+    halves = [Digests(h).of(a, end) for h in (unit >> np.uint64(33), unit & np.uint64(0x7FFFFFFF), (unit >> np.uint64(31)) & np.uint64(3))]
+    digest = splitmix(splitmix(halves[0] * np.uint64(3) ^ halves[1]) ^ halves[2] ^ last[end])
     yield np.array(numbers)[enough][text], key, digest, (a - begins[text]) * UNIT, (b - a - 1) * UNIT + 1, twice
 
 
