@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from plotwright.functions.text import full_address
 from plotwright.functions.values import needs_geocoding, point
 from plotwright.operators import quota
+from plotwright.operators.answers import Answers
 from plotwright.operators.cache import numbered
 from plotwright.operators.quota import CUTOFF
 from plotwright.operators.validate import require_unique
 from plotwright.schemas import CORRECTION_LOG, GEOCODE_RESULT, USAGE
+from plotwright.sources import lookups
 from plotwright.sources.providers import Provider, Result
-from plotwright.storage import settle
+from plotwright.storage import scratch
 
-USED_UP = "quota used up"
+USED_UP = lookups.USED_UP
 
 
 def pending(cache: DataFrame, ids: DataFrame | None = None, force: bool = False, limit: int | None = None) -> DataFrame:
@@ -53,7 +55,7 @@ def chain(primary: Provider, fallback: Provider | None, used: int = 0, cutoff: i
 
 def resolve(asked: DataFrame, make: Callable[[], Callable[[str], Result]], parallel: int = 1) -> DataFrame:
     """``asked`` with the providers' answers. One partition by default, as rate limits hold for the whole run."""
-    schema = f"address_id long, full_address string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in GEOCODE_RESULT)}"
+    schema = f"address_id long, full_address string, {RESULT}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
@@ -84,36 +86,62 @@ def store(cache: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     return cache.join(r, cache["address_id"] == r["r_id"], "left").withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in new.items()}).select(*cache.columns)
 
 
+RESULT = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in GEOCODE_RESULT)
+ANSWER = f"address_id long, full_address string, {RESULT}, asked_at timestamp_ntz"
+#: Asks for (address_id, full_address), given the calls that the open window has seen; the answers as ``resolve`` has them.
+Ask = Callable[[DataFrame, int], DataFrame]
+
+
 def bulk(
-    cache: DataFrame, ids: DataFrame, make: Callable[[int], Callable[[str], Result]], now: Column, usage: DataFrame | None = None, batch_size: int = 100, force: bool = False, api: str = "HERE", cutoff: int = CUTOFF, clock: Callable[[], datetime.datetime] = datetime.datetime.now
+    cache: DataFrame,
+    ids: DataFrame,
+    make: Callable[[int], Callable[[str], Result]],
+    now: Column,
+    usage: DataFrame | None = None,
+    batch_size: int = 100,
+    force: bool = False,
+    api: str = "HERE",
+    cutoff: int = CUTOFF,
+    clock: Callable[[], datetime.datetime] = datetime.datetime.now,
+    log: str | None = None,
+    ask: Ask | None = None,
 ) -> tuple[DataFrame, DataFrame, dict]:
-    """(cache, usage, report) after the pending addresses among ``ids``, in batches of ids, each kept before the next.
+    """(cache, usage, report) after the pending addresses among ``ids``, in batches of ids.
 
-    ``make`` gets the calls to ``api`` that the open window has seen, by ``usage``, the persistent counter. A batch's calls are counted from its answers and added before the next batch starts; the run stops after the batch that reaches ``cutoff``. What could not be asked for is left as it was.
+    Answers are appended to ``log``, a folder, batch by batch, and merged into the cache once, at the end. A run that
+    was killed goes on with the same ``log``: batches kept are not asked for again, and their calls count. ``make`` gets the
+    calls to ``api`` that the open window has seen, by ``usage``, the persistent counter, and the batches so far; the run
+    stops after the batch that reaches ``cutoff``. What could not be asked for is left as it was. ``ask`` stands in for
+    asking in one task through ``make`` (see ``plotwright.sources.lookups``).
     """
-    asked = settle(pending(cache, ids, force))
-    usage = asked.sparkSession.createDataFrame([], USAGE) if usage is None else usage
-    done = {"asked": 0, "geocoded": 0, "failed": 0, "stopped": False}
-    last, began = None, time.monotonic()
-    while not done["stopped"]:
-        part = settle(asked.where(F.lit(True) if last is None else F.col("address_id") > last).orderBy("address_id").limit(batch_size))
-        n, last_ = part.agg(F.count("*"), F.max("address_id")).first()
-        if not n:
+    spark = cache.sparkSession
+    usage = spark.createDataFrame([], USAGE) if usage is None else usage
+    ask = ask or (lambda part, used: resolve(part, functools.partial(make, used)))
+    answers = Answers(spark, log or scratch(spark, "answers"))
+    batches, done = answers.plan(pending(cache, ids, force), batch_size), answers.done()
+    book, began, stopped = quota.Book(usage, api), time.monotonic(), False
+    over = F.coalesce(F.col("message") == USED_UP, F.lit(False))
+    calls = F.count_if((F.col("source") == api) & ~over)
+    if done:
+        for r in answers.read(ANSWER).groupBy("batch").agg(calls.alias("calls"), F.min("asked_at").alias("at")).where("calls > 0").orderBy("batch").collect():
+            book.add(r["calls"], r["at"])
+        stopped = book.used(clock()) >= cutoff
+    for k in range(batches):
+        if stopped:
             break
-        last, at = last_, clock()
-        used = quota.window_used(usage, api, at)[0]
-        found = settle(resolve(part, functools.partial(make, used)))
-        over = F.coalesce(F.col("message") == USED_UP, F.lit(False))
-        good, late, calls = found.agg(F.count_if("success"), F.count_if(over), F.count_if((F.col("source") == api) & ~over)).first()
-        cache = settle(store(cache, found.where(~over), now))
-        usage = settle(quota.add_calls(usage, api, calls, at))
-        done["asked"] += n - late
-        done["geocoded"] += good
-        done["failed"] += n - good - late
-        done["stopped"] = late > 0 or quota.window_used(usage, api, at)[0] >= cutoff
+        if k in done:
+            continue
+        at = clock()
+        kept = answers.add(k, ask(answers.part(k), book.used(at)).withColumn("asked_at", F.lit(at).cast("timestamp_ntz")))
+        late, new = kept.agg(F.count_if(over), calls).first()
+        book.add(new, at)
+        stopped = late > 0 or book.used(at) >= cutoff
+    found = answers.read(ANSWER).where(~over)
+    asked, geocoded = found.agg(F.count("*"), F.count_if("success")).first()
     seconds = time.monotonic() - began
-    share = lambda x: x / done["asked"] if done["asked"] else 0.0
-    return cache, usage, done | {"success_rate": share(done["geocoded"]), "seconds": seconds, "seconds_per_address": share(seconds)}
+    share = lambda x: x / asked if asked else 0.0
+    report = {"asked": asked, "geocoded": geocoded, "failed": asked - geocoded, "stopped": stopped, "success_rate": share(geocoded), "seconds": seconds, "seconds_per_address": share(seconds)}
+    return store(cache, found, now), book.frame(usage), report
 
 
 def correct(cache: DataFrame, corrections: DataFrame, log: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,21 +13,26 @@ from pyspark.sql import functions as F
 from plotwright import schemas, storage
 from plotwright.functions.values import in_bounds
 from plotwright.operators import cache, dedup, geocode, impute, marts, quality
+from plotwright.operators.answers import Answers
 from plotwright.operators.clean import PARTIES, clean
 from plotwright.operators.validate import require_key, require_reference
-from plotwright.sources import tables
+from plotwright.sources import exports, tables
 from plotwright.sources.providers import Result
 
 
 @dataclass(frozen=True)
 class Store:
-    """The published tables below one folder."""
+    """The published tables below one folder: those of its ledger, or the folder of that name."""
 
     spark: SparkSession
     folder: str
 
+    @property
+    def ledger(self) -> storage.Ledger:
+        return storage.Ledger(self.spark, self.folder)
+
     def read(self, name: str, empty=None) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        path = self.ledger.path(name) or f"{self.folder}/{name}"
         if empty is not None and not storage.exists(self.spark, path):
             return self.spark.createDataFrame([], empty)
         return self.spark.read.parquet(path)
@@ -45,7 +51,7 @@ class Cached:
             return df
         if df is not None:
             df.unpersist()
-        self.store.spark.catalog.refreshByPath(f"{self.store.folder}/{name}")
+        self.store.spark.catalog.refreshByPath(self.store.ledger.path(name) or f"{self.store.folder}/{name}")
         self.held[name] = (self.clock(), self.store.read(name).cache())
         return self.held[name][1]
 
@@ -61,7 +67,7 @@ def prepare(spark: SparkSession, raw_csv: str, folder: str, keep_tables: bool =
     require_key(known, ["address"])
     require_reference(maps, sales, {"housing_id": "unique_id"})
     require_reference(maps, known, {"address_id": "address_id"})
-    storage.publish_all({"sales": sales, "addresses": known, "mappings": maps}, folder)
+    store.ledger.commit({"sales": sales, "addresses": known, "mappings": maps})
     if not keep_tables:
         fs, make = storage.file_system(spark, folder)
         fs.delete(make(f"{folder}/raw"), True)
@@ -70,21 +76,28 @@ def prepare(spark: SparkSession, raw_csv: str, folder: str, keep_tables: bool =
 
 def impute_from_snapshot(spark: SparkSession, snapshot_csv: str, folder: str) -> DataFrame:
     """Marks and fills addresses against the source snapshot; returns the summary row."""
-    sales = Store(spark, folder).read("sales")
+    store = Store(spark, folder)
+    sales = store.read("sales")
     out = impute.mark_provenance(sales, tables.read_snapshot(spark, snapshot_csv), PARTIES)
     out = impute.fill(out, ["parcel_id"], *PARTIES[0])
     out = storage.settle(impute.fill(out, ["parcel_id", "owner_name"], *PARTIES[1]))
-    storage.publish(out, f"{folder}/sales")
+    store.ledger.commit({"sales": out})
     return impute.summary(out, PARTIES)
 
 
 def geocode_pending(spark: SparkSession, folder: str, make: Callable[[int], Callable[[str], Result]], address_type: str | None = None, **options) -> dict:
-    """Asks for the mapped addresses that lack a place; publishes the cache and the usage counter, which the next run goes on from. Returns the report."""
+    """Asks for the mapped addresses that lack a place; publishes the cache and the usage counter, which the next run goes on from. A killed run is taken up where it was. Returns the report."""
     store = Store(spark, folder)
+    run = store.ledger.tables().get("geocode_run")
+    if run is None:  # else a run was killed: it goes on from the answers that it kept
+        run = f"runs/{uuid.uuid4().hex}"
+        store.ledger.commit({}, {"geocode_run": run})
     known, usage = store.read("addresses"), store.read("usage", schemas.USAGE)
     ids = cache.mapped_ids(store.read("mappings"), known, address_type, pending=True)
-    known, usage, report = geocode.bulk(known, ids, make, F.current_timestamp().cast("timestamp_ntz"), usage, **options)
-    storage.publish_all({"addresses": storage.settle(known), "usage": storage.settle(usage)}, folder)
+    known, usage, report = geocode.bulk(known, ids, make, F.current_timestamp().cast("timestamp_ntz"), usage, log=f"{folder}/{run}", **options)
+    # The run's entry goes with the same commit, so its answers are merged once.
+    store.ledger.commit({"addresses": known, "usage": usage}, {"geocode_run": None})
+    Answers(spark, f"{folder}/{run}").drop()
     return report
 
 
@@ -94,13 +107,14 @@ def maintain(spark: SparkSession, folder: str) -> DataFrame:
     sales, maps, issues = dedup.delete_with_dependents(store.read("sales"), store.read("mappings", schemas.MAPPINGS), store.read("issues", schemas.ISSUES), schemas.SALE_KEY)
     sales, maps = storage.settle(sales), storage.settle(maps)
     issues = storage.settle(issues.unionByName(quality.placeholder_issues(sales, issues)))
-    storage.publish_all({"sales": sales, "mappings": maps, "issues": issues}, folder)
+    store.ledger.commit({"sales": sales, "mappings": maps, "issues": issues})
     return quality.overview(sales, issues, schemas.SALE_KEY)
 
 
-def export(spark: SparkSession, folder: str, full_path: str, public_path: str, single: bool = True) -> int:
+def export(spark: SparkSession, folder: str, target: str, single: bool = True) -> None:
+    """``target/full`` and ``target/public``, the second without the owners' places, from one pass; both or neither."""
     store = Store(spark, folder)
-    return tables.export(marts.export_rows(store.read("sales"), store.read("mappings"), store.read("addresses")), full_path, public_path, single=single)
+    exports.export(marts.export_rows(store.read("sales"), store.read("mappings"), store.read("addresses")), target, single=single)
 
 
 def out_of_bounds(cache_rows: DataFrame) -> DataFrame:

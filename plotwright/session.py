@@ -42,6 +42,6 @@ def checked_identifier(name: str) -> str:
 
 
 def session(name: str = "plotwright", **conf: str) -> SparkSession:
-    """A session as the engine expects it: UTC, ANSI, adaptive execution."""
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    """A session as the engine expects it: UTC, ANSI, adaptive execution; intermediate tables go when nothing refers to them any more, and streams keep state with timers."""
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     return SparkSession.builder.appName(name).config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()

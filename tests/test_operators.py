@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 
 import pytest
@@ -128,40 +129,58 @@ def test_published_quota_goes_on(spark, tmp_path):
     folder = str(tmp_path)
     known = address_rows(spark, *[(k, f"{k} A ST", None, None, None, None) for k in range(1, 7)])
     maps = spark.createDataFrame([(k, k, k, "property") for k in range(1, 6)], schemas.MAPPINGS)
-    storage.publish_all({"addresses": known, "mappings": maps}, folder)
+    storage.Ledger(spark, folder).commit({"addresses": known, "mappings": maps})
     make = lambda used: geocode.chain(Offline({}), Offline({f"{k} A ST, TN": (36.0, -86.5) for k in range(1, 7)}, name="HERE"), used, 4)
     reports = [prepare.geocode_pending(spark, folder, make, batch_size=2, cutoff=4) for _ in range(2)]
     assert [r["geocoded"] for r in reports] == [4, 0] and all(r["stopped"] for r in reports)
-    assert spark.read.parquet(f"{folder}/addresses").where("latitude is not null").count() == 4
-
-
-@pytest.mark.parametrize("fails_at", range(1, 5))
-def test_publish_all_puts_back_what_it_swapped(spark, tmp_path, monkeypatch, fails_at):
-    folder, real = str(tmp_path), storage.file_system
-    storage.publish_all({"a": spark.range(1), "b": spark.range(2)}, folder)
-
-    class Failing:
-        def __init__(self, fs):
-            self.fs, self.n = fs, 0
-
-        def __getattr__(self, name):
-            return getattr(self.fs, name)
-
-        def rename(self, a, b):
-            self.n += 1
-            return False if self.n == fails_at else self.fs.rename(a, b)
-
-    def broken(spark, path):
-        fs, make = real(spark, path)
-        return Failing(fs), make
-
-    monkeypatch.setattr(storage, "file_system", broken)
-    with pytest.raises(OSError):
-        storage.publish_all({"a": spark.range(10), "b": spark.range(20)}, folder)
-    assert [spark.read.parquet(f"{folder}/{n}").count() for n in "ab"] == [1, 2] and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
-    monkeypatch.undo()
-    storage.publish_all({"a": spark.range(10), "b": spark.range(20)}, folder)
-    assert [spark.read.parquet(f"{folder}/{n}").count() for n in "ab"] == [10, 20] and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    assert prepare.Store(spark, folder).read("addresses").where("latitude is not null").count() == 4
+    assert "geocode_run" not in storage.Ledger(spark, folder).tables() and not list((tmp_path / "runs").glob("*"))
+
+
+def test_killed_geocoding_run_goes_on(spark, tmp_path):
+    """Killed after its second batch, then once more between the merge and its commit; no call is made twice and none is lost."""
+    folder, calls = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+    known = address_rows(spark, *[(k, f"{k} A ST", None, None, None, None) for k in range(1, 8)])
+    maps = spark.createDataFrame([(k, k, k, "property") for k in range(1, 8)], schemas.MAPPINGS)
+    storage.Ledger(spark, folder).commit({"addresses": known, "mappings": maps})
+    places = {f"{k} A ST, TN": (36.0, -86.5) for k in range(1, 8)}
+
+    @dataclasses.dataclass
+    class Counted(Offline):
+        def geocode(self, address):
+            calls.add(1)
+            return super().geocode(address)
+
+    make = lambda used: geocode.chain(Offline({}), Counted(places, name="HERE"), used, 100)
+    at = datetime.datetime(2024, 1, 1, 9)
+    times = iter([at, at, None])
+
+    def clock():
+        if (now := next(times)) is None:
+            raise KeyboardInterrupt
+        return now
+
+    with pytest.raises(KeyboardInterrupt):
+        prepare.geocode_pending(spark, folder, make, batch_size=2, clock=clock)
+    run = storage.Ledger(spark, folder).tables()["geocode_run"]
+    log = sum(f.stat().st_size for f in (tmp_path / "store" / run).rglob("*.parquet"))
+    assert calls.value == 4 and prepare.Store(spark, folder).read("addresses").where("latitude is not null").count() == 0
+
+    real, storage.Ledger.place = storage.Ledger.place, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            prepare.geocode_pending(spark, folder, make, batch_size=2, clock=lambda: at)
+    finally:
+        storage.Ledger.place = real
+    assert calls.value == 7
+    # What the log grew by are answers, of about the same size each.
+    assert sum(f.stat().st_size for f in (tmp_path / "store" / run).rglob("*.parquet")) < 3 * log
+    report = prepare.geocode_pending(spark, folder, make, batch_size=2, clock=lambda: at)
+    store = prepare.Store(spark, folder)
+    assert calls.value == 7 and report["asked"] == report["geocoded"] == 7
+    assert store.read("addresses").where("latitude is not null").count() == 7
+    assert rows(store.read("usage").select("api_name", "request_count", "window_started_at")) == [("HERE", 7, at)]
+    assert prepare.geocode_pending(spark, folder, make, clock=lambda: at)["asked"] == 0 and calls.value == 7
 
 
 def test_providers():
@@ -272,7 +291,7 @@ def test_references_are_checked_and_tables_kept(spark, tmp_path):
     tables.write_csv(raw(spark, {}, {"UniqueID": "2", "ParcelID": "P2"}), f"{tmp_path}/raw.csv")
     prepare.prepare(spark, f"{tmp_path}/raw.csv", f"{tmp_path}/store", keep_tables=True)
     assert storage.exists(spark, f"{tmp_path}/store/raw")
-    maps = spark.read.parquet(f"{tmp_path}/store/mappings")
+    maps = prepare.Store(spark, f"{tmp_path}/store").read("mappings")
     with pytest.raises(validate.ValidationError, match="reference"):
         validate.require_reference(maps, maps.select("housing_id").limit(0), {"housing_id": "housing_id"})
 
@@ -353,8 +372,8 @@ def test_whole_run(spark, tmp_path):
     assert prepare.prepare(spark, source, folder) == made
     over = prepare.maintain(spark, folder).first()
     assert over.duplicate_groups == 0 and over.sales == made["sales"]
-    n = prepare.export(spark, folder, str(tmp_path / "full"), str(tmp_path / "public"))
-    full, public = (spark.read.csv(str(tmp_path / x), header=True) for x in ("full", "public"))
-    assert n == made["sales"] and full.columns == schemas.EXPORTED
+    prepare.export(spark, folder, str(tmp_path / "out"))
+    full, public = (spark.read.csv(str(tmp_path / "out" / x), header=True) for x in ("full", "public"))
+    assert full.count() == made["sales"] and full.columns == schemas.EXPORTED
     assert set(validate.export_invariants(full, public, schemas.OWNER_COLUMNS)) <= {"property_address"}
-    assert b"\r\n" in next((tmp_path / "full").glob("part-*")).read_bytes()
+    assert b"\r\n" in next((tmp_path / "out" / "full").glob("part-*")).read_bytes()
