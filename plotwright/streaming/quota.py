@@ -1,4 +1,4 @@
-"""The quota window on a stream, and tumbling counts (an extension) with late data bounded by a watermark."""
+"""The quota window on a stream: closed windows by timers, running counts by update; and tumbling counts (an extension) with late data bounded by a watermark."""
 
 from __future__ import annotations
 
@@ -8,11 +8,103 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from plotwright.operators.quota import HOURS
 
+MICROS = 1_000_000
+
+
+class ClosedWindows(StatefulProcessor):
+    """Of one key: the open window (its start and count), and by time the calls that may open the next one.
+
+    A call counts at once if it lies in the open window. Others wait until the watermark passes them, as an earlier one
+    may still come; then the earliest opens a window. Timers stand at the earliest waiting call and at the open window's
+    end, so windows close with the watermark, whether or not the key is called again, and a key without an open window
+    or waiting calls has no state.
+    """
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "started long, n long")
+        self.waiting = handle.getMapState("waiting", "ts long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        counts = pd.concat([b["us"] for b in rows]).value_counts()
+        if key[0] is not None:  # rows without a key only move the watermark
+            held = self.open.get()
+            inside, first = 0, None
+            for us, n in counts.items():
+                us, n = int(us), int(n)
+                if held is not None and held[0] <= us < held[0] + self.span:
+                    inside += n
+                    continue
+                before = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else None
+                self.waiting.updateValue((us,), ((before[0] if before else 0) + n,))
+                first = us if first is None else min(first, us)
+            if inside:
+                self.open.update((held[0], held[1] + inside))
+            if first is not None and held is None:
+                self.wake(first)
+        yield self.found([], key)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sure = timerValues.getCurrentWatermarkInMs() * 1000  # no call up to here will come
+        held, out = self.open.get(), []
+        held = None if held is None else (held[0], held[1])
+        waiting = {int(k[0]): int(v[0]) for k, v in self.waiting.iterator()}
+        while True:
+            if held is not None and held[0] + self.span <= sure:
+                out.append(held)
+                held = None
+            if held is None:
+                first = min(waiting, default=None)
+                if first is None or first > sure:
+                    break
+                mine = [us for us in waiting if us < first + self.span]
+                held = (first, sum(waiting.pop(us) for us in mine))
+                for us in mine:
+                    self.waiting.removeKey((us,))
+            elif held[0] + self.span > sure:
+                break
+        if held is None:
+            self.open.clear()
+            if waiting:
+                self.wake(min(waiting))
+        else:
+            self.open.update(held)
+            self.wake(held[0] + self.span)
+        yield self.found(out, key)
+
+    def wake(self, us: int) -> None:
+        """A timer at ``us``, which lies behind the watermark when it rings."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def found(self, out: list[tuple[int, int]], key) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), "window_started_at": pd.to_datetime(pd.Series([a for a, _ in out], dtype="int64"), unit="us"), "request_count": pd.Series([n for _, n in out], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_windows(calls: DataFrame, key: str, ts: str, late: str = "1 hour", hours: int = HOURS) -> DataFrame:
+    """(key, window_started_at, request_count) of a stream, once for each window, when the watermark reaches its end; append mode.
+
+    Calls of any order are counted right as long as they are at most ``late`` behind the latest call of all keys; a call
+    further behind is left out (Spark counts these as dropped by the watermark). Rows with a null key move the watermark
+    and count nowhere, so a heartbeat closes the windows of a quiet stream.
+    """
+    # Timers need this state store.
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    picked = calls.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return picked.withColumn("us", F.unix_micros("ts")).groupBy("key").transformWithStateInPandas(ClosedWindows(hours * 3600 * MICROS), "key string, window_started_at timestamp, request_count long", "Append", "EventTime")
+
+
 STATE = "window_started_at timestamp, request_count long"
 
 
