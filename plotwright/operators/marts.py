@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plotwright.functions.spatial import tile
 from plotwright.functions.text import bathrooms, confidence_label, or_na, percent_label
 from plotwright.functions.values import bucket, nice_round
 from plotwright.operators.profile import quantiles
+from plotwright.operators.selection import quantiles_by_group
 from plotwright.schemas import EXPORT_COLUMNS, POINT_COLUMNS
+from plotwright.storage import settle
 
 MAP_ROWS = 60_000
 
@@ -72,6 +75,52 @@ def clusters(df: DataFrame, breaks: Column, digits: int = 2) -> DataFrame:
     return cells.withColumn("price_bucket", bucket(F.col("median_price"), breaks))
 
 
+def pyramid(df: DataFrame, zooms: Sequence[int], breaks: Column, value: str = "sale_price", latitude: str = "latitude", longitude: str = "longitude", most: int = 1_000_000) -> DataFrame:
+    """(zoom, tile, n, median_price, price_bucket): markers per tile of a quadtree, for all ``zooms`` from one pass over the rows; tiles are numbered along the space-filling curve.
+
+    Rows are first counted by finest tile and value; the counts of a tile are its children's together, so medians are exact at
+    every zoom. Tiles of up to ``most`` different values are one group each; those of more are found by histograms, all at once.
+    Rows without a place or a value are left out.
+    """
+    top = max(zooms)
+    code = tile(F.col(latitude), F.col(longitude), top)
+    fine = settle(df.where(code.isNotNull() & F.col(value).isNotNull()).groupBy(code.alias("code"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")))
+    up = F.explode(F.array(*[F.struct(F.lit(z).alias("zoom"), F.shiftright("code", 2 * (top - z)).alias("tile")) for z in zooms]))
+    counts = fine.select(up.alias("t"), "x", "n").select("t.*", "x", "n").groupBy("zoom", "tile", "x").agg(F.sum("n").alias("n"))
+    # Few values in all leave no tile with too many.
+    large = settle(counts).groupBy("zoom", "tile").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where(F.col("d") > most).collect() if fine.count() > most else []
+    small, found = counts, None
+    if large:
+        spark = df.sparkSession
+        ids = F.broadcast(spark.createDataFrame([(r["zoom"], r["tile"], k) for k, r in enumerate(large)], "zoom int, tile long, g int"))
+        small = counts.join(ids, ["zoom", "tile"], "left_anti")
+        medians = quantiles_by_group(counts.join(ids, ["zoom", "tile"]).select("g", "x", "n"), (0.5,))
+        found = spark.createDataFrame([(r["zoom"], r["tile"], r["n"], medians[k][0]) for k, r in enumerate(large)], "zoom int, tile long, n long, median_price double")
+    each = small.groupBy("zoom", "tile").agg(F.sum("n").alias("n"), F.percentile("x", F.lit(0.5), F.col("n")).alias("median_price"))
+    every = each if found is None else each.unionByName(found)
+    return every.withColumn("price_bucket", bucket(F.col("median_price"), breaks))
+
+
+def publish_bucketed(sales: DataFrame, mappings: DataFrame, cache: DataFrame, name: str, folder: str, buckets: int = 64) -> None:
+    """Catalogue tables ``name``_sales, and ``name``_property and ``name``_owner: the address dimension in each of its roles, with the key of the sale it belongs to. All are bucketed and sorted by that key, one file a bucket, below ``folder``."""
+
+    def put(df: DataFrame, key: str, table: str) -> None:
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{table}").mode("overwrite").saveAsTable(f"{name}_{table}")
+
+    put(sales, "unique_id", "sales")
+    for role in ("property", "owner"):
+        placed = mappings.where(F.col("address_type") == role).join(cache.select("address_id", *POINT_COLUMNS), "address_id")
+        put(placed.select(F.col("housing_id").alias("unique_id"), *[F.col(c).alias(f"{role}_{c}") for c in POINT_COLUMNS]), "unique_id", role)
+
+
+def export_bucketed(spark: SparkSession, name: str, columns: Sequence[str] = EXPORT_COLUMNS) -> DataFrame:
+    """The export's rows from bucketed tables: buckets meet where they lie, nothing is shuffled."""
+    out = spark.table(f"{name}_sales").select(*columns)
+    for role in ("property", "owner"):
+        out = out.join(spark.table(f"{name}_{role}").hint("merge"), "unique_id", "left")
+    return out
+
+
 def popups(df: DataFrame) -> DataFrame:
     """The texts that a marker shows."""
     rooms = bathrooms(F.col("full_bath"), F.col("half_bath"))

@@ -1,15 +1,15 @@
-"""Profiles and quality measures, by aggregates; only rows of the size of the schema, and of the number of partitions, reach the driver."""
+"""Profiles and quality measures, by aggregates; only rows of the size of the schema, and the parts of histograms, reach the driver."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotwright.functions.values import parse_date
+from plotwright.operators.selection import quantiles_by_group
 from plotwright.storage import settle
 
 STATS = ["missing", "missing_pct", "unique_values", "unique_pct", "min", "max", "mean", "zeros", "negatives", "empty_strings", "date_format_issues", "no_house_number"]
@@ -19,37 +19,64 @@ def numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
-def columns(df: DataFrame) -> DataFrame:
-    """One row per column (in one pass, but for the distinct values, which are a pass over each column alone): missing and distinct values; of numbers also range, mean, zeros and negatives; of text also empty strings, dates that cannot be read (columns named date) and addresses without a digit (columns named address)."""
-    n, none = F.count("*"), F.lit(None).cast("double")
-    stats, uniques = [], []
-    for f in df.schema:
+#: A text of more characters stands for itself by its SHA-256 where values are counted.
+LONG = 64
+
+
+def values(df: DataFrame) -> DataFrame:
+    """(col, gone, text, num, bad_date, no_digit, n): how often each column has each value, from one pass over ``df``.
+
+    ``col`` numbers the columns, ``gone`` marks nulls. Numbers are themselves in ``num``, and whole or decimal ones also text, as not all fit a double.
+    """
+    flag = F.lit(None).cast("boolean")
+    cells = []
+    for k, f in enumerate(df.schema):
         c = F.col(f"`{f.name}`")
-        if not isinstance(f.dataType, T.AtomicType):
-            c = c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(c)
-        text, number = isinstance(f.dataType, T.StringType), numeric(f)
-        x = c.cast("double") if number else None
-        missing = F.count_if(c.isNull())
-        uniques.append(df.select(c.alias("v")).where("v is not null").distinct().agg(F.lit(f.name).alias("u_name"), F.count("*").alias("unique_values")))
-        stats.append(
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(c)
+        else:
+            text = F.lit(None).cast("string") if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType) else c.cast("string")
+        is_text, name = isinstance(f.dataType, T.StringType), f.name.lower()
+        cells.append(
             F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                missing.alias("missing"),
-                (100.0 * missing / F.nullif(n, F.lit(0))).alias("missing_pct"),
-                (F.min(x) if number else none).alias("min"),
-                (F.max(x) if number else none).alias("max"),
-                (F.avg(x) if number else none).alias("mean"),
-                (F.count_if(x == 0) if number else F.lit(None).cast("long")).alias("zeros"),
-                (F.count_if(x < 0) if number else F.lit(None).cast("long")).alias("negatives"),
-                (F.count_if(c == "") if text else F.lit(None).cast("long")).alias("empty_strings"),
-                (F.count_if(c.isNotNull() & parse_date(c).isNull()) if text and "date" in f.name.lower() else F.lit(None).cast("long")).alias("date_format_issues"),
-                (F.count_if(~c.rlike(r"\d")) if text and "address" in f.name.lower() else F.lit(None).cast("long")).alias("no_house_number"),
+                F.lit(k).alias("col"),
+                c.isNull().alias("gone"),
+                F.when(F.length(text) > LONG, F.concat(F.lit("#"), F.sha2(F.encode(text, "UTF-8"), 256))).otherwise(text).alias("text"),
+                (c.cast("double") if numeric(f) else F.lit(None).cast("double")).alias("num"),
+                (c.isNotNull() & parse_date(c).isNull() if is_text and "date" in name else flag).alias("bad_date"),
+                (~c.rlike(r"\d") if is_text and "address" in name else flag).alias("no_digit"),
             )
         )
-    unique = functools.reduce(DataFrame.unionByName, uniques)
-    measured = df.agg(F.array(*stats).alias("s"), n.alias("n")).select(F.inline("s"), "n").join(F.broadcast(unique), F.col("column_name") == F.col("u_name"))
-    return measured.withColumn("unique_pct", 100.0 * F.col("unique_values") / F.nullif("n", F.lit(0))).select("column_name", "data_type", *STATS)
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("col", "gone", "text", "num", "bad_date", "no_digit").agg(F.count("*").alias("n"))
+
+
+def columns(df: DataFrame) -> DataFrame:
+    """One row per column, all from one pass, by the counts of different values: missing and distinct values; of numbers also range, mean, zeros and negatives; of text also empty strings, dates that cannot be read (columns named date) and addresses without a digit (columns named address)."""
+    spark = df.sparkSession
+    rows = [(k, f.name, f.dataType.simpleString(), numeric(f), isinstance(f.dataType, T.StringType)) for k, f in enumerate(df.schema)]
+    fields = spark.createDataFrame(rows, "col_ int, column_name string, data_type string, number boolean, text_ boolean")
+    n, num = F.col("n"), F.col("num")
+    sum_if = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    present = ~F.col("gone")
+    by = values(df).groupBy("col").agg(
+        F.sum("n").alias("rows"),
+        sum_if(F.col("gone")).alias("missing"),
+        F.count_if(present).alias("unique_values"),
+        F.min("num").alias("min"),
+        F.max("num").alias("max"),
+        (F.sum(num * n) / F.nullif(F.sum(F.when(num.isNotNull(), n)), F.lit(0))).alias("mean"),
+        sum_if(num == 0).alias("zeros"),
+        sum_if(num < 0).alias("negatives"),
+        sum_if(F.col("text") == "").alias("empty_strings"),
+        F.sum(F.when(F.col("bad_date"), n).when(F.col("bad_date").isNotNull(), 0)).alias("date_format_issues"),
+        F.sum(F.when(F.col("no_digit"), n).when(F.col("col").isNotNull() & F.col("no_digit").isNotNull(), 0)).alias("no_house_number"),
+    )
+    joined = fields.join(by, F.col("col_") == F.col("col"), "left")
+    zero = lambda c, cond=None: F.coalesce(c, F.lit(0)) if cond is None else F.when(F.col(cond), F.coalesce(c, F.lit(0)))
+    share = lambda c: 100.0 * zero(F.col(c)) / F.nullif("rows", F.lit(0))
+    counts = {"missing": zero(F.col("missing")), "missing_pct": share("missing"), "unique_values": zero(F.col("unique_values")), "unique_pct": share("unique_values")}
+    counts |= {"zeros": zero(F.col("zeros"), "number"), "negatives": zero(F.col("negatives"), "number"), "empty_strings": zero(F.col("empty_strings"), "text_")}
+    return joined.select("column_name", "data_type", *[counts.get(c, F.col(c)).alias(c) for c in STATS])
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -105,38 +132,26 @@ def missing_blocks(df: DataFrame, least: float = 0.95) -> DataFrame:
     return df.agg(F.array(*rows).alias("b")).select(F.inline("b"))
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of a numeric column, between ranks in proportion; all None if it has no value.
+def cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(g, x, n) of numeric columns, numbered in the order of ``names``."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.col(f"`{c}`").cast("double").alias("x")) for k, c in enumerate(names)]))
+    return df.select(each.alias("c")).select("c.g", "c.x", F.lit(1).cast("long").alias("n"))
 
-    Different values and their counts are dealt by ranges; the driver gets each range's sum, and then the values at the ranks asked for. No task holds more than a range.
-    """
-    values = df.select(F.col(f"`{column}`").cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    dealt = settle(values.repartitionByRange("x").withColumn("p", F.spark_partition_id()))
-    sums = sorted((r["p"], r["n"]) for r in dealt.groupBy("p").agg(F.sum("n").alias("n")).collect())
-    total = sum(n for _, n in sums)
-    if not total:
-        return [None] * len(shares)
-    places = [s * (total - 1) for s in shares]
-    ranks = sorted({int(r) + k for r in places for k in (0, 1) if int(r) + k < total})
-    before, wanted = 0, []
-    for p, n in sums:
-        wanted += [(p, r, r - before) for r in ranks if before <= r < before + n]
-        before += n
-    parts = dealt.where(F.col("p").isin([*{p for p, _, _ in wanted}]))
-    below = F.sum("n").over(Window.partitionBy("p").orderBy("x"))
-    asked = df.sparkSession.createDataFrame(wanted, "q int, rank long, place long")
-    found = parts.withColumn("below", below).join(F.broadcast(asked), (F.col("p") == F.col("q")) & (F.col("place") < F.col("below")) & (F.col("place") >= F.col("below") - F.col("n")))
-    at = {r["rank"]: r["x"] for r in found.select("rank", "x").collect()}
-    return [at[int(r)] + (r - int(r)) * (at[int(r) + 1] - at[int(r)]) if r > int(r) else at[int(r)] for r in places]
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a numeric column, between ranks in proportion; all None if it has no value."""
+    return quantiles_by_group(cells(df, [column]), shares).get(0, [None] * len(shares))
 
 
 def numeric_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: count, mean, sample deviation, least, exact quartiles and 95th percentile, greatest, missing."""
-    picked = names or [f.name for f in df.schema if numeric(f)]
+    """One row per numeric column: count, mean, sample deviation, least, exact quartiles and 95th percentile, greatest, missing. A fixed number of passes, however many columns."""
+    picked = [*(names or [f.name for f in df.schema if numeric(f)])]
+    shares = (0.25, 0.5, 0.75, 0.95)
+    found = quantiles_by_group(cells(df, picked), shares)
     rows = []
-    for c in picked:
+    for k, c in enumerate(picked):
         x = F.col(f"`{c}`").cast("double")
-        q = [F.lit(v).cast("double") for v in quantiles(df, c, (0.25, 0.5, 0.75, 0.95))]
+        q = [F.lit(v).cast("double") for v in found.get(k, [None] * len(shares))]
         rows.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), q[3].alias("q95"), F.max(x).alias("max"), F.count_if(x.isNull()).alias("missing")))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 

@@ -92,14 +92,5 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (text.coalesce(1) if single else text).write.csv(path, header=True, lineSep="\r\n", emptyValue="", nullValue="", quote='"', escape='"')
 
 
-def export(df: DataFrame, full_path: str, public_path: str, hidden: Sequence[str] = schemas.OWNER_COLUMNS, order: str = "unique_id", single: bool = True) -> int:
-    """Both exports from one computation, ordered: the whole one, and one with ``hidden`` blank. Returns the number of rows."""
-    kept = storage.settle(df)
-    rows = kept.orderBy(order)
-    write_csv(rows, full_path, single)
-    write_csv(redacted(rows, hidden), public_path, single)
-    return kept.count()
-
-
 def redacted(df: DataFrame, hidden: Sequence[str] = schemas.OWNER_COLUMNS) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in hidden})
