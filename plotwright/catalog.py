@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwright import fixtures
 from plotwright.functions import address as A
 from plotwright.functions import text as X
 from plotwright.functions import values as V
-from plotwright.operators import cache, dedup, fuzzy, geocode, impute, marts, profile, quality, quota, validate
+from plotwright.operators import cache, dedup, fuzzy, geocode, impute, marts, procedures, profile, quality, quota, validate
 from plotwright.operators.clean import PARTIES, clean, collapse
+from plotwright.plans import prepare
 from plotwright.schemas import ADDRESSES as ADDRESS_SCHEMA
-from plotwright.schemas import CORRECTION_LOG, ISSUES, OWNER_COLUMNS, USAGE
-from plotwright.sources import tables
-from plotwright.sources.providers import Offline
+from plotwright.schemas import CLEAN_COLUMNS, CORRECTION_LOG, EXPORT_COLUMNS, EXPORTED, ISSUES, OWNER_COLUMNS, POINT_COLUMNS, RAW_COLUMNS, USAGE, fields
+from plotwright.sources import exports, lookups, spatial, tables
+from plotwright.sources.providers import ByRule
+from plotwright.storage import Ledger, scratch
 from plotwright.streaming import quota as stream_quota
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,6 +574,15 @@ ORACLES["correction_log"] = ORACLES["correction_log"].replace("cast(latitude AS
 WINDOWS = "WITH RECURSIVE w(event_type, started) AS (SELECT event_type, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.event_type, (SELECT min(ts) FROM events e WHERE e.event_type = w.event_type AND e.ts >= w.started + INTERVAL 24 HOURS) FROM w WHERE w.started IS NOT NULL) SELECT w.event_type, cast(epoch_us(w.started) AS bigint) AS started_us, count(*) AS request_count FROM w JOIN events e ON e.event_type = w.event_type AND e.ts >= w.started AND e.ts < w.started + INTERVAL 24 HOURS WHERE w.started IS NOT NULL GROUP BY 1, 2"
 
 
+ONE_WINDOWS = WINDOWS.replace("FROM events e", "FROM one e").replace("FROM events", "FROM one").replace("JOIN events e", "JOIN one e").replace("WITH RECURSIVE ", "WITH RECURSIVE one AS (SELECT 'all' AS event_type, ts FROM events), ")
+
+
+def as_table(windows: str) -> str:
+    """The same windows as a table x."""
+    head, body = windows.rsplit(" SELECT w.event_type, cast(", 1)
+    return f"{head}, x AS (SELECT w.event_type, cast({body})"
+
+
 @query(WINDOWS)
 def quota_windows(spark, d):
     out = quota.windows(t(spark, d, "events"), "event_type", "ts")
@@ -578,23 +591,26 @@ def quota_windows(spark, d):
 
 @query(WINDOWS)
 def quota_windows_stream(spark, d):
-    """The same windows from a stream read to its end in several batches, so that windows stay open across them; the last update of each counts."""
-    from plotwright.storage import settle
-
-    events = t(spark, d, "events")
-    name = f"quota_{uuid.uuid4().hex}"
-    settle(spark.range(1))
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    source = f"{base}/{name}-in"
-    edges = [r[0] for r in events.select("ts").orderBy("ts").withColumn("k", F.row_number().over(Window.orderBy("ts"))).where(f"k % {max(1, events.count() // 4)} = 0").select("ts").collect()]
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        some = F.lit(True) if low is None else F.col("ts") >= F.lit(low)
-        events.select("event_type", "ts").where(some & (F.lit(True) if high is None else F.col("ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("event_type string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(source)
-    run = stream_quota.stream_windows(stream, "event_type", "ts").writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("append").parquet(f"{base}/{name}-out")).option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).start()
-    run.awaitTermination(600)
-    out = spark.read.parquet(f"{base}/{name}-out")
-    return out.groupBy(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us")).agg(F.max("request_count").alias("request_count"))
+    """The same windows from a stream in four runs over one state, so that windows stay open across them; timers close each at its end, the last by a heartbeat."""
+    events = t(spark, d, "events").select("event_type", "ts")
+    at = scratch(spark, "quota")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = profile.quantiles(events.select(us.alias("us")), "us", (0.25, 0.5, 0.75))
+    part = sum((F.when(us > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("event_type"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
+    for k in range(5):
+        (events.where(part == k) if k < 4 else last).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("event_type string, ts timestamp_ntz").parquet(f"{at}/in")
+        run = stream_quota.closed_windows(stream, "event_type", "ts").writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+        run.awaitTermination(600)
+    return spark.read.parquet(f"{at}/out").select(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us"), "request_count")
+
+
+@query(ONE_WINDOWS)
+def quota_one_key(spark, d):
+    """All calls as one key's, dealt to eight tasks: successors are composed over their ranges."""
+    calls = t(spark, d, "events").select(F.lit("all").alias("event_type"), "ts")
+    return quota.windows(calls, "event_type", "ts", parts=8).select("event_type", F.unix_micros(F.col("window_started_at").cast("timestamp")).alias("started_us"), "request_count")
 
 
 @query("SELECT event_type AS api_name, cast(cast(ts AS date) AS string) AS request_date, count(*) AS request_count FROM events GROUP BY 1, 2")
@@ -651,26 +667,80 @@ def recent_corrections(spark, d):
     return geocode.recent_corrections(log, base.select("address_id", F.lit("x").alias("address"), F.col("place").alias("city"))).select("address_id", F.col("city").alias("place"))
 
 
-@query("SELECT address_id, geocode_status, geocode_source FROM (SELECT a.address_id, CASE WHEN p.address_id IS NULL THEN a.geocode_status WHEN p.at_first THEN 'GEOCODED' WHEN p.k <= 15 THEN 'GEOCODED' ELSE a.geocode_status END AS geocode_status, CASE WHEN p.address_id IS NULL THEN a.geocode_source WHEN p.at_first THEN 'OSM' WHEN p.k <= 15 THEN 'HERE' ELSE a.geocode_source END AS geocode_source FROM {addresses} a LEFT JOIN (SELECT *, min(CASE WHEN k = 15 THEN batch END) OVER () AS last_batch FROM (SELECT address_id, at_first, floor((row_number() OVER (ORDER BY address_id) - 1) / 20) AS batch, sum(CASE WHEN at_first THEN 0 ELSE 1 END) OVER (ORDER BY address_id) AS k FROM (SELECT address_id, address_id % 3 <> 0 AS at_first FROM {addresses} WHERE latitude IS NULL))) p ON p.address_id = a.address_id AND p.batch <= coalesce(p.last_batch, p.batch))")
+BULK = "SELECT address_id, geocode_status, geocode_source FROM (SELECT a.address_id, CASE WHEN p.address_id IS NULL THEN a.geocode_status WHEN p.at_first THEN 'GEOCODED' WHEN p.k <= 15 THEN 'GEOCODED' ELSE a.geocode_status END AS geocode_status, CASE WHEN p.address_id IS NULL THEN a.geocode_source WHEN p.at_first THEN 'OSM' WHEN p.k <= 15 THEN 'HERE' ELSE a.geocode_source END AS geocode_source FROM {addresses} a LEFT JOIN (SELECT *, min(CASE WHEN k = 15 THEN batch END) OVER () AS last_batch FROM (SELECT address_id, at_first, floor((row_number() OVER (ORDER BY address_id) - 1) / 20) AS batch, sum(CASE WHEN at_first THEN 0 ELSE 1 END) OVER (ORDER BY address_id) AS k FROM (SELECT address_id, address_id % 3 <> 0 AS at_first FROM {addresses} WHERE latitude IS NULL))) p ON p.address_id = a.address_id AND p.batch <= coalesce(p.last_batch, p.batch))"
+AT = datetime.datetime(2024, 6, 1, 12)
+
+
+def starts_with_number(address: str) -> bool:
+    """Of the addresses here, those that have no standardised form."""
+    return address[:1].isdigit()
+
+
+def chained(cutoff: int):
+    """A first provider that knows standardised addresses only, and a second that knows all."""
+    first = ByRule(lambda a: None if starts_with_number(a) else (36.0, -86.5))
+    return lambda used: geocode.chain(first, ByRule(lambda a: (36.0, -86.5), name="HERE"), used, cutoff)
+
+
+def used_before(spark: SparkSession) -> DataFrame:
+    return quota.add_calls(spark.createDataFrame([], USAGE), "HERE", 5, AT - datetime.timedelta(hours=20))
+
+
+@query(BULK)
 def bulk_quota(spark, d):
     """Pending addresses through a chain whose second provider has 20 calls a window, 5 of them used before."""
     known = full_cache(spark, d)
-    places = {r["full_address"]: (36.0, -86.5) for r in geocode.pending(known).collect()}
-    first = {r["full_address"]: (36.0, -86.5) for r in geocode.pending(known).where("address_id % 3 <> 0").collect()}
-    at = datetime.datetime(2024, 6, 1, 12)
-    usage = quota.add_calls(spark.createDataFrame([], USAGE), "HERE", 5, at - datetime.timedelta(hours=20))
-    make = lambda used: geocode.chain(Offline(first), Offline(places, name="HERE"), used, 20)
-    after, usage, _ = geocode.bulk(known, known.select("address_id"), make, now(), usage, batch_size=20, cutoff=20, clock=lambda: at)
+    after, _, _ = geocode.bulk(known, known.select("address_id"), chained(20), now(), used_before(spark), batch_size=20, cutoff=20, clock=lambda: AT)
     return after.select("address_id", "geocode_status", "geocode_source")
 
 
-@query("SELECT api_name, cast(request_date AS string) AS request_date, request_count FROM (VALUES ('HERE', DATE '2024-01-01', 7), ('HERE', DATE '2024-01-02', 4), ('OSM', DATE '2024-01-02', 3)) u(api_name, request_date, request_count)")
+class Killed(Exception):
+    pass
+
+
+@query(BULK)
+def bulk_resumed(spark, d):
+    """The same run, killed before its third batch and taken up from the answers that it kept."""
+    known, log, calls = full_cache(spark, d), scratch(spark, "answers"), [0]
+
+    def clock() -> datetime.datetime:
+        calls[0] += 1
+        if calls[0] == 3:
+            raise Killed
+        return AT
+
+    run = lambda clock: geocode.bulk(known, known.select("address_id"), chained(20), now(), used_before(spark), batch_size=20, cutoff=20, clock=clock, log=log)
+    with contextlib.suppress(Killed):
+        run(clock)
+    return run(lambda: AT)[0].select("address_id", "geocode_status", "geocode_source")
+
+
+@query("SELECT address_id, CASE WHEN latitude IS NULL THEN 'GEOCODED' ELSE geocode_status END AS geocode_status, CASE WHEN latitude IS NOT NULL THEN geocode_source WHEN address_standardized IS NULL THEN 'HERE' ELSE 'OSM' END AS geocode_source FROM {addresses}")
+def provider_lookups(spark, d):
+    """All pending addresses through the lookup data source, four partitions under one rate; its clock does not wait here."""
+    known = full_cache(spark, d)
+    first, second = ByRule(lambda a: None if starts_with_number(a) else (36.0, -86.5)), ByRule(lambda a: (36.0, -86.5), name="HERE")
+    idle = lookups.Clock(lambda: 0.0, lambda s: None)
+    ask = lambda part, used: lookups.answers(part, first, second, 2**31 - used, parts=4, interval=1.1, clock=idle)
+    after, _, _ = geocode.bulk(known, known.select("address_id"), chained(20), now(), batch_size=10_000, cutoff=2**31, clock=lambda: AT, ask=ask)
+    return after.select("address_id", "geocode_status", "geocode_source")
+
+
+@query(as_table(WINDOWS) + " SELECT event_type AS api_name, cast(cast(make_timestamp(started_us) AS date) AS string) AS request_date, cast(sum(request_count) AS bigint) AS request_count, min(started_us) AS anchor_us FROM x GROUP BY 1, 2")
 def usage_by_anchor(spark, d):
-    """Calls of the next morning count to the window of the day before; a call after its end opens the day's own."""
-    usage = spark.createDataFrame([], USAGE)
-    for api, n, day, hour in (("HERE", 5, 1, 20), ("HERE", 2, 2, 19), ("HERE", 4, 2, 21), ("OSM", 3, 2, 1)):
-        usage = quota.add_calls(usage, api, n, datetime.datetime(2024, 1, day, hour))
-    return usage.select("api_name", S("request_date"), F.col("request_count").cast("int").alias("request_count"))
+    """Each window's calls count to the day on which it opened."""
+    opened = quota.windows(t(spark, d, "events").select(F.col("event_type").alias("api_name"), "ts"), "api_name", "ts").withColumn("request_date", F.to_date("window_started_at"))
+    out = quota.add_usage(opened.limit(0), opened)
+    return out.select("api_name", S("request_date"), "request_count", F.unix_micros(F.col("window_started_at").cast("timestamp")).alias("anchor_us"))
+
+
+@query(as_table(ONE_WINDOWS) + ", z AS (SELECT *, row_number() OVER (ORDER BY started_us DESC) AS k FROM x) SELECT request_count AS used, 1000 - request_count AS remaining, request_count AS today, least(30, (SELECT count(*) FROM z) - 1) AS days FROM z WHERE k = 1")
+def usage_stats(spark, d):
+    """The dashboard's figures when the last window opens."""
+    usage = quota.windows(t(spark, d, "events").select(F.lit("HERE").alias("api_name"), "ts"), "api_name", "ts").withColumn("request_date", F.to_date("window_started_at"))
+    found = quota.stats(usage, usage.agg(F.max("window_started_at")).first()[0])
+    row = (found["here_window_used"], found["here_daily_remaining"], found["today_usage"]["HERE"], len(found["historical_usage"].get("HERE", [])))
+    return spark.createDataFrame([row], "used long, remaining long, today long, days long")
 
 
 @query("SELECT count(*) AS request_count, cast(epoch_us(max(first_ts)) AS bigint) AS started_us FROM (SELECT ts, min(ts) OVER () AS first_ts FROM events) WHERE ts < first_ts + INTERVAL 24 HOURS")
@@ -683,10 +753,12 @@ def active_window(spark, d):
     return spark.range(1).select(F.lit(used).cast("long").alias("request_count"), F.unix_micros(F.lit(started).cast("timestamp")).alias("started_us"))
 
 
-@query("SELECT * FROM (VALUES (1, 'uniqueid'), (2, 'parcel_id'), (3, 'sold_as_vacant'), (4, 'suite_or_condo'), (5, 'unique_id'), (6, 'tax_or_fee')) x(ordinal, column_name)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem")
 def rename_loose(spark, d):
-    given = ["UniqueID", "Parcel ID", "Sold As Vacant", "suite/ condo   #", "Unnamed: 0", "Tax/Fee #"]
-    return tables.columns_of(spark.range(1).select(*[F.lit(1).alias(X.snake_case_loose(c)) for c in given])).select("ordinal", "column_name")
+    """A table whose headers were typed by hand, under the names made of them."""
+    given = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    typed = given.toDF(*[c.replace("_", "  ").title() + " #" * (k % 2) for k, c in enumerate(given.columns)])
+    return typed.toDF(*[X.snake_case_loose(c) for c in typed.columns])
 
 
 @query("SELECT address_id, address, latitude, geocode_status FROM {addresses}")
@@ -700,6 +772,132 @@ def backup_restore(spark, d):
     return storage.restore(spark, at, ["addresses"])["addresses"].select("address_id", "address", "latitude", "geocode_status")
 
 
+# --- layouts, exports, transactions -------------------------------------------------------------
+
+
+@query("SELECT c_custkey FROM customer WHERE 34 + c_acctbal / 3000 BETWEEN 35.0 AND 36.7 AND -88 + c_custkey % 300 / 100 BETWEEN -87.6 AND -85.7")
+def bbox_layout(spark, d):
+    """The box's rows from a table laid out along the curve."""
+    at = scratch(spark, "places")
+    spatial.publish(t(spark, d, "customer").select("c_custkey", (34 + F.col("c_acctbal") / 3000).alias("latitude"), (-88 + (F.col("c_custkey") % 300) / 100).alias("longitude")), at, files=16)
+    return spatial.in_box(spark, at).select("c_custkey")
+
+
+ZOOMS = range(6, 13)
+BIT = "(({0} >> {1}) & 1) << {2}"
+TILE = " | ".join(f"({BIT.format('x', k, 2 * k)}) | ({BIT.format('y', k, 2 * k + 1)})" for k in range(max(ZOOMS)))
+
+
+@query(
+    f"WITH p AS (SELECT cast(floor((longitude - -180.0) / 360.0 * {2 ** max(ZOOMS)}) AS bigint) AS x, cast(floor((latitude - -90.0) / 180.0 * {2 ** max(ZOOMS)}) AS bigint) AS y, sale_price FROM {{sales}} s JOIN {{mappings}} m ON m.housing_id = s.unique_id AND m.address_type = 'property' JOIN {{addresses}} a ON a.address_id = m.address_id WHERE latitude IS NOT NULL AND sale_price IS NOT NULL), "
+    f"c AS (SELECT {TILE} AS code, sale_price FROM p), z AS (SELECT unnest(range({min(ZOOMS)}, {max(ZOOMS) + 1})) AS zoom) "
+    f"SELECT zoom, code >> (2 * ({max(ZOOMS)} - zoom))::int AS tile, count(*) AS n, median(sale_price) AS median_price, cast(len(list_filter([100000, 200000, 300000], lambda b: b <= median(sale_price))) AS bigint) AS price_bucket FROM c, z GROUP BY 1, 2"
+)
+def price_pyramid(spark, d):
+    """Count, median price and its bucket of every tile, at seven zooms."""
+    rows = marts.map_rows(v(spark, d, "sales"), v(spark, d, "mappings"), v(spark, d, "addresses"), limit=2**31 - 1)
+    out = marts.pyramid(rows, ZOOMS, F.array(*[F.lit(x) for x in (100000.0, 200000.0, 300000.0)]))
+    return out.select(L("zoom"), L("tile"), "n", "median_price", L("price_bucket"))
+
+
+def whole_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Sales with all columns of the export."""
+    return v(spark, d, "sales").withColumns({"tax_district": F.lit("URBAN"), "building_value": F.col("land_value") * 2, "total_value": F.col("land_value") * 3, "currency_code": F.lit("USD")}).select(*EXPORT_COLUMNS)
+
+
+WHOLE = "SELECT s.*, 'URBAN' AS tax_district, land_value * 2 AS building_value, land_value * 3 AS total_value, 'USD' AS currency_code FROM {sales} s"
+SIDES = [f"{a}.{c} AS {side}_{c}" for a, side in (("p", "property"), ("o", "owner")) for c in POINT_COLUMNS]
+ALL_COLUMNS = "SELECT " + ", ".join([f"s.{c}" for c in EXPORT_COLUMNS] + SIDES) + f" FROM ({WHOLE}) s LEFT JOIN {{mappings}} pm ON pm.housing_id = s.unique_id AND pm.address_type = 'property' LEFT JOIN {{addresses}} p ON p.address_id = pm.address_id LEFT JOIN {{mappings}} om ON om.housing_id = s.unique_id AND om.address_type = 'owner' LEFT JOIN {{addresses}} o ON o.address_id = om.address_id"
+
+
+@query(ALL_COLUMNS)
+def export_bucketed(spark, d):
+    """All columns of the export, from tables bucketed by the sale."""
+    name = f"export_{uuid.uuid4().hex}"
+    marts.publish_bucketed(whole_sales(spark, d), v(spark, d, "mappings"), v(spark, d, "addresses"), name, scratch(spark, "buckets"), 8)
+    return marts.export_bucketed(spark, name)
+
+
+def cell_sql(name: str, kind: str) -> str:
+    return f"CASE WHEN {name} THEN 't' WHEN NOT {name} THEN 'f' ELSE '' END" if kind == "boolean" else f"coalesce(cast({name} AS string), '')"
+
+
+EXPORTED_KINDS = {"property_address_imputed": "boolean", "owner_address_imputed": "boolean", "sold_as_vacant": "boolean"}
+
+
+@query(
+    f"WITH e AS ({ALL_COLUMNS}) SELECT 'full' AS kind, " + ", ".join(f"{cell_sql(c, EXPORTED_KINDS.get(c, 'text'))} AS {c}" for c in EXPORTED) + " FROM e UNION ALL SELECT 'public', " + ", ".join("''" if c in OWNER_COLUMNS else cell_sql(c, EXPORTED_KINDS.get(c, "text")) for c in EXPORTED) + " FROM e"
+)
+def export_both(spark, d):
+    """All columns of both exports, as they are read back from the files of one job."""
+    at = scratch(spark, "exports")
+    exports.export(marts.export_rows(whole_sales(spark, d), v(spark, d, "mappings"), v(spark, d, "addresses")), at, single=False)
+    read = lambda kind: spark.read.csv(f"{at}/{kind}", header=True, quote='"', escape='"').select(F.lit(kind).alias("kind"), *[F.coalesce(c, F.lit("")).alias(c) for c in EXPORTED])
+    return read("full").unionByName(read("public"))
+
+
+@query("SELECT address_id, coalesce(city, 'NOWHERE') AS city, mapping_id FROM {addresses} JOIN (SELECT address_id, min(mapping_id) AS mapping_id FROM {mappings} GROUP BY 1) USING (address_id)")
+def ledger_tables(spark, d):
+    """Two tables of one commit, one of them replaced, from its own rows, by a second."""
+    ledger = Ledger(spark, scratch(spark, "ledger"))
+    ledger.commit({"addresses": v(spark, d, "addresses"), "mappings": v(spark, d, "mappings")})
+    ledger.commit({"addresses": ledger.read("addresses").withColumn("city", F.coalesce("city", F.lit("NOWHERE")))})
+    return ledger.read("addresses").join(ledger.read("mappings").groupBy("address_id").agg(F.min("mapping_id").alias("mapping_id")), "address_id").select("address_id", "city", "mapping_id")
+
+
+@query("WITH donor AS (SELECT parcel_id, arg_min(property_address, unique_id) AS a FROM {sales} WHERE property_address IS NOT NULL GROUP BY 1) SELECT unique_id, CASE WHEN property_address IS NULL AND NOT sold_as_vacant THEN a ELSE property_address END AS property_address, property_address IS NULL AND NOT sold_as_vacant AND a IS NOT NULL AS address_was_imputed FROM {sales} LEFT JOIN donor USING (parcel_id)")
+def impute_script(spark, d):
+    """The general imputation as a SQL script that gets its names as text."""
+    v(spark, d, "sales").createOrReplaceTempView("script_sales")
+    return procedures.impute(spark, "script_sales", "script_sales", ["parcel_id"], "property_address", "NOT t.sold_as_vacant").select("unique_id", "property_address", "address_was_imputed")
+
+
+def profiled(table: str, numbers: list[str], others: list[str]) -> str:
+    number = lambda c: f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS missing, count(DISTINCT {c}) AS unique_values, cast(min({c}) AS double) AS min, cast(max({c}) AS double) AS max, round(avg({c}), 4) AS mean, count_if({c} = 0) AS zeros, count_if({c} < 0) AS negatives FROM {table}"
+    other = lambda c: f"SELECT '{c}', count_if({c} IS NULL), count(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL FROM {table}"
+    return " UNION ALL ".join([*map(number, numbers), *map(other, others)])
+
+
+@query(profiled("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]))
+def profile_orders(spark, d):
+    """Every column, from one pass over the table."""
+    return profile.columns(t(spark, d, "orders")).select("column_name", "missing", "unique_values", "min", "max", F.round("mean", 4).alias("mean"), "zeros", "negatives")
+
+
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, cast(min({c}) AS double) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(quantile_cont({c}, 0.95), 4) AS q95, cast(max({c}) AS double) AS max, count_if({c} IS NULL) AS missing FROM lineitem" for c in NUMBERS))
+def numeric_summary_all(spark, d):
+    """All numeric columns, their quantiles found together."""
+    out = profile.numeric_summary(t(spark, d, "lineitem").select(*NUMBERS))
+    return out.select("column_name", "count", *[F.round(c, 4).alias(c) if c not in ("min", "max") else F.col(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "q95", "max")], "missing")
+
+
+# --- loading and whole runs ---------------------------------------------------------------------
+
+
+@query("SELECT unique_id, coalesce(property_address, '') AS property_address, coalesce(cast(acreage AS string), '') AS acreage FROM {sales}")
+def csv_bom_load(spark, d):
+    """A file with a byte order mark, loaded and replaced as a table."""
+    at = scratch(spark, "load")
+    tables.write_csv(v(spark, d, "sales").select("unique_id", "property_address", "acreage").orderBy("unique_id"), f"{at}/plain")
+    head = F.when(F.col("value").startswith("unique_id,"), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
+    spark.read.text(f"{at}/plain").select(head.alias("value")).coalesce(1).write.text(f"{at}/marked")
+    for _ in range(2):  # the second replaces the first
+        tables.load_csv(spark, f"{at}/marked", f"{at}/table", fields("unique_id string, property_address string, acreage string"))
+    return spark.read.parquet(f"{at}/table").select(L("unique_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("property_address", "acreage")])
+
+
+@query("WITH p AS (SELECT parcel_id, arg_min(property_address, unique_id) AS a FROM {sales} WHERE property_address IS NOT NULL GROUP BY 1), o AS (SELECT parcel_id, owner_name, arg_min(owner_address, unique_id) AS b FROM {sales} WHERE owner_address IS NOT NULL AND owner_name IS NOT NULL GROUP BY 1, 2) SELECT s.unique_id, property_address IS NULL AND a IS NOT NULL AS property_address_imputed, owner_address IS NULL AND b IS NOT NULL AS owner_address_imputed FROM {sales} s LEFT JOIN p ON p.parcel_id = s.parcel_id LEFT JOIN o ON o.parcel_id = s.parcel_id AND o.owner_name = s.owner_name")
+def snapshot_provenance(spark, d):
+    """Filled addresses marked against the snapshot of the source, read from its file."""
+    at, sales = scratch(spark, "snapshot"), whole_sales(spark, d)
+    tables.write_csv(sales.select(*[F.col(c).alias(r) for c, r in zip(CLEAN_COLUMNS, RAW_COLUMNS, strict=True)]), at, single=False)
+    filled = impute.fill(impute.fill(sales, ["parcel_id"], *PARTIES[0]), ["parcel_id", "owner_name"], *PARTIES[1]).withColumns({flag: F.lit(False) for _, flag in PARTIES})
+    return impute.mark_provenance(filled, tables.read_snapshot(spark, at), PARTIES).select("unique_id", "property_address_imputed", "owner_address_imputed")
+
+
 # --- whole sequence -----------------------------------------------------------------------------
 
 ONE_BLANK = "regexp_replace({0}, ' {{2,}}', ' ', 'g')"
@@ -725,3 +923,17 @@ CLEANED = (
 def cleaning_pipeline(spark, d):
     """Raw text rows through the whole cleaning sequence."""
     return clean(fixtures.read(spark, d, fixtures.RAW)).withColumns({"sale_date": F.col("sale_date").cast("string"), "sale_price": F.col("sale_price").cast("double")})
+
+
+STREET = "nullif(upper(trim(split_part({0}, ',', 1))), '')"
+
+
+@query(f"WITH c AS ({CLEANED}), a AS (SELECT {STREET.format('property_address')} AS a FROM c UNION ALL SELECT {STREET.format('owner_address')} FROM c) SELECT 'raw' AS name, count(*) AS rows FROM {{sales}} UNION ALL SELECT 'sales', count(*) FROM c UNION ALL SELECT 'addresses', count(DISTINCT a) FROM a UNION ALL SELECT 'mappings', count(a) FROM a")
+def prepared_store(spark, d):
+    """A raw file through the whole run; the tables that it publishes, the raw one kept."""
+    at = scratch(spark, "prepared")
+    tables.write_csv(fixtures.read(spark, d, fixtures.RAW), f"{at}/raw.csv", single=False)
+    prepare.prepare(spark, f"{at}/raw.csv", f"{at}/store", keep_tables=True)
+    store = prepare.Store(spark, f"{at}/store")
+    counts = [store.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("raw", "sales", "addresses", "mappings")]
+    return functools.reduce(DataFrame.unionByName, counts)
