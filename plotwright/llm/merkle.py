@@ -22,7 +22,7 @@ import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import RDD, StorageLevel, TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +32,7 @@ from plotwright.llm.common import checkpoint_dir, cut, partitions_for
 ARITY = 16
 #: Rows of digests of a task.
 ROWS = 100_000
-#: (group, index): the group is the number of its first leaf in the order of the whole table.
+#: (group, index): groups are numbered in their order.
 Key = tuple[int, int]
 #: Slot in a run, and the digests of the run: one entry for each level, from the leaf up.
 Path = tuple[tuple[int, bytes], ...]
@@ -69,51 +69,51 @@ def siblings(path: Path) -> bytes:
 def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` (sorted by ``g_`` over the tasks in order) with group_ and index_ of each leaf, and whether it is the last of its group.
 
-    Tasks tell the driver their first and last group, how many rows they have and how many of these
-    are of the last group; so groups that span tasks are known, and each task then streams its rows.
+    Tasks tell the driver their first and last group, how many groups and rows they have and how many rows are
+    of the last group; so groups that span tasks are known, and each task then streams its rows.
     """
-    line = "p int, n long, first binary, last binary, tail long"
+    line = "p int, n long, first binary, last binary, tail long, groups long"
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, tail, first, last = 0, 0, None, None
+        n, tail, groups, first, last = 0, 0, 0, None, None
         for b in batches:
             for g in b.column("g_").to_pylist():
                 if n == 0:
                     first = g
-                tail = tail + 1 if n and g == last else 1
-                last, n = g, n + 1
+                if n == 0 or g != last:
+                    tail, groups, last = 0, groups + 1, g
+                tail, n = tail + 1, n + 1
         if n:
-            yield pa.RecordBatch.from_pydict({"p": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n]), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "tail": pa.array([tail])})
+            yield pa.RecordBatch.from_pydict({"p": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n]), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "tail": pa.array([tail]), "groups": pa.array([groups])})
 
     lines = sorted(rows.select("g_").mapInArrow(ends, line).collect())
-    start: dict[int, tuple[int, int, bool]] = {}  # of each task: number of its first row, that of the first row of that row's group, whether its last row ends a group
-    at = opened = 0
+    start: dict[int, tuple[int, int, bool]] = {}  # of each task: its first row's group and index, and whether its last row ends a group
+    group, index = -1, 0
     for k, x in enumerate(lines):
         if k == 0 or x.first != lines[k - 1].last:
-            opened = at
-        start[x.p] = (at, opened, k + 1 == len(lines) or lines[k + 1].first != x.last)
-        if x.tail < x.n:
-            opened = at + x.n - x.tail
-        at += x.n
+            group, index = group + 1, 0
+        start[x.p] = (group, index, k + 1 == len(lines) or lines[k + 1].first != x.last)
+        index = x.tail if x.groups > 1 else index + x.n
+        group += x.groups - 1
     shared = rows.sparkSession.sparkContext.broadcast(start)
     fields = [f for f in rows.schema if f.name != "g_"]
     schema = T.StructType([*fields, T.StructField("group_", T.LongType()), T.StructField("index_", T.LongType()), T.StructField("last_", T.BooleanType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, opened, closes = shared.value.get(TaskContext.get().partitionId(), (0, 0, True))
+        group, index, closes = shared.value.get(TaskContext.get().partitionId(), (0, 0, True))
         before, held = None, None
 
         def out(b: pa.RecordBatch, after: bytes | None, final: bool) -> pa.RecordBatch:
-            nonlocal at, opened, before
+            nonlocal group, index, before
             names = b.column("g_").to_pylist()
             groups, indexes, lasts = [], [], []
             for k, g in enumerate(names):
                 if before is not None and g != before:
-                    opened = at
-                groups.append(opened)
-                indexes.append(at - opened)
+                    group, index = group + 1, 0
+                groups.append(group)
+                indexes.append(index)
                 lasts.append(names[k + 1] != g if k + 1 < len(names) else closes if final else after != g)
-                before, at = g, at + 1
+                before, index = g, index + 1
             return pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(groups, pa.int64()), pa.array(indexes, pa.int64()), pa.array(lasts, pa.bool_())], names=schema.names)
 
         for b in batches:
@@ -127,28 +127,28 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(number, schema)
 
 
-def kept(rdd: RDD) -> RDD:
-    """Cut at the shared folder: what a superstep has sent is not computed again. The cache spares the checkpoint a second run and is let go at once."""
-    rdd = rdd.persist(StorageLevel.DISK_ONLY)
-    rdd.checkpoint()
-    rdd.count()
-    rdd.unpersist()
-    return rdd
+def height(leaves: int) -> int:
+    """Levels of runs above so many leaves, one node left."""
+    n = 0
+    while ARITY**n < leaves:
+        n += 1
+    return n
 
 
-def climb(nodes: RDD, tasks: int) -> tuple[list[RDD], RDD]:
-    """Upward supersteps from ``nodes``, (key, (digest, last)).
+def climb(nodes: RDD, levels: int, tasks: int) -> tuple[list[RDD], list[RDD]]:
+    """Upward supersteps from ``nodes``, (key, (digest, last)), until the largest group of ``levels`` has one node.
 
-    Returns the runs of each level, (parent's key, (digests of the run, last)), and the groups' roots, (group, (digest, level)).
+    Returns the runs of each level, (parent's key, (digests of the run, last)), and of each level the groups' roots, (group, digest).
+    Each superstep is a shuffle of a sixteenth of the one below; what an executor loses is made again from the leaves.
     """
     roots, runs = [], []
-    while True:
-        level = len(runs)
-        is_root = lambda x: x[0][1] == 0 and x[1][1]
-        roots.append(nodes.filter(is_root).map(lambda x, level=level: (x[0][0], (x[1][0], level))))
+    for level in range(levels + 1):
+        roots.append(nodes.filter(lambda x: x[0][1] == 0 and x[1][1]).map(lambda x: (x[0][0], x[1][0])))
+        if level == levels:
+            break
         tasks = max(1, tasks // ARITY) if level else tasks
 
-        def send(some: Iterable, tasks: int = tasks) -> Iterator[tuple[Key, tuple[int, bytes, bool]]]:
+        def send(some: Iterable) -> Iterator[tuple[Key, tuple[int, bytes, bool]]]:
             for (group, index), (value, last) in some:
                 if index or not last:
                     yield (group, index // ARITY), (index % ARITY, value, last)
@@ -161,14 +161,12 @@ def climb(nodes: RDD, tasks: int) -> tuple[list[RDD], RDD]:
                 raise ValueError(f"parent {key} lacks children: {slots}")
             return key, (b"".join(c[1] for c in children), last)
 
-        run = kept(nodes.mapPartitions(send).combineByKey(lambda v: [v], lambda a, v: [*a, v], lambda a, b: a + b, tasks).map(complete))
-        if run.isEmpty():
-            return runs, nodes.context.union(roots)
-        runs.append(run)
-        nodes = run.mapValues(lambda v: (joined(v[0]), v[1]))
+        runs.append(nodes.mapPartitions(send).combineByKey(lambda v: [v], lambda a, v: [*a, v], lambda a, b: a + b, tasks).map(complete))
+        nodes = runs[-1].mapValues(lambda v: (joined(v[0]), v[1]))
+    return runs, roots
 
 
-def descend(runs: list[RDD], tops: RDD, tasks: int) -> RDD:
+def descend(runs: list[RDD], tops: RDD) -> RDD:
     """Downward supersteps: (key of a run of leaves, (its digests, path above it)); a lone leaf's run is empty. ``tops``: (group, (level, path above the group's root))."""
     own = lambda level: tops.filter(lambda x: x[1][0] == level).map(lambda x: ((x[0], 0), x[1][1]))
     paths = own(len(runs))
@@ -182,7 +180,7 @@ def descend(runs: list[RDD], tops: RDD, tasks: int) -> RDD:
             for slot in range(len(run) // 32):
                 yield (group, index * ARITY + slot), ((slot, run), *path)
 
-        paths = kept(met.flatMap(send).union(own(level)))
+        paths = met.flatMap(send).union(own(level))
     return paths.mapValues(lambda path: (b"", path))
 
 
@@ -206,16 +204,16 @@ def manifest(df: DataFrame, fields: Sequence[str], order: str, group: str, seen:
     types = [kind, *[T.StringType()] * 5, T.BooleanType()] + [T.ArrayType(T.StringType())] * proofs
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
 
-    nodes = leaves.select("group_", "index_", "leaf", "last_").rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), r[3])))
-    runs, roots = climb(nodes, tasks)
-    roots = kept(roots)
-    size = roots.count()
-    if not size:
+    most, groups = leaves.agg(F.max("index_") + 1, F.max("group_") + 1).first()
+    if not groups:
         return spark.createDataFrame([], schema).withColumnRenamed("order_", order)
-    tops, top = climb(roots.sortByKey(numPartitions=partitions_for(size, rows_per_task)).zipWithIndex().map(lambda x: ((TOP, x[1]), (x[0][1][0], x[1] == size - 1))), partitions_for(size, rows_per_task))
-    (_, (root, height)) = top.first()
-    ranked = roots.sortByKey(numPartitions=partitions_for(size, rows_per_task)).zipWithIndex().map(lambda x: (x[1], x[0]))
-    above = descend(tops, spark.sparkContext.parallelize([(TOP, (height, ()))], 1), tasks)
+    nodes = leaves.select("group_", "index_", "leaf", "last_").rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), r[3])))
+    runs, roots = climb(nodes, height(most), tasks)
+    depth, above_tasks = height(groups), partitions_for(groups, rows_per_task)
+    subroots = spark.sparkContext.union(roots)
+    tops, top = climb(subroots.map(lambda x: ((TOP, x[0]), (x[1], x[0] == groups - 1))), depth, above_tasks)
+    ((_, root),) = top[-1].collect()
+    above = descend(tops, spark.sparkContext.parallelize([(TOP, (depth, ()))], 1))
 
     def unfold(x: tuple) -> Iterator[tuple[int, Path]]:
         (_, index), (run, path) = x
@@ -224,13 +222,9 @@ def manifest(df: DataFrame, fields: Sequence[str], order: str, group: str, seen:
         for slot in range(len(run) // 32):
             yield index * ARITY + slot, ((slot, run), *path)
 
-    def subroot_path(x: tuple) -> tuple[int, tuple[int, Path]]:
-        path, (group_, (_, level)) = x[1]
-        return group_, (level, path)
-
-    placed_tops = kept(above.flatMap(unfold).join(ranked).map(subroot_path))
-    messages = descend(runs, placed_tops, tasks)
-    depth = len(tops)  # levels of the upper tree at the end of each path
+    levels = leaves.where("last_").select("group_", "index_").rdd.map(lambda r: (r[0], height(r[1] + 1)))
+    placed_tops = levels.join(above.flatMap(unfold), above_tasks)
+    messages = descend(runs, placed_tops)
 
     def verify(x: tuple) -> Iterator[tuple]:
         _, (own, sent) = x
