@@ -123,8 +123,10 @@ class Ends:
         return end + 1 if end >= 0 else -1
 
 
-def parse(page: str) -> Tree:
+def parse(page: str, parts: frozenset[str] = frozenset()) -> Tree:
+    """The tree of a page. Elements within a line whose names hold a word of ``parts`` are nodes as well, without edges."""
     tree = Tree()
+    lines: dict[str, list[int]] = {}  # by tag of elements within a line, the nodes that are open, -1 for one that is no node
     stack = [tree.add("#root", -1, {})]
     open_: dict[str, list[int]] = {}  # by tag, where in the stack
     ends, unclosed = Ends(page), set()
@@ -172,6 +174,8 @@ def parse(page: str) -> Tree:
             elif name in BLOCKS:
                 edge()
                 close({name}, set() if name in ("html", "body", "table") else {"table"} - {name})
+            elif lines.get(name) and (node := lines[name].pop()) >= 0 and (places := open_.get(name)) and stack[places[-1]] == node:
+                close({name}, {*BLOCKS})
             continue
         if name in RAW or name in LEFT_OUT:
             empty = name in LEFT_OUT and (name in unclosed or name in ("svg", "math") and raw.endswith("/"))
@@ -194,6 +198,13 @@ def parse(page: str) -> Tree:
             links = 1
             continue
         if name not in BLOCKS:
+            if parts and name not in VOID:
+                held = attributes(raw) if raw and not raw.isspace() else {}
+                named = any(w in parts for k in ("class", "id", "role") if (value := held.get(k)) for w in name_words(value))
+                lines.setdefault(name, []).append(len(tree.tags) if named else -1)
+                if named:
+                    open_.setdefault(name, []).append(len(stack))
+                    stack.append(tree.add(name, stack[min(len(stack), DEEPEST) - 1], held))
             continue
         edge()
         if name == "hr":

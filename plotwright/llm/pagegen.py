@@ -18,6 +18,14 @@ NAMES = {
     "related": ["related", "recommended", "more-stories", "see-also", "trending"],
     "body": ["content", "article", "post", "entry", "entry-content", "article-body", "story", "main-content", "post-body", "text"],
 }
+# What the headings of such parts say.
+TITLES = {
+    "comments": ["Comments", "3 comments", "Responses", "Leave a reply", "Kommentare", "12 Kommentare", "Commentaires", "Comentarios", "Discussion"],
+    "related": ["Related stories", "See also", "Read more", "More from the region", "You may also like", "Most read", "Weitere Artikel", "Mehr zum Thema", "À lire aussi", "Voir aussi", "Artículos relacionados"],
+    "ad": ["Advertisement", "Sponsored", "Anzeige", "Werbung", "Publicité", "Publicidad"],
+    "form": ["Newsletter", "Subscribe", "Sign up for our newsletter", "Newsletter abonnieren"],
+    "share": ["Share this article", "Follow us", "Artikel teilen", "Partager"],
+}
 SYLLABLES = ["ka", "lo", "mi", "ter", "an", "ti", "on", "sch", "re", "qu", "el", "ves", "o", "ur", "ing", "da", "pe", "con", "ña", "é"]
 
 
@@ -41,6 +49,8 @@ class Page:
             out += f' <a href="#">{self.words(1, 4)}</a> {self.sentence()}'
         if self.r.random() < 0.15:
             out = f"<b>{self.words(1, 4)}</b> {out}"
+        if self.r.random() < 0.02:
+            out += self.r.choice([f' <em class="x{self.r.randint(1, 9)}">{self.words(1, 3)}</em> ', f' <span class="{self.r.choice(NAMES[self.r.choice(["ad", "share", "related"])])}" data-y="0">{self.words(1, 8)}</span> ']) + self.sentence()
         return out
 
     def tag(self, name: str, inner: str, y: int, kind: str | None = None) -> str:
@@ -81,6 +91,35 @@ class Page:
             return f'<{(n := self.r.choice(["div", "div", "aside", "section", "p"]))} class="{self.r.choice(NAMES["ad"])}" data-y="0">{inner}</{n}>'
         return self.part(kind, ["div", "div", "aside", "section"], self.links())
 
+    def titled(self) -> str:
+        """A part without a name, told by its heading; a block of its own, or laid beside the rest."""
+        kind = self.r.choice(["comments", "related", "comments", "related", "share", "form", "ad"])
+        title = self.r.choice(TITLES[kind])
+        level = self.r.choice(["h2", "h3", "h3", "h4", "p", "div"]) if kind != "ad" else self.r.choice(["p", "div", "h4"])
+        head = f'<{level} data-y="0">{title}</{level}>'
+        if kind == "comments":
+            n = self.r.choice(["p", "div", "li"])
+            rest = "".join(f'<{n} data-y="0">{self.prose(1, 3)}</{n}>' for _ in range(self.r.randint(1, 5)))
+            rest = f'<ul data-y="0">{rest}</ul>' if n == "li" else rest
+        elif kind in ("ad", "form"):
+            rest = f'<p data-y="0">{self.prose(1, 2)}</p>'
+        else:
+            rest = f'<ul data-y="0">{"".join(self.item() for _ in range(self.r.randint(2, 6)))}</ul>' if self.r.random() < 0.7 else f'<p data-y="0">{self.links()}</p>'
+        n = self.r.choice(["div", "section", "section", "aside", ""])
+        return f'<{n} data-y="0">{head}{rest}</{n}>' if n else head + rest
+
+    def item(self) -> str:
+        return f'<li data-y="0"><a href="/{self.word()}">{self.words(2, 8)}</a></li>'
+
+    def tabular(self, inner: str) -> str:
+        """A page laid out by a table: menus and notes in cells beside the text's."""
+        cell = lambda x, y: f'<td data-y="{y}">{x}</td>'
+        beside = self.r.choice([self.links(), self.links(), f'<p data-y="0">{self.links()}</p>'])
+        cells = [cell(beside, 0), cell(inner, 1)]
+        self.r.shuffle(cells)
+        top = f'<tr data-y="0">{cell(self.links(), 0)}</tr>' if self.r.random() < 0.4 else ""
+        return f'<table data-y="1"><tbody data-y="1">{top}<tr data-y="1">{"".join(cells)}</tr></tbody></table>'
+
     def block(self) -> str:
         p = lambda low=1, high=7: f'<p data-y="1">{self.prose(low, high)}' + ("</p>" if self.r.random() < 0.9 else "")
         pick = self.r.random()
@@ -102,6 +141,8 @@ class Page:
         return f'<div data-y="1">{p()}{p()}</div>' if self.r.random() < 0.3 else f'<div data-y="1">{self.prose()}</div>'
 
     def article(self) -> str:
+        if self.r.random() < 0.04:  # a text of a few words
+            return self.tag(self.r.choice(["article", "article", "main"]), self.wrapped(self.r.choice(["{}", '<p data-y="1">{}</p>']).format(self.words(1, 6)), 1), 1)
         inner = f'<h1 data-y="1">{self.words(2, 10)}</h1>' if self.r.random() < 0.8 else ""
         if self.r.random() < 0.12:
             inner += self.r.choice([f'<p data-y="1">{self.words(1, 4)}</p>', self.words(1, 5)])
@@ -112,6 +153,8 @@ class Page:
         inner = self.wrapped(inner, 1)
         if self.r.random() < 0.12:
             inner += self.comments()
+        elif self.r.random() < 0.12:
+            inner += self.titled()
         shape = self.r.random()
         if shape < 0.35:
             return self.tag("article", inner, 1, "body" if self.r.random() < 0.3 else None)
@@ -134,7 +177,9 @@ class Page:
         if self.r.random() < 0.4:
             parts.append(self.aside())
         parts = [self.wrapped(p, 0) for p in parts]
-        parts.append(self.article())
+        parts.append(self.tabular(self.article()) if self.r.random() < 0.1 else self.article())
+        if self.r.random() < 0.12:
+            parts.append(self.titled())
         for chance, make in ((0.35, self.aside), (0.2, self.comments), (0.25, lambda: self.part("side", ["aside", "aside", "div"], self.links() if self.r.random() < 0.6 else f'<p data-y="0">{self.prose(1, 2)}</p>'))):
             if self.r.random() < chance:
                 parts.append(make())

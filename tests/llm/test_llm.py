@@ -54,12 +54,31 @@ OTHER_PAGES = {
 }
 
 
-@pytest.mark.parametrize("name", [*PAGES, *OTHER_PAGES])
+FIRST, SECOND = "A long enough first paragraph of the text, with some words in it.", "And one more of them, not so long."
+#: Parts told by an unusual name, by their heading alone, by a place in a table, or within a line.
+NAMED_OTHERWISE = {
+    "thread": (f'<body><article><h1>T</h1><p>{FIRST}</p></article><div id="c-thread"><ul><li>I like it a lot, thank you for this.</li><li>So do I, it was great to read.</li></ul></div></body>', f"T {FIRST}"),
+    "kommentare": (f'<body><article><h1>T</h1><p>{FIRST}</p><div class="kommentare"><p>Das finde ich gar nicht gut, was hier steht.</p></div></article></body>', f"T {FIRST}"),
+    "heading of comments": (f"<body><article><h1>T</h1><p>{FIRST}</p><section><h2>Comments</h2><p>I like it a lot, thank you for this.</p><p>Me too, really.</p></section></article></body>", f"T {FIRST}"),
+    "heading beside comments": (f"<article><h1>T</h1><p>{FIRST}</p><h2>2 Kommentare</h2><div><b>Joe</b><p>I like it.</p></div><div><b>Ann</b><p>I do not.</p></div></article>", f"T {FIRST}"),
+    "table layout": (f"<body><table><tr><td><a href=/>Home</a> <a href=/a>About</a></td><td><h1>T</h1><p>{FIRST}</p><p>{SECOND}</p></td></tr></table></body>", f"T {FIRST} {SECOND}"),
+    "within a line": (f'<body><article><p>{FIRST[:30]}<span class="advert">Buy now!</span>{FIRST[30:]} <span class="hl">{SECOND}</span></p></article></body>', f"{FIRST} {SECOND}"),
+    "related": (f"<body><article><h1>T</h1><p>{FIRST}</p><h3>Related stories</h3><ul><li><a href=/1>One thing that happened</a></li><li><a href=/2>Another one</a></li></ul></article></body>", f"T {FIRST}"),
+    "no such part": (f"<article><h1>How comments work</h1><p>{FIRST}</p><h2>Discussion of results</h2><p>{SECOND}</p><h2>Comments we got</h2><p>{SECOND}</p></article>", f"How comments work {FIRST} Discussion of results {SECOND} Comments we got {SECOND}"),
+}
+
+
+@pytest.mark.parametrize("name", [*PAGES, *OTHER_PAGES, *NAMED_OTHERWISE])
 def test_extract_pages(name):
-    page, want = (PAGES | OTHER_PAGES)[name]
+    page, want = (PAGES | OTHER_PAGES | NAMED_OTHERWISE)[name]
     assert text_of(page) == want
 
 
+def test_elements_within_a_line_close_with_their_own_tags():
+    assert text_of('<article><p>One two three <span class="ad">no <span>no</span> no</span>four <span>five</span></span> six seven eight nine.</p></article>') == "One two three four five six seven eight nine."
+    assert text_of('<article><p>One two three four five six. <span class="ad">no<p>Seven eight nine ten eleven twelve.</p></article>') == "One two three four five six. Seven eight nine ten eleven twelve."
+
+
 def test_extract_odd_markup():
     assert text_of("") == "" and text_of("<nav><a href=x>y</a></nav>") == ""
     assert text_of("<article><p>a < b &lt; c &#228;&nbsp;d</article>") == "a < b < c ä d"
