@@ -52,32 +52,37 @@ def weighted(sources: DataFrame, weights: dict[str | None, float] | None, cycle:
 def filled(sources: DataFrame, most_epochs: float) -> DataFrame:
     """``sources`` (source, total, weight) with target: the sum of totals shared by weight, none above ``most_epochs`` times its total, the excess shared again.
 
-    A source is above its cap if weight / total is above the level most_epochs x open weight / rest of the size; clamping lowers the level, until it stays.
+    Sources by falling weight / total are clamped until one is not above its cap by what is left for it and those after it; the first that is not ends it, so sums up to each source decide for all at once.
     """
     ratio = F.try_divide("weight", "total")
     has = (F.col("total") > 0) & (F.col("weight") > 0)
     every = sources.agg(F.sum("total")).first()[0] or 0
-    level, rest, open_ = float("inf"), float(every), 0.0
-    while True:
-        clamped = F.when(has & (ratio > level), F.col("total"))
-        gone, open_ = sources.agg(F.sum(clamped), F.sum(F.when(has & (ratio <= level), F.col("weight")))).first()
-        rest, open_ = every - most_epochs * (gone or 0), open_ or 0.0
-        if not open_ or rest <= 0:
-            break
-        lower = most_epochs * open_ / rest
-        if lower >= level or not sources.where(has & (ratio <= level) & (ratio > lower)).limit(1).count():
-            break
-        level = lower
-    share = F.when(has & (ratio > level), most_epochs * F.col("total")).when(has, F.lit(max(0.0, rest)) * F.col("weight") / F.lit(open_ or 1.0))
-    return sources.withColumn("target", F.coalesce(share, F.lit(0.0)).cast("double"))
-
-
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
-    """``df`` with size, source_size, target and copies (whole repetitions to take), each name after ``prefix``. Without ``weights``, 1, 2, 3 in turn."""
+    before = Window.orderBy(ratio.desc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(ratio.desc(), F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    left = F.lit(float(every)) - most_epochs * F.coalesce(F.sum("total").over(before), F.lit(0))
+    above = F.col("weight") * left > most_epochs * F.col("total") * F.sum("weight").over(after)
+    judged = cut(sources.where(has).select("source", "total", "weight", (~above).alias("free")))
+    so_far = Window.orderBy(ratio.desc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    clamped = cut(judged.withColumn("clamped", ~F.max("free").over(so_far)))
+    gone, open_ = clamped.agg(F.sum(F.when(F.col("clamped"), F.col("total"))), F.sum(F.when(~F.col("clamped"), F.col("weight")))).first()
+    rest = max(0.0, every - most_epochs * (gone or 0))
+    share = F.when(F.col("clamped"), most_epochs * F.col("total")).otherwise(F.lit(rest) * F.col("weight") / F.lit(open_ or 1.0))
+    shares = clamped.select("source", share.alias("target")).unionByName(sources.where(~F.coalesce(has, F.lit(False))).select("source", F.lit(0.0).alias("target")))
+    named = shares.select(F.col("source").alias("name"), F.col("target").cast("double").alias("target"))
+    return sources.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+
+
+def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_", fractions: bool = False) -> DataFrame:
+    """``df`` with size, source_size, target, copies (whole repetitions to take) and, with ``fractions``, part (words of one more), each name after ``prefix``. Without ``weights``, 1, 2, 3 in turn.
+
+    Documents of a source and size class have one of ``BINS`` places each; those below a threshold are taken once more. Without
+    ``fractions`` the threshold is the nearest one, so a source misses its target by half a bin of its smallest class
+    (which of a source with few, long documents may be all of it). With them, the documents at the threshold are taken in part, each by the same share of its words.
+    """
     size, source = words(F.col(f"`{text_col}`")), F.col(f"`{source_col}`").cast("string")
     kind = F.floor(F.log2(F.col("size") + 1)).cast("int")
     place = F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(BINS)).cast("int")
-    row = F.struct(F.lit(0).alias("_"), *others(df, *[prefix + c for c in ("size", "source_size", "target", "copies")]))
+    row = F.struct(F.lit(0).alias("_"), *others(df, *[prefix + c for c in ("size", "source_size", "target", "copies", *["part"] * fractions)]))
     sized = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), source.alias("source"), size.alias("size"), row.alias("row"))
     sized = sized.select("source", "size", kind.alias("kind"), place.alias("place"), "row")
     bins = cut(sized.groupBy("source", "kind", "place").agg(F.sum("size").alias("size")))
@@ -94,15 +99,22 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, most_epoc
             own = pdf[pdf["kind"] == k].groupby("place")["size"].sum().reindex(range(BINS), fill_value=0)
             goal = part * own.sum() + missed
             reached = [0, *own.cumsum()]
-            below = min(range(BINS + 1), key=lambda b: (abs(reached[b] - goal), b))
-            missed = goal - reached[below]
-            out.append((None if pd.isna(name) else name, int(k), below, int(whole), int(total), float(target)))
-        return pd.DataFrame(out, columns=["m_source", "m_kind", "m_below", "m_whole", "m_total", "m_target"]).astype({"m_source": object})
-
-    table = bins.join(at_hand(plan), F.col("source").eqNullSafe(F.col("m_source"))).groupBy("m_source").applyInPandas(thresholds, "m_source string, m_kind int, m_below int, m_whole int, m_total long, m_target double")
+            if fractions:
+                below = max(b for b in range(BINS + 1) if b == 0 or reached[b] <= goal)
+                at = next((b for b in range(below, BINS) if own[b]), None)
+                share = 0.0 if at is None else min(1.0, max(0.0, (goal - reached[below]) / own[at]))
+            else:
+                below, at, share = min(range(BINS + 1), key=lambda b: (abs(reached[b] - goal), b)), None, 0.0
+                missed = goal - reached[below]
+            out.append((None if pd.isna(name) else name, int(k), below, int(whole), int(total), float(target), -1 if at is None else at, float(share)))
+        return pd.DataFrame(out, columns=["m_source", "m_kind", "m_below", "m_whole", "m_total", "m_target", "m_at", "m_share"]).astype({"m_source": object})
+
+    table = bins.join(at_hand(plan), F.col("source").eqNullSafe(F.col("m_source"))).groupBy("m_source").applyInPandas(thresholds, "m_source string, m_kind int, m_below int, m_whole int, m_total long, m_target double, m_at int, m_share double")
     joined = sized.join(at_hand(cut(table)), F.col("source").eqNullSafe(F.col("m_source")) & (F.col("kind") == F.col("m_kind")), "left")
     copies = F.coalesce(F.col("m_whole") + (F.col("place") < F.col("m_below")).cast("int"), F.lit(0))
     new = {"size": F.col("size"), "source_size": F.col("m_total"), "target": F.col("m_target"), "copies": F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1)))}
+    if fractions:
+        new["part"] = F.coalesce(F.when(F.col("place") == F.col("m_at"), F.round(F.col("m_share") * F.col("size"))), F.lit(0)).cast("long")
     return joined.select(*[F.col(f"row.`{c}`") for c in sized.schema["row"].dataType.names[1:]], *[x.alias(prefix + c) for c, x in new.items()])
 
 
