@@ -8,9 +8,8 @@ Three passes, none of which shuffles a text:
    follow-the-regularised-leader (elastic net, the bias as a feature that always holds).
    Of the penalties ``l1`` the largest is taken whose loss on rows held back is within one
    standard error of the least; other rows held back then give the temperature;
-3. the prediction of every whole text, with the weights broadcast. Features and languages
-   make ``cells`` at most: with many languages n-grams share fewer features, no language
-   is left out.
+3. the prediction of every whole text, with the weights broadcast: features times languages,
+   whatever the number of rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text if no labelled row has a letter. Equal scores go to the language first by code point.
@@ -24,7 +23,7 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_per_language`` bounds the different rows of a language that the driver trains on; all else covers all rows. ``features`` and ``cells`` are powers of two."""
+    """``sample_per_language`` bounds the different rows of a language that the driver trains on; all else covers all rows. ``features`` is a power of two; the driver holds 20 bytes, and each task 4, for each of them and each language."""
 
     features: int = 1 << 15
     longest: int = 3
@@ -49,7 +48,6 @@ class Params:
     beta: float = 1.0
     l1: tuple[float, ...] = (0.1, 0.3, 1.0, 3.0)
     l2: float = 1e-2
-    cells: int = 1 << 22
     calibration_share: int = 5
     seed: int = 17
 
@@ -118,7 +116,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.ndarray, params: Params) -> Model | None:
-    """``rows``: (id's hash, language, n-grams, counts). Follow the regularised leader, coordinate by coordinate, for all penalties side by side."""
+    """``rows``: (id's hash, language, n-grams, counts). Follow the regularised leader, coordinate by coordinate, for each penalty."""
     languages = tuple(sorted({r[1] for r in rows}, key=lambda x: [ord(c) for c in x]))
     if not languages:
         return None
@@ -128,37 +126,39 @@ def train(rows: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.ndarray,
     part = lambda j: [d for k, d in enumerate(data) if k % params.calibration_share == j]
     chooses, calibrates = part(0), part(1)
     used = [d for k, d in enumerate(data) if k % params.calibration_share > 1] or data
-    l1 = np.array(params.l1)[:, None]
-    z, n = (np.zeros((params.features + 1, len(params.l1), len(languages))) for _ in range(2))
-
-    def weights_at(at: np.ndarray) -> np.ndarray:
-        zs = z[at]
-        return -(zs - np.sign(zs) * l1) / ((params.beta + np.sqrt(n[at])) / params.alpha + params.l2) * (np.abs(zs) > l1)
-
-    for epoch in range(params.epochs):
-        for k in np.random.default_rng([params.seed, epoch]).permutation(len(used)):
-            at, x, y = used[k]
-            at, x = np.append(at, params.features), np.append(x, 1.0)
-            w = weights_at(at)
-            slope = softmax(np.tensordot(x, w, 1))
-            slope[:, y] -= 1
-            g = x[:, None, None] * slope
-            squares = n[at]
-            more = squares + g * g
-            z[at] += g - (np.sqrt(more) - np.sqrt(squares)) / params.alpha * w
-            n[at] = more
-    weights = weights_at(np.arange(params.features + 1))
-    logits = lambda some: np.array([np.tensordot(x, weights[at], 1) + weights[-1] for at, x, _ in some])
     truth = lambda some: np.array([y for _, _, y in some], np.int64)
-    best = 0
-    if chooses:
-        p = softmax(logits(chooses))
-        losses = -np.log(np.maximum(p[np.arange(len(p)), :, truth(chooses)], 1e-12))
-        means, error = losses.mean(0), losses.std(0) / np.sqrt(len(losses))
-        least = int(np.argmin(means))
-        best = max((j for j in range(len(means)) if means[j] <= means[least] + error[least]), key=lambda j: params.l1[j])
-    temperature = calibrated(logits(calibrates)[:, best], truth(calibrates)) if calibrates else 1.0
-    return Model(languages, idf.astype(np.float32), weights[:-1, best].astype(np.float32), weights[-1, best], temperature, params)
+    tried = []
+    for l1 in params.l1:  # one after the other, so that the languages' weights are held once
+        z, n = (np.zeros((params.features + 1, len(languages))) for _ in range(2))
+
+        def weights_at(at: np.ndarray | slice, z=z, n=n, l1=l1) -> np.ndarray:
+            zs = z[at]
+            return -(zs - np.sign(zs) * l1) / ((params.beta + np.sqrt(n[at])) / params.alpha + params.l2) * (np.abs(zs) > l1)
+
+        for epoch in range(params.epochs):
+            for k in np.random.default_rng([params.seed, epoch]).permutation(len(used)):
+                at, x, y = used[k]
+                at, x = np.append(at, params.features), np.append(x, 1.0)
+                w = weights_at(at)
+                slope = softmax(x @ w)
+                slope[y] -= 1
+                g = x[:, None] * slope
+                squares = n[at]
+                more = squares + g * g
+                z[at] += g - (np.sqrt(more) - np.sqrt(squares)) / params.alpha * w
+                n[at] = more
+        weights = weights_at(slice(None)).astype(np.float32)
+        p = softmax(logits_of(weights, chooses)) if chooses else np.ones((1, len(languages)))
+        losses = -np.log(np.maximum(p[np.arange(len(p)), truth(chooses) if chooses else [0]], 1e-12))
+        tried.append((losses.mean(), losses.std() / np.sqrt(len(losses)), l1, weights))
+    least = min(tried, key=lambda t: t[0])
+    *_, weights = max((t for t in tried if t[0] <= least[0] + least[1]), key=lambda t: t[2]) if chooses else tried[0]
+    temperature = calibrated(logits_of(weights, calibrates), truth(calibrates)) if calibrates else 1.0
+    return Model(languages, idf.astype(np.float32), weights[:-1], weights[-1].astype(np.float64), temperature, params)
+
+
+def logits_of(weights: np.ndarray, some: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    return np.array([x @ weights[at] + weights[-1] for at, x, _ in some], np.float64)
 
 
 def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -215,8 +215,6 @@ def fit(labelled: DataFrame, params: Params = Params(), id_col: str = "doc_id",
             by[lang] = n
     if not by:
         return None
-    if len(by) * params.features > params.cells and params.features > 1:
-        return fit(labelled, replace(params, features=max(1, 1 << (params.cells // len(by)).bit_length() - 1)), id_col, text_col, lang_col)
     idf = np.log((1 + sum(by.values())) / (1 + frequency)) + 1
 
     ranked = counted.where("key is not null").select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
