@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row of each key: that of least ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+    """One row of each key: that of least ``order``, null before all. By an aggregate, so a key with very many rows (as all-null ones may be) is summed before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return df.groupBy(*keys).agg(first.alias("first_")).select(*[F.col(f"`{c}`") if c in keys else F.col(f"first_.`{c}`") for c in df.columns])
 
 
 def later_ids(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The ids of all rows but the first of each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.select(*{*keys, order}, F.row_number().over(w).alias("rn_")).where("rn_ > 1").select(order)
+    """The ids (``order``, one row each) of all rows but the first of each key."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(order), F.struct(F.col(order).isNotNull(), F.col(order))).alias("first_")).select(F.col(f"first_.{order}").alias("first_"))
+    return df.select(order).join(first, F.col(order).eqNullSafe(F.col("first_")), "left_anti")
 
 
 def delete(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
