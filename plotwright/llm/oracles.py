@@ -11,13 +11,10 @@ HEADER, CHUNK, SEGMENT = len(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; chars
 
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-#: White space, and ASCII signs, as the passages in words have them.
-WHITE, SIGNS = r"\x20\x09-\x0D", r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-
-#: Windows of 400 bytes, and of 51 words without the signs at the ends, that start more than once. Runs of window starts at most 400 bytes apart cover one span.
-OP2 = rf"""
+#: Windows of 400 bytes that start more than once. Runs of window starts at most 400 bytes apart cover one span.
+OP2 = """
 WITH texts AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS data, strlen(coalesce(text, ''))::BIGINT AS n, regexp_replace(coalesce(text, ''), '^[{WHITE}]+', '') AS trimmed
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS data, strlen(coalesce(text, ''))::BIGINT AS n
   FROM documents
 ), starts AS (
   SELECT r, data, unnest(range(1, n - 398)) AS a FROM texts WHERE n >= 400
@@ -39,24 +36,10 @@ WITH texts AS MATERIALIZED (
   SELECT gaps.r, string_agg(CASE WHEN gaps.a <= gaps.b THEN hex(data[gaps.a : gaps.b]) ELSE '' END, '' ORDER BY gaps.a) AS digits FROM gaps JOIN texts ON texts.r = gaps.r GROUP BY gaps.r
 ), counted AS (
   SELECT r, sum(b - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
-), worded AS (
-  SELECT r, regexp_extract_all(trimmed, '[^{WHITE}]+') AS words, regexp_extract_all(trimmed, '[{WHITE}]+') AS blanks FROM texts
-), bare AS (
-  SELECT *, [CASE WHEN regexp_full_match(w, '[{SIGNS}]+') THEN ['', w, ''] ELSE [regexp_extract(w, '^[{SIGNS}]*'), regexp_replace(w, '^[{SIGNS}]+|[{SIGNS}]+$', '', 'g'), regexp_extract(w, '[{SIGNS}]*$')] END FOR w IN words] AS parts
-  FROM worded WHERE len(words) > 50
-), joined AS (
-  SELECT r, [p[2] FOR p IN parts] AS cores, [parts[k][2] || parts[k][3] || blanks[k] || parts[k + 1][1] FOR k IN range(1, len(words))] AS pieces FROM bare
-), passages AS (
-  SELECT r, unnest(range(1, len(cores) - 49)) AS k, unnest([md5(array_to_string(pieces[k : k + 49], '') || cores[k + 50]) FOR k IN range(1, len(cores) - 49)]) AS h FROM joined
-), met AS (
-  SELECT r, k - row_number() OVER (PARTITION BY r ORDER BY k) AS run FROM passages WHERE h IN (SELECT h FROM passages GROUP BY h HAVING count(*) > 1)
-), held AS (
-  SELECT r, count(DISTINCT run) AS n_passages FROM met GROUP BY r
 )
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  CASE WHEN n_spans IS NULL THEN sha256(data) ELSE sha256(unhex(digits)) END AS kept_sha256,
-  coalesce(n_passages, 0) AS n_passages
-FROM texts LEFT JOIN counted ON counted.r = texts.r LEFT JOIN kept ON kept.r = texts.r LEFT JOIN held ON held.r = texts.r
+  CASE WHEN n_spans IS NULL THEN sha256(data) ELSE sha256(unhex(digits)) END AS kept_sha256
+FROM texts LEFT JOIN counted ON counted.r = texts.r LEFT JOIN kept ON kept.r = texts.r
 """
 
 #: Five hexadecimal digits of the SHA-1 are four of base 32.

@@ -94,7 +94,7 @@ BASES = (1_270_891_931, 1_947_207_353)
 
 
 def mod(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo PRIME, for what is less than 2**62."""
+    """``x`` modulo PRIME, for what is less than 2**63."""
     x = (x & PRIME) + (x >> np.uint64(31))
     x = (x & PRIME) + (x >> np.uint64(31))
     return np.where(x >= PRIME, x - PRIME, x)
@@ -119,16 +119,25 @@ def prime_powers(base: int, n: int) -> np.ndarray:
 class Digests:
     """64-bit digests of substrings of ``values`` (each less than 2**31): two polynomials modulo a prime, of 31 bits each, and the length mixed in.
 
-    A substring's sum is brought to one place by the power of its distance from the end, so that equal ones have equal digests wherever they stand.
+    A substring's sum is brought to the beginning by the inverse power of its place, so that equal ones have equal digests wherever they stand.
     """
 
     def __init__(self, values: np.ndarray):
         self.n = len(values)
         x = values.astype(np.uint64) + np.uint64(1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mod(x * prime_powers(b, self.n)))]) for b in BASES]
+        self.sums = []
+        for b in BASES:
+            sums = np.zeros(self.n + 1, np.uint64)
+            terms = x * prime_powers(b, self.n)
+            # One fold leaves less than 2**32, of which 2**31 add up to less than 2**63.
+            high = terms >> np.uint64(31)
+            terms &= PRIME
+            terms += high
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append(sums)
 
     def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        low, high = (mod(mod(s[ends] - s[begins]) * prime_powers(b, self.n + 1)[self.n - begins]) for s, b in zip(self.sums, BASES, strict=True))
+        low, high = (mod(mod(s[ends] - s[begins]) * prime_powers(pow(b, -1, int(PRIME)), self.n + 1)[begins]) for s, b in zip(self.sums, BASES, strict=True))
         return splitmix((high << np.uint64(31) | low) ^ splitmix((ends - begins).astype(np.uint64)))
 
 
@@ -293,9 +302,7 @@ def runs_of_units(units: np.ndarray, numbers: list[int], edges: np.ndarray, para
     begins, stops = edges[:-1][enough], edges[1:][enough] - params.words + 1
     key, a, b, text, twice = cut_runs(h, params.words - gram + 1, begins, stops, MOST_WINDOWS // UNIT)
     end = b + params.words - 2  # the last word of each run
-    # Words and gaps are hashes; of 64 bits, the digest takes all, half at a time.
-    halves = [Digests(h).of(a, end) for h in (unit >> np.uint64(33), unit & np.uint64(0x7FFFFFFF), (unit >> np.uint64(31)) & np.uint64(3))]
-    digest = splitmix(splitmix(halves[0] * np.uint64(3) ^ halves[1]) ^ halves[2] ^ last[end])
+    digest = splitmix(Digests(splitmix(unit) >> np.uint64(33)).of(a, end) ^ splitmix(last[end]))
     yield np.array(numbers)[enough][text], key, digest, (a - begins[text]) * UNIT, (b - a - 1) * UNIT + 1, twice
 
 

@@ -88,6 +88,8 @@ def test_strings_of_one_sum_have_two_digests():
     data = np.frombuffer(b"some text, some text" * 3, np.uint8)
     one = sadedup.Digests(data).of(np.array([0, 11, 20, 5]), np.array([9, 20, 29, 9]))
     assert one[0] == one[1] == one[2] != one[3]
+    other = np.frombuffer(b"quite another beginning; some text", np.uint8)
+    assert sadedup.Digests(other).of(np.array([25]), np.array([34]))[0] == one[0]
 
 
 PROSE = {"en": "the cat and the dog went over the hill with a song", "de": "der hund und die katze gingen über den berg mit einem lied"}
