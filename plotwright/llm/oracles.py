@@ -113,4 +113,66 @@ FROM scored
 QUALIFY rank <= 20
 """
 
-ORACLES = {"op2_suffix": OP2, "op3_warc": OP3, "op5_minhash": OP5, "op9_topk": OP9}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def leaf_of(text: str) -> str:
+    field = lambda f: f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f}::VARCHAR END"
+    return f"sha256({' || '.join(field(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def tree(name: str, nodes: str, levels: int) -> str:
+    """Tables of a tree over ``nodes`` (g, i, h): level k has each node's run; a group of one node stays as it is."""
+    out = [f"{name}_0 AS ({nodes})"]
+    for k in range(levels):
+        up = "g, i // 16 AS p, list(h ORDER BY i) AS run, min(n) AS n"
+        out.append(f"{name}_r{k} AS (SELECT {up} FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}_{k}) GROUP BY g, i // 16)")
+        out.append(f"{name}_{k + 1} AS (SELECT g, p AS i, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {name}_r{k})")
+    return ", ".join(out)
+
+
+def climbed(name: str, base: str, levels: int) -> str:
+    """Tables that take rows (r, g, i, f, proof) up the tree: f is folded with each run, whose others join the proof."""
+    out, at = [], base
+    for k in range(levels):
+        fold = "sha256(array_to_string(run[:i % 16], '') || f || array_to_string(run[i % 16 + 2:], ''))"
+        rest = "array_to_string(run[:i % 16], '') || array_to_string(run[i % 16 + 2:], '')"
+        out.append(f"{name}_c{k} AS (SELECT r, c.g, i // 16 AS i, CASE WHEN n = 1 THEN f ELSE {fold} END AS f, CASE WHEN n = 1 THEN proof ELSE proof || {rest} END AS proof FROM {at} c JOIN {name}_r{k} t ON t.g = c.g AND t.p = c.i // 16)")
+        at = f"{name}_c{k}"
+    return ", ".join(out)
+
+
+#: Levels enough for 16**6 rows of a source, and 16**4 sources; the others pass what is there on.
+BELOW, ABOVE = 6, 4
+CRC = "xor(4294967295, list_reduce(list_concat([4294967295], [ascii(d) FOR d IN string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+OP11 = f"""
+WITH seen AS (
+  SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NOT NULL AND {CRC} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS found FROM documents
+), leaves AS (
+  SELECT r, doc_id, {leaf_of("text")} AS leaf, {leaf_of("found")} AS f, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id, r) - 1 AS i FROM seen
+), {tree("low", "SELECT g, i, leaf AS h FROM leaves", BELOW)}, {tree("top", f"SELECT 0 AS g, g AS i, h FROM low_{BELOW}", ABOVE)},
+start AS (SELECT r, g, i, f, '' AS proof FROM leaves), {climbed("low", "start", BELOW)},
+middle AS (SELECT c.r, 0 AS g, l.g AS i, f, proof FROM low_c{BELOW - 1} c JOIN (SELECT r, g FROM leaves) l ON l.r = c.r), {climbed("top", "middle", ABOVE)}
+SELECT doc_id, leaf, low_{BELOW}.h AS subroot, top_{ABOVE}.h AS root, sha256(proof) AS proof_sha256, c.f AS folded_root, c.f = top_{ABOVE}.h AS verified
+FROM leaves JOIN low_{BELOW} ON low_{BELOW}.g = leaves.g JOIN top_c{ABOVE - 1} c ON c.r = leaves.r, top_{ABOVE}
+"""
+
+OP13 = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLES = {"op2_suffix": OP2, "op3_warc": OP3, "op5_minhash": OP5, "op9_topk": OP9, "op11_merkle": OP11, "op13_hard_negatives": OP13}
