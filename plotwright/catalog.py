@@ -606,6 +606,21 @@ def quota_windows_stream(spark, d):
     return spark.read.parquet(f"{at}/out").select(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us"), "request_count")
 
 
+@query(WINDOWS)
+def polled_windows(spark, d):
+    """Running counts as a polled refresh gets them; the last that it was shown of each window."""
+    at = scratch(spark, "polled")
+    t(spark, d, "events").select("event_type", "ts").write.parquet(f"{at}/in")
+    stream = stream_quota.stream_windows(spark.readStream.schema("event_type string, ts timestamp_ntz").parquet(f"{at}/in"), "event_type", "ts")
+    run = stream_quota.polled(stream, lambda df, k: df.write.mode("append").parquet(f"{at}/out"), f"{at}/state", "1 second")
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    shown = spark.read.parquet(f"{at}/out").groupBy(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us"))
+    return shown.agg(F.max("request_count").alias("request_count"))
+
+
 @query(ONE_WINDOWS)
 def quota_one_key(spark, d):
     """All calls as one key's, dealt to eight tasks: successors are composed over their ranges."""

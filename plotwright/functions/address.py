@@ -10,6 +10,7 @@ from plotwright.functions.text import first_group
 # Abbreviations of street types and directions, in the order in which they apply.
 STREET_TYPES = {"RD": "ROAD", "ST": "STREET", "AVE": "AVENUE", "BLVD": "BOULEVARD", "DR": "DRIVE", "LN": "LANE", "CT": "COURT", "CIR": "CIRCLE", "PLZ": "PLAZA", "SQ": "SQUARE", "TER": "TERRACE", "PKWY": "PARKWAY", "HWY": "HIGHWAY"}
 DIRECTIONS = {"N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST", "NE": "NORTHEAST", "NW": "NORTHWEST", "SE": "SOUTHEAST", "SW": "SOUTHWEST"}
+# Fixed value: what counts as a house number.
 HOUSE_NUMBER = r"^\s*(\d+(?:-\d+)?)\s"
 
 
