@@ -70,9 +70,9 @@ def word_table() -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words by their bytes, those met lately remembered."""
+    """64-bit hashes of words by their bytes, those met lately remembered. A task has one of its own, which goes with it."""
 
-    MOST = 1 << 18
+    MOST = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -81,11 +81,9 @@ class WordHashes(dict):
         return self[word]
 
 
-known_words = WordHashes()
-
-
-def word_hashes(texts: list[str], part: int = 1 << 20) -> list[np.ndarray]:
+def word_hashes(texts: list[str], known: WordHashes | None = None, part: int = 1 << 20) -> list[np.ndarray]:
     """The 64-bit hashes of each text's words, in order. A text with signs but no word is one word."""
+    known = WordHashes() if known is None else known
     low = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
     whole = "".join(low)
@@ -102,12 +100,12 @@ def word_hashes(texts: list[str], part: int = 1 << 20) -> list[np.ndarray]:
     last = np.flatnonzero(word & after[1:]) + 1
     hashes = np.empty(len(first), np.uint64)
     for k in range(0, len(first), part):
-        hashes[k : k + part] = [known_words[whole[a:b]] for a, b in zip(first[k : k + part].tolist(), last[k : k + part].tolist(), strict=True)]
+        hashes[k : k + part] = [known[whole[a:b]] for a, b in zip(first[k : k + part].tolist(), last[k : k + part].tolist(), strict=True)]
     split = np.searchsorted(first, np.concatenate([ends - sizes, ends[-1:]]))
     out = [hashes[a:b] for a, b in zip(split, split[1:], strict=False)]
     for k, (x, t) in enumerate(zip(out, low, strict=True)):
         if not len(x) and (bare := t.strip()):
-            out[k] = np.array([known_words[bare]], np.uint64)
+            out[k] = np.array([known[bare]], np.uint64)
     return out
 
 
@@ -157,9 +155,10 @@ def sketch(docs: DataFrame, params: Params) -> DataFrame:
     """(id, copy binary, n, bands array<long>): fingerprint of the words in order, number of shingles, and the different band keys; fingerprint and keys are null for blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for begin, texts in text_pieces(batch, "text", 400_000):
-                words = word_hashes(texts)
+                words = word_hashes(texts, known)
                 full = [k for k, w in enumerate(words) if len(w)]
                 keys: list = [None] * len(words)
                 sizes = [0] * len(words)
@@ -280,9 +279,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
     """(id, set binary) of the documents in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for begin, texts in text_pieces(batch, "text", 400_000):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array([shingles(w, params.words)[0].tobytes() for w in word_hashes(texts)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, len(texts)), pa.array([shingles(w, params.words)[0].tobytes() for w in word_hashes(texts, known)], pa.binary())], names=["id", "set"])
 
     return among(docs, ids).mapInArrow(sparing(sets), "id long, set binary")
 
