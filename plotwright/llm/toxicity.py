@@ -118,7 +118,7 @@ def tokens(word: str, stems: tuple[int, ...]) -> list[str]:
 class Scores(dict):
     """Of each word met, its log-odds less the drift, or None for one that scores as most do; looked up once."""
 
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __init__(self, known: dict[str, float], params: Params):
         super().__init__()
