@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.spatial import cover, tile
 from plotwright.functions.values import LATITUDES, LONGITUDES
-from plotwright.storage import file_system
+from plotwright.storage import file_system, swap
 
 #: The column of tile numbers, and rows of a file.
 CODE, ROWS = "tile_", 1_000_000
@@ -30,10 +30,7 @@ def publish(df: DataFrame, path: str, latitude: str = "latitude", longitude: str
         keyed.write.parquet(f"{staged}/rows")
         name = F.col("_metadata.file_name")
         spark.read.parquet(f"{staged}/rows").groupBy(name.alias("file")).agg(F.min(CODE).alias("low"), F.max(CODE).alias("high"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{staged}/files")
-        if fs.exists(make(path)):
-            fs.delete(make(path), True)
-        if not fs.rename(make(staged), make(path)):
-            raise OSError(f"could not publish {path}")
+        swap(spark, staged, path)
     finally:
         fs.delete(make(staged), True)
 

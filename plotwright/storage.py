@@ -33,20 +33,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(make(path)))
 
 
+def swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Renames ``staged`` to ``path``; what was there is set aside first, put back if that fails, and deleted last."""
+    fs, make = file_system(spark, path)
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    moved = fs.exists(make(path)) and fs.rename(make(path), make(old))
+    if not fs.rename(make(staged), make(path)):
+        if moved:
+            fs.rename(make(old), make(path))
+        raise OSError(f"could not publish {path}")
+    if moved:
+        fs.delete(make(old), True)
+
+
 def publish(df: DataFrame, path: str, **options: str) -> None:
     """Parquet at ``path``, whole or not at all: written beside it, then renamed. The rows may come from ``path`` itself."""
     spark = df.sparkSession
     fs, make = file_system(spark, path)
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
     try:
         df.write.options(**options).parquet(staged)
-        moved = fs.exists(make(path)) and fs.rename(make(path), make(old))
-        if not fs.rename(make(staged), make(path)):
-            if moved:
-                fs.rename(make(old), make(path))
-            raise OSError(f"could not publish {path}")
-        if moved:
-            fs.delete(make(old), True)
+        swap(spark, staged, path)
     finally:
         if fs.exists(make(staged)):
             fs.delete(make(staged), True)
