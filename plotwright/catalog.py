@@ -879,6 +879,15 @@ def profile_orders(spark, d):
     return profile.columns(t(spark, d, "orders")).select("column_name", "missing", "unique_values", "min", "max", F.round("mean", 4).alias("mean"), "zeros", "negatives")
 
 
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_values FROM lineitem" for c in KEYS) + " UNION ALL SELECT 'far', count(DISTINCT l_orderkey * 1000003) FROM lineitem")
+def distinct_keys(spark, d):
+    """Different numbers of all key columns by bitmaps, and of one that is not dense."""
+    return profile.distinct_counts(t(spark, d, "lineitem").select(*KEYS, (F.col("l_orderkey") * 1000003).alias("far")))
+
+
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

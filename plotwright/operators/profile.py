@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,33 @@ def columns(df: DataFrame) -> DataFrame:
     return joined.select("column_name", "data_type", *[counts.get(c, F.col(c)).alias(c) for c in STATS])
 
 
+#: A column is dense if its values lie in a range of so many times their number.
+DENSE = 64
+
+
+def distinct_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, unique_values) of columns of whole numbers, exactly, and without a shuffle of their values where they are dense, as numbered keys are.
+
+    Dense columns become bitmaps, of 32,768 numbers each, that are joined before and after the shuffle: an eighth of a byte for a
+    number of the range. The others are counted by value. One pass finds the ranges, one counts the dense columns, one the others.
+    """
+    spark = df.sparkSession
+    picked = [*(names or [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)])]
+    value = lambda c: F.col(f"`{c}`").cast("long")
+    ends = df.agg(*[F.struct(F.count(value(c)).alias("n"), F.min(value(c)).alias("low"), F.max(value(c)).alias("high")).alias(f"c{k}") for k, c in enumerate(picked)]).first() if picked else []
+    dense = [k for k, e in enumerate(ends) if e["n"] and e["high"] - e["low"] < DENSE * e["n"]]
+    sparse = [k for k, e in enumerate(ends) if e["n"] and k not in dense]
+    cells = lambda some: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("col"), value(picked[k]).alias("v")) for k in some])).alias("c")).select("c.*").where("v is not null")
+    parts = [spark.createDataFrame([(k, 0) for k, e in enumerate(ends) if not e["n"]], "col int, unique_values long")]
+    if dense:
+        bits = cells(dense).groupBy("col", F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        parts.append(bits.groupBy("col").agg(F.sum(F.bitmap_count("bits")).alias("unique_values")))
+    if sparse:
+        parts.append(cells(sparse).groupBy("col", "v").agg(F.lit(1).alias("one")).groupBy("col").agg(F.count("*").alias("unique_values")))
+    name = F.element_at(F.array(*[F.lit(c) for c in picked]), F.col("col") + 1) if picked else F.lit("")
+    return functools.reduce(DataFrame.unionByName, parts).select(name.alias("column_name"), "unique_values")
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """One row: the mean of the columns' missing percentages."""
     return columns(df).agg(F.avg("missing_pct").alias("mean_missing_pct"))

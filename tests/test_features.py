@@ -66,6 +66,17 @@ def test_profile_is_one_scan(spark):
     assert plan.split("Initial Plan")[-1].count("FileScan parquet") == 1
 
 
+def test_distinct_numbers_by_bitmaps(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(-70_000, 70_000), rng.randint(-(2**62), 2**62), None, 7, k % 40_000 - 5) for k in range(5000)] + [(None, None, None, None, None), (0, -(2**63), None, 7, 2**31 - 1)]
+    df = spark.createDataFrame(rows, "dense long, sparse long, gone long, one int, mixed int")
+    got = {r.column_name: r.unique_values for r in profile.distinct_counts(df).collect()}
+    assert got == {c: len({r[k] for r in rows} - {None}) for k, c in enumerate(df.columns)}
+    plan = profile.distinct_counts(df.select("dense"))._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+    assert {r.unique_values for r in profile.distinct_counts(df.limit(0)).collect()} == {0} and profile.distinct_counts(df.select(F.lit("x").alias("t"))).count() == 0
+
+
 def test_profile_values(spark):
     long_text = "x" * 500
     rows = [(1, 0.5, "a", "2020-01-01", "1 A ST", [1], None), (2, -0.0, "", "bad", "A ST", [1], None), (2**60 + 1, 0.0, long_text, None, None, None, None), (2**60, float("nan"), long_text + "y", "", "5", [2], None)]
