@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from plotwright.session import checked_identifier
 
-#: Fills blanks of a column from another table; the script's result is the rows. Names come in as variables and are quoted; the condition is SQL of its own.
+#: Fills blanks of a column from another table, as the temporary view ``{view}``: Spark gathers the result of a script in the driver, so the rows are not it. Names come in as variables and are quoted; the condition is SQL of its own.
 IMPUTE = """
 BEGIN
   DECLARE keys STRING DEFAULT array_join(transform({on}, k -> concat('`', k, '`')), ', ');
@@ -16,7 +17,7 @@ BEGIN
   DECLARE same STRING DEFAULT array_join(transform({on}, k -> concat('t.`', k, '` = d.`', k, '`')), ' AND ');
   DECLARE wanted STRING DEFAULT concat('t.', column, ' IS NULL AND d.donor_ IS NOT NULL AND (', {condition}, ')');
   DECLARE donors STRING DEFAULT concat('SELECT ', keys, ', min_by(', column, ', `', {order}, '`) AS donor_ FROM `', {source}, '` WHERE ', column, ' IS NOT NULL GROUP BY ', keys);
-  EXECUTE IMMEDIATE concat(
+  EXECUTE IMMEDIATE concat('CREATE TEMPORARY VIEW `', {view}, '` AS ',
     'SELECT t.* EXCEPT (', column, '), CASE WHEN ', wanted, ' THEN d.donor_ ELSE t.', column, ' END AS ', column,
     ', coalesce(', wanted, ', false) AS `', {flag}, '` FROM `', {table}, '` t LEFT JOIN (', donors, ') d ON ', same);
 END
@@ -30,6 +31,10 @@ def text(value: str) -> str:
 
 def impute(spark: SparkSession, table: str, source: str, on: Sequence[str], target: str, condition: str = "true", flag: str = "address_was_imputed", order: str = "unique_id") -> DataFrame:
     """The rows of the view ``table`` with blanks of ``target`` taken from the view ``source``, where ``condition`` (SQL over ``t``, the row) holds; ``flag`` says which. All but the condition must be plain identifiers."""
-    names = {k: text(checked_identifier(v)) for k, v in {"table": table, "source": source, "target": target, "flag": flag, "order": order}.items()}
+    view = f"imputed_{uuid.uuid4().hex}"
+    names = {k: text(checked_identifier(v)) for k, v in {"view": view, "table": table, "source": source, "target": target, "flag": flag, "order": order}.items()}
     script = IMPUTE.format(on="array(" + ", ".join(text(checked_identifier(c)) for c in on) + ")", condition=text(condition), **names)
-    return spark.sql(script)
+    spark.sql(script)
+    rows = spark.table(view)
+    spark.catalog.dropTempView(view)
+    return rows

@@ -287,3 +287,12 @@ def test_script_refuses_what_is_no_name(spark):
             procedures.impute(spark, "t_in", "t_in", ["parcel_id"], bad)
         with pytest.raises(ValueError):
             procedures.impute(spark, bad, "t_in", ["parcel_id"], "a")
+
+
+def test_script_leaves_rows_to_executors(spark):
+    spark.range(1000).selectExpr("id as unique_id", "'P' as parcel_id", "if(id > 0, null, 'a') as a").createOrReplaceTempView("t_many")
+    made = []
+    assert jobs(spark, lambda: made.append(procedures.impute(spark, "t_many", "t_many", ["parcel_id"], "a"))) == 0
+    assert "LocalRelation" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert made[0].where("a = 'a'").count() == 1000
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("imputed_")]
