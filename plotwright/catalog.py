@@ -602,7 +602,7 @@ def quota_windows_stream(spark, d):
         (events.where(part == k) if k < 4 else last).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema("event_type string, ts timestamp_ntz").parquet(f"{at}/in")
         run = stream_quota.closed_windows(stream, "event_type", "ts").writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
-        run.awaitTermination(600)
+        run.awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("key").alias("event_type"), F.unix_micros("window_started_at").alias("started_us"), "request_count")
 
 

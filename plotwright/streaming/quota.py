@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,19 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from plotwright.operators.quota import HOURS
 
 MICROS = 1_000_000
+HOUR = 3600 * MICROS
+#: Calls that a task holds before it puts them into the state.
+HELD = 1 << 20
 
 
 class ClosedWindows(StatefulProcessor):
-    """Of one key: the open window (its start and count), and by time the calls that may open the next one.
+    """Of one key: the open window (its start and count), and by the hour the calls that may open the next one.
 
     A call counts at once if it lies in the open window. Others wait until the watermark passes them, as an earlier one
     may still come; then the earliest opens a window. Timers stand at the earliest waiting call and at the open window's
     end, so windows close with the watermark, whether or not the key is called again, and a key without an open window
-    or waiting calls has no state.
+    or waiting calls has no state. The waiting calls of an hour are one value (16 bytes for each different time): a task
+    holds one hour's, and up to ``HELD`` calls on their way there.
     """
 
     def __init__(self, span: int):
@@ -32,50 +37,87 @@ class ClosedWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "started long, n long")
-        self.waiting = handle.getMapState("waiting", "ts long", "n long")
+        self.waiting = handle.getMapState("waiting", "hour long", "calls binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        counts = pd.concat([b["us"] for b in rows]).value_counts()
-        if key[0] is not None:  # rows without a key only move the watermark
-            held = self.open.get()
-            inside, first = 0, None
-            for us, n in counts.items():
-                us, n = int(us), int(n)
-                if held is not None and held[0] <= us < held[0] + self.span:
-                    inside += n
-                    continue
-                before = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else None
-                self.waiting.updateValue((us,), ((before[0] if before else 0) + n,))
-                first = us if first is None else min(first, us)
-            if inside:
-                self.open.update((held[0], held[1] + inside))
-            if first is not None and held is None:
-                self.wake(first)
+        held = None if key[0] is None else self.open.get()
+        inside, first, parts = 0, None, []
+        for b in rows:
+            us = b["us"].to_numpy("int64")
+            if key[0] is None:  # rows without a key only move the watermark
+                continue
+            if held is not None:
+                mine = (held[0] <= us) & (us < held[0] + self.span)
+                inside += int(mine.sum())
+                us = us[~mine]
+            if not len(us):
+                continue
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+            parts.append(us)
+            if sum(map(len, parts)) >= HELD:
+                self.keep(np.concatenate(parts))
+                parts = []
+        if parts:
+            self.keep(np.concatenate(parts))
+        if inside:
+            self.open.update((held[0], held[1] + inside))
+        if first is not None and held is None:
+            self.wake(first)
         yield self.found([], key)
 
+    def keep(self, us: np.ndarray) -> None:
+        """Adds calls to those that wait."""
+        times, n = np.unique(us, return_counts=True)
+        hours, at = np.unique(times // HOUR, return_index=True)
+        for hour, t, k in zip(hours.tolist(), np.split(times, at[1:]), np.split(n, at[1:]), strict=True):
+            if self.waiting.containsKey((hour,)):
+                before = self.calls(hour)
+                t, place = np.unique(np.concatenate([before[0], t]), return_inverse=True)
+                both = np.zeros(len(t), "int64")
+                np.add.at(both, place, np.concatenate([before[1], k]))
+                k = both
+            self.put(hour, t, k)
+
+    def calls(self, hour: int) -> np.ndarray:
+        """The different times of an hour's waiting calls, in order, and how many calls each has."""
+        return np.frombuffer(self.waiting.getValue((hour,))[0], "int64").reshape(2, -1)
+
+    def put(self, hour: int, times: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.updateValue((hour,), (np.stack([times, n]).astype("int64").tobytes(),))
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         sure = timerValues.getCurrentWatermarkInMs() * 1000  # no call up to here will come
-        held, out = self.open.get(), []
+        held, out, first = self.open.get(), [], None
         held = None if held is None else (held[0], held[1])
-        waiting = {int(k[0]): int(v[0]) for k, v in self.waiting.iterator()}
-        while True:
-            if held is not None and held[0] + self.span <= sure:
-                out.append(held)
-                held = None
-            if held is None:
-                first = min(waiting, default=None)
-                if first is None or first > sure:
-                    break
-                mine = [us for us in waiting if us < first + self.span]
-                held = (first, sum(waiting.pop(us) for us in mine))
-                for us in mine:
-                    self.waiting.removeKey((us,))
-            elif held[0] + self.span > sure:
+        for hour in sorted(int(k[0]) for k in self.waiting.keys()):
+            times, n = self.calls(hour)
+            at = 0
+            while at < len(times):
+                if held is not None and held[0] + self.span <= times[at]:
+                    if held[0] + self.span > sure:
+                        break
+                    out.append(held)
+                    held = None
+                if held is None:
+                    if times[at] > sure:
+                        break
+                    held = (int(times[at]), 0)
+                to = int(np.searchsorted(times, held[0] + self.span))
+                held = (held[0], held[1] + int(n[at:to].sum()))
+                at = to
+            if at < len(times):
+                first = int(times[at])
+                if at:
+                    self.put(hour, times[at:], n[at:])
                 break
+            self.waiting.removeKey((hour,))
+        if held is not None and held[0] + self.span <= sure:
+            out.append(held)
+            held = None
         if held is None:
             self.open.clear()
-            if waiting:
-                self.wake(min(waiting))
+            if first is not None:
+                self.wake(first)
         else:
             self.open.update(held)
             self.wake(held[0] + self.span)

@@ -123,3 +123,18 @@ def test_stream_windows_match_the_batch(spark, tmp_path):
     closed_windows(stream, "api", "ts", late="150 hours").writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(120)
     got = sorted(((r.key, r.window_started_at, r.request_count) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
     assert got == brute([(a, t) for t, a in calls])
+
+
+def test_stream_windows_keep_an_hour_of_calls_as_one_value(spark, tmp_path):
+    rng = random.Random(7)
+    calls = [("a", hours(rng.random() * 60)) for _ in range(3000)]
+    calls += calls[:500]
+    read = lambda: closed_windows(spark.readStream.schema("api string, ts timestamp_ntz").parquet(f"{tmp_path}/in"), "api", "ts", late="30 hours")
+    for rows in (calls, [(None, hours(9999))]):
+        spark.createDataFrame(rows, "api string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run = read().writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        run.awaitTermination(120)
+        if rows is calls:  # some 30 hours wait, the open window and the timer's two entries
+            assert max(p.stateOperators[0].numRowsTotal for p in run.recentProgress) < 80
+    got = sorted(((r.key, r.window_started_at, r.request_count) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    assert got == brute(calls)
