@@ -903,11 +903,10 @@ def numeric_summary_all(spark, d):
 
 @query("SELECT unique_id, coalesce(property_address, '') AS property_address, coalesce(cast(acreage AS string), '') AS acreage FROM {sales}")
 def csv_bom_load(spark, d):
-    """A file with a byte order mark, loaded and replaced as a table."""
+    """Files with a byte order mark each, in order, loaded and replaced as a table."""
     at = scratch(spark, "load")
-    tables.write_csv(v(spark, d, "sales").select("unique_id", "property_address", "acreage").orderBy("unique_id"), f"{at}/plain")
-    head = F.when(F.col("value").startswith("unique_id,"), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
-    spark.read.text(f"{at}/plain").select(head.alias("value")).coalesce(1).write.text(f"{at}/marked")
+    marked = v(spark, d, "sales").select("unique_id", "property_address", "acreage").orderBy("unique_id").withColumnRenamed("unique_id", "\ufeffunique_id")
+    tables.write_csv(marked, f"{at}/marked", single=False)
     for _ in range(2):  # the second replaces the first
         tables.load_csv(spark, f"{at}/marked", f"{at}/table", fields("unique_id string, property_address string, acreage string"))
     return spark.read.parquet(f"{at}/table").select(L("unique_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("property_address", "acreage")])

@@ -27,8 +27,25 @@ def strip_bom(source: str, target: str) -> bool:
         return start == BOM
 
 
+#: A line at whose end a quoted field is still open. Quotes within an unquoted field are letters; after a closing quote the field runs on to its comma.
+OPEN = r'^(?>(?>"(?>[^"]++|"")*+"[^,]*+|[^",][^,]*+)?,)*+"(?>[^"]++|"")*+\z'
+
+
+def splits(spark: SparkSession, path: str) -> bool:
+    """Whether the file at ``path`` (or those of the folder) are large and every line is a row: then they can be read in pieces, with the same rows."""
+    fs, make = storage.file_system(spark, path)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    found = fs.globStatus(make(path)) or []
+    if max((f.getLen() for one in found for f in (fs.listStatus(one.getPath()) if one.isDirectory() else [one])), default=0) <= most:
+        return False
+    lines, line = spark.read.text(path, lineSep="\n"), F.regexp_replace("value", "\r\\z", "")
+    odd = (line.contains('"') & line.rlike(OPEN)) | line.contains("\r") | ((line != "") & (F.trim(line) == ""))
+    return not lines.where(odd).limit(1).count()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW, multi_line: bool = True) -> DataFrame:
-    """Headed UTF-8 CSV by an explicit schema; quotes double inside quotes, '' is null. Fields may span lines, so a file is read by one task; without ``multi_line`` they may not, and large files are split."""
+    """Headed UTF-8 CSV by an explicit schema; quotes double inside quotes, '' is null. Fields may span lines, and a file with such is read by one task; large files without any, which one pass over their lines tells, are split, as all are without ``multi_line``."""
+    multi_line = multi_line and not splits(spark, path)
     return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line, enforceSchema=False, encoding="UTF-8")
 
 
