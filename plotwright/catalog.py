@@ -368,7 +368,7 @@ def csv_round_trip(spark, d):
     settle(spark.range(1))
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/csv-{uuid.uuid4().hex}"
-    tables.write_csv(v(spark, d, "sales").select("unique_id", "property_address").orderBy("unique_id"), path)
+    tables.write_csv(v(spark, d, "sales").select("unique_id", "property_address").orderBy("unique_id"), path, single=False)
     from plotwright.schemas import fields
 
     read = tables.read_csv(spark, path, fields("unique_id long, property_address string"))
