@@ -111,7 +111,8 @@ def csv_value(column: Column, kind: str) -> Column:
         out = F.when(column, "t").when(~column, "f")
     elif kind in ("double", "float"):
         plain = F.regexp_replace(column.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
-        out = F.when(column == 0, "0.0").when((F.abs(column) >= 1e-4) & (F.abs(column) < 1e16), plain).otherwise(F.lower(column.cast("string")))
+        # Within the second bounds Java prints no exponent, so the text needs no further work.
+        out = F.when(column == 0, "0.0").when((F.abs(column) >= 1e-3) & (F.abs(column) < 1e7), column.cast("string")).when((F.abs(column) >= 1e-4) & (F.abs(column) < 1e16), plain).otherwise(F.lower(column.cast("string")))
     elif kind.startswith("decimal"):
         out = F.regexp_replace(F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     else:

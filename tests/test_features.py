@@ -10,7 +10,7 @@ from plotwright import catalog, fixtures
 from plotwright.functions import spatial as tiles
 from plotwright.operators import marts, procedures, profile, selection
 from plotwright.schemas import EXPORT_COLUMNS
-from plotwright.sources import exports, lookups, spatial
+from plotwright.sources import exports, lookups, spatial, tables
 from plotwright.sources.providers import ByRule, Result
 
 SMALL = "/root/testdata/sf0.001"
@@ -296,3 +296,53 @@ def test_script_leaves_rows_to_executors(spark):
     assert "LocalRelation" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
     assert made[0].where("a = 'a'").count() == 1000
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("imputed_")]
+
+
+# --- files in pieces ----------------------------------------------------------------------------
+
+
+def test_large_csv_is_split_unless_fields_span_lines(spark, tmp_path):
+    texts = ["plain", 'x, "y"', '5" pipe', "", '"', '""', " ", "a\tb"]
+    flat = [f'{k},"{t.replace(chr(34), chr(34) * 2)}"' if k % 2 or "," in t or t.startswith('"') else f"{k},{t}" for k, t in enumerate(texts * 2000)]
+    cases = {"flat": flat, "spanning": [*flat, '99999,"two\r\nlines"'], "stray": [*flat, '1,x",y,"z\r\nw"'], "lone": [*flat, '3,"a\rb"'], "blank": [*flat, "  "]}
+    schema = "a string, b string"
+    for name, body in cases.items():
+        (tmp_path / f"{name}.csv").write_bytes(b"\xef\xbb\xbf" + "".join(x + "\r\n" for x in ["a,b", *body]).encode())
+    whole = {name: sorted(map(str, tables.read_csv(spark, f"{tmp_path}/{name}.csv", schema).collect())) for name in cases}
+    assert len(whole["flat"]) == len(flat) and any("two" in r and "lines" in r for r in whole["spanning"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        for name in cases:
+            read = tables.read_csv(spark, f"{tmp_path}/{name}.csv", schema)
+            assert (read.rdd.getNumPartitions() > 4) == (name == "flat")
+            assert sorted(map(str, read.collect())) == whole[name]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("name", ["csv_bom_load", "csv_round_trip"])
+def test_csv_queries_write_more_than_one_file(spark, monkeypatch, name):
+    seen = []
+    plain = tables.write_csv
+    monkeypatch.setattr(tables, "write_csv", lambda df, path, **how: (plain(df, path, **how), seen.append(spark.read.text(path).inputFiles())))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalog.QUERIES[name](spark, SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [len(files) for files in seen] == [4]
+
+
+def test_export_lines_are_those_of_the_row_writer(spark, tmp_path):
+    cells = ["", "a", 'a"b', "a,b", "a\nb", "a\rb", " a ", '"', None]
+    rows = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in cells for y in cells)]
+    df = spark.createDataFrame(rows, "unique_id long, t string, u string")
+    exports.export(df, str(tmp_path / "o"), ["u"])
+    line = exports.TwoWriter.line
+    for kind, hide in (("full", False), ("public", True)):
+        want = line(df.columns) + "".join(line([str(k), x or "", "" if hide else y or ""]) for k, x, y in rows)
+        assert next((tmp_path / "o" / kind).glob("*")).read_bytes() == want.encode()
+    one = exports.lines(df.select("t"), ["t"]).collect()
+    assert [r.full for r in one] == [line([x or ""]) for _, x, _ in rows] and all(r.public == line([""]) for r in one)
+    assert isinstance(exports.TwoExports({"path": "p", "names": "[]"}).writer(df.schema, True), exports.DataSourceArrowWriter)
