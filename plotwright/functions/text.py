@@ -24,7 +24,8 @@ def spaces(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, " {2,}", " ")
+    # Most texts have none, which needs no pattern to be seen.
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 
 def blank(text: Column) -> Column:

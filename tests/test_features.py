@@ -346,3 +346,11 @@ def test_export_lines_are_those_of_the_row_writer(spark, tmp_path):
     one = exports.lines(df.select("t"), ["t"]).collect()
     assert [r.full for r in one] == [line([x or ""]) for _, x, _ in rows] and all(r.public == line([""]) for r in one)
     assert isinstance(exports.TwoExports({"path": "p", "names": "[]"}).writer(df.schema, True), exports.DataSourceArrowWriter)
+
+
+def test_blanks_are_collapsed_where_there_are_any(spark):
+    from plotwright.operators.clean import collapse
+
+    out = collapse(spark.createDataFrame([("a  b   c",), ("a b",), ("   ",), ("",), (None,)], "t string"))
+    assert [r.t for r in out.collect()] == ["a b c", "a b", " ", "", None]
+    assert "CASE WHEN" in out._jdf.queryExecution().analyzed().toString()  # the pattern is met by those texts only
